@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from docreason.schemas import BUCKET_THRESHOLDS, CORRECT_TOL
 
-NULL_D = F.lit(None).cast("double")
+
+def null_d() -> Column:
+    return F.lit(None).cast("double")
 
 # Number syntax accepted by Python's float(): digits with single underscores
 # between them, optional fraction and exponent, or inf/infinity/nan.
@@ -26,13 +28,13 @@ def col(c) -> Column:
 def nan_to_null(c) -> Column:
     """NaN is a value in Spark (greater than every number); the analysis treats
     it as missing, so it becomes NULL at the boundary."""
-    return F.nanvl(col(c), NULL_D)
+    return F.nanvl(col(c), null_d())
 
 
 def clip01(c) -> Column:
     """Clip to [0, 1]; NULL and NaN stay missing (NULL)."""
     x = nan_to_null(c)
-    return F.when(x.isNull(), NULL_D).otherwise(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
+    return F.when(x.isNull(), null_d()).otherwise(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
 
 
 def py_strip(c) -> Column:
@@ -52,7 +54,7 @@ def coerce_float(c) -> Column:
 def tri_anchor(c) -> Column:
     """Nearest of 0, 0.5, 1; a tie goes to the lower anchor."""
     x = col(c)
-    return (F.when(x.isNull(), NULL_D).when(x <= 0.25, F.lit(0.0))
+    return (F.when(x.isNull(), null_d()).when(x <= 0.25, F.lit(0.0))
             .when(x <= 0.75, F.lit(0.5)).otherwise(F.lit(1.0)))
 
 
@@ -102,33 +104,35 @@ def linspace(lo: float, hi: float, n: int) -> list[float]:
     return edges
 
 
-def bin_index(c, edges: list[float], close_last: bool = False) -> Column:
-    """Index i with edges[i] <= x < edges[i+1] (digitize - 1) for equally
-    spaced literal ``edges``.
+def with_bin(df, out: str, x, edges: list[float], close_last: bool = False):
+    """Add column ``out``: index i with edges[i] <= x < edges[i+1] (digitize -
+    1) for ``edges`` made by :func:`linspace`.
 
     x below the first edge gives -1, x at or above the last gives len(edges)-1,
     unless ``close_last`` puts x == last edge into the last bin (histogram
-    rule). The estimate floor((x - e0) / step) is corrected against the
-    literal edges, so 0.30000000000000004 and friends decide as exactly as a
-    search over the edge array would; the expression stays small enough for
-    whole-stage codegen.
+    rule). Edge i is recomputed as i * step + lo -- the very doubles of the
+    edge list, 0.30000000000000004 included -- so a floor estimate is
+    corrected against exact edges with a few arithmetic operations. The
+    intermediate steps are columns, which keeps generated code small.
     """
-    x = col(c)
     n = len(edges)
-    step = (edges[-1] - edges[0]) / (n - 1)
-    arr = F.array(*[F.lit(e) for e in edges])
+    lo, hi = edges[0], edges[-1]
+    step = (hi - lo) / (n - 1)
 
     def e(i):
-        return F.element_at(arr, i + 1)
+        return F.when(i >= n - 1, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
 
-    k0 = F.least(F.greatest(F.floor((x - F.lit(edges[0])) / F.lit(step)).cast("int"), F.lit(0)),
+    v = F.col("_bx")
+    k0 = F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(step)).cast("int"), F.lit(0)),
                  F.lit(n - 2))
-    k1 = F.when(x < e(k0), k0 - 1).otherwise(k0)
-    k1 = F.greatest(k1, F.lit(0))
-    k2 = F.when(x >= e(k1 + 1), k1 + 1).otherwise(k1)
     last = F.lit(n - 2) if close_last else F.lit(n - 1)
-    return (F.when(x.isNull(), F.lit(None).cast("int"))
-            .when(x < F.lit(edges[0]), F.lit(-1))
-            .when(x > F.lit(edges[-1]), F.lit(n - 1))
-            .when(x == F.lit(edges[-1]), last)
-            .otherwise(k2))
+    # One step down, then one step up: the estimate is off by at most one.
+    return (df.withColumn("_bx", col(x))
+            .withColumn("_bk0", k0)
+            .withColumn("_bk1", F.greatest(F.col("_bk0") - (v < e(F.col("_bk0"))).cast("int"), F.lit(0)))
+            .withColumn(out, F.when(v.isNull(), F.lit(None).cast("int"))
+                        .when(v < F.lit(lo), F.lit(-1))
+                        .when(v > F.lit(hi), F.lit(n - 1))
+                        .when(v == F.lit(hi), last)
+                        .otherwise(F.col("_bk1") + (v >= e(F.col("_bk1") + 1)).cast("int")))
+            .drop("_bx", "_bk0", "_bk1"))

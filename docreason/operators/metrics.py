@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docreason.functions.scores import (
-    abs_err, bin_index, bucketize, clip01, coerce_float, correct_bin, linspace, rnd, tri_anchor)
+    abs_err, bucketize, clip01, coerce_float, correct_bin, linspace, rnd, tri_anchor, with_bin)
 from docreason.operators.ranks import pearson, spearman
 from docreason.schemas import ARMS, BUCKETS, N_CAL_BINS, N_HIST_BINS
 
@@ -103,12 +103,15 @@ def _curve(cl: DataFrame, keys: list[str], y: str, p: str, n_bins: int,
            close_last: bool) -> DataFrame:
     edges = linspace(0.0, 1.0, n_bins + 1)
     centers = [(edges[b] + edges[b + 1]) / 2.0 for b in range(n_bins)]
-    binned = (cl.withColumn("bin", bin_index(p, edges, close_last=close_last))
-              .where((F.col("bin") >= 0) & (F.col("bin") < n_bins))
+    # Out-of-range bins (-1, n_bins) stay in the result; callers drop them by
+    # joining to the bin grid or masking. A filter here would be pushed below
+    # the projection and inline the whole bin expression into the scan filter.
+    binned = (with_bin(cl, "bin", p, edges, close_last=close_last)
               .groupBy(*keys, "bin")
               .agg(F.avg(y).alias("_mean"), F.count(F.lit(1)).alias("n_bin")))
     center = F.element_at(F.array(*[F.lit(c) for c in centers]), F.col("bin") + 1)
-    return binned.withColumn("center", center)
+    inside = (F.col("bin") >= 0) & (F.col("bin") < n_bins)
+    return binned.withColumn("center", F.when(inside, center)).withColumn("_in", inside)
 
 
 def calibration_curve(cl: DataFrame, keys: list[str], y: str, p: str,
@@ -121,7 +124,7 @@ def calibration_curve(cl: DataFrame, keys: list[str], y: str, p: str,
     edges = linspace(0.0, 1.0, n_bins + 1)
     centers = [(edges[b] + edges[b + 1]) / 2.0 for b in range(n_bins)]
     center = F.element_at(F.array(*[F.lit(c) for c in centers]), F.col("bin") + 1)
-    binned = _curve(cl, keys, y, p, n_bins, close_last).drop("center")
+    binned = _curve(cl, keys, y, p, n_bins, close_last).drop("center", "_in")
     return (_bin_grid(cl, keys, n_bins).join(binned, keys + ["bin"], "left")
             .select(*keys, "bin", center.alias("center"), rnd("_mean").alias(y_name),
                     F.coalesce("n_bin", F.lit(0)).alias("n_bin")))
@@ -131,9 +134,10 @@ def ece(cl: DataFrame, keys: list[str], y: str = "gold", p: str = "pred",
         n_bins: int = N_CAL_BINS, close_last: bool = False) -> DataFrame:
     """Sum over filled bins of (count / binned total) * |mean y - bin
     center|; NULL when no bin is filled."""
+    inb = F.when(F.col("_in"), F.col("n_bin"))
     agg = _curve(cl, keys, y, p, n_bins, close_last).groupBy(*keys).agg(
-        (F.sum(F.col("n_bin") * F.abs(F.col("_mean") - F.col("center"))) / F.sum("n_bin")).alias("_ece"),
-        F.sum("n_bin").alias("n_binned"))
+        (F.sum(inb * F.abs(F.col("_mean") - F.col("center"))) / F.sum(inb)).alias("_ece"),
+        F.sum(inb).alias("n_binned"))
     return (cl.select(*keys).distinct().join(agg, keys, "left")
             .select(*keys, rnd("_ece").alias("ece"), F.coalesce("n_binned", F.lit(0)).alias("n_binned")))
 
@@ -160,8 +164,7 @@ def residual_histogram(cl: DataFrame, keys: list[str], n_bins: int = N_HIST_BINS
     """Counts of pred - gold in ``n_bins`` equal bins on [-1, 1], last bin
     closed, zero-filled."""
     edges = linspace(-1.0, 1.0, n_bins + 1)
-    binned = (cl.withColumn("bin", bin_index(F.col("pred") - F.col("gold"), edges, close_last=True))
-              .where((F.col("bin") >= 0) & (F.col("bin") < n_bins))
+    binned = (with_bin(cl, "bin", F.col("pred") - F.col("gold"), edges, close_last=True)
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
     arr = lambda xs: F.array(*[F.lit(x) for x in xs])
     return _bin_grid(cl, keys, n_bins).join(binned, keys + ["bin"], "left").select(
