@@ -90,22 +90,21 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         F.sum("_m").alias("n"), weighted_pearson("_rx", "_ry", "_m").alias("spearman"))
 
 
-def cliffs_delta(values: DataFrame, keys: list[str], value: str, side: str) -> DataFrame:
+def cliffs_delta(counts: DataFrame, keys: list[str], value: str,
+                 na: str = "na", nb: str = "nb") -> DataFrame:
     """Exact Cliff's delta P(a > b) - P(a < b) per group.
 
-    ``values`` holds rows (keys, value, side) with side 'a' or 'b'. Each value
-    of a counts the b values below and above it, from running sums of the b
-    counts over the distinct values: O(distinct values), no pairs.
-    Returns keys, n_a, n_b, cliffs_delta.
+    ``counts`` holds one row per (keys, value) with the number of a values
+    (``na``) and b values (``nb``) equal to it. Each value of a counts the b
+    values below and above it from running sums of the b counts over the
+    distinct values: O(distinct values), no pairs and no sampling.
+    Returns keys, n_a, n_b, cliffs_delta (NULL when a side is empty).
     """
-    counts = values.groupBy(*keys, value).agg(
-        F.count_if(F.col(side) == "a").alias("na"),
-        F.count_if(F.col(side) == "b").alias("nb"))
-    ranked = running_below(counts, keys, value, "nb")
-    totals = counts.groupBy(*keys).agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"))
+    ranked = running_below(counts, keys, value, nb)
+    totals = counts.groupBy(*keys).agg(F.sum(na).alias("n_a"), F.sum(nb).alias("n_b"))
     per_value = ranked.join(totals, keys).withColumn(
-        "_above", F.col("n_b") - F.col("below") - F.col("nb"))
+        "_above", F.col("n_b") - F.col("below") - F.col(nb))
     return per_value.groupBy(*keys).agg(
         F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"),
-        F.try_divide(F.sum(F.col("na") * (F.col("below") - F.col("_above"))).cast("double"),
+        F.try_divide(F.sum(F.col(na) * (F.col("below") - F.col("_above"))).cast("double"),
                      (F.max("n_a") * F.max("n_b")).cast("double")).alias("cliffs_delta"))
