@@ -62,3 +62,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     write and read back files (sinks, ingest state, resume tests)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: cuts lineage (a lost executor recomputes from this table, not from
+    the sources) and lets later branches prune columns."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
