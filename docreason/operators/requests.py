@@ -21,7 +21,9 @@ def image_data_url(path: str = "path", content: str = "content"):
     suffix = F.lower(F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).otherwise(F.lit("")))
     suffix = F.when(suffix == "", "png").otherwise(suffix)
     mime = F.when(suffix == "png", "image/png").otherwise(F.concat(F.lit("image/"), suffix))
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(F.col(content)))
+    # base64() may wrap lines (MIME chunks); a data URL is one line.
+    b64 = F.regexp_replace(F.base64(F.col(content)), "[\r\n]", "")
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), b64)
 
 
 def page_requests(pages: DataFrame, system: str = prompts.PAGE_SYSTEM) -> DataFrame:

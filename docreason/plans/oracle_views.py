@@ -64,4 +64,6 @@ def with_views(body: str, *views: str, extra: list[tuple[str, str]] | None = Non
     """Prefix ``body`` with the named views (and extra CTEs) as a WITH clause."""
     ctes = [f"{v} AS ({VIEWS[v]})" for v in views]
     ctes += [f"{name} AS ({sql})" for name, sql in (extra or [])]
+    if not ctes:
+        return body
     return "WITH " + ",\n".join(ctes) + "\n" + body
