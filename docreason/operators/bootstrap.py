@@ -136,25 +136,29 @@ def poisson_weights(cells: DataFrame, keys: list[str], cell_cols: list[str], n_b
                     seed: int) -> DataFrame:
     """Per cell (keys + cell_cols, multiplicity ``m``) and replicate r: weight
     w ~ Poisson(m), rows with w = 0 left out. Output keys, cell_cols, r, w."""
+    from docreason.session import ship_package
+    ship_package(cells.sparkSession)
     ident = keys + cell_cols
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields
                        if f.name in ident) + ", r int, w bigint"
 
     def draw(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                rec = row._asdict()
-                gen = np.random.Generator(np.random.Philox(key=_cell_key(seed, [rec[c] for c in ident])))
-                w = gen.poisson(float(rec["m"]), size=n_boot)
-                r = np.nonzero(w)[0]
-                part = pd.DataFrame({c: [rec[c]] * len(r) for c in ident})
-                part["r"] = r.astype("int32")
-                part["w"] = w[r].astype("int64")
-                out.append(part)
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
+            if pdf.empty:
+                continue
+            idv = pdf[ident].itertuples(index=False, name=None)
+            ws = np.stack([np.random.Generator(np.random.Philox(key=_cell_key(seed, list(t)))).poisson(float(m), size=n_boot)
+                           for t, m in zip(idv, pdf["m"].to_numpy())])
+            ci, r = np.nonzero(ws)
+            out = pdf[ident].iloc[ci].reset_index(drop=True)
+            out["r"] = r.astype("int32")
+            out["w"] = ws[ci, r].astype("int64")
+            yield out
+
+    # Spread the (few) cells over the cores: an explicit partition count is
+    # kept by AQE, so the Python draws run in parallel.
+    n_parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(n_parts, *ident)
     return cells.select(*ident, "m").mapInPandas(draw, schema)
 
 
@@ -167,8 +171,11 @@ def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
     """One replicate draw shared by MAE, RMSE, Brier, Pearson, Spearman,
     ECE and three-class accuracy, each reported as "median [lo, hi]"; plus
     the trace-similarity mean interval (A12, its own draw) and median."""
+    from docreason.session import materialize
     cells = cl.groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("m"))
-    w = poisson_weights(cells, keys, ["gold", "pred"], n_boot, seed)
+    # The replicate weights feed five aggregates; they are written once (a
+    # table in the shared checkpoint folder) instead of drawn five times.
+    w = materialize(poisson_weights(cells, keys, ["gold", "pred"], n_boot, seed), "boot-weights")
     rk = keys + ["r"]
     err = F.col("pred") - F.col("gold")
     basic = w.groupBy(*rk).agg(
@@ -177,9 +184,9 @@ def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
         (F.sum(F.col("w") * (tri_anchor("gold") == tri_anchor("pred")).cast("double")) / F.sum("w")).alias("tri_acc"),
         weighted_pearson("gold", "pred", "w").alias("pearson")).withColumn("rmse", F.sqrt("brier"))
     # Spearman: weighted average ranks per replicate from value totals.
-    rg = running_below(w.groupBy(*rk, "gold").agg(F.sum("w").alias("wv")), rk, "gold", "wv") \
+    rg = running_below(w.groupBy(*rk, "gold").agg(F.sum("w").alias("wv")), rk, "gold", "wv", bound_keys=keys) \
         .select(*rk, "gold", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rg"))
-    rp = running_below(w.groupBy(*rk, "pred").agg(F.sum("w").alias("wv")), rk, "pred", "wv") \
+    rp = running_below(w.groupBy(*rk, "pred").agg(F.sum("w").alias("wv")), rk, "pred", "wv", bound_keys=keys) \
         .select(*rk, "pred", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rp"))
     sp = (w.join(rg, rk + ["gold"]).join(rp, rk + ["pred"])
           .groupBy(*rk).agg(weighted_pearson("_rg", "_rp", "w").alias("spearman")))

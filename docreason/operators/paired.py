@@ -108,6 +108,8 @@ def wilcoxon(diffs: DataFrame, group: list[str]) -> DataFrame:
 
 def paired_pvalues(t_tab: DataFrame, w_tab: DataFrame, group: list[str]) -> DataFrame:
     """p values of both one-sided tests, computed on the few comparison rows."""
+    from docreason.session import ship_package
+    ship_package(t_tab.sparkSession)
     keys = group + ["metric", "arm_a", "arm_b"]
     j = t_tab.join(w_tab, keys, "left")
     return j.select(*keys, "n_matched", "t_stat",

@@ -33,9 +33,11 @@ def questions_from_records(raw: DataFrame, doc: str = "document_id", pos: str =
     explanation and the paths joined by newlines. Returns (questions,
     rejected records)."""
     df = validate_question_records(raw, doc, pos)
-    valid = df.where("valid")
+    # Number valid records with a running count over the document's records
+    # and filter only after the window: a filter below it would be pushed
+    # under the parse and repeat try_parse_json once per use of the value.
     w = Window.partitionBy(doc).orderBy(pos)  # one document's records
-    valid = valid.withColumn("_i", F.row_number().over(w))
+    valid = df.withColumn("_i", F.sum(F.col("valid").cast("int")).over(w))
     ga = J.field("v", "gold_answer")
     ans = F.try_variant_get(ga, "$.answer", "variant")
     expl = F.try_variant_get(ga, "$.explanation", "variant")
@@ -51,7 +53,7 @@ def questions_from_records(raw: DataFrame, doc: str = "document_id", pos: str =
         F.concat_ws("\n", J.vstring(expl), paths).alias("gold_trace"),
         F.try_variant_get(ga, "$.notes", "string").alias("notes"),
         J.vstring(J.field("v", "contract_id")).alias("contract_id"),
-        keep.alias("_keep"))
+        (F.col("valid") & keep).alias("_keep"))
     return q.where("_keep").drop("_keep"), df.where(~F.col("valid"))
 
 

@@ -22,13 +22,17 @@ N_BUCKETS = 64
 
 
 def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
-                  n_buckets: int = N_BUCKETS) -> DataFrame:
+                  n_buckets: int = N_BUCKETS, bound_keys: list[str] | None = None) -> DataFrame:
     """Add ``below``: total ``weight`` of strictly smaller ``value`` in the same
-    ``keys`` group. ``counts`` must hold one row per (keys, value)."""
+    ``keys`` group. ``counts`` must hold one row per (keys, value).
+
+    ``bound_keys`` (a prefix of ``keys``) shares one set of bucket bounds
+    among groups with the same values, e.g. all replicates of a sample."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = counts.groupBy(*keys).agg(
+    bk = bound_keys or keys
+    bounds = counts.groupBy(*bk).agg(
         F.percentile_approx(value, probs, 10000).alias("_bounds"))
-    with_bucket = (counts.join(bounds, keys, "left")
+    with_bucket = (counts.join(bounds, bk, "left")
                    .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
                    .drop("_bounds"))
     w_local = (Window.partitionBy(*keys, "_bucket").orderBy(value)

@@ -65,6 +65,9 @@ def resolve_attempts(parsed: DataFrame, key: list[str], ok: str, payload: list[s
 def batch_infer(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """the caller's model function over request batches (``mapInPandas``:
     Arrow batches in, response batches out, partitioned like the requests)."""
+    from docreason.session import ship_package
+    ship_package(requests.sparkSession)
+
     def run(batches):
         for pdf in batches:
             yield fn(pdf)

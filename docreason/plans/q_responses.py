@@ -338,7 +338,8 @@ def q_stage_counts(spark, sf):
     qe = qa_eval(spark, sf)
     parts = [
         rq.agg(F.count_distinct(DOC).alias("value")).select(F.lit("documents_in").alias("counter"), "value"),
-        one("valid_records", QA.validate_question_records(rq).where("valid")),
+        QA.validate_question_records(rq).agg(F.count_if("valid").alias("value"))
+          .select(F.lit("valid_records").alias("counter"), "value"),
         one("questions", questions(spark, sf)),
         one("responses_ok", res.where(F.col("status") == "ok")),
         one("responses_failed", res.where(F.col("status") == "failed")),

@@ -72,3 +72,31 @@ def materialize(df, name: str):
     path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``docreason`` importable in Python workers (functions used by
+    ``mapInPandas`` and pandas UDFs are pickled by module reference).
+
+    The package is zipped on the driver and handed to ``addPyFile``, which
+    distributes it to every executor through Spark itself."""
+    import zipfile
+
+    import docreason
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(docreason.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="docreason-pkg-"), "docreason.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
