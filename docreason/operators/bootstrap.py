@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docreason.functions.scores import linspace, rnd, tri_anchor, with_bin
-from docreason.operators.ranks import running_below, weighted_pearson
+from docreason.operators.ranks import N_BUCKETS, running_below, weighted_pearson
 from docreason.schemas import N_BOOT, N_CAL_BINS, SEED_PER_DOMAIN
 
 DRAW_CHUNK = 4096
+CELL_WINDOW_LIMIT = 100_000
 POS_BUCKET = 4096
 
 
@@ -172,7 +173,12 @@ def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
     ECE and three-class accuracy, each reported as "median [lo, hi]"; plus
     the trace-similarity mean interval (A12, its own draw) and median."""
     from docreason.session import materialize
-    cells = cl.groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("m"))
+    cells = materialize(cl.groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("m")), "boot-cells")
+    # Size check on the small cell table: when no group has more than
+    # CELL_WINDOW_LIMIT cells, per-replicate rank windows hold at most that
+    # many rows and need no value buckets.
+    max_cells = cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    rank_buckets = 1 if max_cells <= CELL_WINDOW_LIMIT else N_BUCKETS
     # The replicate weights feed five aggregates; they are written once (a
     # table in the shared checkpoint folder) instead of drawn five times.
     w = materialize(poisson_weights(cells, keys, ["gold", "pred"], n_boot, seed), "boot-weights")
@@ -184,9 +190,9 @@ def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
         (F.sum(F.col("w") * (tri_anchor("gold") == tri_anchor("pred")).cast("double")) / F.sum("w")).alias("tri_acc"),
         weighted_pearson("gold", "pred", "w").alias("pearson")).withColumn("rmse", F.sqrt("brier"))
     # Spearman: weighted average ranks per replicate from value totals.
-    rg = running_below(w.groupBy(*rk, "gold").agg(F.sum("w").alias("wv")), rk, "gold", "wv", bound_keys=keys) \
+    rg = running_below(w.groupBy(*rk, "gold").agg(F.sum("w").alias("wv")), rk, "gold", "wv", rank_buckets, keys) \
         .select(*rk, "gold", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rg"))
-    rp = running_below(w.groupBy(*rk, "pred").agg(F.sum("w").alias("wv")), rk, "pred", "wv", bound_keys=keys) \
+    rp = running_below(w.groupBy(*rk, "pred").agg(F.sum("w").alias("wv")), rk, "pred", "wv", rank_buckets, keys) \
         .select(*rk, "pred", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rp"))
     sp = (w.join(rg, rk + ["gold"]).join(rp, rk + ["pred"])
           .groupBy(*rk).agg(weighted_pearson("_rg", "_rp", "w").alias("spearman")))

@@ -28,6 +28,10 @@ def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
 
     ``bound_keys`` (a prefix of ``keys``) shares one set of bucket bounds
     among groups with the same values, e.g. all replicates of a sample."""
+    if n_buckets <= 1:
+        # Caller has checked that one group's distinct values fit one task.
+        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("below", F.coalesce(F.sum(weight).over(w), F.lit(0)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bk = bound_keys or keys
     bounds = counts.groupBy(*bk).agg(
