@@ -47,11 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there; we only create one of our own when
     the setting is absent (local tests).
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = (spark.conf.get("spark.checkpoint.dir", None)
+            or sc.getConf().get("spark.checkpoint.dir", None))
+    if not path and sc.getCheckpointDir():
+        # An RDD checkpoint folder was set: use its parent (it adds a uuid).
+        path = sc.getCheckpointDir().rstrip("/").rsplit("/", 1)[0]
     if not path:
         path = tempfile.mkdtemp(prefix="docreason-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
