@@ -106,3 +106,19 @@ def q_ledger_append(spark, sf):
     for exp in ("exp-a", "exp-b"):
         K.ledger_append(rows.withColumn("experiment_id", F.lit(exp)), out)
     return spark.read.schema(LEDGER).parquet(out).select(*[f.name for f in LEDGER.fields])
+
+
+@register("document_outputs")
+def q_document_outputs(spark, sf):
+    """K4 + S5: questions written per document with a manifest; the manifest
+    is appended twice (a rerun) and read back with later rows winning; the
+    questions of each listed document are read through it."""
+    from docreason.plans.q_responses import questions
+    out = scratch_dir(spark, "docs")
+    q = questions(spark, sf)
+    manifest = K.write_per_document(q, f"{out}/questions")
+    K.write_jsonl(manifest, f"{out}/manifest", mode="append")
+    K.write_jsonl(manifest, f"{out}/manifest", mode="append")
+    m = FS.read_manifest(spark, f"{out}/manifest")
+    back = spark.read.schema(q.schema).json(f"{out}/questions")
+    return back.join(m.withColumn("document_id", F.col("document_id").cast("bigint")), "document_id", "left_semi")

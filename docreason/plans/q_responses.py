@@ -306,7 +306,7 @@ select event_id, json_valid(props) and json_type(props) = 'OBJECT' as is_object,
 from events"""))
 def q_object_responses(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("props").alias("content"))
-    o = RS.parse_text(RS.parse_object(e))
+    o = QA.pick_keys(RS.parse_text(RS.parse_object(e)), ["event_id", "value", "text", "missing_key"])
     return o.select("event_id", F.coalesce(J.vtype("value").startswith("OBJECT"), F.lit(False)).alias("is_object"),
                     F.try_variant_get("value", "$.k", "bigint").alias("k"), F.length("text").alias("text_len"))
 
@@ -385,3 +385,13 @@ def q_batch_infer(spark, sf):
     req = responses(spark, sf).select(DOC, "attempt", F.col("content").alias("prompt"))
     out = RS.batch_infer(req, _stub_model, f"{DOC} bigint, attempt int, content string")
     return RS.transform(out, lambda c: F.try_variant_get(F.try_parse_json(c), "$.n_chars", "bigint"), "n_chars")
+
+
+# The winning response items stand for a document's reasoning steps.
+@register("contract_requests", _q(f"""
+select document_id, cast(length({prompts.sql_render(prompts.CONTRACT_USER, steps="'[' || string_agg(item::VARCHAR, ',' order by item_pos) || ']'")}) as integer) as prompt_len
+from items group by document_id""", "items"))
+def q_contract_requests(spark, sf):
+    steps = won_items(spark, sf).select(DOC, F.posexplode("items").alias("step", "item")) \
+        .select(DOC, "step", F.to_json("item").alias("step_json"))
+    return RQ.contract_requests(steps).select(DOC, F.length("prompt").alias("prompt_len"))
