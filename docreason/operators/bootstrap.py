@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docreason.functions.scores import linspace, rnd, tri_anchor, with_bin
-from docreason.operators.ranks import N_BUCKETS, running_below, weighted_pearson
+from docreason.operators.ranks import N_BUCKETS, exact_quantile, running_below, weighted_pearson
 from docreason.schemas import N_BOOT, N_CAL_BINS, SEED_PER_DOMAIN
 
 DRAW_CHUNK = 4096
@@ -216,7 +216,7 @@ def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
     tw = poisson_weights(tcells, keys, ["trace_sim"], n_boot, seed + 1)
     tq = (tw.groupBy(*rk).agg((F.sum(F.col("w") * F.col("trace_sim")) / F.sum("w")).alias("tm"))
           .groupBy(*keys).agg(F.percentile("tm", [0.025, 0.5, 0.975]).alias("tq")))
-    tmed = cl.groupBy(*keys).agg(F.median("trace_sim").alias("trace_median"))
+    tmed = exact_quantile(cl, keys, "trace_sim", 0.5, "trace_median")
     return (out.join(tq, keys, "left").join(tmed, keys, "left")
             .withColumn("trace_mean_ci", _fmt(F.col("tq")[1], F.col("tq")[0], F.col("tq")[2]))
             .drop("tq").withColumn("trace_median", rnd("trace_median")))

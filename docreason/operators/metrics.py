@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docreason.functions.scores import (
     abs_err, bucketize, clip01, coerce_float, correct_bin, linspace, rnd, tri_anchor, with_bin)
-from docreason.operators.ranks import pearson, spearman
+from docreason.operators.ranks import exact_quantile, pearson, spearman
 from docreason.schemas import ARMS, BUCKETS, N_CAL_BINS, N_HIST_BINS
 
 SCORE_COLS = ["gold", "pred", "trace_sim"]
@@ -47,14 +47,15 @@ def cross_domain(df: DataFrame, gold="gold", pred="pred", score="trace_sim") ->
 def arm_metrics(cl: DataFrame, keys: list[str]) -> DataFrame:
     """A2-A4, A9, A10 per group over complete rows."""
     err = F.col("pred") - F.col("gold")
+    med = exact_quantile(cl, keys, "trace_sim", 0.5, "_med")
     return cl.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         rnd(F.avg(F.abs(err))).alias("mae"),
         rnd(F.sqrt(F.avg(err * err))).alias("rmse"),
         rnd(F.avg(err * err)).alias("brier"),
         rnd(F.avg((tri_anchor("gold") == tri_anchor("pred")).cast("double"))).alias("tri_acc"),
-        rnd(F.avg("trace_sim")).alias("trace_mean"),
-        rnd(F.median("trace_sim")).alias("trace_median"))
+        rnd(F.avg("trace_sim")).alias("trace_mean")).join(med, keys, "left") \
+        .withColumn("trace_median", rnd("_med")).drop("_med")
 
 
 def quality_summary(df: DataFrame, keys: list[str], id_col: str = "question_id") -> DataFrame:
@@ -189,11 +190,14 @@ def trace_histogram(cl: DataFrame, keys: list[str], x: str = "trace_sim",
     v = F.col(x)
     k0 = F.least(F.greatest(F.floor((v - F.col("_lo")) / F.col("_step")).cast("int"), F.lit(0)),
                  F.lit(n_bins - 1))
-    binned = (cl.join(rng, keys).withColumn("_k0", k0)
+    # Aggregate to value counts first: only distinct values meet the
+    # per-group range table.
+    counts = cl.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
+    binned = (counts.join(rng, keys).withColumn("_k0", k0)
               .withColumn("_k1", F.when(v < edge(F.col("_k0")), F.col("_k0") - 1).otherwise(F.col("_k0")))
               .withColumn("bin", F.when((F.col("_k1") < n_bins - 1) & (v >= edge(F.col("_k1") + 1)),
                                         F.col("_k1") + 1).otherwise(F.col("_k1")))
-              .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
+              .groupBy(*keys, "bin").agg(F.sum("_c").alias("n")))
     grid = _bin_grid(cl, keys, n_bins).join(rng, keys)
     return grid.join(binned, keys + ["bin"], "left").select(
         *keys, "bin", rnd(edge(F.col("bin"))).alias("lo"), rnd(edge(F.col("bin") + 1)).alias("hi"),

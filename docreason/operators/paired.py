@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docreason.functions.scores import rnd
 from docreason.functions.stats import norm_sf_udf, t_sf_udf
+from docreason.operators.joins import join_small
 from docreason.operators.ranks import cliffs_delta, running_below
 from docreason.schemas import ARMS
 
@@ -40,7 +41,7 @@ def matched_pivot(cl: DataFrame, group: list[str], item: str, value: str, arms=A
         wide = wide.withColumn(a, F.round(F.col(a), 12))
     n_present = present_arms(cl, group, arms).groupBy(*group).agg(F.count(F.lit(1)).alias("_n_arms"))
     n_values = sum(F.col(a).isNotNull().cast("int") for a in arms)
-    return (wide.join(n_present, group).where(n_values == F.col("_n_arms")).drop("_n_arms"))
+    return (join_small(wide, n_present, group).where(n_values == F.col("_n_arms")).drop("_n_arms"))
 
 
 def adjacent_pairs(cl: DataFrame, group: list[str], arms=ARMS) -> DataFrame:
@@ -57,13 +58,26 @@ def paired_differences(cl: DataFrame, group: list[str], item: str, metrics: dict
     """Rows (group, metric, arm_a, arm_b, item, x_a, x_b, d) over matched items.
 
     ``metrics`` maps a metric name to its direction: 'a-b' (errors: a worse
-    than b means d > 0) or 'b-a' (similarities: b better than a)."""
-    pairs = adjacent_pairs(cl, group, arms)
+    than b means d > 0) or 'b-a' (similarities: b better than a). One pivot
+    (one shuffle by item) serves every metric."""
+    names = list(metrics)
+    wide = cl.groupBy(*group, item).pivot("arm", arms).agg(
+        *[F.round(F.avg(m), 12).alias(m) for m in names])
+    # One small per-group table: the adjacent pairs and the number of arms
+    # present; joined to the per-item rows behind a size check.
+    p = present_arms(cl, group, arms)
+    w = Window.partitionBy(*group).orderBy("arm_ord")
+    pairs = (p.withColumn("arm_b", F.lead("arm").over(w))
+             .withColumn("_n_arms", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+             .where(F.col("arm_b").isNotNull())
+             .select(*group, F.col("arm").alias("arm_a"), "arm_b", "_n_arms"))
+    j = join_small(wide, pairs, group)
     out = None
     for metric, direction in metrics.items():
-        wide = matched_pivot(cl, group, item, metric, arms)
-        m = F.create_map(*[x for a in arms for x in (F.lit(a), F.col(a))])
-        rows = (wide.join(pairs, group)
+        col = (lambda a: f"{a}_{metric}") if len(names) > 1 else (lambda a: a)
+        complete = sum(F.col(col(a)).isNotNull().cast("int") for a in arms) == F.col("_n_arms")
+        m = F.create_map(*[x for a in arms for x in (F.lit(a), F.col(col(a)))])
+        rows = (j.where(complete)
                 .select(*group, F.lit(metric).alias("metric"), "arm_a", "arm_b", item,
                         m[F.col("arm_a")].alias("x_a"), m[F.col("arm_b")].alias("x_b")))
         d = F.col("x_a") - F.col("x_b") if direction == "a-b" else F.col("x_b") - F.col("x_a")

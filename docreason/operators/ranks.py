@@ -19,15 +19,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 N_BUCKETS = 64
+# A value-count table whose planned size is at most this fits one task, so
+# each group's running total can be a plain window (the size gate is the same
+# kind of plan estimate Spark uses to choose broadcast joins; aggregates
+# inherit their input's size, so it over-estimates, and unknown sizes are
+# treated as huge).
+SINGLE_TASK_BYTES = 128 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimised plan (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: assume large
+        return 1 << 62
 
 
 def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
-                  n_buckets: int = N_BUCKETS, bound_keys: list[str] | None = None) -> DataFrame:
+                  n_buckets: int | None = None, bound_keys: list[str] | None = None) -> DataFrame:
     """Add ``below``: total ``weight`` of strictly smaller ``value`` in the same
     ``keys`` group. ``counts`` must hold one row per (keys, value).
 
     ``bound_keys`` (a prefix of ``keys``) shares one set of bucket bounds
-    among groups with the same values, e.g. all replicates of a sample."""
+    among groups with the same values, e.g. all replicates of a sample.
+    ``n_buckets=None`` chooses by the planned size of ``counts``: one bucket
+    (a plain window per group) when the whole table fits one task, else
+    ``N_BUCKETS``."""
+    if n_buckets is None:
+        n_buckets = 1 if estimated_bytes(counts) <= SINGLE_TASK_BYTES else N_BUCKETS
     if n_buckets <= 1:
         # Caller has checked that one group's distinct values fit one task.
         w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +72,7 @@ def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "cnt",
-                  n_buckets: int = N_BUCKETS) -> DataFrame:
+                  n_buckets: int | None = None) -> DataFrame:
     """Average (mid) ranks of each distinct value: ties share below + (w + 1) / 2."""
     return (running_below(counts, keys, value, weight, n_buckets)
             .withColumn("avg_rank", F.col("below") + (F.col(weight) + 1) / 2.0))
@@ -116,3 +135,22 @@ def cliffs_delta(counts: DataFrame, keys: list[str], value: str,
         F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"),
         F.try_divide(F.sum(F.col(na) * (F.col("below") - F.col("_above"))).cast("double"),
                      (F.max("n_a") * F.max("n_b")).cast("double")).alias("cliffs_delta"))
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str = "quantile") -> DataFrame:
+    """Exact quantile with linear interpolation (NumPy's default) per group,
+    from value counts: the order statistics at floor/ceil of q * (n - 1) are
+    found by the running totals of the counts, so no group's values are ever
+    buffered in one place (``percentile``/``median`` buffer them all)."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_below(counts, keys, value, "_c")
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    pos = (F.col("_n") - 1) * q
+    j = ranked.join(n, keys).withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos)) \
+        .withColumn("_frac", pos - F.floor(pos))
+    hit_lo = (F.col("below") <= F.col("_lo")) & (F.col("_lo") < F.col("below") + F.col("_c"))
+    hit_hi = (F.col("below") <= F.col("_hi")) & (F.col("_hi") < F.col("below") + F.col("_c"))
+    g = j.where(hit_lo | hit_hi).groupBy(*keys).agg(
+        F.max(F.when(hit_lo, F.col(value))).alias("_vlo"), F.max(F.when(hit_hi, F.col(value))).alias("_vhi"),
+        F.max("_frac").alias("_f"))
+    return g.select(*keys, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias(out))
