@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docreason.functions.scores import linspace, rnd, tri_anchor, with_bin
@@ -184,18 +184,34 @@ def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
     w = materialize(poisson_weights(cells, keys, ["gold", "pred"], n_boot, seed), "boot-weights")
     rk = keys + ["r"]
     err = F.col("pred") - F.col("gold")
-    basic = w.groupBy(*rk).agg(
+    basic_aggs = [
         (F.sum(F.col("w") * F.abs(err)) / F.sum("w")).alias("mae"),
         (F.sum(F.col("w") * err * err) / F.sum("w")).alias("brier"),
         (F.sum(F.col("w") * (tri_anchor("gold") == tri_anchor("pred")).cast("double")) / F.sum("w")).alias("tri_acc"),
-        weighted_pearson("gold", "pred", "w").alias("pearson")).withColumn("rmse", F.sqrt("brier"))
-    # Spearman: weighted average ranks per replicate from value totals.
-    rg = running_below(w.groupBy(*rk, "gold").agg(F.sum("w").alias("wv")), rk, "gold", "wv", rank_buckets, keys) \
-        .select(*rk, "gold", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rg"))
-    rp = running_below(w.groupBy(*rk, "pred").agg(F.sum("w").alias("wv")), rk, "pred", "wv", rank_buckets, keys) \
-        .select(*rk, "pred", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rp"))
-    sp = (w.join(rg, rk + ["gold"]).join(rp, rk + ["pred"])
-          .groupBy(*rk).agg(weighted_pearson("_rg", "_rp", "w").alias("spearman")))
+        weighted_pearson("gold", "pred", "w").alias("pearson")]
+    # Spearman: weighted mid-ranks per replicate. Within the size check the
+    # rank of a value is (weight at or below it) - (its weight) + (its
+    # weight + 1) / 2, from RANGE windows on the (group, replicate)
+    # partitioning: one shuffle, no join back. Beyond it, ranks come from the
+    # two-level running totals and are joined back.
+    if rank_buckets == 1:
+        wp = w.repartition(*rk)
+        up_to = lambda c: Window.partitionBy(*rk).orderBy(c).rangeBetween(Window.unboundedPreceding, 0)
+        ranked = (wp.withColumn("_wg", F.sum("w").over(Window.partitionBy(*rk, "gold")))
+                  .withColumn("_rg", F.sum("w").over(up_to("gold")) - F.col("_wg") + (F.col("_wg") + 1) / 2.0)
+                  .withColumn("_wp", F.sum("w").over(Window.partitionBy(*rk, "pred")))
+                  .withColumn("_rp", F.sum("w").over(up_to("pred")) - F.col("_wp") + (F.col("_wp") + 1) / 2.0))
+        sp = ranked.groupBy(*rk).agg(weighted_pearson("_rg", "_rp", "w").alias("spearman"))
+    else:
+        rg = running_below(w.groupBy(*rk, "gold").agg(F.sum("w").alias("wv")), rk, "gold", "wv", rank_buckets, keys) \
+            .select(*rk, "gold", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rg"))
+        rp = running_below(w.groupBy(*rk, "pred").agg(F.sum("w").alias("wv")), rk, "pred", "wv", rank_buckets, keys) \
+            .select(*rk, "pred", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rp"))
+        sp = (w.join(rg, rk + ["gold"]).join(rp, rk + ["pred"])
+              .groupBy(*rk).agg(weighted_pearson("_rg", "_rp", "w").alias("spearman")))
+    # The written weights are cheap to re-read; the other aggregates scan them
+    # directly rather than the windowed frame.
+    basic = w.groupBy(*rk).agg(*basic_aggs).withColumn("rmse", F.sqrt("brier")).join(sp, rk, "left")
     # ECE per replicate.
     edges = linspace(0.0, 1.0, n_bins + 1)
     centers = F.array(*[F.lit((edges[b] + edges[b + 1]) / 2.0) for b in range(n_bins)])
@@ -205,7 +221,7 @@ def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
     wb = F.when(inside, F.col("wb"))
     gap = F.abs(F.col("sg") / F.col("wb") - F.element_at(centers, F.col("bin") + 1))
     ec = eb.groupBy(*rk).agg((F.sum(wb * gap) / F.sum(wb)).alias("ece"))
-    reps = basic.join(sp, rk, "left").join(ec, rk, "left")
+    reps = basic.join(ec, rk, "left")
     names = ["mae", "rmse", "brier", "pearson", "spearman", "ece", "tri_acc"]
     q = reps.groupBy(*keys).agg(*[F.percentile(c, [0.025, 0.5, 0.975]).alias(c) for c in names])
     n = cells.groupBy(*keys).agg(F.sum("m").alias("n"))
