@@ -75,3 +75,18 @@ def test_chain_across_pages(spark):
     assert [r.text for r in out] == ["c0 c1", "c2"]
     idx = dense_index(merge_split_blocks(df)).orderBy("idx").select("idx").collect()
     assert [r.idx for r in idx] == [0, 1]
+
+
+def test_stage_functions_chain(spark):
+    from docreason.plans import stages
+    from docreason.plans.views import blocks as blocks_view, raw_questions, responses
+    sf = "/root/testdata/sf0.001"
+    a = stages.analyze({"blocks": blocks_view(spark, sf)})
+    assert set(a) == {"records", "references", "labels"}
+    assert stages.semantic_requests(a)["requests"].count() > 0
+    c = stages.contracts({"contract_responses": responses(spark, sf)})
+    assert c["contracts"].count() > 0
+    from docreason.operators.qa import questions_from_records
+    q, _ = questions_from_records(raw_questions(spark, sf))
+    ans = stages.answer({"answer_responses": responses(spark, sf), "questions": q}, experiment_id="e1")
+    assert ans["answers"].where("experiment_id = 'e1'").count() > 0
