@@ -110,7 +110,7 @@ def q_trace_reliability(spark, sf):
 @register("ece_by_arm", _q(f"""
 select g.domain, g.arm, round(c.ece, 9) as ece, coalesce(c.n_binned, 0) as n_binned
 from (select distinct domain, arm from clean) g
-left join (select domain, arm, sum(n_bin * abs(m - center)) / sum(n_bin) as ece, sum(n_bin) as n_binned
+left join (select domain, arm, sum(n_bin * abs(m - center)) / sum(n_bin) as ece, cast(sum(n_bin) as bigint) as n_binned
            from (select domain, arm, bin, {S.sql_list(S.CAL_CENTERS)}[bin + 1] as center,
                         avg(gold) as m, count(*) as n_bin
                  from (select domain, arm, gold, {S.sql_bin_index('pred', S.CAL_EDGES)} as bin from clean)

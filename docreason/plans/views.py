@@ -51,8 +51,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = ((F.col("doc_id") * 31 + F.floor(F.col("pos") / 4) * 7) % 11 + 1).cast("int")
     types = F.array(*[F.lit(t) for t in BLOCK_TYPE_SLOTS])
     return docs.select(
-        "doc_id", "pos",
-        (F.floor(F.col("pos") / 4) + 1).cast("int").alias("page"),
+        "doc_id", F.col("pos").cast("bigint").alias("pos"),
+        (F.floor(F.col("pos") / 4) + 1).cast("bigint").alias("page"),
         F.element_at(types, slot).alias("type"),
         "text",
         ((F.col("doc_id") + F.col("pos")) % 5 != 0).alias("split"),

@@ -43,6 +43,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     t1 = time.time()
     rel = con.sql(sql)
     dcols = rel.columns
+    dtypes = dict(zip(rel.columns, (str(t) for t in rel.types)))
     drows = rel.fetchall()
     t2 = time.time()
     res = {"name": name, "spark_s": round(t1 - t0, 2), "duck_s": round(t2 - t1, 2),
@@ -50,6 +51,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if sorted(scols) != sorted(dcols):
         res["status"] = f"COLUMNS spark={scols} duck={dcols}"
         return res
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "float": "FLOAT", "binary": "BLOB"}
+    bad_types = {c: (kinds.get(t, t), dtypes[c]) for c, t in sdf.dtypes if kinds.get(t, t) != dtypes[c]}
+    if bad_types:
+        res["status"] = f"TYPES {bad_types}"
+        return res
     order = sorted(scols)
     si = [scols.index(c) for c in order]
     di = [dcols.index(c) for c in order]
