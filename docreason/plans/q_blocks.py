@@ -128,3 +128,21 @@ def q_semantic_requests(spark, sf):
     b = blocks(spark, sf)
     return semantic_requests(BL.records(b), BL.label_pages(b)).select(
         "doc_id", "n_claims", F.length("claims").alias("claims_len"), F.length("prompt").alias("prompt_len"))
+
+
+@register("label_keys", _q("""
+select doc_id, kind, cast(count(*) as integer) as n_keys, arg_min(label, first_seen) as first_key,
+  arg_max(label, first_seen) as last_key
+from labels group by doc_id, kind"""))
+def q_label_keys(spark, sf):
+    """Each document's label map (label -> page, first-appearance order)
+    as JSON object text, read back as its ordered keys."""
+    from docreason.sources.json_sources import json_object_keys
+    lab = BL.label_pages(blocks(spark, sf))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct(
+        F.col("first_seen").alias("o"), F.struct(F.col("label").alias("key"), F.col("page").alias("value")).alias("e")))),
+        lambda x: x["e"])
+    maps = lab.groupBy("doc_id", "kind").agg(F.to_json(F.map_from_entries(entries)).alias("obj"))
+    keys = maps.select("doc_id", "kind", json_object_keys("obj").alias("keys"))
+    return keys.select("doc_id", "kind", F.size("keys").alias("n_keys"), F.element_at("keys", 1).alias("first_key"),
+                       F.element_at("keys", -1).alias("last_key"))
