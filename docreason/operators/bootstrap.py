@@ -236,3 +236,20 @@ def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
     return (out.join(tq, keys, "left").join(tmed, keys, "left")
             .withColumn("trace_mean_ci", _fmt(F.col("tq")[1], F.col("tq")[0], F.col("tq")[2]))
             .drop("tq").withColumn("trace_median", rnd("trace_median")))
+
+
+def mean_ci_poisson(values: DataFrame, keys: list[str], value: str, n_boot: int = N_BOOT,
+                    seed: int = 42) -> DataFrame:
+    """A12 at the full replicate count: Poisson-bootstrap interval of the mean
+    per group, from value cells (distinct values with multiplicity). Returns
+    keys, n_valid, mean, ci_lo, ci_hi (middle = sample mean)."""
+    from docreason.session import materialize
+    v = values.where(F.col(value).isNotNull())
+    cells = materialize(v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m")), "mean-cells")
+    w = poisson_weights(cells, keys, [value], n_boot, seed)
+    reps = w.groupBy(*keys, "r").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("rm"))
+    q = reps.groupBy(*keys).agg(F.percentile("rm", [0.025, 0.975]).alias("_q"))
+    obs = cells.groupBy(*keys).agg(F.sum("m").alias("n_valid"),
+                                   (F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("_mean"))
+    return obs.join(q, keys, "left").select(*keys, "n_valid", rnd("_mean").alias("mean"),
+                                           rnd(F.col("_q")[0]).alias("ci_lo"), rnd(F.col("_q")[1]).alias("ci_hi"))

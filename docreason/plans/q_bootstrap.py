@@ -79,3 +79,17 @@ def q_boot_did(spark, sf):
 @register("bootstrap_metrics")
 def q_boot_metrics(spark, sf):
     return B.bootstrap_metrics(clean(spark, sf), ["domain", "arm"], N_BOOT, SEED_PER_DOMAIN)
+
+
+# A12 (cross-domain, full B) + A34: per arm and metric, one mean / interval
+# column set per domain, every arm of the fixed order present.
+@register("means_wide_ci")
+def q_means_wide_ci(spark, sf):
+    from docreason.operators.metrics import arm_dimension
+    d = xd(spark, sf)
+    ci = B.mean_ci_poisson(_long_values(d, MEAN_METRICS), KEYS, "value", N_BOOT, SEED_CROSS_DOMAIN)
+    domains = sorted(r[0] for r in d.select("domain").distinct().collect())
+    wide = ci.groupBy("arm", "metric").pivot("domain", domains).agg(
+        F.first("mean").alias("mean"), F.first("ci_lo").alias("ci_lo"), F.first("ci_hi").alias("ci_hi"))
+    dim = arm_dimension(spark).select("arm", "arm_ord", F.explode(F.array(*[F.lit(m) for m in MEAN_METRICS])).alias("metric"))
+    return dim.join(wide, ["arm", "metric"], "left").orderBy("metric", "arm_ord")

@@ -33,3 +33,18 @@ def test_window_and_join_rank_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(B, "CELL_WINDOW_LIMIT", 0)
     b = B.bootstrap_metrics(cl, ["domain", "arm"], n_boot=100).orderBy("domain", "arm").collect()
     assert [r.spearman for r in a] == [r.spearman for r in b]
+
+
+def test_poisson_mean_ci_close_to_normal_theory(spark):
+    import math
+    from docreason.operators.bootstrap import mean_ci_poisson
+    cl = clean(spark, "/root/testdata/sf0.01")
+    got = {(r.domain, r.arm): r for r in mean_ci_poisson(cl, ["domain", "arm"], "trace_sim", 1000, 42).collect()}
+    ref = cl.groupBy("domain", "arm").agg(F.avg("trace_sim").alias("m"), F.stddev_samp("trace_sim").alias("s"),
+                                          F.count(F.lit(1)).alias("n")).collect()
+    for r in ref:
+        half = 1.96 * r.s / math.sqrt(r.n)
+        g = got[(r.domain, r.arm)]
+        assert abs(g.mean - r.m) < 1e-9
+        assert abs((g.ci_hi - g.ci_lo) / 2 - half) < 0.15 * half
+        assert g.ci_lo < r.m < g.ci_hi
