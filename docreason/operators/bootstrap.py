@@ -86,11 +86,17 @@ def mean_ci_hash(values: DataFrame, keys: list[str], value: str, n_boot: int, se
 
 def diff_ci_hash(values: DataFrame, group: list[str], arm: str, value: str, cond_arms: list[str],
                  base_arm: str, n_boot: int, seed: int) -> DataFrame:
+    """A13 with hash-mode replicates."""
+    reps = replicate_means_hash(values, group + [arm], value, n_boot, seed)
+    return diff_ci(values, group, arm, value, cond_arms, base_arm, reps)
+
+
+def diff_ci(values: DataFrame, group: list[str], arm: str, value: str, cond_arms: list[str],
+            base_arm: str, reps: DataFrame) -> DataFrame:
     """Per group and compared arm, observed difference of means to the
     baseline and percentile interval of replicate differences (each side
     resampled independently, replicate r paired with r)."""
     keys = group + [arm]
-    reps = replicate_means_hash(values, keys, value, n_boot, seed)
     cur = reps.where(F.col(arm).isin(cond_arms))
     base = reps.where(F.col(arm) == base_arm).select(*group, "r", F.col("rep_mean").alias("_b"))
     q = (cur.join(base, group + ["r"]).withColumn("_d", F.col("rep_mean") - F.col("_b"))
@@ -105,11 +111,16 @@ def diff_ci_hash(values: DataFrame, group: list[str], arm: str, value: str, cond
 
 def did_ci_hash(values: DataFrame, outer: list[str], domain: str, arm: str, value: str,
                 cond_arms: list[str], base_arm: str, n_boot: int, seed: int) -> DataFrame:
+    """A14 with hash-mode replicates."""
+    reps = replicate_means_hash(values, outer + [domain, arm], value, n_boot, seed)
+    return did_ci(outer, domain, arm, cond_arms, base_arm, reps)
+
+
+def did_ci(outer: list[str], domain: str, arm: str, cond_arms: list[str], base_arm: str,
+           reps: DataFrame) -> DataFrame:
     """Per outer key (metric) and compared arm, replicate difference of
     effects between the first and second domain (exactly two domains with
     both sides); middle = mean of the replicates."""
-    keys = outer + [domain, arm]
-    reps = replicate_means_hash(values, keys, value, n_boot, seed)
     base = reps.where(F.col(arm) == base_arm).select(*outer, domain, "r", F.col("rep_mean").alias("_b"))
     eff = (reps.where(F.col(arm).isin(cond_arms)).join(base, outer + [domain, "r"])
            .withColumn("_e", F.col("rep_mean") - F.col("_b")))
@@ -253,3 +264,15 @@ def mean_ci_poisson(values: DataFrame, keys: list[str], value: str, n_boot: int
                                    (F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("_mean"))
     return obs.join(q, keys, "left").select(*keys, "n_valid", rnd("_mean").alias("mean"),
                                            rnd(F.col("_q")[0]).alias("ci_lo"), rnd(F.col("_q")[1]).alias("ci_hi"))
+
+
+def replicate_means_poisson(values: DataFrame, keys: list[str], value: str, n_boot: int = N_BOOT,
+                            seed: int = 42) -> DataFrame:
+    """Per group and replicate: Poisson-weighted mean over value cells.
+    Returns keys, r, rep_mean (the replicate table is written once)."""
+    from docreason.session import materialize
+    v = values.where(F.col(value).isNotNull())
+    cells = materialize(v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m")), "rep-cells")
+    w = poisson_weights(cells, keys, [value], n_boot, seed)
+    return materialize(w.groupBy(*keys, "r").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("rep_mean")),
+                       "rep-means")

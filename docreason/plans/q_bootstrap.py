@@ -93,3 +93,22 @@ def q_means_wide_ci(spark, sf):
         F.first("mean").alias("mean"), F.first("ci_lo").alias("ci_lo"), F.first("ci_hi").alias("ci_hi"))
     dim = arm_dimension(spark).select("arm", "arm_ord", F.explode(F.array(*[F.lit(m) for m in MEAN_METRICS])).alias("metric"))
     return dim.join(wide, ["arm", "metric"], "left").orderBy("metric", "arm_ord")
+
+
+# A27 with intervals at the full replicate count (Poisson replicates).
+@register("effects_ci")
+def q_effects_ci(spark, sf):
+    from docreason.operators.paired import effects_vs_baseline
+    d = xd(spark, sf)
+    v = _long_values(d, EFFECT_METRICS)
+    reps = B.replicate_means_poisson(v, KEYS, "value", N_BOOT, SEED_CROSS_DOMAIN)
+    ci = B.diff_ci(v, ["metric", "domain"], "arm", "value", COND_ARMS, ARMS[0], reps).drop("diff_mean")
+    return effects_vs_baseline(d, EFFECT_METRICS).join(ci, ["metric", "domain", "arm"], "left")
+
+
+# A14 at the full replicate count.
+@register("diff_in_diff_ci")
+def q_did_ci(spark, sf):
+    v = _long_values(xd(spark, sf), EFFECT_METRICS)
+    reps = B.replicate_means_poisson(v, KEYS, "value", N_BOOT, SEED_CROSS_DOMAIN)
+    return B.did_ci(["metric"], "domain", "arm", COND_ARMS, ARMS[0], reps)
