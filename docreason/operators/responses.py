@@ -20,9 +20,18 @@ from docreason.functions.scores import coerce_float
 def parse_list(resp: DataFrame, content: str = "content") -> DataFrame:
     """Adds raw (the list text), is_list and items (ARRAY<VARIANT>)."""
     raw = J.list_text(content)
+    # Parse once: "[" + raw + "]" is valid JSON with exactly one element that
+    # is a list exactly when raw is one JSON list (Python's rule); its first
+    # element is then the item list itself.
+    wrapped = F.col("_wrapped")
+    first = F.try_variant_get(wrapped, "$[0]", "variant")
+    n = F.array_size(F.try_variant_get(wrapped, "$", "array<variant>"))
+    ok = F.coalesce(wrapped.isNotNull() & (n == 1) & J.vtype(first).startswith("ARRAY"), F.lit(False))
     return (resp.withColumn("raw", raw)
-            .withColumn("is_list", J.is_json_list("raw"))
-            .withColumn("items", F.when(F.col("is_list"), J.list_items("raw"))))
+            .withColumn("_wrapped", F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]"))))
+            .withColumn("is_list", ok)
+            .withColumn("items", F.when(F.col("is_list"), F.try_variant_get(wrapped, "$[0]", "array<variant>")))
+            .drop("_wrapped"))
 
 
 def parse_object(resp: DataFrame, content: str = "content") -> DataFrame:

@@ -115,3 +115,13 @@ def test_exact_quantile_matches_numpy_linear(spark):
         for g in range(4):
             xs = [x for gg, x in rows if gg == g]
             assert got[g] == pytest.approx(float(np.percentile(xs, q * 100)))
+
+
+def test_zip_index_dense_and_ordered(spark):
+    from docreason.operators.ids import zip_index
+    rng = random.Random(9)
+    keys = rng.sample(range(10_000), 3000)
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(13)
+    got = sorted((r.index, r.k) for r in zip_index(df, ["k"], n_parts=7).collect())
+    assert [i for i, _ in got] == list(range(3000))
+    assert [k for _, k in got] == sorted(keys)
