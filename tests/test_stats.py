@@ -122,6 +122,6 @@ def test_zip_index_dense_and_ordered(spark):
     rng = random.Random(9)
     keys = rng.sample(range(10_000), 3000)
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(13)
-    got = sorted((r.index, r.k) for r in zip_index(df, ["k"], n_parts=7).collect())
+    got = sorted((r["index"], r["k"]) for r in zip_index(df, ["k"], n_parts=7).collect())
     assert [i for i, _ in got] == list(range(3000))
     assert [k for _, k in got] == sorted(keys)
