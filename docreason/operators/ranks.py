@@ -46,7 +46,13 @@ def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
     (a plain window per group) when the whole table fits one task, else
     ``N_BUCKETS``."""
     if n_buckets is None:
-        n_buckets = 1 if estimated_bytes(counts) <= SINGLE_TASK_BYTES else N_BUCKETS
+        n_buckets = 1 if estimated_bytes(counts) <= SINGLE_TASK_BYTES else None
+    if n_buckets is None:
+        # Plan estimates multiply across joins; write the (aggregated) count
+        # table once and decide on its real, compressed size.
+        from docreason.session import materialize
+        counts = materialize(counts, "rank-counts")
+        n_buckets = 1 if estimated_bytes(counts) <= SINGLE_TASK_BYTES // 8 else N_BUCKETS
     if n_buckets <= 1:
         # Caller has checked that one group's distinct values fit one task.
         w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
