@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docreason.operators import paired as P
-from docreason.plans import sqlfrag as S
 from docreason.plans.q_metrics import _q, clean, xd
 from docreason.plans.registry import register
 from docreason.schemas import ARMS

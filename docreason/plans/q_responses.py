@@ -15,7 +15,6 @@ from docreason.operators import blocks as BL
 from docreason.operators import qa as QA
 from docreason.operators import requests as RQ
 from docreason.operators import responses as RS
-from docreason.operators.ids import zip_index
 from docreason.plans import sqlfrag as S
 from docreason.plans.oracle_views import with_views
 from docreason.plans.q_blocks import INDEXED, MERGED

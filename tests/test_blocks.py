@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from docreason.operators.blocks import dense_index, merge_split_blocks
 
@@ -90,3 +89,17 @@ def test_stage_functions_chain(spark):
     q, _ = questions_from_records(raw_questions(spark, sf))
     ans = stages.answer({"answer_responses": responses(spark, sf), "questions": q}, experiment_id="e1")
     assert ans["answers"].where("experiment_id = 'e1'").count() > 0
+
+
+def test_stage_counters_by_observation(spark):
+    from pyspark.sql import Observation
+
+    from docreason.operators.qa import questions_from_records
+    from docreason.plans import stages
+    from docreason.plans.views import raw_questions, responses
+    sf = "/root/testdata/sf0.001"
+    q, _ = questions_from_records(raw_questions(spark, sf))
+    obs = Observation("answer_stage")
+    out = stages.answer({"answer_responses": responses(spark, sf), "questions": q}, obs=obs)["answers"]
+    out.write.format("noop").mode("overwrite").save()
+    assert obs.get["answers"] == out.count() > 0

@@ -4,7 +4,6 @@ URL is retried with its old id."""
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from docreason.streaming.ingest import read_state, start_ingest_stream
 
