@@ -34,7 +34,6 @@ from docreason.schemas import N_BOOT, N_CAL_BINS, SEED_PER_DOMAIN
 
 DRAW_CHUNK = 4096
 CELL_WINDOW_LIMIT = 100_000
-POS_BUCKET = 4096
 
 
 # ---------------------------------------------------------------- hash mode
@@ -45,28 +44,35 @@ def _hash_pos(seed: int, keys: list[str]):
 
 
 def replicate_means_hash(values: DataFrame, keys: list[str], value: str, n_boot: int,
-                         seed: int, chunk: int = DRAW_CHUNK, bucket: int = POS_BUCKET) -> DataFrame:
+                         seed: int, chunk: int = DRAW_CHUNK) -> DataFrame:
     """Per group and replicate r in [0, n_boot): the mean of a resample of n
     out of the group's n values. Returns keys, r, rep_mean."""
     v = values.where(F.col(value).isNotNull())
     counts = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    sizes = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"))
+    # Position buckets as wide as a group's mean value interval (n / distinct
+    # values): a draw meets about two candidate intervals and the intervals
+    # spread over about twice as many bucket rows as there are values,
+    # whether values are heavily tied or all distinct.
+    sizes = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("_d")) \
+        .withColumn("_w", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("_d")))).drop("_d")
     # Value intervals [below, below + cnt) of sorted positions, spread over
     # the position buckets they touch.
     iv = running_below(counts, keys, value, "cnt").select(
         *keys, value, F.col("below").alias("lo"), (F.col("below") + F.col("cnt")).alias("hi"))
-    iv = iv.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / bucket),
-                                                      F.floor((F.col("hi") - 1) / bucket))))
+    iv = iv.join(sizes.select(*keys, "_w"), keys).withColumn(
+        "bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_w")),
+                                       F.floor((F.col("hi") - 1) / F.col("_w"))))).drop("_w")
     # Draws: (group, r, chunk) rows are spread over tasks before the
     # positions inside a chunk are generated.
     n_chunks = F.floor((F.col("n") - 1) / chunk)
-    work = (sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("r"))
-            .select(*keys, "n", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks)).alias("c"))
-            .repartition(*keys, "r", "c"))
-    draws = (work.select(*keys, "n", "r", F.explode(F.sequence(
+    n_parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = (sizes.select(*keys, "n", "_w", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("r"))
+            .select(*keys, "n", "_w", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks)).alias("c"))
+            .repartition(n_parts, *keys, "r", "c"))
+    draws = (work.select(*keys, "n", "_w", "r", F.explode(F.sequence(
                  F.col("c") * chunk, F.least(F.col("n"), (F.col("c") + 1) * chunk) - 1)).alias("j"))
              .withColumn("k", F.pmod(_hash_pos(seed, keys), F.col("n")))
-             .withColumn("bucket", F.floor(F.col("k") / bucket)))
+             .withColumn("bucket", F.floor(F.col("k") / F.col("_w"))))
     picked = (draws.join(iv, keys + ["bucket"])
               .where((F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi"))))
     return picked.groupBy(*keys, "r").agg((F.sum(value) / F.max("n")).alias("rep_mean"))
