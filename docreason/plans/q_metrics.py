@@ -231,3 +231,22 @@ def q_ordered_preview(spark, sf):
     s = M.quality_summary(norm(spark, sf), K).select("domain", "arm", "n", "n_unique_ids", "n_clean")
     return (s.join(M.arm_dimension(spark), "arm").orderBy("domain", "arm_ord").limit(5)
             .select("domain", "arm", "n", "n_unique_ids", "n_clean"))
+
+
+# Per domain x arm, Spearman of eval_score and score_cont over complete
+# pairs; n counts every row of the group (missing values included).
+@register("spearman_grid", _q(f"""
+select g.domain, g.arm, round(s.rho, 9) as spearman_eval_vs_perf, g.n
+from (select domain, arm, count(*) as n from xd group by domain, arm) g
+left join (select domain, arm, {S.pearson('re', 'rs')} as rho
+           from (select domain, arm, {S.avg_rank('domain, arm', 'eval_score')} as re,
+                        {S.avg_rank('domain, arm', 'score_cont')} as rs
+                 from xd where eval_score is not null and score_cont is not null)
+           group by domain, arm) s on s.domain = g.domain and s.arm = g.arm"""))
+def q_spearman_grid(spark, sf):
+    from docreason.operators.ranks import spearman
+    d = xd(spark, sf)
+    n = d.groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
+    both = d.where(F.col("eval_score").isNotNull() & F.col("score_cont").isNotNull())
+    rho = spearman(both, K, "eval_score", "score_cont").select(*K, "spearman")
+    return n.join(rho, K, "left").select(*K, M.rnd("spearman").alias("spearman_eval_vs_perf"), "n")
