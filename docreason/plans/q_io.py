@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docreason.plans.oracle_views import with_views
 from docreason.plans.registry import register
 from docreason.plans.views import qa_eval, responses, table
 from docreason.schemas import LEDGER, SCORED_ANSWER_JSON
@@ -15,7 +16,10 @@ from docreason.sources import sinks as K
 from docreason.streaming import resume as RES
 
 
-@register("pdf_check")
+@register("pdf_check", with_views("""
+select page_id, page_id % 3 = 0 as is_pdf,
+  octet_length(encode(case when page_id % 3 = 0 then '%PDF-1.4' || chr(10) || html else html end)) + 1 as n_bytes
+from pages"""))
 def q_pdf_check(spark, sf):
     """Page bodies written as files (some behind a %PDF header), scanned
     back as bytes and checked by their magic number."""
@@ -72,7 +76,8 @@ def q_json_sources(spark, sf):
     return s2.select(*cols).unionByName(s1.select(*cols)).unionByName(s3.select(*cols))
 
 
-@register("resume")
+@register("resume", with_views(
+    "select doc_id, lang, cast(length(text) as integer) as n_chars from documents"))
 def q_resume(spark, sf):
     """An earlier run wrote the English documents; the rerun skips them
     and writes the rest; the result is everything written."""
@@ -89,7 +94,13 @@ def q_resume(spark, sf):
     return spark.read.parquet(out).select("doc_id", "lang", "n_chars")
 
 
-@register("ledger_append")
+@register("ledger_append", with_views("""
+select '2025-01-01T00:00:00Z' as timestamp_utc, e.experiment_id, cast(r.document_id as varchar) as document_id,
+  'answer' as agent_name, 'call' as event_name, cast(not starts_with(r.content, 'sorry') as integer) as success,
+  cast(r.prompt_tokens as bigint) as prompt_tokens, cast(r.completion_tokens as bigint) as completion_tokens,
+  cast(r.prompt_tokens + r.completion_tokens as bigint) as total_tokens, cast(null as double) as latency_ms,
+  'stub' as model_name
+from responses r, (values ('exp-a'), ('exp-b')) e(experiment_id)""", "responses"))
 def q_ledger_append(spark, sf):
     """K5: one ledger row per model call (response attempt), appended for two
     experiments, read back."""
@@ -108,7 +119,12 @@ def q_ledger_append(spark, sf):
     return spark.read.schema(LEDGER).parquet(out).select(*[f.name for f in LEDGER.fields])
 
 
-@register("document_outputs")
+def _questions_sql() -> str:
+    from docreason.plans.q_responses import _q as rq
+    return rq("select * from questions", "questions")
+
+
+@register("document_outputs", _questions_sql())
 def q_document_outputs(spark, sf):
     """K4 + S5: questions written per document with a manifest; the manifest
     is appended twice (a rerun) and read back with later rows winning; the
@@ -120,5 +136,5 @@ def q_document_outputs(spark, sf):
     K.write_jsonl(manifest, f"{out}/manifest", mode="append")
     K.write_jsonl(manifest, f"{out}/manifest", mode="append")
     m = FS.read_manifest(spark, f"{out}/manifest")
-    back = spark.read.schema(q.schema).json(f"{out}/questions")
+    back = spark.read.schema(q.schema).json(f"{out}/questions").select(*q.columns)
     return back.join(m.withColumn("document_id", F.col("document_id").cast("bigint")), "document_id", "left_semi")
