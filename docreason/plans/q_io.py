@@ -49,7 +49,13 @@ def q_csv_design(spark, sf):
     return d.select("candidate_name", "justification", "feasibility_score", F.size("contract_parts").alias("n_parts"))
 
 
-@register("json_sources")
+def _json_sources_sql() -> str:
+    one = ("select cast(question_id as varchar) as question_id, cast(gold as varchar) as gold_answer, "
+           "cast(pred as varchar) as pred_answer, cast(trace_sim as varchar) as eval_score, '{src}' as src from qa_eval")
+    return with_views(" union all ".join(one.format(src=x) for x in ("lines", "arrays", "loose")), "qa_eval")
+
+
+@register("json_sources", _json_sources_sql())
 def q_json_sources(spark, sf):
     """S1/S2/S3/S6 + K1/K2: scored answers written as JSON lines, as one
     array per question, and as loose lines (trailing commas, blanks), then
