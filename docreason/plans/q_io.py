@@ -144,3 +144,20 @@ def q_document_outputs(spark, sf):
     m = FS.read_manifest(spark, f"{out}/manifest")
     back = spark.read.schema(q.schema).json(f"{out}/questions").select(*q.columns)
     return back.join(m.withColumn("document_id", F.col("document_id").cast("bigint")), "document_id", "left_semi")
+
+
+@register("url_ingest_stream")
+def q_url_ingest_stream(spark, sf):
+    """URL lists (the pages' URLs, some repeated and padded) arrive as
+    files; an availableNow stream ingests them batch by batch into the
+    snapshot state, then a second run over the same folder adds nothing.
+    Returns the state table."""
+    from docreason.streaming.ingest import read_state, start_ingest_stream
+    base = scratch_dir(spark, "ingest")
+    p = table(spark, sf, "pages")
+    lines = p.select(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("  "), F.col("url"), F.lit(" ")))
+                     .otherwise(F.col("url")).alias("value"))
+    lines.write.text(f"{base}/lists")
+    for _ in range(2):
+        start_ingest_stream(spark, f"{base}/lists", f"{base}/state", f"{base}/ckpt").awaitTermination()
+    return read_state(spark, f"{base}/state")
