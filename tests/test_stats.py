@@ -125,3 +125,16 @@ def test_zip_index_dense_and_ordered(spark):
     got = sorted((r["index"], r["k"]) for r in zip_index(df, ["k"], n_parts=7).collect())
     assert [i for i, _ in got] == list(range(3000))
     assert [k for _, k in got] == sorted(keys)
+
+
+def test_t_tail_against_numeric_integration():
+    import numpy as np
+    for df in (1, 2, 3, 5, 9, 20, 57, 300):
+        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        for t in (-2.5, -0.3, 0.0, 0.7, 1.96, 4.0):
+            # P(T > t) = 1/2 - integral_0^t density, by Simpson's rule.
+            xs = np.linspace(0.0, t, 20001)
+            ys = c * (1 + xs * xs / df) ** (-(df + 1) / 2)
+            h = (xs[1] - xs[0]) if t != 0 else 0.0
+            integral = h / 3 * (ys[0] + ys[-1] + 4 * ys[1:-1:2].sum() + 2 * ys[2:-1:2].sum())
+            assert t_sf(t, df) == pytest.approx(0.5 - integral, abs=1e-8)
