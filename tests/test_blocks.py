@@ -103,3 +103,16 @@ def test_stage_counters_by_observation(spark):
     out = stages.answer({"answer_responses": responses(spark, sf), "questions": q}, obs=obs)["answers"]
     out.write.format("noop").mode("overwrite").save()
     assert obs.get["answers"] == out.count() > 0
+
+
+def test_string_flags_and_type_trimming(spark):
+    from docreason.operators.blocks import filter_types
+    rows = [(1, 1, 0, " Paragraph", "a", "True ", None), (1, 1, 1, "paragraph", "b", "false", None),
+            (1, 1, 2, " Unknown", "c", None, None), (1, 1, 3, "UNKNOWN", "d", None, None),
+            (1, 1, 4, None, "e", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, pos int, type string, text string, split string, ref string")
+    merged = merge_split_blocks(df).orderBy("pos").collect()
+    assert [(r.text, r.split) for r in merged][:1] == [("a b", "false")]
+    kept = [r.text for r in filter_types(merge_split_blocks(df)).orderBy("pos").collect()]
+    # P1 lower-cases but does not trim: ' Unknown' stays, 'UNKNOWN' goes, a missing type stays.
+    assert kept == ["a b", "c", "e"]
