@@ -21,12 +21,15 @@ def _as_list(paths) -> list[str]:
 
 
 def file_kinds(spark: SparkSession, paths) -> DataFrame:
-    """One row per file: path and whether its text starts with '[' (a JSON
-    array) after leading whitespace. Reads each file's first bytes only as
-    far as the text source allows; one row per file reaches the driver."""
-    return (spark.read.text(_as_list(paths), wholetext=True)
-            .select(F.input_file_name().alias("path"),
-                    F.ltrim(F.substring("value", 1, 4096)).startswith("[").alias("is_array")))
+    """One row per file: path and whether it holds a JSON array.
+
+    An array file's text starts with '[', so one of its lines does; the
+    records of a lines file are objects, one per line, so none of its lines
+    starts with '['. A splittable line scan aggregated per file answers the
+    question without reading any file whole."""
+    return (spark.read.text(_as_list(paths))
+            .select(F.input_file_name().alias("path"), F.ltrim("value").startswith("[").alias("_b"))
+            .groupBy("path").agg(F.max("_b").alias("is_array")))
 
 
 def read_json_arrays(spark: SparkSession, paths, schema: T.StructType,
