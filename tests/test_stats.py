@@ -138,3 +138,12 @@ def test_t_tail_against_numeric_integration():
             h = (xs[1] - xs[0]) if t != 0 else 0.0
             integral = h / 3 * (ys[0] + ys[-1] + 4 * ys[1:-1:2].sum() + 2 * ys[2:-1:2].sum())
             assert t_sf(t, df) == pytest.approx(0.5 - integral, abs=1e-8)
+
+
+def test_join_small_paths_agree(spark):
+    from docreason.operators.joins import join_small
+    big = spark.createDataFrame([(i % 5, i) for i in range(2000)], "g int, v long")
+    small = spark.createDataFrame([(g, g * 10) for g in range(4)], "g int, w int")
+    a = sorted(tuple(r) for r in join_small(big, small, "g").collect())
+    b = sorted(tuple(r) for r in join_small(big, small, "g", max_rows=0).collect())
+    assert a == b and len(a) == 1600
