@@ -40,3 +40,9 @@ def test_manifest_last_row_wins_and_quoted_csv(spark):
     r = FS.read_design_csv(spark, os.path.join(d, "design.csv")).first()
     assert (r.candidate_name, r.justification, r.feasibility_score) == ('A, "x"', "multi\nline", 0.7)
     assert r.contract_parts == ["$.rubric[0]", "$.predictions[1]"]
+
+
+def test_json_object_keys_rules(spark):
+    df = spark.createDataFrame([('{"b": 1, "a": {"x": 2}}',), ("[1, 2]",), ("not json",), (None,), ("{}",)], "v string")
+    got = [r.k for r in df.select(JS.json_object_keys("v").alias("k")).collect()]
+    assert got == [["b", "a"], [], [], [], []]
