@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreason.llm import langid
+from docreason.llm import langid, simhash
 from docreason.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return (langid.identify(docs, langid.train(docs))
             .select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected"))
+
+
+@query("op6_simhash")
+def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
