@@ -339,7 +339,7 @@ def plausible(kind: int, span: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if any(c.isalpha() for c in span):
         return False
-    return 13 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
+    return 13 <= digits <= 19 and luhn(NOT_DIGIT.sub("", span)) if kind == 2 else 7 <= digits <= 15
 
 
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:

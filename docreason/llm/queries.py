@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreason.llm import decontam, langid, pii, simhash
+from docreason.llm import decontam, langid, packing, pii, simhash
 from docreason.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,15 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
+def tokenizer_file(name: str) -> str:
+    """The public tokenizer file; its folder is a parameter of the machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), size=2048)
