@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreason.llm import decontam, langid, packing, pii, simhash, suffixes
+from docreason.llm import decontam, langid, packing, pii, rules, simhash, suffixes
 from docreason.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,38 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op9_quality_rules", rf"""
+with w as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text, {_WORDS} as words from documents),
+g as (
+  select rid, i, array_to_string(words[i:i + 4], ' ') as win
+  from (select rid, words, unnest(range(1, len(words) - 3)) as i from w where len(words) >= 5)),
+r as (select rid, i from (select rid, i, count(*) over (partition by rid, win) as n from g) where n > 1),
+rep as (select rid, count(distinct p) as n_repeat_words from (select rid, unnest(range(i, i + 5)) as p from r) group by rid),
+l as (
+  select rid, count(*) as n_lines, count(*) - count(distinct x) as n_dup_lines
+  from (select rid, unnest(string_split(text, chr(10))) as x from w) where regexp_matches(x, '[^\x20\x09-\x0D]') group by rid),
+m as (
+  select w.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+    coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from w left join l using (rid) left join rep using (rid)),
+b as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    ({' + '.join(f'case when {test} then {rules.BIT[name]} else 0 end' for name, test in rules.RULES)})::bigint as failure_bits
+  from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and (failure_bits & {rules.POLICIES[rules.CURRENT]}) = 0 as kept, n_lines, failure_bits
+from b""")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = rules.ledger(read_table(spark, sf_dir, "documents"))
+    base_failed = ~rules.passes(F.col("failure_bits"), "base")
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
+        (~base_failed & rules.passes(F.col("failure_bits"))).alias("kept"), "n_lines", "failure_bits")
