@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreason.llm import decontam, langid, packing, pii, rules, simhash, suffixes
+from docreason.llm import decontam, langid, licenses, packing, pii, rules, simhash, suffixes
 from docreason.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,47 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
         (~base_failed & rules.passes(F.col("failure_bits"))).alias("kept"), "n_lines", "failure_bits")
+
+
+def _license_sql() -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def words(text: str) -> str:
+        return (f"regexp_extract_all(translate({text}, '{licenses.UPPER}', '{licenses.LOWER}'), "
+                r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(t)})" for i, (label, t) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"({quoted(p)}, {len(p.split())}, {quoted(label)})" for p, label in licenses.PHRASES)
+    return f"""
+with d as (select row_number() over () as rid, doc_id, {words("coalesce(text, '')")} as words from documents),
+t as (select template, label, {words("text")} as words from (values {templates}) x(template, label, text)),
+tw as (select template, label, len(words) - 2 as n, q, array_to_string(words[q:q + 2], ' ') as win
+       from (select *, unnest(range(1, len(words) - 1)) as q from t)),
+dw as (select rid, pos, array_to_string(words[pos:pos + 2], ' ') as win
+       from (select rid, words, unnest(range(1, len(words) - 1)) as pos from d where len(words) >= 3)),
+diag as (select rid, template, label, n, pos - q as diagonal from dw join tw using (win) group by all),
+grp as (select *, sum(fresh) over (partition by rid, template order by diagonal) as span
+        from (select *, case when diagonal - lag(diagonal) over (partition by rid, template order by diagonal) <= {licenses.SHIFT}
+                        then 0 else 1 end as fresh from diag)),
+cov as (select g.rid, g.label, count(distinct tw.q) / any_value(g.n) as cover
+        from grp g join dw using (rid) join tw on tw.win = dw.win and tw.template = g.template and dw.pos - tw.q = g.diagonal
+        group by g.rid, g.template, g.label, g.span),
+good as (select rid, label, cover from cov where cover >= {licenses.COVER}),
+place as (select rid, i - 1 as q, label
+          from (select rid, words, unnest(range(1, len(words) + 1)) as i from d) w
+          join (values {phrases}) p(phrase, size, label) on array_to_string(words[i:i + size - 1], ' ') = phrase),
+base as (select rid, count(*) as n_base, min(q) as first_word, max(q) as last_word,
+                string_agg(distinct label, ',' order by label) as base_labels from place group by rid),
+labels as (select rid, string_agg(distinct label, ',' order by label) as labels
+           from (select rid, label from place union all select rid, label from good) group by rid),
+best as (select rid, max(cover) as cover from good group by rid)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  case when n_base > 0 then 1.0::double else coalesce(cover, 0)::double end as score
+from d left join base using (rid) left join labels using (rid) left join best using (rid)"""
+
+
+@query("op7_license_scan", _license_sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
