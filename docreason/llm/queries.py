@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreason.llm import decontam, langid, licenses, packing, pii, rules, simhash, suffixes
+from docreason.llm import decontam, langid, licenses, packing, pii, rules, simhash, suffixes, url_filters, warc
 from docreason.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,66 @@ from d left join base using (rid) left join labels using (rid) left join best us
 @query("op7_license_scan", _license_sql())
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc", """
+with p as (select page_id, coalesce(html, '') as html from pages),
+s as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
+f as (select payload_digest, max(page_id) as first_id from s where payload_bytes >= 1000 group by all having count(*) > 1)
+select page_id, payload_bytes, s.payload_digest,
+  case when first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first_id then first_id end as refers_to
+from s left join f on s.payload_digest = f.payload_digest and payload_bytes >= 1000""")
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"), revisit_from=1000)
+
+
+#: Captures and a dated list derived from ``pages``: fetch times spread over a
+#: year from START; of the hosts and their domains about half are listed.
+START, YEAR = 1704067200, 31536000
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", (F.lit(START) + F.pmod(F.col("page_id") * 48271, F.lit(YEAR))).alias("fetched_at"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    host = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    pattern = host.select(F.explode(F.array("host", F.substring_index("host", ".", -2))).alias("pattern")).distinct()
+    v = F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("long")
+    added = F.lit(START) + (F.col("v") * 37) % YEAR
+    dates = F.array_compact(F.array(
+        F.when(F.col("v") % 4 < 2, F.struct(F.lit("add").alias("action"), added.alias("dated"))),
+        F.when((F.col("v") % 8).isin(0, 4, 5), F.struct(F.lit("remove").alias("action"), (added + 1728000 * (1 + F.col("v") % 5)).alias("dated"))),
+        F.when(F.col("v") % 16 == 0, F.struct(F.lit("add").alias("action"), (added + 17280000).alias("dated")))))
+    return (pattern.withColumn("v", v)
+            .select("pattern", F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (F.col("v") % 3 + 1).cast("int")).alias("list"),
+                    F.explode(dates).alias("e")).select("list", "pattern", "e.action", "e.dated"))
+
+
+@query("op4_url_filters", rf"""
+with c as (
+  select page_id, nullif(rtrim(lower(regexp_extract(url, '{url_filters.HOST}', 1)), '.'), '') as host,
+    {START} + (((page_id * 48271) % {YEAR}) + {YEAR}) % {YEAR} as fetched_at from pages),
+h as (select distinct host from c where host is not null),
+p as (select host as pattern from h union select array_to_string(string_split(host, '.')[-2:], '.') from h),
+v as (select pattern, ('0x' || substr(md5(pattern), 1, 6))::bigint as v from p),
+a as (select pattern, v, case v % 3 when 0 then 'adult' when 1 then 'malware' else 'spam' end as list, {START} + (v * 37) % {YEAR} as added from v),
+e as (
+  select list, pattern, true as is_add, added as dated from a where v % 4 < 2
+  union all select list, pattern, false, added + 1728000 * (1 + v % 5) from a where v % 8 in (0, 4, 5)
+  union all select list, pattern, true, added + 17280000 from a where v % 16 = 0),
+d as (select list, pattern, dated, bool_and(is_add) as is_add from e group by all),
+x as (select *, lag(is_add) over (partition by list, pattern order by dated) as prior from d),
+i as (select list, pattern, is_add, dated as valid_from, lead(dated) over (partition by list, pattern order by dated) as valid_to
+      from x where prior is null or prior <> is_add),
+m as (
+  select c.page_id, c.host, c.fetched_at, string_agg(distinct list, ',' order by list) as lists, max(valid_from) as active_since, count(*) as n_active
+  from (select distinct * from c) c join i on i.is_add and (c.host = i.pattern or ends_with(c.host, '.' || i.pattern))
+    and i.valid_from <= c.fetched_at and (i.valid_to is null or i.valid_to > c.fetched_at)
+  group by all)
+select c.page_id, c.host, c.fetched_at, coalesce(lists, '') as lists, active_since, coalesce(n_active, 0) as n_active, n_active is not null as blocked
+from c left join m on c.page_id = m.page_id and c.host = m.host and c.fetched_at = m.fetched_at""")
+def temporal_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filters.evaluate(page_captures(pages), dated_list(pages))
