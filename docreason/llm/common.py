@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docreason.session import materialize, ship_package
 
-__all__ = ["documents", "keyed_text", "read_table", "row_key", "store", "with_workers"]
+__all__ = ["documents", "keyed_text", "read_table", "row_key", "store", "with_text", "with_workers"]
+
+
+def with_text(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+    """The rows with other texts; ``n_chars``, where there is one, follows."""
+    for name, values in (("text", texts), ("n_chars", [None if t is None else len(t) for t in texts])):
+        if name in batch.schema.names:
+            i = batch.schema.get_field_index(name)
+            batch = batch.set_column(i, batch.schema.field(i), pa.array(values, batch.schema.field(i).type))
+    return batch
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreason.llm.common import documents, with_workers
+from docreason.llm.common import with_text, with_workers
 
 WINDOW = 10
 BLOCK = 100_000
@@ -281,12 +281,16 @@ def merge(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
 FOUND = "n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK,
+                  carry: bool = False) -> DataFrame:
     """doc_id, n_words, merged spans of hit words (starts, ends; words from 0)
-    and items (distinct item_ids with occurring phrases) for every row."""
+    and items (distinct item_ids with occurring phrases) for every row; with
+    ``carry`` the struct ``row`` of all columns in place of doc_id."""
     spark = with_workers(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    name = "row" if carry else "doc_id"
+    rows = docs.select(F.struct(*docs.columns).alias("row") if carry else F.col("doc_id"),
+                       F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    kind = rows.schema[name].dataType.simpleString()
     blocks = list(phrase_blocks(benchmark, window, block)) or [Phrases({}, {window: (np.zeros((0, window), np.int64), np.zeros(0, np.int64))}, [])]
 
     def scan(shared, first: bool, last: bool):
@@ -301,7 +305,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     if not first:
                         old = zip(*(batch[c].to_pylist() for c in ("starts", "ends", "items")))
                         own = [(*merge(a[0] + b[0], a[1] + b[1]), a[2] + b[2]) for a, b in zip(own, old)]
-                    cols = {"doc_id": batch["doc_id"]} | ({} if last else {"text": batch["text"]})
+                    cols = {name: batch[name]} | ({} if last else {"text": batch["text"]})
                     cols |= {"n_words": pa.array(counts, pa.int64()),
                              "starts": pa.array([x[0] for x in own], pa.list_(pa.int64())),
                              "ends": pa.array([x[1] for x in own], pa.list_(pa.int64())),
@@ -323,10 +327,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for k, phrases in enumerate(blocks):
         last = k == len(blocks) - 1
         rows = rows.mapInArrow(scan(spark.sparkContext.broadcast(phrases), k == 0, last),
-                               f"doc_id {kind}, " + ("" if last else "text binary, ") + FOUND)
+                               f"{name} {kind}, " + ("" if last else "text binary, ") + FOUND)
     return rows
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with the hit words taken out of their texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pa.RecordBatch.from_struct_array(b["row"])
+            texts = rows["text"].to_pylist()
+            for k, (s, e) in enumerate(zip(b["starts"].to_pylist(), b["ends"].to_pylist())):
+                if s:
+                    texts[k] = cut_words(texts[k], s, e)
+            yield with_text(rows, texts)
+
+    return contamination(docs, benchmark, window, carry=True).mapInArrow(run, docs.schema)
+
+
 def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
     """The text without the words of the spans (and what stands between them)."""
     raw = text.encode()

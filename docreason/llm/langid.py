@@ -277,36 +277,51 @@ def train(docs: DataFrame, docs_per_lang: int = 1500, max_langs: int = 100,
     return model
 
 
+def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """lang_pred, score and rejected of each text."""
+    pred, score, rejected = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    own = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
+    at = 0
+    while at < len(own):
+        size, to = 0, at
+        while to < len(own) and (to == at or size + len(texts[own[to]]) <= BLOCK):
+            size += len(texts[own[to]])
+            to += 1
+        part = own[at:to]
+        at = to
+        ce, n = model.entropies([texts[i] for i in part])
+        best = ce.argmin(axis=1)
+        score[part] = 1 / np.exp(ce.min(axis=1, keepdims=True) - ce).sum(axis=1)
+        rejected[part] = model.rejects(ce, best, n)
+        for i, j in zip(part, best):
+            pred[i] = model.langs[j]
+    return pred, score, rejected
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row of ``docs``."""
     spark = with_workers(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].to_pylist()
-            pred, score, rejected = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            own = [i for i, t in enumerate(texts) if m is not None and t and LETTER.search(t)]
-            at = 0
-            while at < len(own):
-                size, to = 0, at
-                while to < len(own) and (to == at or size + len(texts[own[to]]) <= BLOCK):
-                    size += len(texts[own[to]])
-                    to += 1
-                part = own[at:to]
-                at = to
-                ce, n = m.entropies([texts[i] for i in part])
-                best = ce.argmin(axis=1)
-                rel = np.exp(ce.min(axis=1, keepdims=True) - ce)
-                score[part] = 1 / rel.sum(axis=1)
-                rejected[part] = m.rejects(ce, best, n)
-                for i, j in zip(part, best):
-                    pred[i] = m.langs[j]
+            pred, score, rejected = predict(shared.value, b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)],
                 names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        predict, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+        run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    spark = with_workers(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~predict(shared.value, b["text"].to_pylist())[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docreason.llm.common import documents, with_workers
+from docreason.llm.common import documents, with_text, with_workers
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -420,11 +420,27 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
         run, f"doc_id {kind}, kinds array<string>, starts array<long>, ends array<long>, base array<boolean>")
 
 
-def redact(text: str, field: Field) -> str:
+def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """The rows of ``docs`` with personal data replaced in their texts."""
+    spark = with_workers(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(field or train())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                texts = b["text"].to_pylist()
+                spans = all_spans([t or "" for t in texts], shared.value)
+                yield with_text(b, [replaced(t, s) if s else t for t, s in zip(texts, spans)])
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def replaced(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
     """The text with every span replaced by its kind in brackets; of
     overlapping spans the first, then longest, names the place."""
     out, done = [], 0
-    for s, e, k in sorted(((s, e, k) for k, s, e, _ in all_spans([text], field)[0]), key=lambda x: (x[0], -x[1])):
+    for s, e, k in sorted(((s, e, k) for k, s, e, _ in spans), key=lambda x: (x[0], -x[1])):
         if s >= done:
             out.append(text[done:s] + f"[{KINDS[k].upper()}]")
         done = max(done, e)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreason.llm.common import documents, store, with_workers
+from docreason.llm.common import keyed_text, store, with_workers
 
 BITS = 64
 SEED = 42
@@ -69,17 +69,17 @@ def simhash(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row."""
+    """doc_id, text_key, fp (the fingerprint as a signed long) for every row."""
     with_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((simhash(t.as_buffer().to_pybytes(), shingle) for t in b["text"].cast(pa.binary())),
                              np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(fp.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return documents(docs).mapInArrow(run, f"doc_id {kind}, fp long")
+    return keyed_text(docs).mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 # ---------------------------------------------------------------- ball hashing
@@ -280,15 +280,34 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row."""
+def members(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """doc_id, text_key, fp, group (a fingerprint that names the component) and
+    component_id for every row."""
     prints = store(fingerprints(docs, shingle), "simhash-fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = store(least, "simhash-distinct")
     joined = store(components(ball_links(distinct.select("fp"), max_bits)), "simhash-components")
     member = joined.join(distinct, joined["node"] == distinct["fp"]).select("node", "root", "least")
     owner = member.groupBy("root").agg(F.min("least").alias("joint"))
-    named = member.join(owner, "root").select(F.col("node").alias("fp"), "joint")
-    ids = distinct.join(named, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
-    return prints.join(ids, "fp", "left").select(
+    named = member.join(owner, "root").select(F.col("node").alias("fp"), "root", "joint")
+    ids = distinct.join(named, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("joint", "least").alias("component_id"))
+    return prints.join(ids, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row."""
+    return members(docs, shingle, max_bits).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest
+    doc_id (of rows with one doc_id, that of the smallest text hash)."""
+    own = docs.columns
+    best = members(docs, shingle, max_bits).groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("_near_best"))
+    best = store(best.select("_near_best.doc_id", "_near_best.text_key").toDF("_near_id", "_near_key"), "simhash-best")
+    rows = docs.withColumn("_near_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_text") == F.col("_near_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_near_text"]).select(*own)  # a row that is repeated stays once
