@@ -13,7 +13,8 @@ meet in one task, and there a suffix array decides:
    often they occur, and the pieces are shuffled by their hash.
 3. A task builds the suffix array of its pieces by two-stage sorting: only the
    suffixes smaller than their successors are sorted directly (to ``length``
-   bytes), the others are induced by a scan of the buckets. Neighbours whose
+   bytes), the others are induced by a scan of the buckets. Suffixes that begin
+   no window, and that none is induced from, are left out. Neighbours whose
    common prefix reaches ``length`` are equal windows; a window whose equals,
    counted with their pieces' occurrences, are two or more is marked.
 4. A hash with more than ``HOT`` distinct pieces (a passage common to very many
@@ -119,27 +120,40 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, m: int
 
 
 # ---------------------------------------------------------------- suffix array
-def two_stage(text: bytes, depth: int) -> np.ndarray:
-    """Suffix array of the text, ordered by the first ``depth`` bytes at least."""
+def two_stage(text: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffix array of the text, ordered by the first ``depth`` bytes at least.
+
+    With a mask ``wanted`` only those suffixes are sorted, and after the last of
+    a stretch those that its order is induced from, up to the next that is
+    smaller than its successor."""
     n = len(text)
     t = np.frombuffer(text, np.uint8)
     # A suffix is smaller than its successor if its first differing neighbour is larger.
     sign = np.sign(np.diff(t.astype(np.int16), append=-1)).astype(np.int8)
     where = np.where(sign != 0, np.arange(n), n)
     small = sign[np.minimum.accumulate(where[::-1])[::-1]] > 0
+    need = np.ones(n, bool)
+    if wanted is not None:
+        after = np.minimum.accumulate(np.where(small, np.arange(n), n - 1)[::-1])[::-1]
+        last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, last, 1)
+        np.add.at(step, after[last] + 1, -1)
+        need = wanted | (np.cumsum(step)[:-1] > 0)
     letters = text.decode("latin-1")
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: letters[i:i + depth]), np.int64)
+    direct = np.array(sorted(np.flatnonzero(small & need).tolist(), key=lambda i: letters[i:i + depth]), np.int64)
     first = t[direct] if len(direct) else np.zeros(0, np.uint8)
     bounds = np.searchsorted(first, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[t[-1]].append(np.array([n - 1]))
+    if need[-1]:
+        induced[t[-1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
         wave = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)
         large = [wave]
         while len(wave):  # c before c: the bucket induces itself
             wave = wave[wave > 0] - 1
-            wave = wave[t[wave] == c]
+            wave = wave[(t[wave] == c) & need[wave]]
             large.append(wave)
         bucket = np.concatenate([*large, direct[bounds[c]: bounds[c + 1]]])
         if not len(bucket):
@@ -147,14 +161,14 @@ def two_stage(text: bytes, depth: int) -> np.ndarray:
         out.append(bucket)
         before = bucket[bucket > 0] - 1
         ch = t[before]
-        more = ch > c
+        more = (ch > c) & need[before]
         before, ch = before[more], ch[more]
         order = np.argsort(ch, kind="stable")
         before, ch = before[order], ch[order]
         cuts = np.flatnonzero(np.diff(ch)) + 1
         for part in np.split(before, cuts) if len(before) else []:
             induced[t[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def equal_windows(pieces: list[bytes], many: np.ndarray, length: int) -> list[np.ndarray]:
@@ -164,8 +178,9 @@ def equal_windows(pieces: list[bytes], many: np.ndarray, length: int) -> list[np
     size = np.array([len(p) for p in pieces])
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(pieces)), size)
-    order = two_stage(text, length)
-    order = order[order + length <= (begin + size)[owner[order]]]  # windows within a piece
+    inside = np.arange(len(text)) + length <= (begin + size)[owner]  # windows within a piece
+    order = two_stage(text, length, inside)
+    order = order[inside[order]]
     a, b = order[:-1], order[1:]
     # Common prefixes of neighbours: by their outer bytes first, then in full.
     t = np.frombuffer(text, np.uint8)
@@ -209,7 +224,8 @@ def repeats(texts: DataFrame, length: int, m: int) -> DataFrame:
                      pa.array(many[text])], names=["id1", "id2", "start", "n", "h", "many"])
 
     found = store(texts.mapInArrow(scan, f"id1 {kind}, id2 long, start long, n long, h long, many long"), "suffix-runs")
-    twice = found.groupBy("h").agg(F.sum("many").alias("total")).where("total >= 2").select("h")
+    # Stored, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    twice = store(found.groupBy("h").agg(F.sum("many").alias("total")).where("total >= 2").select("h"), "suffix-twice")
     wanted = (found.join(twice, "h", "left_semi").groupBy("id1", "id2")
               .agg(F.collect_set(F.struct("start", "n", "h")).alias("runs"))
               .withColumnsRenamed({"id1": "w1", "id2": "w2"}))
@@ -304,11 +320,11 @@ def repeats(texts: DataFrame, length: int, m: int) -> DataFrame:
         marked = marked.unionAll(repeats(whole, length, length).select(
             F.col("id1").alias("s1"), F.col("id2").alias("s2"), "starts", "sizes"))
     marked = store(marked, "suffix-marked")
-    places = pieces.where("placed").select("id1", "id2", "start", "s1", "s2").distinct()
+    places = pieces.where("placed").select("id1", "id2", "start", "s1", "s2")
     return (places.join(marked, ["s1", "s2"])
             .select("id1", "id2", F.transform("starts", lambda x: x + F.col("start")).alias("starts"), "sizes")
-            .groupBy("id1", "id2").agg(F.flatten(F.collect_list("starts")).alias("starts"),
-                                       F.flatten(F.collect_list("sizes")).alias("sizes")))
+            .groupBy("id1", "id2").agg(F.collect_set(F.struct("starts", "sizes")).alias("marks"))
+            .select("id1", "id2", F.flatten("marks.starts").alias("starts"), F.flatten("marks.sizes").alias("sizes")))
 
 
 def covered(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tuple[int, int]]:

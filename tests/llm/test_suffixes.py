@@ -40,6 +40,17 @@ def test_two_stage_random():
             assert [text[i:i + 3] for i in got] == sorted(text[i:i + 3] for i in range(n))
 
 
+def test_two_stage_of_wanted_suffixes():
+    rng = random.Random(6)
+    for k in (2, 5):
+        for _ in range(20):
+            n = rng.randrange(1, 200)
+            text = bytes(rng.randrange(k) for _ in range(n))
+            wanted = np.array([rng.random() < 0.9 for _ in range(n)]) & np.array([i // 23 % 2 == 0 for i in range(n)])
+            got = [i for i in suffixes.two_stage(text, n, wanted).tolist() if wanted[i]]
+            assert got == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: text[i:])
+
+
 @pytest.mark.parametrize("m", [1, 2, 3, 7, 32, 37])
 def test_gram_hashes_depend_on_the_gram_alone(m):
     rng = np.random.default_rng(m)
