@@ -16,31 +16,49 @@ poisson
     m Poisson(1) weights is Poisson(m), so one draw per cell and replicate is
     exact for this scheme. Draws come from a counter-based generator (Philox)
     keyed by the cell, hence identical at any partitioning and after task
-    retries. Every metric is then a weighted aggregate per (group, replicate);
-    the cost grows with cells x B, not rows x B.
+    retries. A task keeps, for the group at hand, one row of weighted sums per
+    replicate and adds its cells to it by a matrix product; it sends on groups
+    x B rows whatever the number of cells, and the rows are summed by (group,
+    replicate). Every replicate is there, also one whose weights are all zero:
+    its metrics are NULL, percentiles leave it out, and ``n_usable`` counts the
+    others.
+
+    Spearman needs ranks within each replicate. Values are put on a grid of at
+    most ``RANK_GRID`` quantile ranges per group and score (exact as long as a
+    score has no more distinct values; beyond that, values of one range count
+    as ties), the grid's cells are drawn as cells are, and a task computes the
+    correlations of a block of replicates of one group, whose size is bounded
+    by the grid.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreason.functions.scores import linspace, rnd, tri_anchor, with_bin
-from docreason.operators.ranks import N_BUCKETS, exact_quantile, running_below, weighted_pearson
+from docreason.functions.scores import linspace, rnd
+from docreason.operators.joins import join_on
+from docreason.operators.ranks import exact_quantile, running_below
 from docreason.schemas import N_BOOT, N_CAL_BINS, SEED_PER_DOMAIN
 
 DRAW_CHUNK = 4096
-CELL_WINDOW_LIMIT = 100_000
+# Quantile ranges per score on which replicate ranks are taken, and replicates
+# per task of the rank grid.
+RANK_GRID = 64
+RANK_BLOCK = 250
 
 
 # ---------------------------------------------------------------- hash mode
 def _hash_pos(seed: int, keys: list[str]):
     s = F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys],
                     F.col("r").cast("string"), F.col("j").cast("string"))
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
+    # 15 hexadecimal digits: 60 bits, so positions of any group size are reached evenly.
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
 
 
 def replicate_means_hash(values: DataFrame, keys: list[str], value: str, n_boot: int,
@@ -59,7 +77,7 @@ def replicate_means_hash(values: DataFrame, keys: list[str], value: str, n_boot:
     # the position buckets they touch.
     iv = running_below(counts, keys, value, "cnt").select(
         *keys, value, F.col("below").alias("lo"), (F.col("below") + F.col("cnt")).alias("hi"))
-    iv = iv.join(sizes.select(*keys, "_w"), keys).withColumn(
+    iv = join_on(iv, sizes.select(*keys, "_w"), keys).withColumn(
         "bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_w")),
                                        F.floor((F.col("hi") - 1) / F.col("_w"))))).drop("_w")
     # Draws: (group, r, chunk) rows are spread over tasks before the
@@ -73,7 +91,7 @@ def replicate_means_hash(values: DataFrame, keys: list[str], value: str, n_boot:
                  F.col("c") * chunk, F.least(F.col("n"), (F.col("c") + 1) * chunk) - 1)).alias("j"))
              .withColumn("k", F.pmod(_hash_pos(seed, keys), F.col("n")))
              .withColumn("bucket", F.floor(F.col("k") / F.col("_w"))))
-    picked = (draws.join(iv, keys + ["bucket"])
+    picked = (join_on(draws, iv, keys + ["bucket"])
               .where((F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi"))))
     return picked.groupBy(*keys, "r").agg((F.sum(value) / F.max("n")).alias("rep_mean"))
 
@@ -84,7 +102,7 @@ def mean_ci_hash(values: DataFrame, keys: list[str], value: str, n_boot: int, se
     q = reps.groupBy(*keys).agg(F.percentile("rep_mean", [0.025, 0.5, 0.975]).alias("_q"))
     obs = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_valid"), F.avg(value).alias("_mean"))
-    return obs.join(q, keys).select(
+    return join_on(obs, q, keys).select(
         *keys, "n_valid", rnd("_mean").alias("mean"), rnd(F.col("_q")[1]).alias("boot_median"),
         rnd(F.col("_q")[0]).alias("ci_lo"), rnd(F.col("_q")[2]).alias("ci_hi"))
 
@@ -104,12 +122,12 @@ def diff_ci(values: DataFrame, group: list[str], arm: str, value: str, cond_arms
     keys = group + [arm]
     cur = reps.where(F.col(arm).isin(cond_arms))
     base = reps.where(F.col(arm) == base_arm).select(*group, "r", F.col("rep_mean").alias("_b"))
-    q = (cur.join(base, group + ["r"]).withColumn("_d", F.col("rep_mean") - F.col("_b"))
+    q = (join_on(cur, base, group + ["r"]).withColumn("_d", F.col("rep_mean") - F.col("_b"))
          .groupBy(*keys).agg(F.percentile("_d", [0.025, 0.975]).alias("_q")))
     obs = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("_m"))
     ob = obs.where(F.col(arm) == base_arm).select(*group, F.col("_m").alias("_mb"))
     oc = obs.where(F.col(arm).isin(cond_arms))
-    return oc.join(ob, group).join(q, keys).select(
+    return join_on(join_on(oc, ob, group), q, keys).select(
         *keys, rnd(F.col("_m") - F.col("_mb")).alias("diff_mean"),
         rnd(F.col("_q")[0]).alias("diff_lo"), rnd(F.col("_q")[1]).alias("diff_hi"))
 
@@ -124,23 +142,24 @@ def did_ci_hash(values: DataFrame, outer: list[str], domain: str, arm: str, valu
 def did_ci(outer: list[str], domain: str, arm: str, cond_arms: list[str], base_arm: str,
            reps: DataFrame) -> DataFrame:
     """Per outer key (metric) and compared arm, replicate difference of
-    effects between the first and second domain (exactly two domains with
-    both sides); middle = mean of the replicates."""
+    effects between the first and second domain; middle = mean of the
+    replicates. Without exactly two domains that have both sides the row has
+    NULL domains and values."""
     base = reps.where(F.col(arm) == base_arm).select(*outer, domain, "r", F.col("rep_mean").alias("_b"))
-    eff = (reps.where(F.col(arm).isin(cond_arms)).join(base, outer + [domain, "r"])
-           .withColumn("_e", F.col("rep_mean") - F.col("_b")))
-    doms = eff.select(*outer, arm, domain).distinct().groupBy(*outer, arm).agg(
-        F.count(F.lit(1)).alias("n_domains"), F.min(domain).alias("domain_a"),
-        F.max(domain).alias("domain_b"))
-    two = doms.where(F.col("n_domains") == 2)
-    e1 = eff.join(two, outer + [arm]).where(F.col(domain) == F.col("domain_a")).select(
-        *outer, arm, "r", "domain_a", "domain_b", F.col("_e").alias("_e1"))
-    e2 = eff.join(two, outer + [arm]).where(F.col(domain) == F.col("domain_b")).select(
-        *outer, arm, "r", F.col("_e").alias("_e2"))
-    did = e1.join(e2, outer + [arm, "r"]).withColumn("_did", F.col("_e1") - F.col("_e2"))
-    return did.groupBy(*outer, arm, "domain_a", "domain_b").agg(
-        rnd(F.avg("_did")).alias("did_mean"),
-        rnd(F.percentile("_did", 0.025)).alias("ci_lo"), rnd(F.percentile("_did", 0.975)).alias("ci_hi"))
+    cur = reps.where(F.col(arm).isin(cond_arms))
+    eff = join_on(cur, base, outer + [domain, "r"]).withColumn("_e", F.col("rep_mean") - F.col("_b"))
+    # One row per replicate: the effects of the domains, first to last.
+    by_rep = eff.groupBy(*outer, arm, "r").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(domain).alias("_d1"), F.max(domain).alias("_d2"),
+        (F.min_by("_e", domain) - F.max_by("_e", domain)).alias("_did"))
+    two = F.col("_n") == 2
+    did = by_rep.groupBy(*outer, arm).agg(
+        F.min(F.when(two, F.col("_d1"))).alias("domain_a"), F.max(F.when(two, F.col("_d2"))).alias("domain_b"),
+        rnd(F.avg(F.when(two, F.col("_did")))).alias("did_mean"),
+        rnd(F.percentile(F.when(two, F.col("_did")), 0.025)).alias("ci_lo"),
+        rnd(F.percentile(F.when(two, F.col("_did")), 0.975)).alias("ci_hi"))
+    wanted = cur.select(*outer, arm).distinct()
+    return join_on(wanted, did, outer + [arm], "left")
 
 
 # ------------------------------------------------------------- poisson mode
@@ -149,107 +168,170 @@ def _cell_key(seed: int, parts) -> list[int]:
     return [int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little")]
 
 
-def poisson_weights(cells: DataFrame, keys: list[str], cell_cols: list[str], n_boot: int,
-                    seed: int) -> DataFrame:
-    """Per cell (keys + cell_cols, multiplicity ``m``) and replicate r: weight
-    w ~ Poisson(m), rows with w = 0 left out. Output keys, cell_cols, r, w."""
+def _draws(seed: int, cell, m: float, n_boot: int) -> np.ndarray:
+    return np.random.Generator(np.random.Philox(key=_cell_key(seed, list(cell)))).poisson(float(m), size=n_boot)
+
+
+def replicate_sums(cells: DataFrame, keys: list[str], cell_cols: list[str], n_boot: int, seed: int,
+                   sums: Callable[[dict[str, np.ndarray]], np.ndarray], names: list[str]) -> DataFrame:
+    """Per group and replicate r in [0, n_boot): the weighted sums ``names``.
+
+    ``cells`` has one row per (keys, cell_cols) with its multiplicity ``m``;
+    ``sums`` maps the cell columns of a batch to a matrix [cell, name] whose
+    rows are added up with the replicate's Poisson(m) weights."""
     from docreason.session import ship_package
     ship_package(cells.sparkSession)
     ident = keys + cell_cols
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields
-                       if f.name in ident) + ", r int, w bigint"
-
-    def draw(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            idv = pdf[ident].itertuples(index=False, name=None)
-            ws = np.stack([np.random.Generator(np.random.Philox(key=_cell_key(seed, list(t)))).poisson(float(m), size=n_boot)
-                           for t, m in zip(idv, pdf["m"].to_numpy())])
-            ci, r = np.nonzero(ws)
-            out = pdf[ident].iloc[ci].reset_index(drop=True)
-            out["r"] = r.astype("int32")
-            out["w"] = ws[ci, r].astype("int64")
-            yield out
-
-    # Spread the (few) cells over the cores: an explicit partition count is
-    # kept by AQE, so the Python draws run in parallel.
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", r int, " + ", ".join(f"`{n}` double" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+
+        def done() -> pa.RecordBatch:
+            cols = [pa.array([v] * n_boot, t) for v, t in zip(now, types)]
+            cols += [pa.array(np.arange(n_boot, dtype=np.int32)), *[pa.array(c) for c in total.T.copy()]]
+            return pa.RecordBatch.from_arrays(cols, names=[*keys, "r", *names])
+
+        types = []
+        for batch in batches:
+            types = [batch[k].type for k in keys]
+            groups = list(zip(*(batch[k].to_pylist() for k in keys)))
+            idents = list(zip(*(batch[k].to_pylist() for k in ident)))
+            many = batch["m"].to_pylist()
+            starts = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(groups)]):
+                if groups[a] != now:
+                    if now is not None:
+                        yield done()
+                    now, total = groups[a], np.zeros((n_boot, len(names)))
+                for c in range(a, b, 256):
+                    d = min(b, c + 256)
+                    w = np.stack([_draws(seed, t, m, n_boot) for t, m in zip(idents[c:d], many[c:d])]).astype(float)
+                    values = {k: np.array(batch[k].slice(c, d - c).to_pylist(), object) for k in cell_cols}
+                    total += w.T @ sums(values)
+        if now is not None:
+            yield done()
+
+    # Spread the cells over the tasks, each group's cells together within one.
     n_parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n_parts, *ident)
-    return cells.select(*ident, "m").mapInPandas(draw, schema)
+    dealt = cells.select(*ident, "m").repartition(n_parts, *ident).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, schema).groupBy(*keys, "r").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def rank_grid(cells: DataFrame, keys: list[str], col: str, size: int) -> DataFrame:
+    """The cells with ``col`` replaced by the number of its quantile range in
+    its group (its place among the distinct values while these are few)."""
+    distinct = cells.groupBy(*keys, col).agg(F.sum("m").alias("_m"))
+    stats = distinct.groupBy(*keys).agg(
+        F.percentile_approx(col, [i / size for i in range(1, size)], 100 * size).alias("_bounds"))
+    less = F.filter(F.array_distinct("_bounds"), lambda b: b < F.col(col))
+    placed = join_on(distinct, stats, keys, "left").select(*keys, col, F.size(less).alias("_place"))
+    return join_on(cells, placed, keys + [col], "left").drop(col).withColumnRenamed("_place", col)
+
+
+def spearman_replicates(cells: DataFrame, keys: list[str], x: str, y: str, n_boot: int, seed: int,
+                        grid: int = 0, block: int = 0) -> DataFrame:
+    """Per group and replicate: Spearman correlation of the weighted cells on
+    the rank grid. Returns keys, r, spearman."""
+    from docreason.session import ship_package
+    ship_package(cells.sparkSession)
+    grid, block = grid or RANK_GRID, block or RANK_BLOCK
+    placed = rank_grid(rank_grid(cells, keys, x, grid), keys, y, grid)
+    on_grid = placed.groupBy(*keys, x, y).agg(F.sum("m").alias("m"))
+    blocks = on_grid.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // block))))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(x, "ascending"), (y, "ascending")])
+        at = int(table["_block"][0].as_py()) * block
+        n = min(block, n_boot - at)
+        group = [table[k][0].as_py() for k in keys]
+        gx, gy = table[x].to_numpy(), table[y].to_numpy()
+        w = np.stack([_draws(seed, (*group, int(a), int(b)), m, n_boot)[at: at + n]
+                      for a, b, m in zip(gx, gy, table["m"].to_pylist())]).astype(float)
+
+        def ranks(g: np.ndarray) -> np.ndarray:
+            at_value = np.zeros((int(g.max()) + 1, n))
+            np.add.at(at_value, g, w)
+            below = np.cumsum(at_value, axis=0) - at_value
+            return (below + (at_value + 1) / 2)[g]
+
+        rx, ry, total = ranks(gx), ranks(gy), w.sum(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mx, my = (w * rx).sum(axis=0) / total, (w * ry).sum(axis=0) / total
+            vx, vy = (w * (rx - mx) ** 2).sum(axis=0), (w * (ry - my) ** 2).sum(axis=0)
+            rho = (w * (rx - mx) * (ry - my)).sum(axis=0) / np.sqrt(vx * vy)
+        rho = np.where((total >= 2) & (vx > 0) & (vy > 0), rho, np.nan)
+        cols = {k: pa.array([v] * n, table.schema.field(k).type) for k, v in zip(keys, group)}
+        return pa.table(cols | {"r": np.arange(at, at + n, dtype=np.int32), "spearman": pa.array(rho, from_pandas=True)})
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", r int, spearman double"
+    return blocks.groupBy(*keys, "_block").applyInArrow(run, schema)
 
 
 def _fmt(mid, lo, hi):
     return F.format_string("%.3f [%.3f, %.3f]", mid, lo, hi)
 
 
+def _metric_sums(edges: list[float]):
+    """Matrix of the sums that A15's metrics are made of, over cells of gold
+    and pred: totals, errors, moments, then weights and golds by bin."""
+    def sums(values: dict[str, np.ndarray]) -> np.ndarray:
+        g, p = values["gold"].astype(float), values["pred"].astype(float)
+        err = p - g
+
+        def anchor(v: np.ndarray) -> np.ndarray:
+            return np.where(v <= 0.25, 0.0, np.where(v <= 0.75, 0.5, 1.0))
+
+        inside = np.searchsorted(np.array(edges), p, side="right")[:, None] == np.arange(1, len(edges))
+        return np.column_stack([np.ones(len(g)), np.abs(err), err * err, anchor(g) == anchor(p), g, p, g * g, p * p, g * p,
+                                inside, inside * g[:, None]]).astype(float)
+    names = ["w", "ae", "se", "tri", "g", "p", "gg", "pp", "gp"]
+    n = len(edges) - 1
+    return sums, names + [f"wb{i}" for i in range(n)] + [f"gb{i}" for i in range(n)]
+
+
 def bootstrap_metrics(cl: DataFrame, keys: list[str], n_boot: int = N_BOOT,
                       seed: int = SEED_PER_DOMAIN, n_bins: int = N_CAL_BINS) -> DataFrame:
-    """One replicate draw shared by MAE, RMSE, Brier, Pearson, Spearman,
-    ECE and three-class accuracy, each reported as "median [lo, hi]"; plus
-    the trace-similarity mean interval (A12, its own draw) and median."""
-    from docreason.session import materialize
-    cells = materialize(cl.groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("m")), "boot-cells")
-    # Size check on the small cell table: when no group has more than
-    # CELL_WINDOW_LIMIT cells, per-replicate rank windows hold at most that
-    # many rows and need no value buckets.
-    max_cells = cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    rank_buckets = 1 if max_cells <= CELL_WINDOW_LIMIT else N_BUCKETS
-    # The replicate weights feed five aggregates; they are written once (a
-    # table in the shared checkpoint folder) instead of drawn five times.
-    w = materialize(poisson_weights(cells, keys, ["gold", "pred"], n_boot, seed), "boot-weights")
+    """Replicates of MAE, RMSE, Brier, Pearson, Spearman, ECE and
+    three-class accuracy, each reported as "median [lo, hi]", and ``n_usable``,
+    the replicates with any weight; plus the trace-similarity mean interval
+    (A12, its own draw) and median. Spearman has a draw of its own, on its
+    rank grid; the other six metrics share one."""
+    cells = cl.groupBy(*keys, "gold", "pred").agg(F.count(F.lit(1)).alias("m"))
     rk = keys + ["r"]
-    err = F.col("pred") - F.col("gold")
-    basic_aggs = [
-        (F.sum(F.col("w") * F.abs(err)) / F.sum("w")).alias("mae"),
-        (F.sum(F.col("w") * err * err) / F.sum("w")).alias("brier"),
-        (F.sum(F.col("w") * (tri_anchor("gold") == tri_anchor("pred")).cast("double")) / F.sum("w")).alias("tri_acc"),
-        weighted_pearson("gold", "pred", "w").alias("pearson")]
-    # Spearman: weighted mid-ranks per replicate. Within the size check the
-    # rank of a value is (weight at or below it) - (its weight) + (its
-    # weight + 1) / 2, from RANGE windows on the (group, replicate)
-    # partitioning: one shuffle, no join back. Beyond it, ranks come from the
-    # two-level running totals and are joined back.
-    if rank_buckets == 1:
-        wp = w.repartition(*rk)
-        up_to = lambda c: Window.partitionBy(*rk).orderBy(c).rangeBetween(Window.unboundedPreceding, 0)
-        ranked = (wp.withColumn("_wg", F.sum("w").over(Window.partitionBy(*rk, "gold")))
-                  .withColumn("_rg", F.sum("w").over(up_to("gold")) - F.col("_wg") + (F.col("_wg") + 1) / 2.0)
-                  .withColumn("_wp", F.sum("w").over(Window.partitionBy(*rk, "pred")))
-                  .withColumn("_rp", F.sum("w").over(up_to("pred")) - F.col("_wp") + (F.col("_wp") + 1) / 2.0))
-        sp = ranked.groupBy(*rk).agg(weighted_pearson("_rg", "_rp", "w").alias("spearman"))
-    else:
-        rg = running_below(w.groupBy(*rk, "gold").agg(F.sum("w").alias("wv")), rk, "gold", "wv", rank_buckets, keys) \
-            .select(*rk, "gold", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rg"))
-        rp = running_below(w.groupBy(*rk, "pred").agg(F.sum("w").alias("wv")), rk, "pred", "wv", rank_buckets, keys) \
-            .select(*rk, "pred", (F.col("below") + (F.col("wv") + 1) / 2.0).alias("_rp"))
-        sp = (w.join(rg, rk + ["gold"]).join(rp, rk + ["pred"])
-              .groupBy(*rk).agg(weighted_pearson("_rg", "_rp", "w").alias("spearman")))
-    # The written weights are cheap to re-read; the other aggregates scan them
-    # directly rather than the windowed frame.
-    basic = w.groupBy(*rk).agg(*basic_aggs).withColumn("rmse", F.sqrt("brier")).join(sp, rk, "left")
-    # ECE per replicate.
     edges = linspace(0.0, 1.0, n_bins + 1)
-    centers = F.array(*[F.lit((edges[b] + edges[b + 1]) / 2.0) for b in range(n_bins)])
-    eb = (with_bin(w, "bin", "pred", edges).groupBy(*rk, "bin")
-          .agg(F.sum("w").alias("wb"), F.sum(F.col("w") * F.col("gold")).alias("sg")))
-    inside = (F.col("bin") >= 0) & (F.col("bin") < n_bins)
-    wb = F.when(inside, F.col("wb"))
-    gap = F.abs(F.col("sg") / F.col("wb") - F.element_at(centers, F.col("bin") + 1))
-    ec = eb.groupBy(*rk).agg((F.sum(wb * gap) / F.sum(wb)).alias("ece"))
-    reps = basic.join(ec, rk, "left")
-    names = ["mae", "rmse", "brier", "pearson", "spearman", "ece", "tri_acc"]
-    q = reps.groupBy(*keys).agg(*[F.percentile(c, [0.025, 0.5, 0.975]).alias(c) for c in names])
+    sums, names = _metric_sums(edges)
+    s = replicate_sums(cells, keys, ["gold", "pred"], n_boot, seed, sums, names)
+    w = F.when(F.col("w") > 0, F.col("w"))
+    vx, vy = F.col("gg") - F.col("g") * F.col("g") / w, F.col("pp") - F.col("p") * F.col("p") / w
+    ok = (w >= 2) & (vx > 1e-12 * F.col("gg")) & (vy > 1e-12 * F.col("pp"))
+    gaps, filled = [], []
+    for i in range(n_bins):
+        wb, gb = F.col(f"wb{i}"), F.col(f"gb{i}")
+        filled.append(wb)
+        gaps.append(F.when(wb > 0, wb * F.abs(gb / wb - (edges[i] + edges[i + 1]) / 2.0)).otherwise(0.0))
+    total = sum(filled[1:], filled[0])
+    reps = s.select(
+        *rk, w.alias("w"), (F.col("ae") / w).alias("mae"), (F.col("se") / w).alias("brier"),
+        F.sqrt(F.col("se") / w).alias("rmse"), (F.col("tri") / w).alias("tri_acc"),
+        F.when(ok, (F.col("gp") - F.col("g") * F.col("p") / w) / F.sqrt(vx * vy)).alias("pearson"),
+        F.when(total > 0, sum(gaps[1:], gaps[0]) / total).alias("ece"))
+    names = ["mae", "rmse", "brier", "pearson", "ece", "tri_acc"]
+    q = reps.groupBy(*keys).agg(F.count("w").alias("n_usable"),
+                                *[F.percentile(c, [0.025, 0.5, 0.975]).alias(c) for c in names])
+    sp = (spearman_replicates(cells, keys, "gold", "pred", n_boot, seed + 2)
+          .groupBy(*keys).agg(F.percentile("spearman", [0.025, 0.5, 0.975]).alias("spearman")))
     n = cells.groupBy(*keys).agg(F.sum("m").alias("n"))
-    out = n.join(q, keys).select(*keys, "n", *[_fmt(F.col(c)[1], F.col(c)[0], F.col(c)[2]).alias(c)
-                                               for c in names])
+    out = join_on(join_on(n, q, keys), sp, keys, "left")
+    order = ["mae", "rmse", "brier", "pearson", "spearman", "ece", "tri_acc"]
+    out = out.select(*keys, "n", "n_usable", *[_fmt(F.col(c)[1], F.col(c)[0], F.col(c)[2]).alias(c) for c in order])
     # Trace similarity: mean interval from its own cells and draw, exact median.
-    tcells = cl.groupBy(*keys, "trace_sim").agg(F.count(F.lit(1)).alias("m"))
-    tw = poisson_weights(tcells, keys, ["trace_sim"], n_boot, seed + 1)
-    tq = (tw.groupBy(*rk).agg((F.sum(F.col("w") * F.col("trace_sim")) / F.sum("w")).alias("tm"))
-          .groupBy(*keys).agg(F.percentile("tm", [0.025, 0.5, 0.975]).alias("tq")))
+    means = replicate_means_poisson(cl, keys, "trace_sim", n_boot, seed + 1)
+    tq = means.groupBy(*keys).agg(F.percentile("rep_mean", [0.025, 0.5, 0.975]).alias("tq"))
     tmed = exact_quantile(cl, keys, "trace_sim", 0.5, "trace_median")
-    return (out.join(tq, keys, "left").join(tmed, keys, "left")
+    return (join_on(join_on(out, tq, keys, "left"), tmed, keys, "left")
             .withColumn("trace_mean_ci", _fmt(F.col("tq")[1], F.col("tq")[0], F.col("tq")[2]))
             .drop("tq").withColumn("trace_median", rnd("trace_median")))
 
@@ -259,25 +341,23 @@ def mean_ci_poisson(values: DataFrame, keys: list[str], value: str, n_boot: int
     """A12 at the full replicate count: Poisson-bootstrap interval of the mean
     per group, from value cells (distinct values with multiplicity). Returns
     keys, n_valid, mean, ci_lo, ci_hi (middle = sample mean)."""
-    from docreason.session import materialize
-    v = values.where(F.col(value).isNotNull())
-    cells = materialize(v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m")), "mean-cells")
-    w = poisson_weights(cells, keys, [value], n_boot, seed)
-    reps = w.groupBy(*keys, "r").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("rm"))
-    q = reps.groupBy(*keys).agg(F.percentile("rm", [0.025, 0.975]).alias("_q"))
-    obs = cells.groupBy(*keys).agg(F.sum("m").alias("n_valid"),
-                                   (F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("_mean"))
-    return obs.join(q, keys, "left").select(*keys, "n_valid", rnd("_mean").alias("mean"),
-                                           rnd(F.col("_q")[0]).alias("ci_lo"), rnd(F.col("_q")[1]).alias("ci_hi"))
+    reps = replicate_means_poisson(values, keys, value, n_boot, seed)
+    q = reps.groupBy(*keys).agg(F.percentile("rep_mean", [0.025, 0.975]).alias("_q"))
+    obs = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_valid"), F.avg(value).alias("_mean"))
+    return join_on(obs, q, keys, "left").select(
+        *keys, "n_valid", rnd("_mean").alias("mean"), rnd(F.col("_q")[0]).alias("ci_lo"), rnd(F.col("_q")[1]).alias("ci_hi"))
 
 
 def replicate_means_poisson(values: DataFrame, keys: list[str], value: str, n_boot: int = N_BOOT,
                             seed: int = 42) -> DataFrame:
-    """Per group and replicate: Poisson-weighted mean over value cells.
-    Returns keys, r, rep_mean (the replicate table is written once)."""
-    from docreason.session import materialize
-    v = values.where(F.col(value).isNotNull())
-    cells = materialize(v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m")), "rep-cells")
-    w = poisson_weights(cells, keys, [value], n_boot, seed)
-    return materialize(w.groupBy(*keys, "r").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("rep_mean")),
-                       "rep-means")
+    """Per group and replicate: Poisson-weighted mean over value cells (NULL
+    if all weights are zero). Returns keys, r, rep_mean."""
+    cells = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m"))
+
+    def sums(cols: dict[str, np.ndarray]) -> np.ndarray:
+        v = cols[value].astype(float)
+        return np.column_stack([np.ones(len(v)), v])
+
+    s = replicate_sums(cells, keys, [value], n_boot, seed, sums, ["_w", "_wv"])
+    return s.select(*keys, "r", F.when(F.col("_w") > 0, F.col("_wv") / F.col("_w")).alias("rep_mean"))

@@ -1,21 +1,17 @@
-"""Joins of large tables with small per-group summaries."""
+"""Null-safe joins with per-group summaries."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Per-group summary tables up to this many rows are broadcast.
-SMALL_ROWS = 100_000
-
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join ``big`` with a summary table. The summary is written once (it is
-    tiny) and counted; it is broadcast only when the count proves it small,
-    otherwise the join shuffles both sides (AQE splits skewed keys)."""
-    from docreason.session import materialize
-    small = materialize(small, "summary")
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` (a NULL key meets a NULL key, as it does in groupBy)
+    and keep the left side's key columns. Whether a side is broadcast is left
+    to Spark, which knows the sides' sizes at run time."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docreason.functions.scores import (
     abs_err, bucketize, clip01, coerce_float, correct_bin, linspace, rnd, tri_anchor, with_bin)
+from docreason.operators.joins import join_on
 from docreason.operators.ranks import exact_quantile, pearson, spearman
 from docreason.schemas import ARMS, BUCKETS, N_CAL_BINS, N_HIST_BINS
 
@@ -48,14 +49,14 @@ def arm_metrics(cl: DataFrame, keys: list[str]) -> DataFrame:
     """A2-A4, A9, A10 per group over complete rows."""
     err = F.col("pred") - F.col("gold")
     med = exact_quantile(cl, keys, "trace_sim", 0.5, "_med")
-    return cl.groupBy(*keys).agg(
+    base = cl.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         rnd(F.avg(F.abs(err))).alias("mae"),
         rnd(F.sqrt(F.avg(err * err))).alias("rmse"),
         rnd(F.avg(err * err)).alias("brier"),
         rnd(F.avg((tri_anchor("gold") == tri_anchor("pred")).cast("double"))).alias("tri_acc"),
-        rnd(F.avg("trace_sim")).alias("trace_mean")).join(med, keys, "left") \
-        .withColumn("trace_median", rnd("_med")).drop("_med")
+        rnd(F.avg("trace_sim")).alias("trace_mean"))
+    return join_on(base, med, keys, "left").withColumn("trace_median", rnd("_med")).drop("_med")
 
 
 def quality_summary(df: DataFrame, keys: list[str], id_col: str = "question_id") -> DataFrame:
@@ -92,7 +93,7 @@ def joint_correlation(cl: DataFrame, keys: list[str]) -> DataFrame:
         rnd(F.avg(1.0 + F.col("neg_err"))).alias("mean_quality"))
     sp = spearman(d, keys, "trace_sim", "neg_err").select(
         *keys, rnd("spearman").alias("spearman_trace_err"))
-    return base.join(sp, keys, "left")
+    return join_on(base, sp, keys, "left")
 
 
 def _bin_grid(df: DataFrame, keys: list[str], n_bins: int) -> DataFrame:
@@ -126,7 +127,7 @@ def calibration_curve(cl: DataFrame, keys: list[str], y: str, p: str,
     centers = [(edges[b] + edges[b + 1]) / 2.0 for b in range(n_bins)]
     center = F.element_at(F.array(*[F.lit(c) for c in centers]), F.col("bin") + 1)
     binned = _curve(cl, keys, y, p, n_bins, close_last).drop("center", "_in")
-    return (_bin_grid(cl, keys, n_bins).join(binned, keys + ["bin"], "left")
+    return (join_on(_bin_grid(cl, keys, n_bins), binned, keys + ["bin"], "left")
             .select(*keys, "bin", center.alias("center"), rnd("_mean").alias(y_name),
                     F.coalesce("n_bin", F.lit(0)).alias("n_bin")))
 
@@ -139,7 +140,7 @@ def ece(cl: DataFrame, keys: list[str], y: str = "gold", p: str = "pred",
     agg = _curve(cl, keys, y, p, n_bins, close_last).groupBy(*keys).agg(
         (F.sum(inb * F.abs(F.col("_mean") - F.col("center"))) / F.sum(inb)).alias("_ece"),
         F.sum(inb).alias("n_binned"))
-    return (cl.select(*keys).distinct().join(agg, keys, "left")
+    return (join_on(cl.select(*keys).distinct(), agg, keys, "left")
             .select(*keys, rnd("_ece").alias("ece"), F.coalesce("n_binned", F.lit(0)).alias("n_binned")))
 
 
@@ -157,7 +158,7 @@ def misalignment_table(cl: DataFrame, keys: list[str]) -> DataFrame:
     counts = d.groupBy(*keys, "trace_bucket").pivot("err_bucket", BUCKETS).count()
     grid = cl.select(*keys).distinct().select(
         *keys, F.explode(F.array(*[F.lit(b) for b in BUCKETS])).alias("trace_bucket"))
-    return grid.join(counts, keys + ["trace_bucket"], "left").select(
+    return join_on(grid, counts, keys + ["trace_bucket"], "left").select(
         *keys, "trace_bucket", *[F.coalesce(F.col(b), F.lit(0)).alias(b) for b in BUCKETS])
 
 
@@ -168,7 +169,7 @@ def residual_histogram(cl: DataFrame, keys: list[str], n_bins: int = N_HIST_BINS
     binned = (with_bin(cl, "bin", F.col("pred") - F.col("gold"), edges, close_last=True)
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
     arr = lambda xs: F.array(*[F.lit(x) for x in xs])
-    return _bin_grid(cl, keys, n_bins).join(binned, keys + ["bin"], "left").select(
+    return join_on(_bin_grid(cl, keys, n_bins), binned, keys + ["bin"], "left").select(
         *keys, "bin", F.element_at(arr(edges[:-1]), F.col("bin") + 1).alias("lo"),
         F.element_at(arr(edges[1:]), F.col("bin") + 1).alias("hi"),
         F.coalesce("n", F.lit(0)).alias("n"))
@@ -193,13 +194,13 @@ def trace_histogram(cl: DataFrame, keys: list[str], x: str = "trace_sim",
     # Aggregate to value counts first: only distinct values meet the
     # per-group range table.
     counts = cl.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
-    binned = (counts.join(rng, keys).withColumn("_k0", k0)
+    binned = (join_on(counts, rng, keys).withColumn("_k0", k0)
               .withColumn("_k1", F.when(v < edge(F.col("_k0")), F.col("_k0") - 1).otherwise(F.col("_k0")))
               .withColumn("bin", F.when((F.col("_k1") < n_bins - 1) & (v >= edge(F.col("_k1") + 1)),
                                         F.col("_k1") + 1).otherwise(F.col("_k1")))
               .groupBy(*keys, "bin").agg(F.sum("_c").alias("n")))
-    grid = _bin_grid(cl, keys, n_bins).join(rng, keys)
-    return grid.join(binned, keys + ["bin"], "left").select(
+    grid = join_on(_bin_grid(cl, keys, n_bins), rng, keys)
+    return join_on(grid, binned, keys + ["bin"], "left").select(
         *keys, "bin", rnd(edge(F.col("bin"))).alias("lo"), rnd(edge(F.col("bin") + 1)).alias("hi"),
         F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docreason.functions.scores import rnd
 from docreason.functions.stats import norm_sf_udf, t_sf_udf
-from docreason.operators.joins import join_small
+from docreason.operators.joins import join_on
 from docreason.operators.ranks import cliffs_delta, running_below
 from docreason.schemas import ARMS
 
@@ -41,7 +41,7 @@ def matched_pivot(cl: DataFrame, group: list[str], item: str, value: str, arms=A
         wide = wide.withColumn(a, F.round(F.col(a), 12))
     n_present = present_arms(cl, group, arms).groupBy(*group).agg(F.count(F.lit(1)).alias("_n_arms"))
     n_values = sum(F.col(a).isNotNull().cast("int") for a in arms)
-    return (join_small(wide, n_present, group).where(n_values == F.col("_n_arms")).drop("_n_arms"))
+    return join_on(wide, n_present, group).where(n_values == F.col("_n_arms")).drop("_n_arms")
 
 
 def adjacent_pairs(cl: DataFrame, group: list[str], arms=ARMS) -> DataFrame:
@@ -63,27 +63,27 @@ def paired_differences(cl: DataFrame, group: list[str], item: str, metrics: dict
     names = list(metrics)
     wide = cl.groupBy(*group, item).pivot("arm", arms).agg(
         *[F.round(F.avg(m), 12).alias(m) for m in names])
-    # One small per-group table: the adjacent pairs and the number of arms
-    # present; joined to the per-item rows behind a size check.
-    p = present_arms(cl, group, arms)
-    w = Window.partitionBy(*group).orderBy("arm_ord")
-    pairs = (p.withColumn("arm_b", F.lead("arm").over(w))
-             .withColumn("_n_arms", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-             .where(F.col("arm_b").isNotNull())
-             .select(*group, F.col("arm").alias("arm_a"), "arm_b", "_n_arms"))
-    j = join_small(wide, pairs, group)
-    out = None
+    # Per group the arms present, in order, from the same pivoted rows: an arm
+    # is present if any item has a row for it.
+    names_of = lambda a, m: f"{a}_{m}" if len(names) > 1 else a
+    arms_here = cl.groupBy(*group).agg(F.collect_set("arm").alias("_arms"))
+    order = F.filter(F.array(*[F.lit(a) for a in arms]), lambda a: F.array_contains("_arms", a))
+    pairs = arms_here.select(*group, order.alias("_order")).select(
+        *group, F.size("_order").alias("_n_arms"),
+        F.explode(F.zip_with(F.expr("slice(_order, 1, greatest(size(_order) - 1, 0))"),
+                             F.expr("slice(_order, 2, greatest(size(_order) - 1, 0))"),
+                             lambda a, b: F.struct(a.alias("arm_a"), b.alias("arm_b")))).alias("_pair"))
+    j = join_on(wide, pairs.select(*group, "_n_arms", "_pair.arm_a", "_pair.arm_b"), group)
+    cases = []
     for metric, direction in metrics.items():
-        col = (lambda a: f"{a}_{metric}") if len(names) > 1 else (lambda a: a)
-        complete = sum(F.col(col(a)).isNotNull().cast("int") for a in arms) == F.col("_n_arms")
-        m = F.create_map(*[x for a in arms for x in (F.lit(a), F.col(col(a)))])
-        rows = (j.where(complete)
-                .select(*group, F.lit(metric).alias("metric"), "arm_a", "arm_b", item,
-                        m[F.col("arm_a")].alias("x_a"), m[F.col("arm_b")].alias("x_b")))
-        d = F.col("x_a") - F.col("x_b") if direction == "a-b" else F.col("x_b") - F.col("x_a")
-        rows = rows.withColumn("d", d)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        values = F.create_map(*[x for a in arms for x in (F.lit(a), F.col(names_of(a, metric)))])
+        x_a, x_b = values[F.col("arm_a")], values[F.col("arm_b")]
+        n_values = sum(F.col(names_of(a, metric)).isNotNull().cast("int") for a in arms)
+        cases.append(F.struct(
+            F.lit(metric).alias("metric"), x_a.alias("x_a"), x_b.alias("x_b"),
+            (x_a - x_b if direction == "a-b" else x_b - x_a).alias("d"), (n_values == F.col("_n_arms")).alias("complete")))
+    return (j.select(*group, "arm_a", "arm_b", item, F.explode(F.array(*cases)).alias("_m")).where("_m.complete")
+            .select(*group, "_m.metric", "arm_a", "arm_b", item, "_m.x_a", "_m.x_b", "_m.d"))
 
 
 def paired_t(diffs: DataFrame, group: list[str]) -> DataFrame:
@@ -112,7 +112,8 @@ def wilcoxon(diffs: DataFrame, group: list[str]) -> DataFrame:
     agg = ranked.groupBy(*keys).agg(
         F.sum("cnt").alias("n_nonzero"),
         F.sum(F.col("cnt_pos") * F.col("avg_rank")).alias("w"),
-        F.sum(F.col("cnt") * F.col("cnt") * F.col("cnt") - F.col("cnt")).alias("_ties"))
+        # In DOUBLE: the cube of a tie of a few million rows exceeds BIGINT.
+        F.sum(F.pow(F.col("cnt").cast("double"), F.lit(3.0)) - F.col("cnt")).alias("_ties"))
     n = F.col("n_nonzero").cast("double")
     mean = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0

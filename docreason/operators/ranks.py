@@ -7,10 +7,13 @@ total of the counts is built in two levels so that no task holds a whole
 group, even when one group carries a large share of all rows:
 
 1. per group, approximate quantiles of the distinct values cut the value axis
-   into ``n_buckets`` ranges;
+   into ranges of about ``ROWS_PER_BUCKET`` distinct values (``GRID`` at most);
 2. inside each (group, bucket) a window sums the counts of smaller values;
-3. the totals of the earlier buckets of the group (at most ``n_buckets`` rows
+3. the totals of the earlier buckets of the group (at most ``GRID`` rows
    per group) are added as an offset.
+
+The number of buckets follows the group's distinct count; nothing else depends
+on size. Keys may be NULL: every join is null-safe.
 """
 
 from __future__ import annotations
@@ -18,52 +21,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N_BUCKETS = 64
-# A value-count table whose planned size is at most this fits one task, so
-# each group's running total can be a plain window (the size gate is the same
-# kind of plan estimate Spark uses to choose broadcast joins; aggregates
-# inherit their input's size, so it over-estimates, and unknown sizes are
-# treated as huge).
-SINGLE_TASK_BYTES = 128 * 1024 * 1024
-
+from docreason.operators.joins import join_on
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: assume large
-        return 1 << 62
+GRID = 1024
+ROWS_PER_BUCKET = 200_000
+# Bounds searched at a time: a value looks at every STRIDE-th bound, then at
+# one stretch of STRIDE.
+STRIDE = 32
 
 
 def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
-                  n_buckets: int | None = None, bound_keys: list[str] | None = None) -> DataFrame:
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``below``: total ``weight`` of strictly smaller ``value`` in the same
-    ``keys`` group. ``counts`` must hold one row per (keys, value).
-
-    ``bound_keys`` (a prefix of ``keys``) shares one set of bucket bounds
-    among groups with the same values, e.g. all replicates of a sample.
-    ``n_buckets=None`` chooses by the planned size of ``counts``: one bucket
-    (a plain window per group) when the whole table fits one task, else
-    ``N_BUCKETS``."""
-    if n_buckets is None:
-        n_buckets = 1 if estimated_bytes(counts) <= SINGLE_TASK_BYTES else None
-    if n_buckets is None:
-        # Plan estimates multiply across joins; write the (aggregated) count
-        # table once and decide on its real, compressed size.
-        from docreason.session import materialize
-        counts = materialize(counts, "rank-counts")
-        n_buckets = 1 if estimated_bytes(counts) <= SINGLE_TASK_BYTES // 8 else N_BUCKETS
-    if n_buckets <= 1:
-        # Caller has checked that one group's distinct values fit one task.
-        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("below", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bk = bound_keys or keys
-    bounds = counts.groupBy(*bk).agg(
-        F.percentile_approx(value, probs, 10000).alias("_bounds"))
-    with_bucket = (counts.join(bounds, bk, "left")
-                   .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
-                   .drop("_bounds"))
+    ``keys`` group. ``counts`` must hold one row per (keys, value)."""
+    quantiles = F.percentile_approx(value, [i / GRID for i in range(1, GRID)], 10000)
+    grid = counts.groupBy(*keys).agg(quantiles.alias("_grid"), F.count(F.lit(1)).alias("_d"))
+    k = F.least(F.lit(GRID), F.ceil(F.col("_d") / rows_per_bucket)).cast("int")
+    bounds = F.when((k > 1) & F.col("_grid").isNotNull(), F.transform(
+        F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))),
+        lambda i: F.element_at("_grid", (i * GRID / k).cast("int")))).otherwise(F.slice("_grid", 1, 0))
+    grid = grid.select(*keys, bounds.alias("_bounds")).withColumn(
+        "_coarse", F.filter("_bounds", lambda b, i: i % STRIDE == 0))
+    less = lambda b: b < F.col(value)
+    first = F.greatest(F.size(F.filter("_coarse", less)) - 1, F.lit(0)) * STRIDE
+    bucket = first + F.size(F.filter(F.slice("_bounds", first + 1, F.lit(STRIDE)), less))
+    with_bucket = join_on(counts, grid, keys, "left").withColumn("_bucket", bucket).drop("_bounds", "_coarse")
     w_local = (Window.partitionBy(*keys, "_bucket").orderBy(value)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = with_bucket.withColumn("_local", F.coalesce(F.sum(weight).over(w_local), F.lit(0)))
@@ -72,15 +54,15 @@ def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*keys, "_bucket",
                             F.coalesce(F.sum("_btotal").over(w_off), F.lit(0)).alias("_offset"))
-    return (local.join(offsets, keys + ["_bucket"], "left")
+    return (join_on(local, offsets, keys + ["_bucket"], "left")
             .withColumn("below", F.col("_offset") + F.col("_local"))
             .drop("_bucket", "_local", "_offset"))
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "cnt",
-                  n_buckets: int | None = None) -> DataFrame:
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Average (mid) ranks of each distinct value: ties share below + (w + 1) / 2."""
-    return (running_below(counts, keys, value, weight, n_buckets)
+    return (running_below(counts, keys, value, weight, rows_per_bucket)
             .withColumn("avg_rank", F.col("below") + (F.col(weight) + 1) / 2.0))
 
 
@@ -118,7 +100,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         .select(*keys, x, F.col("avg_rank").alias("_rx"))
     ry = average_ranks(cells.groupBy(*keys, y).agg(F.sum("_m").alias("cnt")), keys, y) \
         .select(*keys, y, F.col("avg_rank").alias("_ry"))
-    joined = cells.join(rx, keys + [x]).join(ry, keys + [y])
+    joined = join_on(join_on(cells, rx, keys + [x]), ry, keys + [y])
     return joined.groupBy(*keys).agg(
         F.sum("_m").alias("n"), weighted_pearson("_rx", "_ry", "_m").alias("spearman"))
 
@@ -130,17 +112,18 @@ def cliffs_delta(counts: DataFrame, keys: list[str], value: str,
     ``counts`` holds one row per (keys, value) with the number of a values
     (``na``) and b values (``nb``) equal to it. Each value of a counts the b
     values below and above it from running sums of the b counts over the
-    distinct values: O(distinct values), no pairs and no sampling.
+    distinct values: O(distinct values), no pairs and no sampling. Products of
+    counts are taken in DOUBLE, which billions of rows a side do not overflow.
     Returns keys, n_a, n_b, cliffs_delta (NULL when a side is empty).
     """
     ranked = running_below(counts, keys, value, nb)
     totals = counts.groupBy(*keys).agg(F.sum(na).alias("n_a"), F.sum(nb).alias("n_b"))
-    per_value = ranked.join(totals, keys).withColumn(
+    per_value = join_on(ranked, totals, keys).withColumn(
         "_above", F.col("n_b") - F.col("below") - F.col(nb))
+    dominance = F.sum(F.col(na).cast("double") * (F.col("below") - F.col("_above")).cast("double"))
     return per_value.groupBy(*keys).agg(
         F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"),
-        F.try_divide(F.sum(F.col(na) * (F.col("below") - F.col("_above"))).cast("double"),
-                     (F.max("n_a") * F.max("n_b")).cast("double")).alias("cliffs_delta"))
+        F.try_divide(dominance, F.max("n_a").cast("double") * F.max("n_b").cast("double")).alias("cliffs_delta"))
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str = "quantile") -> DataFrame:
@@ -152,7 +135,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
     ranked = running_below(counts, keys, value, "_c")
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     pos = (F.col("_n") - 1) * q
-    j = ranked.join(n, keys).withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos)) \
+    j = join_on(ranked, n, keys).withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos)) \
         .withColumn("_frac", pos - F.floor(pos))
     hit_lo = (F.col("below") <= F.col("_lo")) & (F.col("_lo") < F.col("below") + F.col("_c"))
     hit_hi = (F.col("below") <= F.col("_hi")) & (F.col("_hi") < F.col("below") + F.col("_c"))

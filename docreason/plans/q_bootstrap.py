@@ -26,7 +26,7 @@ def _reps_ctes(metrics: list[str]) -> tuple[str, ...]:
         "count(*) over (partition by metric, domain, arm) as n from vals",
         "grp AS select distinct metric, domain, arm, n from sized",
         f"draws AS select metric, domain, arm, n, r, unnest(range(n)) as j from grp, range({HASH_B}) t(r)",
-        f"hd AS select metric, domain, arm, n, r, ('0x' || substr(md5(concat_ws('-', '{SEED_CROSS_DOMAIN}', metric, domain, arm, r, j)), 1, 8))::BIGINT % n as k from draws",
+        f"hd AS select metric, domain, arm, n, r, ('0x' || substr(md5(concat_ws('-', '{SEED_CROSS_DOMAIN}', metric, domain, arm, r, j)), 1, 15))::BIGINT % n as k from draws",
         "reps AS select h.metric, h.domain, h.arm, h.r, sum(s.value) / max(h.n) as rep_mean "
         "from hd h join sized s on s.metric = h.metric and s.domain = h.domain and s.arm = h.arm and s.idx = h.k "
         "group by h.metric, h.domain, h.arm, h.r",
@@ -59,12 +59,14 @@ def q_boot_diff(spark, sf):
 
 
 @register("bootstrap_did_hash", _q("""
-select e1.metric, e1.arm, e1.domain as domain_a, e2.domain as domain_b,
+select w.metric, w.arm, d.da as domain_a, d.db as domain_b,
   round(avg(e1.e - e2.e), 9) as did_mean, round(quantile_cont(e1.e - e2.e, 0.025), 9) as ci_lo,
   round(quantile_cont(e1.e - e2.e, 0.975), 9) as ci_hi
-from eff e1 join eff e2 on e1.metric = e2.metric and e1.arm = e2.arm and e1.r = e2.r
-join doms d on d.metric = e1.metric and d.arm = e1.arm and d.n_domains = 2 and e1.domain = d.da and e2.domain = d.db
-group by e1.metric, e1.arm, e1.domain, e2.domain""", *_reps_ctes(EFFECT_METRICS),
+from (select distinct metric, arm from reps where arm <> 'baseline') w
+left join doms d on d.metric = w.metric and d.arm = w.arm and d.n_domains = 2
+left join eff e1 on e1.metric = w.metric and e1.arm = w.arm and e1.domain = d.da
+left join eff e2 on e2.metric = e1.metric and e2.arm = e1.arm and e2.r = e1.r and e2.domain = d.db
+group by w.metric, w.arm, d.da, d.db""", *_reps_ctes(EFFECT_METRICS),
     "eff AS select x.metric, x.domain, x.arm, x.r, x.rep_mean - y.rep_mean as e from reps x join reps y "
     "on y.metric = x.metric and y.domain = x.domain and y.arm = 'baseline' and y.r = x.r where x.arm <> 'baseline'",
     "doms AS select metric, arm, count(distinct domain) as n_domains, min(domain) as da, max(domain) as db from eff group by metric, arm"))

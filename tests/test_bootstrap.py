@@ -26,13 +26,47 @@ def test_interval_contains_point_estimate(spark):
         assert lo - 1e-3 <= point[(row.domain, row.arm)] <= hi + 1e-3
 
 
-def test_window_and_join_rank_paths_agree(spark, monkeypatch):
-    import docreason.operators.bootstrap as B
-    cl = clean(spark, SF_SMALL)
-    a = B.bootstrap_metrics(cl, ["domain", "arm"], n_boot=100).orderBy("domain", "arm").collect()
-    monkeypatch.setattr(B, "CELL_WINDOW_LIMIT", 0)
-    b = B.bootstrap_metrics(cl, ["domain", "arm"], n_boot=100).orderBy("domain", "arm").collect()
-    assert [r.spearman for r in a] == [r.spearman for r in b]
+def test_every_replicate_is_there_and_sums_are_right(spark):
+    import numpy as np
+    from docreason.operators import bootstrap as B
+    cells = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 3), ("b", 1.0, 2), (None, 0.75, 4)], "g string, v double, m long")
+    sums = lambda c: np.column_stack([np.ones(len(c["v"])), c["v"].astype(float)])
+    rows = B.replicate_sums(cells, ["g"], ["v"], 200, 3, sums, ["w", "wv"]).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.g, {})[r.r] = (r.w, r.wv)
+    assert {g: sorted(x) for g, x in got.items()} == {g: list(range(200)) for g in ("a", "b", None)}
+    draws = {t: B._draws(3, t[:2], t[2], 200) for t in [("a", 0.5, 1), ("b", 0.25, 3), ("b", 1.0, 2), (None, 0.75, 4)]}
+    for g, by in got.items():
+        for r, (w, wv) in by.items():
+            own = [(t, d[r]) for t, d in draws.items() if t[0] == g]
+            assert w == sum(d for _, d in own) and abs(wv - sum(t[1] * d for t, d in own)) < 1e-9
+    assert any(w == 0 for w, _ in got["a"].values())  # a one-row group has empty replicates
+
+
+def test_one_row_group_reports_usable_replicates(spark):
+    from docreason.operators.bootstrap import bootstrap_metrics
+    df = spark.createDataFrame([("d", 0.5, 0.4, 0.3)], "domain string, gold double, pred double, trace_sim double")
+    r = bootstrap_metrics(df, ["domain"], n_boot=400).first()
+    assert r.n == 1 and 200 < r.n_usable < 300 and r.mae.startswith("0.100")
+
+
+def test_spearman_replicates_match_direct_ranks(spark):
+    import numpy as np
+    import pandas as pd
+    from docreason.operators import bootstrap as B
+    rng = np.random.default_rng(5)
+    cells = [(int(x), int(y), int(m)) for (x, y), m in
+             {(x, y): rng.integers(1, 5) for x, y in rng.integers(0, 9, (30, 2)).tolist()}.items()]
+    df = spark.createDataFrame([("k", float(x), float(y), m) for x, y, m in cells], "g string, x double, y double, m long")
+    got = {r.r: r.spearman for r in B.spearman_replicates(df, ["g"], "x", "y", 30, 9, block=7).collect()}
+    px = {v: i for i, v in enumerate(sorted({c[0] for c in cells}))}
+    py = {v: i for i, v in enumerate(sorted({c[1] for c in cells}))}
+    draws = {c: B._draws(9, ("k", px[c[0]], py[c[1]]), c[2], 30) for c in cells}
+    assert sorted(got) == list(range(30))
+    for r in range(30):
+        rows = pd.DataFrame([(c[0], c[1]) for c in cells for _ in range(draws[c][r])]).rank()
+        assert abs(got[r] - rows[0].corr(rows[1])) < 1e-9
 
 
 def test_poisson_mean_ci_close_to_normal_theory(spark):

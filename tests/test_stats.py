@@ -27,7 +27,7 @@ def test_average_ranks_match_brute_force(spark):
     xs = [rng.choice(range(40)) / 4 for _ in range(500)]
     df = spark.createDataFrame([(1, x) for x in xs], "g int, x double")
     counts = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    got = {r.x: r.avg_rank for r in average_ranks(counts, ["g"], "x", n_buckets=7).collect()}
+    got = {r.x: r.avg_rank for r in average_ranks(counts, ["g"], "x", rows_per_bucket=6).collect()}
     assert got == pytest.approx(brute_avg_ranks(xs))
 
 
@@ -99,9 +99,31 @@ def test_two_level_ranks_equal_plain_window(spark):
     rows = [(g, rng.randint(0, 300) / 7.0) for g in range(3) for _ in range(2000)]
     df = spark.createDataFrame(rows, "g int, x double")
     counts = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    plain = {(r.g, r.x): r.below for r in running_below(counts, ["g"], "x", "cnt", n_buckets=1).collect()}
-    split = {(r.g, r.x): r.below for r in running_below(counts, ["g"], "x", "cnt", n_buckets=64).collect()}
-    assert plain == split
+    plain = {(r.g, r.x): r.below for r in running_below(counts, ["g"], "x", "cnt").collect()}
+    for size in (1, 3, 100):  # down to more buckets than one stretch of bounds
+        split = {(r.g, r.x): r.below for r in running_below(counts, ["g"], "x", "cnt", size).collect()}
+        assert plain == split
+    own = sorted(x for g, x in rows if g == 1)
+    assert all(below == sum(v < x for v in own) for (g, x), below in plain.items() if g == 1)
+
+
+def test_ranks_with_null_keys(spark):
+    from docreason.operators.ranks import running_below
+    df = spark.createDataFrame([(None, float(x), 1) for x in range(5)] + [("a", 2.0, 3)], "g string, x double, cnt long")
+    for size in (1, 1000):
+        got = sorted(((r.g, r.x), r.below) for r in running_below(df, ["g"], "x", "cnt", size).where("g is null").collect())
+        assert got == [((None, float(x)), x) for x in range(5)]
+
+
+def test_signed_ranks_and_cliffs_delta_of_huge_counts(spark):
+    """Three million ties, and four billion rows a side, are counts here."""
+    from docreason.operators.paired import wilcoxon
+    counts = spark.createDataFrame([(1, 0.5, 4_000_000_000, 0), (1, 0.25, 0, 4_000_000_000)], "g int, v double, na long, nb long")
+    assert cliffs_delta(counts, ["g"], "v").first().cliffs_delta == 1.0
+    rows = spark.range(3_000_000).select(F.lit("m").alias("metric"), F.lit("a").alias("arm_a"), F.lit("b").alias("arm_b"),
+                                         F.lit(1).alias("g"), F.lit(0.5).alias("d"))
+    got = wilcoxon(rows, ["g"]).first()
+    assert got.n_nonzero == 3_000_000 and got.w_stat == 3_000_000 * 3_000_001 / 2 and got.z is not None
 
 
 def test_exact_quantile_matches_numpy_linear(spark):
@@ -140,10 +162,10 @@ def test_t_tail_against_numeric_integration():
             assert t_sf(t, df) == pytest.approx(0.5 - integral, abs=1e-8)
 
 
-def test_join_small_paths_agree(spark):
-    from docreason.operators.joins import join_small
-    big = spark.createDataFrame([(i % 5, i) for i in range(2000)], "g int, v long")
-    small = spark.createDataFrame([(g, g * 10) for g in range(4)], "g int, w int")
-    a = sorted(tuple(r) for r in join_small(big, small, "g").collect())
-    b = sorted(tuple(r) for r in join_small(big, small, "g", max_rows=0).collect())
-    assert a == b and len(a) == 1600
+def test_join_on_null_keys(spark):
+    from docreason.operators.joins import join_on
+    big = spark.createDataFrame([(None if i % 5 == 0 else i % 5, i) for i in range(100)], "g int, v long")
+    small = spark.createDataFrame([(g, w) for g, w in [(None, 9), (1, 10), (2, 20)]], "g int, w int")
+    assert join_on(big, small, ["g"]).columns == ["g", "v", "w"]
+    assert join_on(big, small, ["g"]).count() == 60
+    assert join_on(big, small, ["g"], "left").where("w is null").count() == 40
