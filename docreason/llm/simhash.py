@@ -290,8 +290,9 @@ def members(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
     member = joined.join(distinct, joined["node"] == distinct["fp"]).select("node", "root", "least")
     owner = member.groupBy("root").agg(F.min("least").alias("joint"))
     named = member.join(owner, "root").select(F.col("node").alias("fp"), "root", "joint")
-    ids = distinct.join(named, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("joint", "least").alias("component_id"))
+    # Stored, so that both sides of the last join are plain shuffles, whose hot keys Spark can split.
+    ids = store(distinct.join(named, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("joint", "least").alias("component_id")), "simhash-ids")
     return prints.join(ids, "fp", "left")
 
 
