@@ -37,10 +37,14 @@ def clip01(c) -> Column:
     return F.when(x.isNull(), null_d()).otherwise(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
 
 
+# What str.strip() removes (fixed by Python's definition of white space).
+PY_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c) -> Column:
     """Strip leading/trailing whitespace as str.strip() does (Spark's trim only
     removes spaces)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(PY_SPACE))
 
 
 def coerce_float(c) -> Column:
@@ -66,12 +70,12 @@ def bucketize(c, thr=BUCKET_THRESHOLDS) -> Column:
 
 def bool_flag(c) -> Column:
     """str(x).lower().strip() == 'true'."""
-    return F.coalesce(F.lower(F.trim(col(c).cast("string"))) == "true", F.lit(False))
+    return F.coalesce(F.lower(py_strip(col(c).cast("string"))) == "true", F.lit(False))
 
 
 def norm_type(c) -> Column:
     """str(x).lower().strip() of a block type; missing gives ''."""
-    return F.lower(F.trim(F.coalesce(col(c).cast("string"), F.lit(""))))
+    return F.lower(py_strip(F.coalesce(col(c).cast("string"), F.lit(""))))
 
 
 def abs_err(pred, gold) -> Column:

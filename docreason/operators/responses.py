@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docreason.functions import jsonfn as J
-from docreason.functions.scores import coerce_float
+from docreason.functions.scores import coerce_float, py_strip
 
 
 def parse_list(resp: DataFrame, content: str = "content") -> DataFrame:
@@ -41,7 +41,7 @@ def parse_object(resp: DataFrame, content: str = "content") -> DataFrame:
 
 def parse_text(resp: DataFrame, content: str = "content", strip: bool = True) -> DataFrame:
     """T4: the content as text, trimmed (T4) or as is."""
-    return resp.withColumn("text", F.trim(F.col(content)) if strip else F.col(content))
+    return resp.withColumn("text", py_strip(content) if strip else F.col(content))
 
 
 def parse_score(resp: DataFrame, content: str = "content") -> DataFrame:
@@ -49,7 +49,7 @@ def parse_score(resp: DataFrame, content: str = "content") -> DataFrame:
     Adds score (NULL unless kept) and status ok / parse_error / rejected."""
     s = coerce_float(content)
     # coerce_float maps NaN to NULL; tell a NaN apart from a parse failure.
-    nan = F.lower(F.regexp_replace(F.col(content).cast("string"), r"^\s+|\s+$", "")).isin("nan", "+nan", "-nan")
+    nan = F.lower(py_strip(F.col(content).cast("string"))).isin("nan", "+nan", "-nan")
     status = (F.when(nan, "rejected").when(s.isNull(), "parse_error")
               .when(s > -1, "ok").otherwise("rejected"))
     return resp.withColumn("status", status).withColumn("score", F.when(status == "ok", s))

@@ -7,12 +7,13 @@ QA_EVAL = """select l_partkey as question_id, l_linestatus as domain,
   case when l_orderkey % 13 = 0 then null
        else cast(cast(l_quantity as int) % 11 as double) / 10 end as pred,
   case when l_orderkey % 17 = 0 then null else l_quantity / 50 end as trace_sim
-from lineitem
-where not (l_partkey % 10 = 0 and l_linenumber % 4 = 0)"""
+from lineitem"""
 
 BLOCKS = """select doc_id, pos, pos // 4 + 1 as page,
+  case when (doc_id + pos) % 13 = 1 then chr(9) else '' end ||
   (['title','abstract','section_header','paragraph','paragraph','caption',
-    'figure','table','equation','reference_entry','unknown'])[(doc_id * 31 + (pos // 4) * 7) % 11 + 1] as type,
+    'figure','table','equation','reference_entry','unknown'])[(doc_id * 31 + (pos // 4) * 7) % 11 + 1]
+  || case when (doc_id + pos) % 13 = 0 then chr(10) else '' end as type,
   line as text, (doc_id + pos) % 5 <> 0 as split, '[' || (pos % 5) || ']' as ref
 from (select doc_id, unnest(string_split(text, chr(10))) as line,
              unnest(range(len(string_split(text, chr(10))))) as pos from documents)"""

@@ -7,33 +7,34 @@ from pyspark.sql import functions as F
 
 from docreason.functions import prompts
 from docreason.operators import blocks as BL
+from docreason.plans import sqlfrag as S
 from docreason.plans.oracle_views import with_views
 from docreason.plans.registry import register
 from docreason.plans.views import blocks as blocks_view, table
-from docreason.session import materialize
 
 
 def blocks(spark, sf):
-    """The derived block table, written once per query like a stored table."""
-    return materialize(blocks_view(spark, sf), "blocks")
+    """The derived block table: lazy, so each query reads the columns it needs."""
+    return blocks_view(spark, sf)
 
 TYPES_SPLIT = "('paragraph', 'caption', 'equation', 'reference_entry')"
 MERGED = f"""select doc_id, pos, page, type,
   case when taken then text || ' ' || ntext else text end as text,
-  case when taken then coalesce(lower(trim(cast(nsplit as varchar))) = 'true', false) else split end as split, ref
+  case when taken then coalesce(lower({S.strip('cast(nsplit as varchar)')}) = 'true', false) else split end as split, ref
 from (select *, coalesce(lag(taken) over (partition by doc_id order by page, pos), false) as consumed
       from (select *, edge and off % 2 = 0 as taken
             from (select *, sum(case when edge then 1 else 0 end) over (partition by doc_id, grp order by page, pos rows unbounded preceding) - 1 as off
                   from (select *, sum(case when edge then 0 else 1 end) over (partition by doc_id order by page, pos rows unbounded preceding) as grp
                         from (select *, coalesce(t in {TYPES_SPLIT} and flag and nt = t, false) as edge
                               from (select *, lead(t) over w as nt, lead(text) over w as ntext, lead(split) over w as nsplit
-                                    from (select *, lower(trim(coalesce(cast(type as varchar), ''))) as t,
-                                                 coalesce(lower(trim(cast(split as varchar))) = 'true', false) as flag from blocks)
+                                    from (select *, lower({S.strip("coalesce(cast(type as varchar), '')")}) as t,
+                                                 coalesce(lower({S.strip('cast(split as varchar)')}) = 'true', false) as flag from blocks)
                                     window w as (partition by doc_id order by page, pos)))))))
 where not consumed"""
 INDEXED = "select *, cast(row_number() over (partition by doc_id order by page, pos) - 1 as integer) as idx from merged"
-LABELS = ("select doc_id, lower(trim(type)) as kind, text as label, max(page) as page, min(page * 1000000 + pos) as first_seen "
-          "from blocks where lower(trim(type)) in ('figure', 'table') and text is not null group by doc_id, lower(trim(type)), text")
+_KIND = f"lower({S.strip('type')})"
+LABELS = (f"select doc_id, {_KIND} as kind, text as label, max(page) as page, min(page * 1000000 + pos) as first_seen "
+          f"from blocks where {_KIND} in ('figure', 'table') and text is not null group by doc_id, {_KIND}, text")
 PAGE_FILES = ("select distinct doc_id, page, 'docs/' || cast(doc_id as varchar) || '/pages/page-' || lpad(cast(page as varchar), 4, '0') || '.png' as path "
               "from blocks")
 
@@ -57,9 +58,9 @@ def q_index(spark, sf):
     return recs(spark, sf)
 
 
-@register("references", _q("""
+@register("references", _q(f"""
 select doc_id, ref, arg_max(coalesce(text, ''), idx) as text from indexed
-where lower(trim(type)) = 'reference_entry' and coalesce(ref, '') <> '' group by doc_id, ref"""))
+where {_KIND} = 'reference_entry' and coalesce(ref, '') <> '' group by doc_id, ref"""))
 def q_references(spark, sf):
     return BL.references(recs(spark, sf))
 

@@ -353,13 +353,13 @@ def q_stage_counts(spark, sf):
     return out
 
 
-@register("url_ingest", with_views("""
+@register("url_ingest", with_views(f"""
 select i.url, coalesce(s.page_id, (select max(page_id) from url_state where known_status is not null)
          + row_number() over (partition by s.page_id is null order by i.first_pos)) as paper_id,
   s.page_id is null as is_new, 'pending' as status,
   case when suffix(string_split(i.url, '/')[-1], 'pdf') then string_split(i.url, '/')[-1]
        else string_split(i.url, '/')[-1] || '.pdf' end as file_name
-from (select trim(url) as url, min(page_id) as first_pos from url_state where length(trim(url)) > 0 group by trim(url)) i
+from (select {S.strip('url')} as url, min(page_id) as first_pos from url_state where length({S.strip('url')}) > 0 group by {S.strip('url')}) i
 left join (select url, min(page_id) as page_id, max(known_status) as known_status from url_state
            where known_status is not null group by url) s on s.url = i.url
 where coalesce(s.known_status, '') <> 'processed'""", "url_state"))

@@ -10,6 +10,11 @@ def d(x: float) -> str:
     return f"{float(x)!r}::DOUBLE"
 
 
+def strip(x: str) -> str:
+    """str.strip() of ASCII white space."""
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
 def sql_list(xs) -> str:
     return "[" + ", ".join(d(x) for x in xs) + "]"
 

@@ -35,13 +35,12 @@ def qa_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity").cast("int") % 11).cast("double") / 10)
     trace = F.when(F.col("l_orderkey") % 17 == 0, F.lit(None).cast("double")).otherwise(
         F.col("l_quantity") / 50)
-    return (li.where(~((F.col("l_partkey") % 10 == 0) & (F.col("l_linenumber") % 4 == 0)))
-            .select(F.col("l_partkey").alias("question_id"),
-                    F.col("l_linestatus").alias("domain"),
-                    arm.alias("arm"),
-                    F.round(F.col("l_discount") * 10, 1).alias("gold"),
-                    pred.alias("pred"),
-                    trace.alias("trace_sim")))
+    return li.select(F.col("l_partkey").alias("question_id"),
+                     F.col("l_linestatus").alias("domain"),
+                     arm.alias("arm"),
+                     F.round(F.col("l_discount") * 10, 1).alias("gold"),
+                     pred.alias("pred"),
+                     trace.alias("trace_sim"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +49,14 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     slot = ((F.col("doc_id") * 31 + F.floor(F.col("pos") / 4) * 7) % 11 + 1).cast("int")
     types = F.array(*[F.lit(t) for t in BLOCK_TYPE_SLOTS])
+    # Some types come with white space around them, as models write them.
+    odd = (F.col("doc_id") + F.col("pos")) % 13
+    around = F.when(odd == 0, F.concat(F.element_at(types, slot), F.lit("\n"))).when(
+        odd == 1, F.concat(F.lit("\t"), F.element_at(types, slot))).otherwise(F.element_at(types, slot))
     return docs.select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"),
         (F.floor(F.col("pos") / 4) + 1).cast("bigint").alias("page"),
-        F.element_at(types, slot).alias("type"),
+        around.alias("type"),
         "text",
         ((F.col("doc_id") + F.col("pos")) % 5 != 0).alias("split"),
         F.concat(F.lit("["), (F.col("pos") % 5).cast("string"), F.lit("]")).alias("ref"))

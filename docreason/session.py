@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -29,10 +30,6 @@ def build_session(cores: int | str = "*", app: str = "docreason",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Score columns are long CASE/clip expressions; inferred IS NOT NULL
-        # constraints copy them into pushed-down filters (measured 2.5x slower
-        # plans, 10-30 KB filter expressions), so constraint inference is off.
-        .config("spark.sql.constraintPropagation.enabled", "false")
         .config("spark.driver.memory", driver_memory)
         .getOrCreate()
     )
@@ -44,8 +41,9 @@ def build_session(cores: int | str = "*", app: str = "docreason",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only create one of our own when
-    the setting is absent (local tests).
+    A cluster must name a shared folder there: a machine's own folder would
+    hold only what its own executors wrote. One of our own is created only
+    for a local master without the setting (tests).
     """
     sc = spark.sparkContext
     path = (spark.conf.get("spark.checkpoint.dir", None)
@@ -53,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc.getCheckpointDir():
         # An RDD checkpoint folder was set: use its parent (it adds a uuid).
         path = sc.getCheckpointDir().rstrip("/").rsplit("/", 1)[0]
+    if not path and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="docreason-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -74,10 +74,31 @@ def materialize(df, name: str):
     the sources) and lets later branches prune columns."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
+    _at_exit(spark, path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`materialize` when the program ends (results
+    that are read lazily may need it until then)."""
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append((spark, path))
+
+
+def _delete_written() -> None:
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is None:  # the session has been stopped: nothing can be deleted through it
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docreason.schemas import DESIGN_CSV
 
-PDF_MAGIC = bytes.fromhex("25504446")  # %PDF
+# The bytes a PDF file begins with (fixed by the format).
+PDF_MAGIC = b"%PDF"
 
 
 def read_url_list(spark: SparkSession, paths) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docreason.functions.scores import py_strip
+
 
 class SourceError(ValueError):
     pass
@@ -20,30 +22,36 @@ def _as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _lines(spark: SparkSession, paths) -> DataFrame:
+    """value, path, place (order within the file) of every line."""
+    return spark.read.text(_as_list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"))
+
+
 def file_kinds(spark: SparkSession, paths) -> DataFrame:
-    """One row per file: path and whether it holds a JSON array.
+    """One row per file with any text: path and whether it holds a JSON array.
 
-    An array file's text starts with '[', so one of its lines does; the
-    records of a lines file are objects, one per line, so none of its lines
-    starts with '['. A splittable line scan aggregated per file answers the
-    question without reading any file whole."""
-    return (spark.read.text(_as_list(paths))
-            .select(F.input_file_name().alias("path"), F.ltrim("value").startswith("[").alias("_b"))
-            .groupBy("path").agg(F.max("_b").alias("is_array")))
+    The first character that is not white space decides: the first non-blank
+    line of each file, by a splittable line scan aggregated per file."""
+    lines = _lines(spark, paths).withColumn("text", py_strip("value")).where("text <> ''")
+    return lines.groupBy("path").agg(F.min_by(F.col("text").startswith("["), "place").alias("is_array"))
 
 
 def read_json_arrays(spark: SparkSession, paths, schema: T.StructType,
                      strict: bool = True) -> DataFrame:
     """Files holding one top-level JSON array each; every element a row.
 
-    With ``strict`` a file whose text is not an array is an error, as the
-    loaders require."""
+    With ``strict`` a file whose text is not an array is an error (raised
+    here, naming a few), and a broken array is an error when it is read;
+    without, broken records have all-NULL columns."""
     paths = _as_list(paths)
     if strict:
-        bad = [r.path for r in file_kinds(spark, paths).where(~F.col("is_array")).collect()]
+        bad = [r.path for r in file_kinds(spark, paths).where(~F.col("is_array")).limit(5).collect()]
         if bad:
-            raise SourceError(f"top-level JSON must be an array: {bad}")
-    return spark.read.schema(schema).option("multiLine", True).json(paths)
+            raise SourceError(f"not a JSON array at the top level, among others: {bad}")
+    return (spark.read.schema(schema).option("multiLine", True)
+            .option("mode", "FAILFAST" if strict else "PERMISSIVE").json(paths))
 
 
 def read_json_lines(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
@@ -54,30 +62,35 @@ def read_json_lines(spark: SparkSession, paths, schema: T.StructType) -> DataFra
 
 
 def read_any_json(spark: SparkSession, paths, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """S3: tolerant scan. A file whose text starts with '[' is an array;
-    otherwise it is read line by line: blank lines skipped, one trailing comma
-    stripped. Returns (rows, quarantine) where quarantine holds lines that do
-    not parse even after the comma is stripped."""
-    kinds = file_kinds(spark, paths).collect()
-    arrays = [r.path for r in kinds if r.is_array]
-    lines = [r.path for r in kinds if not r.is_array]
+    """S3: tolerant scan. A file whose first character is '[' is one array;
+    any other is read line by line: blank lines skipped, one trailing comma
+    stripped. Returns (rows, quarantine): quarantine holds lines that do not
+    parse even after the comma is stripped, and the texts of array files that
+    do not parse.
+
+    No path comes to the driver: lines meet their file's kind in a join, and
+    the lines of an array file are put together again (one document, which a
+    parser needs whole)."""
     cols = [f.name for f in schema.fields]
-    rows = spark.createDataFrame([], schema).withColumn("source_file", F.lit(None).cast("string"))
-    bad = spark.createDataFrame([], "source_file string, line string")
-    if arrays:
-        rows = rows.unionByName(
-            spark.read.schema(schema).option("multiLine", True).json(arrays)
-            .withColumn("source_file", F.input_file_name()))
-    if lines:
-        txt = (spark.read.text(lines).withColumn("source_file", F.input_file_name())
-               .withColumn("line", F.trim("value")).where(F.length("line") > 0))
-        fixed = F.when(F.col("line").endswith(","), F.expr("substring(line, 1, length(line) - 1)")) \
-            .otherwise(F.col("line"))
-        txt = (txt.withColumn("_fixed", fixed)
-               .withColumn("_obj", F.from_json("_fixed", schema))
-               .withColumn("_ok", F.expr("try_parse_json(_fixed) IS NOT NULL")))
-        rows = rows.unionByName(txt.where("_ok").select(*[F.col("_obj")[c].alias(c) for c in cols], "source_file"))
-        bad = bad.unionByName(txt.where(~F.col("_ok")).select("source_file", "line"))
+    kinds = file_kinds(spark, paths).withColumnRenamed("path", "kind_path")
+    lines = _lines(spark, paths).join(kinds, F.col("path") == F.col("kind_path"))
+    whole = (lines.where("is_array").groupBy("path")
+             .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("all"))
+             .select(F.col("path").alias("source_file"),
+                     py_strip(F.array_join(F.transform("all", lambda x: x["value"]), "\n")).alias("line")))
+    single = (lines.where(~F.col("is_array")).select(F.col("path").alias("source_file"), py_strip("value").alias("line"))
+              .where("line <> ''"))
+    single = single.withColumn("_text", F.when(F.col("line").endswith(","), F.expr("substring(line, 1, length(line) - 1)"))
+                               .otherwise(F.col("line")))
+    parses = F.expr("try_parse_json(_text) IS NOT NULL")
+    whole = whole.withColumn("_text", F.col("line")).withColumn("_ok", parses)
+    single = single.withColumn("_ok", parses)
+    from_arrays = whole.where("_ok").select(
+        "source_file", F.explode(F.from_json("_text", T.ArrayType(schema))).alias("_obj"))
+    from_lines = single.where("_ok").select("source_file", F.from_json("_text", schema).alias("_obj"))
+    rows = from_arrays.unionByName(from_lines).select(*[F.col("_obj")[c].alias(c) for c in cols], "source_file")
+    bad = whole.where(~F.col("_ok")).select("source_file", "line").unionByName(
+        single.where(~F.col("_ok")).select("source_file", "line"))
     return rows, bad
 
 
@@ -99,6 +112,17 @@ def union_tagged(frames: list[tuple[DataFrame, dict]]) -> DataFrame:
     return out
 
 
+def label_files(df: DataFrame, labels: DataFrame, file: str = "source_file") -> DataFrame:
+    """The rows of many files, read in one scan and labelled by their file:
+    ``labels`` has one row per file, ``file`` and the label columns. A file
+    without labels is an error when its rows are read."""
+    tags = [c for c in labels.columns if c != file]
+    known = labels.select(F.col(file).alias("_file"), *tags)
+    sound = F.when(F.col("_file").isNull(), F.raise_error(F.concat(F.lit("no labels for file "), F.coalesce(F.col(file), F.lit("null")))).cast("string"))
+    return (df.join(known, F.col(file) == F.col("_file"), "left")
+            .withColumn(file, sound.otherwise(F.col(file))).drop("_file"))
+
+
 def find_column(df: DataFrame, candidates: list[str]) -> str | None:
     """The first candidate present in the schema (a plan-time choice)."""
     for c in candidates:
@@ -111,4 +135,4 @@ def require_columns(df: DataFrame, required: list[str]) -> None:
     """Fail listing the missing required columns."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise SourceError(f"Missing required columns: {missing}")
+        raise SourceError(f"the table lacks these columns: {', '.join(missing)}")

@@ -28,6 +28,34 @@ def test_any_json_rules(spark):
     assert JS.read_json_arrays(spark, os.path.join(d, "arr.json"), schema).count() == 2
 
 
+def test_first_character_decides(spark, tmp_path):
+    """A lines file with a line that starts with '[' loses nothing; a pretty
+    object with a nested array is no array; a truncated array is an error or
+    goes to quarantine."""
+    from pyspark.sql import types as T
+    schema = T._parse_datatype_string(SCHEMA)
+    (tmp_path / "lines.jsonl").write_text('{"question_id": "a"}\n[oops\n{"question_id": "b"}\n\t{"question_id": "c"}\r\n')
+    (tmp_path / "object.json").write_text('{"question_id":\n["x",\n"y"]\n}\n')
+    (tmp_path / "cut.json").write_text(' \n[{"question_id": "d"},\n{"question_id": "e"')
+    rows, bad = JS.read_any_json(spark, str(tmp_path / "lines.jsonl"), schema)
+    assert sorted(r.question_id for r in rows.collect()) == ["a", "b", "c"]
+    assert [r.line for r in bad.collect()] == ["[oops"]
+    with pytest.raises(JS.SourceError):
+        JS.read_json_arrays(spark, str(tmp_path / "object.json"), schema)
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        JS.read_json_arrays(spark, str(tmp_path / "cut.json"), schema).collect()
+    rows, bad = JS.read_any_json(spark, str(tmp_path / "cut.json"), schema)
+    assert rows.count() == 0 and [r.line[:2] for r in bad.collect()] == ["[{"]
+
+
+def test_label_files(spark):
+    df = spark.createDataFrame([("a.json", 1), ("b.json", 2), ("a.json", 3)], "source_file string, v int")
+    labels = spark.createDataFrame([("a.json", "x"), ("b.json", "y")], "source_file string, arm string")
+    assert sorted(tuple(r) for r in JS.label_files(df, labels).collect()) == [("a.json", 1, "x"), ("a.json", 3, "x"), ("b.json", 2, "y")]
+    with pytest.raises(Exception, match="no labels for file b.json"):
+        JS.label_files(df, labels.where("arm = 'x'")).collect()
+
+
 def test_manifest_last_row_wins_and_quoted_csv(spark):
     d = tempfile.mkdtemp(prefix="src-")
     with open(os.path.join(d, "m.json"), "w") as f:

@@ -149,6 +149,21 @@ def test_zip_index_dense_and_ordered(spark):
     assert [k for _, k in got] == sorted(keys)
 
 
+@pytest.mark.parametrize("parts", [8, 64])
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("more", [False, True])
+def test_zip_index_of_many_shuffled_rows(spark, parts, reuse, more):
+    """Ids stay dense whether or not Spark runs the range shuffle twice."""
+    from docreason.operators.ids import zip_index
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(600_000).select(F.xxhash64("id").alias("k"), *([F.col("id").alias("v")] if more else [])).repartition(13)
+        got = zip_index(df, ["k"], n_parts=parts).agg(F.min("index").alias("a"), F.max("index").alias("b"), F.count_distinct("index").alias("n")).first()
+        assert tuple(got) == (0, 599_999, 600_000)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_t_tail_against_numeric_integration():
     import numpy as np
     for df in (1, 2, 3, 5, 9, 20, 57, 300):

@@ -4,6 +4,7 @@ URL is retried with its old id."""
 import os
 import tempfile
 
+import pytest
 
 from docreason.streaming.ingest import read_state, start_ingest_stream
 
@@ -32,3 +33,34 @@ def test_ingest_twice(spark):
     q.awaitTermination()
     s3 = {r.url: (r.paper_id, r.status) for r in read_state(spark, state_dir).collect()}
     assert s3["http://x/b"][0] == 1 and s3["http://x/c"][0] == 2 and s3["http://x/a.pdf"] == (0, "processed")
+
+
+def _lines(spark, *urls):
+    return spark.createDataFrame([(u,) for u in urls], "value string")
+
+
+def test_state_survives_crashes_and_replays(spark, tmp_path):
+    from docreason.streaming.ingest import apply_batch
+    state = str(tmp_path / "state")
+    rows = lambda: {r.url: r.paper_id for r in read_state(spark, state).collect()}
+    assert rows() == {}
+    apply_batch(spark, _lines(spark, "\thttp://a ", "http://b", "\t"), 0, state)
+    assert rows() == {"http://a": 0, "http://b": 1}
+    apply_batch(spark, _lines(spark, "http://c"), 1, state)
+    assert rows() == {"http://a": 0, "http://b": 1, "http://c": 2}
+    # A half-written snapshot of the next batch is not read, and a replay writes beside it.
+    (tmp_path / "state" / "snapshot=2-0").mkdir()
+    assert rows() == {"http://a": 0, "http://b": 1, "http://c": 2}
+    apply_batch(spark, _lines(spark, "http://d"), 2, state)
+    assert rows() == {"http://a": 0, "http://b": 1, "http://c": 2, "http://d": 3}
+    # Replaying a batch starts from the state before it.
+    apply_batch(spark, _lines(spark, "http://d", "http://e"), 2, state)
+    assert rows() == {"http://a": 0, "http://b": 1, "http://c": 2, "http://d": 3, "http://e": 4}
+    assert (tmp_path / "state" / "snapshot=2-2").exists()
+
+
+def test_lost_state_is_an_error(spark, tmp_path):
+    from docreason.streaming.ingest import apply_batch
+    (tmp_path / "state" / "snapshot=0-0").mkdir(parents=True)
+    with pytest.raises(RuntimeError):
+        apply_batch(spark, _lines(spark, "http://a"), 1, str(tmp_path / "state"))
