@@ -6,9 +6,9 @@ document is kept if it fails none of them. Policies and ablations (what a policy
 would keep without one rule) are bitwise work on the ledger and never read a text
 again.
 
-All work is DataFrame functions. Repeated 5-word windows are looked for by
-hashes first (an array without equal hashes has no equal windows); only texts
-with equal hashes compare the windows themselves.
+All work is DataFrame functions over arrays of one row; nothing is shuffled.
+Repeated 5-word windows are looked for by hashes; only texts with equal ones
+sort theirs to find the places.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null text has no words, fails the word-count
 rule and has zero for every measurement. Repeated rows get a row each.
@@ -56,27 +56,39 @@ def _tail(x: Column, first: int, size: Column) -> Column:
     return F.slice(x, F.lit(first), F.greatest(size, F.lit(0)))
 
 
-def window_hashes(hashes: Column) -> Column:
-    """Hashes of all 5-word windows from the hashes of the words."""
-    n = F.size(hashes)
-    two = F.zip_with(_tail(hashes, 1, n - 1), _tail(hashes, 2, n - 1), lambda a, b: F.xxhash64(a, b))
-    four = F.zip_with(_tail(two, 1, n - 3), _tail(two, 3, n - 3), lambda a, b: F.xxhash64(a, b))
-    return F.zip_with(_tail(four, 1, n - 4), _tail(hashes, 5, n - 4), lambda a, b: F.xxhash64(a, b))
-
-
-def repeated_words(words: Column) -> Column:
-    """Words in windows that occur twice or more, of a text of 5 words at least."""
-    n = F.size(words) - (WINDOW - 1)
-    windows = F.array_sort(F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.struct(F.concat_ws(" ", F.slice(words, i, F.lit(WINDOW))).alias("w"), i.alias("p"))))
-    same = F.zip_with(_tail(windows, 1, n - 1), _tail(windows, 2, n - 1), lambda a, b: a["w"] == b["w"])
+def _pairs(x: Column, apart: int, n: Column) -> Column:
+    """Hashes of the first n elements of x, each with that ``apart`` places on."""
+    return F.zip_with(_tail(x, 1, n), _tail(x, 1 + apart, n), lambda a, b: F.xxhash64(a, b))
+
+
+def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
+    """Add ``out``: the words in 5-word windows that occur twice or more.
+
+    Each step is a column of its own, so that none is computed twice; the
+    columns named _rep_ are dropped. Windows are equal if their 64-bit hashes
+    are."""
+    n = F.size(words)
+    keep = df.columns
+    df = df.withColumn("_rep_one", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn("_rep_two", _pairs(F.col("_rep_one"), 1, n - 1))
+    df = df.withColumn("_rep_four", _pairs(F.col("_rep_two"), 2, n - 3))
+    five = F.zip_with(_tail(F.col("_rep_four"), 1, n - 4), _tail(F.col("_rep_one"), 5, n - 4), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("_rep_five", five)
+    # Only texts with equal windows go on; the others have a null from here.
+    some = F.size(F.array_distinct("_rep_five")) < F.size("_rep_five")
+    placed = F.array_sort(F.transform("_rep_five", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    df = df.withColumn("_rep_sorted", F.when(some, placed))
+    m = F.size("_rep_sorted")
+    same = F.zip_with(_tail(F.col("_rep_sorted"), 1, m - 1), _tail(F.col("_rep_sorted"), 2, m - 1), lambda a, b: a["h"] == b["h"])
+    df = df.withColumn("_rep_same", same)
     no = F.array(F.lit(False))
-    either = F.zip_with(F.concat(no, same), F.concat(same, no), lambda a, b: a | b)
-    at = F.zip_with(windows, either, lambda w, e: F.when(e, w["p"]))
-    places = F.sort_array(F.filter(at, lambda p: p.isNotNull()))
-    width = F.zip_with(places, F.slice(places, F.lit(2), F.greatest(F.size(places), F.lit(0))),
+    either = F.zip_with(F.concat(no, "_rep_same"), F.concat("_rep_same", no), lambda a, b: a | b)
+    at = F.zip_with("_rep_sorted", either, lambda w, e: F.when(e, w["p"]))
+    df = df.withColumn("_rep_places", F.sort_array(F.filter(at, lambda p: p.isNotNull())))
+    width = F.zip_with("_rep_places", _tail(F.col("_rep_places"), 2, F.size("_rep_places") - 1),
                        lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    return F.aggregate(width, F.lit(0).cast("long"), lambda s, x: s + x)
+    total = F.aggregate(width, F.lit(0).cast("long"), lambda s, x: s + x)
+    return df.select(*keep, F.coalesce(total, F.lit(0).cast("long")).alias(out))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -89,13 +101,8 @@ def ledger(docs: DataFrame) -> DataFrame:
         "doc_id", "words", "n_symbols", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") > WINDOW, window_hashes(F.transform("words", lambda w: F.xxhash64(w))))
-        .otherwise(F.array().cast("array<bigint>")).alias("hashes"))
-    counted = measured.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), repeated_words(F.col("words")))
-        .otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
+    counted = repeated_words(measured, "words", "n_repeat_words").drop("words")
     bits = sum((F.when(F.expr(test), F.lit(BIT[name])).otherwise(F.lit(0)) for name, test in RULES), F.lit(0))
     return counted.withColumn("failure_bits", bits.cast("long"))
 
