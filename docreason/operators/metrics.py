@@ -15,7 +15,7 @@ from docreason.functions.scores import (
     abs_err, bucketize, clip01, coerce_float, correct_bin, linspace, rnd, tri_anchor, with_bin)
 from docreason.operators.joins import join_on
 from docreason.operators.ranks import exact_quantile, pearson, spearman
-from docreason.schemas import ARMS, BUCKETS, N_CAL_BINS, N_HIST_BINS
+from docreason.schemas import ARMS, BUCKETS, N_CAL_BINS, N_HIST_BINS, PRED_CANDIDATES
 
 SCORE_COLS = ["gold", "pred", "trace_sim"]
 
@@ -34,11 +34,15 @@ def clean(df: DataFrame, cols=SCORE_COLS) -> DataFrame:
     return df.na.drop(subset=list(cols))
 
 
-def cross_domain(df: DataFrame, gold="gold", pred="pred", score="trace_sim") -> DataFrame:
+def cross_domain(df: DataFrame, gold="gold", pred: str | None = None, score="trace_sim") -> DataFrame:
     """Cross-domain preparation (P10 on gold/pred only, P19 derived scores):
     eval_score is left unclipped, errors are NULL when a side is missing,
-    correct_bin counts a missing error as 0."""
-    return (df.withColumn("gold", clip01(gold)).withColumn("pred", clip01(pred))
+    correct_bin counts a missing error as 0. Without ``pred`` the prediction is
+    the first column of PRED_CANDIDATES (or ``pred``) that is there (P12); if
+    none is, the derived scores are all NULL."""
+    pred = pred or next((c for c in ["pred", *PRED_CANDIDATES] if c in df.columns), None)
+    guess = clip01(pred) if pred else F.lit(None).cast("double")
+    return (df.withColumn("gold", clip01(gold)).withColumn("pred", guess)
             .withColumn("eval_score", F.nanvl(F.col(score), F.lit(None).cast("double")))
             .withColumn("abs_err", abs_err("pred", "gold"))
             .withColumn("score_cont", 1.0 - F.col("abs_err"))

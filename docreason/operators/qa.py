@@ -71,14 +71,13 @@ def pick_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def answer_items(resolved_items: DataFrame, doc: str = "document_id", keep_zero: bool = False) -> DataFrame:
     """T1 items -> answers; P7: question_id, answer and explanation truthy
     (a bare number 0 answer is dropped unless ``keep_zero``)."""
-    it = resolved_items.select(doc, "prompt_tokens", "completion_tokens",
-                               F.posexplode("items").alias("item_pos", "item"))
+    carried = [c for c in ("prompt_tokens", "completion_tokens", "latency") if c in resolved_items.columns]
+    it = resolved_items.select(doc, *carried, F.posexplode("items").alias("item_pos", "item"))
     qid, ans, expl = J.field("item", "question_id"), J.field("item", "answer"), J.field("item", "explanation")
     ans_ok = J.truthy(ans) | (F.lit(keep_zero) & J.vtype(ans).rlike("^(BIGINT|INT|DOUBLE|DECIMAL.*)$"))
     ok = J.truthy(qid) & ans_ok & J.truthy(expl)
     return it.where(ok).select(doc, "item_pos", J.vstring(qid).alias("question_id"),
-                               J.vstring(ans).alias("pred_answer"), J.vstring(expl).alias("pred_trace"),
-                               "prompt_tokens", "completion_tokens")
+                               J.vstring(ans).alias("pred_answer"), J.vstring(expl).alias("pred_trace"), *carried)
 
 
 def join_answers(answers: DataFrame, questions: DataFrame, doc: str = "document_id") -> DataFrame:
@@ -91,11 +90,20 @@ def join_answers(answers: DataFrame, questions: DataFrame, doc: str = "document_
     return answers.join(q, [doc, "question_id"], "inner")
 
 
+def item_texts(resolved_items: DataFrame, doc: str = "document_id") -> DataFrame:
+    """doc, i (from 0, response order) and item_json of every item of a list:
+    objects and lists as the model wrote them, other values as JSON."""
+    both = resolved_items.select(doc, F.posexplode(F.arrays_zip("items", "texts")).alias("i", "_both"))
+    kind = J.vtype(F.col("_both.items"))
+    text = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.col("_both.texts")).otherwise(F.to_json(F.col("_both.items")))
+    return both.select(doc, "i", text.alias("item_json"))
+
+
 def contract_ids(resolved_items: DataFrame, doc: str = "document_id") -> DataFrame:
     """W4: '{doc}-{i}' from 0 in response order, one row per contract."""
-    return resolved_items.select(doc, F.posexplode("items").alias("i", "contract")).select(
+    return item_texts(resolved_items, doc).select(
         doc, F.concat(F.col(doc).cast("string"), F.lit("-"), F.col("i").cast("string")).alias("contract_id"),
-        "i", F.to_json("contract").alias("contract_json"))
+        "i", F.col("item_json").alias("contract_json"))
 
 
 def context_parts(flags: str, contract_text, raw_text):
@@ -110,10 +118,12 @@ def context_parts(flags: str, contract_text, raw_text):
 
 
 def first_contract(contracts: DataFrame, contract_id: str, order: list[str]) -> DataFrame:
-    """P15 + L3: the first contract with the id (an aggregate, no sort);
-    callers fail when it is empty."""
+    """P15 + L3: the first contract with the id (an aggregate, no sort). That
+    there is none is an error when the row is read."""
     if not contract_id:
         raise ValueError("missing argument: contract_id")
     m = contracts.where(F.col("contract_id") == contract_id)
-    return m.groupBy("contract_id").agg(
-        F.min_by("contract_json", F.struct(*order)).alias("contract_json"))
+    found = m.agg(F.min_by("contract_json", F.struct(*order)).alias("contract_json"))
+    none = F.raise_error(F.lit(f"no contract has the id {contract_id}")).cast("string")
+    return found.select(F.lit(contract_id).alias("contract_id"),
+                        F.when(F.col("contract_json").isNull(), none).otherwise(F.col("contract_json")).alias("contract_json"))

@@ -18,7 +18,9 @@ from docreason.functions.scores import coerce_float, py_strip
 
 
 def parse_list(resp: DataFrame, content: str = "content") -> DataFrame:
-    """Adds raw (the list text), is_list and items (ARRAY<VARIANT>)."""
+    """Adds raw (the list text), is_list, items (ARRAY<VARIANT>) and texts
+    (each item's JSON as the model wrote it, keys in their order; a VARIANT
+    sorts them)."""
     raw = J.list_text(content)
     # Parse once: "[" + raw + "]" is valid JSON with exactly one element that
     # is a list exactly when raw is one JSON list (Python's rule); its first
@@ -31,6 +33,7 @@ def parse_list(resp: DataFrame, content: str = "content") -> DataFrame:
             .withColumn("_wrapped", F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]"))))
             .withColumn("is_list", ok)
             .withColumn("items", F.when(F.col("is_list"), F.try_variant_get(wrapped, "$[0]", "array<variant>")))
+            .withColumn("texts", F.when(F.col("is_list"), F.from_json("raw", "array<string>")))
             .drop("_wrapped"))
 
 
@@ -56,19 +59,24 @@ def parse_score(resp: DataFrame, content: str = "content") -> DataFrame:
 
 
 def resolve_attempts(parsed: DataFrame, key: list[str], ok: str, payload: list[str],
-                     attempt: str = "attempt", retries: int = 3) -> DataFrame:
+                     attempt: str = "attempt", retries: int = 3, error: str | None = None) -> DataFrame:
     """T5: per request the first attempt (up to ``retries``, at least one)
-    that parsed wins; tokens and latency are those of that attempt. A request
-    without a valid attempt gets status 'failed' and the last error text."""
-    retries = max(1, retries)
-    p = parsed.where(F.col(attempt) <= retries)
+    that parsed wins; the payload (tokens, latency) is that of this attempt.
+    A request without one gets status 'failed' and, with ``error`` naming the
+    column of the text, the last attempt's text as ``last_error``. Attempts
+    beyond ``retries`` are not looked at; ``ignored_attempts`` counts them."""
+    within = F.col(attempt) <= max(1, retries)
+    good = F.col(ok) & within
     won = F.min_by(F.struct(F.col(attempt).alias("attempt"), *[F.col(c) for c in payload]),
-                   F.when(F.col(ok), F.col(attempt)))
-    g = p.groupBy(*key).agg(won.alias("_w"), F.count_if(F.col(ok)).alias("_n_ok"),
-                            F.max(attempt).alias("last_attempt"))
-    return g.select(*key, F.when(F.col("_n_ok") > 0, "ok").otherwise("failed").alias("status"),
-                    *[F.when(F.col("_n_ok") > 0, F.col("_w")[c]).alias(c) for c in ["attempt"] + payload],
-                    "last_attempt")
+                   F.when(good, F.col(attempt)))
+    last = [] if error is None else [F.max_by(error, F.when(within, F.col(attempt))).alias("_error")]
+    g = parsed.groupBy(*key).agg(won.alias("_w"), F.count_if(good).alias("_n_ok"),
+                                 F.max(F.when(within, F.col(attempt))).alias("last_attempt"),
+                                 F.count_if(~within).alias("ignored_attempts"), *last)
+    done = F.col("_n_ok") > 0
+    return g.select(*key, F.when(done, "ok").otherwise("failed").alias("status"),
+                    *[F.when(done, F.col("_w")[c]).alias(c) for c in ["attempt"] + payload], "last_attempt",
+                    *([] if error is None else [F.when(~done, F.col("_error")).alias("last_error")]), "ignored_attempts")
 
 
 def batch_infer(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

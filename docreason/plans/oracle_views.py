@@ -39,7 +39,8 @@ RESPONSES = """select document_id, attempt,
   case when attempt = 1 and document_id % 3 = 0 then 'sorry, no list'
        when document_id % 7 = 0 then '{"question_id":"x","answer":"1"}'
        else concat('Here it is: [', objs, '] done') end as content,
-  100 + document_id % 50 as prompt_tokens, 10 * attempt as completion_tokens
+  100 + document_id % 50 as prompt_tokens, 10 * attempt as completion_tokens,
+  cast(200 + 7 * attempt + document_id % 13 as bigint) as latency
 from (select event_id // 10 as document_id,
         string_agg(concat('{"question_id":"',
           case when event_id % 10 = 9 then 'unknown' else concat(cast(event_id // 10 as varchar), '-', cast(greatest(event_id % 10, 1) as varchar)) end,

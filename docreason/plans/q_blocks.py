@@ -121,14 +121,14 @@ SEM_LISTS = ("lists AS select doc_id, "
 
 
 @register("semantic_requests", _q(f"""
-select c.doc_id, c.n_claims, cast(length(c.claims) as integer) as claims_len,
-  cast(length({prompts.sql_render(prompts.SEMANTIC_USER, figures="coalesce(l.figures, '[]')", tables="coalesce(l.tables, '[]')", claims="c.claims")}) as integer) as prompt_len
+select c.doc_id, c.n_claims, md5(c.claims) as claims_md5,
+  md5({prompts.sql_render(prompts.SEMANTIC_USER, figures="coalesce(l.figures, '[]')", tables="coalesce(l.tables, '[]')", claims="c.claims")}) as prompt_md5
 from claims c left join lists l using (doc_id)""", tuple(SEM_CLAIMS.split(" AS ", 1)), tuple(SEM_LISTS.split(" AS ", 1))))
 def q_semantic_requests(spark, sf):
     from docreason.operators.requests import semantic_requests
     b = blocks(spark, sf)
     return semantic_requests(BL.records(b), BL.label_pages(b)).select(
-        "doc_id", "n_claims", F.length("claims").alias("claims_len"), F.length("prompt").alias("prompt_len"))
+        "doc_id", "n_claims", F.md5("claims").alias("claims_md5"), F.md5("prompt").alias("prompt_md5"))
 
 
 @register("label_keys", _q("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docreason.plans import sqlfrag as S
 from docreason.plans.oracle_views import with_views
 from docreason.plans.registry import register
 from docreason.plans.views import qa_eval, responses, table
@@ -32,7 +33,10 @@ def q_pdf_check(spark, sf):
     return b.select(pid.alias("page_id"), FS.is_pdf().alias("is_pdf"), F.col("length").alias("n_bytes"))
 
 
-@register("csv_design")
+@register("csv_design", with_views("""
+select p_name as candidate_name, 'type "' || p_type || '", size ' || p_size as justification,
+  cast(format('{:.3f}', p_retailprice / 2000) as double) as feasibility_score, cast(2 as integer) as n_parts
+from part"""))
 def q_csv_design(spark, sf):
     """S9 + K3: design rows with quotes, commas and a JSON list cell, written
     fully quoted and read back."""
@@ -104,7 +108,7 @@ def q_resume(spark, sf):
 select '2025-01-01T00:00:00Z' as timestamp_utc, e.experiment_id, cast(r.document_id as varchar) as document_id,
   'answer' as agent_name, 'call' as event_name, cast(not starts_with(r.content, 'sorry') as integer) as success,
   cast(r.prompt_tokens as bigint) as prompt_tokens, cast(r.completion_tokens as bigint) as completion_tokens,
-  cast(r.prompt_tokens + r.completion_tokens as bigint) as total_tokens, cast(null as double) as latency_ms,
+  cast(r.prompt_tokens + r.completion_tokens as bigint) as total_tokens, cast(r.latency as double) as latency_ms,
   'stub' as model_name
 from responses r, (values ('exp-a'), ('exp-b')) e(experiment_id)""", "responses"))
 def q_ledger_append(spark, sf):
@@ -119,7 +123,7 @@ def q_ledger_append(spark, sf):
         F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"),
         F.col("completion_tokens").cast("bigint").alias("completion_tokens"),
         (F.col("prompt_tokens") + F.col("completion_tokens")).cast("bigint").alias("total_tokens"),
-        F.lit(None).cast("double").alias("latency_ms"), F.lit("stub").alias("model_name"))
+        F.col("latency").cast("double").alias("latency_ms"), F.lit("stub").alias("model_name"))
     for exp in ("exp-a", "exp-b"):
         K.ledger_append(rows.withColumn("experiment_id", F.lit(exp)), out)
     return spark.read.schema(LEDGER).parquet(out).select(*[f.name for f in LEDGER.fields])
@@ -146,18 +150,24 @@ def q_document_outputs(spark, sf):
     return back.join(m.withColumn("document_id", F.col("document_id").cast("bigint")), "document_id", "left_semi")
 
 
-@register("url_ingest_stream")
+@register("url_ingest_stream", with_views(f"""
+with u as (select distinct {S.strip('url')} as url from pages where length({S.strip('url')}) > 0)
+select 'url' as field, url as value, 'pending' as status from u
+union all select 'paper_id', cast(i as varchar), null from (select unnest(range((select count(*) from u))) as i)"""))
 def q_url_ingest_stream(spark, sf):
     """URL lists (the pages' URLs, some repeated and padded) arrive as
     files; an availableNow stream ingests them batch by batch into the
     snapshot state, then a second run over the same folder adds nothing.
-    Returns the state table."""
+    Returns the state's URLs with their status, and its ids (which URL has
+    which id follows the order of the files)."""
     from docreason.streaming.ingest import read_state, start_ingest_stream
     base = scratch_dir(spark, "ingest")
     p = table(spark, sf, "pages")
-    lines = p.select(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("  "), F.col("url"), F.lit(" ")))
+    lines = p.select(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit(" \t"), F.col("url"), F.lit(" \t")))
                      .otherwise(F.col("url")).alias("value"))
     lines.write.text(f"{base}/lists")
     for _ in range(2):
         start_ingest_stream(spark, f"{base}/lists", f"{base}/state", f"{base}/ckpt").awaitTermination()
-    return read_state(spark, f"{base}/state")
+    state = read_state(spark, f"{base}/state")
+    return state.select(F.lit("url").alias("field"), F.col("url").alias("value"), "status").unionByName(
+        state.select(F.lit("paper_id").alias("field"), F.col("paper_id").cast("string").alias("value"), F.lit(None).cast("string").alias("status")))

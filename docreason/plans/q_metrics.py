@@ -10,7 +10,7 @@ from docreason.plans import sqlfrag as S
 from docreason.plans.oracle_views import with_views
 from docreason.plans.registry import register
 from docreason.plans.views import qa_eval
-from docreason.schemas import ARMS
+from docreason.schemas import PRED_CANDIDATES, ARMS
 
 K = ["domain", "arm"]
 XD_METRICS = ["eval_score", "score_cont", "correct_bin"]
@@ -198,24 +198,21 @@ def q_means_wide(spark, sf):
     return M.means_wide(d, XD_METRICS, domains)
 
 
-# Per-arm inputs tagged with their source and united by
-# name; one input lacks the score column, so the union fills it with NULL.
+# Rows of per-arm files read in one scan, labelled by
+# their file; one file lacks the score column, which is NULL for its rows.
 @register("tagged_union", _q("""
 select question_id, domain, arm, gold, pred,
   case when arm = 'contract' then null else trace_sim end as trace_sim, arm || '.json' as source_file
 from qa_eval"""))
 def q_tagged_union(spark, sf):
-    from docreason.sources.json_sources import find_column, require_columns, union_tagged
+    from docreason.sources.json_sources import find_column, label_files, require_columns
     base = qa_eval(spark, sf)
-    frames = []
-    for arm in ARMS:
-        part = base.where(F.col("arm") == arm).drop("arm")
-        if arm == "contract":
-            part = part.drop("trace_sim")
-        frames.append((part, {"source_file": f"{arm}.json", "arm": arm}))
-    out = union_tagged(frames)
+    files = base.select("question_id", "domain", "gold", "pred", F.concat("arm", F.lit(".json")).alias("source_file"),
+                        F.when(F.col("arm") != "contract", F.col("trace_sim")).alias("trace_sim"))
+    labels = spark.createDataFrame([(f"{a}.json", a) for a in ARMS], "source_file string, arm string")
+    out = label_files(files, labels)
     require_columns(out, ["gold", "domain", "arm"])
-    pred = find_column(out, ["pred_answer", "pred"])
+    pred = find_column(out, [*PRED_CANDIDATES, "pred"])
     return out.select("question_id", "domain", "arm", "gold", F.col(pred).alias("pred"),
                       "trace_sim", "source_file")
 

@@ -45,16 +45,19 @@ CTE = {
     "rl": ("select *, case when json_valid(" + _w("raw") + ") then json_array_length(" + _w("raw") + ") = 1 and json_type("
            + _w("raw") + ", '$[0]') = 'ARRAY' else false end as is_list from (select *, "
            "coalesce(nullif(regexp_extract(content, '(?s)\\[.*\\]', 0), ''), content) as raw from responses)"),
-    "res": ("select document_id, case when count(*) filter (where is_list) > 0 then 'ok' else 'failed' end as status, "
-            "min(attempt) filter (where is_list) as attempt, max(attempt) as last_attempt "
-            f"from rl where attempt <= {RETRIES} group by document_id"),
-    "won": ("select r.document_id, r.attempt, l.raw, l.prompt_tokens, l.completion_tokens from res r "
+    "res": (f"select document_id, case when count(*) filter (where is_list and attempt <= {RETRIES}) > 0 then 'ok' else 'failed' end as status, "
+            f"min(attempt) filter (where is_list and attempt <= {RETRIES}) as attempt, "
+            f"max(attempt) filter (where attempt <= {RETRIES}) as last_attempt, "
+            f"case when count(*) filter (where is_list and attempt <= {RETRIES}) = 0 then arg_max(content, attempt) filter (where attempt <= {RETRIES}) end as last_error, "
+            f"count(*) filter (where attempt > {RETRIES}) as ignored_attempts "
+            "from rl group by document_id"),
+    "won": ("select r.document_id, r.attempt, l.raw, l.prompt_tokens, l.completion_tokens, l.latency from res r "
             "join rl l on l.document_id = r.document_id and l.attempt = r.attempt where r.status = 'ok'"),
-    "items": ("select document_id, prompt_tokens, completion_tokens, cast(i as integer) as item_pos, "
+    "items": ("select document_id, prompt_tokens, completion_tokens, latency, cast(i as integer) as item_pos, "
               "json_extract(raw, '$[' || i || ']') as item from (select *, unnest(range(cast(json_array_length(raw) as bigint))) as i from won)"),
     "ans": ("select document_id, item_pos, json_extract_string(item, '$.question_id') as question_id, "
             "json_extract_string(item, '$.answer') as pred_answer, json_extract_string(item, '$.explanation') as pred_trace, "
-            "prompt_tokens, completion_tokens from items where " + truthy("item", "$.question_id") + " and "
+            "prompt_tokens, completion_tokens, latency from items where " + truthy("item", "$.question_id") + " and "
             + truthy("item", "$.answer") + " and " + truthy("item", "$.explanation")),
     "vq": ("select document_id, pos, raw from raw_questions where case when json_valid(raw) then "
            "json_type(raw) = 'OBJECT' and json_exists(raw, '$.category') and json_exists(raw, '$.question') "
@@ -111,13 +114,19 @@ def parsed_responses(spark, sf):
 
 def resolved(spark, sf):
     return RS.resolve_attempts(parsed_responses(spark, sf), [DOC], "is_list",
-                               ["items", "prompt_tokens", "completion_tokens"], retries=RETRIES)
+                               ["items", "prompt_tokens", "completion_tokens", "latency"], retries=RETRIES, error="content")
 
 
 def won_items(spark, sf):
     return resolved(spark, sf).where(F.col("status") == "ok")
 
 
+def won_texts(spark, sf):
+    """The winning attempts with their items and the items' texts."""
+    r = RS.resolve_attempts(parsed_responses(spark, sf), [DOC], "is_list", ["items", "texts"], retries=RETRIES)
+    return r.where(F.col("status") == "ok")
+
+
 def questions(spark, sf):
     q, _ = QA.questions_from_records(raw_questions(spark, sf))
     return q
@@ -128,7 +137,7 @@ def answers(spark, sf):
 
 
 def contracts(spark, sf):
-    return QA.contract_ids(won_items(spark, sf))
+    return QA.contract_ids(won_texts(spark, sf))
 
 
 def contracts_doc(spark, sf):
@@ -150,11 +159,12 @@ def q_parse_list(spark, sf):
 
 @register("resolve_attempts", _q("""
 select r.document_id, r.status, r.attempt, cast(json_array_length(l.raw) as integer) as n_items,
-  l.prompt_tokens, l.completion_tokens, r.last_attempt
+  l.prompt_tokens, l.completion_tokens, l.latency, r.last_attempt, r.last_error, r.ignored_attempts
 from res r left join rl l on l.document_id = r.document_id and l.attempt = r.attempt""", "res", "rl"))
 def q_resolve(spark, sf):
     return resolved(spark, sf).select(DOC, "status", "attempt", F.size("items").alias("n_items"),
-                                      "prompt_tokens", "completion_tokens", "last_attempt")
+                                      "prompt_tokens", "completion_tokens", "latency", "last_attempt", "last_error",
+                                      "ignored_attempts")
 
 
 SCORE_STATUS = ("case when content is null then 'parse_error' "
@@ -201,9 +211,9 @@ def q_answer_join(spark, sf):
     return answers(spark, sf)
 
 
-@register("contract_ids", _q("select document_id, contract_id, i from contracts", "contracts"))
+@register("contract_ids", _q("select document_id, contract_id, i, md5(contract_json) as contract_md5 from contracts", "contracts"))
 def q_contract_ids(spark, sf):
-    return contracts(spark, sf).select(DOC, "contract_id", "i")
+    return contracts(spark, sf).select(DOC, "contract_id", "i", F.md5("contract_json").alias("contract_md5"))
 
 
 def _ctx_sql(flags: str) -> str:
@@ -218,7 +228,7 @@ def _ctx_sql(flags: str) -> str:
 def _answer_ctx_sql() -> str:
     sel = " union all ".join(
         f"select d.document_id, '{f}' as flags, case when c.contracts is null then 'missing_contract' else 'ok' end as status, "
-        f"cast(length(case when c.contracts is not null then {_ctx_sql(f)} end) as integer) as context_len "
+        f"md5(case when c.contracts is not null then {_ctx_sql(f)} end) as context_md5 "
         f"from (select distinct document_id from questions) d left join contracts_doc c using (document_id) "
         f"left join rec_text t using (document_id)" for f in FLAG_SETS)
     return _q(sel, "questions", "contracts_doc", "rec_text")
@@ -228,25 +238,23 @@ def _answer_ctx_sql() -> str:
 def q_answer_context(spark, sf):
     docs = questions(spark, sf).select(DOC).distinct()
     j = docs.join(contracts_doc(spark, sf), DOC, "left").join(records_text(spark, sf), DOC, "left")
-    out = None
-    for f in FLAG_SETS:
-        ctx = F.array_join(QA.context_parts(f, F.col("contracts"), F.coalesce(F.col("records_text"), F.lit(""))), "\n")
-        part = j.select(DOC, F.lit(f).alias("flags"),
-                        F.when(F.col("contracts").isNull(), "missing_contract").otherwise("ok").alias("status"),
-                        F.length(F.when(F.col("contracts").isNotNull(), ctx)).alias("context_len"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    text = F.coalesce(F.col("records_text"), F.lit(""))
+    cases = F.array(*[F.struct(F.lit(f).alias("flags"), F.md5(F.when(
+        F.col("contracts").isNotNull(), F.array_join(QA.context_parts(f, F.col("contracts"), text), "\n"))).alias("context_md5"))
+        for f in FLAG_SETS])
+    return j.select(DOC, F.when(F.col("contracts").isNull(), "missing_contract").otherwise("ok").alias("status"),
+                    F.explode(cases).alias("c")).select(DOC, "c.flags", "status", "c.context_md5")
 
 
 @register("answer_requests", _q(f"""
-select q.document_id, q.n_questions, cast(length({prompts.sql_render(prompts.ANSWER_USER, questions='q.qs', context=_ctx_sql('CC,RAW_TEXT'))}) as integer) as prompt_len
+select q.document_id, q.n_questions, md5({prompts.sql_render(prompts.ANSWER_USER, questions='q.qs', context=_ctx_sql('CC,RAW_TEXT'))}) as prompt_md5
 from (select document_id, count(*) as n_questions,
         '[' || string_agg(json_object('question_id', question_id, 'question_type', question_type, 'question', question)::VARCHAR, ',' order by pos) || ']' as qs
       from questions group by document_id) q
 join contracts_doc c using (document_id) left join rec_text t using (document_id)""", "questions", "contracts_doc", "rec_text"))
 def q_answer_requests(spark, sf):
     req, _ = RQ.answer_requests(questions(spark, sf), records_text(spark, sf), contracts_doc(spark, sf), "CC,RAW_TEXT")
-    return req.select(DOC, "n_questions", F.length("prompt").alias("prompt_len"))
+    return req.select(DOC, "n_questions", F.md5("prompt").alias("prompt_md5"))
 
 
 SCORE_FIELDS = ["question_id", "question", "gold_answer", "gold_trace", "pred_answer", "pred_trace"]
@@ -254,11 +262,11 @@ SCORE_FIELDS = ["question_id", "question", "gold_answer", "gold_trace", "pred_an
 
 @register("score_requests", _q(f"""
 select document_id, question_id, item_pos,
-  cast(length({prompts.sql_render(prompts.SCORE_USER, answer="json_object(" + ", ".join(f"'{c}', {c}" for c in SCORE_FIELDS) + ")::VARCHAR")}) as integer) as prompt_len
+  md5({prompts.sql_render(prompts.SCORE_USER, answer="json_object(" + ", ".join(f"'{c}', {c}" for c in SCORE_FIELDS) + ")::VARCHAR")}) as prompt_md5
 from answer_join""", "answer_join"))
 def q_score_requests(spark, sf):
     r = RQ.score_requests(answers(spark, sf), SCORE_FIELDS)
-    return r.select(DOC, "question_id", "item_pos", F.length("prompt").alias("prompt_len"))
+    return r.select(DOC, "question_id", "item_pos", F.md5("prompt").alias("prompt_md5"))
 
 
 CTE["rec_json"] = ("select doc_id as document_id, '[' || string_agg(json_object('idx', idx, 'page', page, 'type', type, 'text', text)::VARCHAR, ',' order by idx) || ']' as records_json "
@@ -267,24 +275,24 @@ CTE["rec_json"] = ("select doc_id as document_id, '[' || string_agg(json_object(
 
 @register("question_requests", _q(f"""
 select c.document_id, c.n_contracts,
-  cast(length({prompts.sql_render(prompts.QUESTIONS_USER, raw_text='r.records_json', contracts='c.contracts')}) as integer) as prompt_len
+  md5({prompts.sql_render(prompts.QUESTIONS_USER, raw_text='r.records_json', contracts='c.contracts')}) as prompt_md5
 from contracts_doc c join rec_json r using (document_id)""", "contracts_doc", "rec_json"))
 def q_question_requests(spark, sf):
     recs = BL.records(blocks_table(spark, sf)).withColumnRenamed("doc_id", DOC)
     req, _ = RQ.question_requests(RQ.records_json(recs, DOC), contracts_doc(spark, sf))
-    return req.select(DOC, "n_contracts", F.length("prompt").alias("prompt_len"))
+    return req.select(DOC, "n_contracts", F.md5("prompt").alias("prompt_md5"))
 
 
 DESIGN_ID = "1-0"
 
 
 @register("design_request", _q(f"""
-select contract_id, cast(length({prompts.sql_render(prompts.DESIGN_USER, contract='contract_json')}) as integer) as prompt_len
+select contract_id, md5({prompts.sql_render(prompts.DESIGN_USER, contract='contract_json')}) as prompt_md5
 from (select contract_id, arg_min(contract_json, document_id * 1000000 + i) as contract_json
       from contracts where contract_id = '{DESIGN_ID}' group by contract_id)""", "contracts"))
 def q_design_request(spark, sf):
     c = QA.first_contract(contracts(spark, sf), DESIGN_ID, [DOC, "i"])
-    return RQ.design_request(c).select("contract_id", F.length("prompt").alias("prompt_len"))
+    return RQ.design_request(c).select("contract_id", F.md5("prompt").alias("prompt_md5"))
 
 
 @register("page_requests", with_views("""
@@ -379,7 +387,8 @@ def _stub_model(pdf: pd.DataFrame) -> pd.DataFrame:
                          "content": '{"n_chars": ' + n.astype(str) + "}"})
 
 
-@register("batch_infer")
+@register("batch_infer", with_views("""
+select document_id, attempt, '{"n_chars": ' || length(content) || '}' as content, cast(length(content) as bigint) as n_chars from responses""", "responses"))
 def q_batch_infer(spark, sf):
     req = responses(spark, sf).select(DOC, "attempt", F.col("content").alias("prompt"))
     out = RS.batch_infer(req, _stub_model, f"{DOC} bigint, attempt int, content string")
@@ -388,9 +397,8 @@ def q_batch_infer(spark, sf):
 
 # The winning response items stand for a document's reasoning steps.
 @register("contract_requests", _q(f"""
-select document_id, cast(length({prompts.sql_render(prompts.CONTRACT_USER, steps="'[' || string_agg(item::VARCHAR, ',' order by item_pos) || ']'")}) as integer) as prompt_len
+select document_id, md5({prompts.sql_render(prompts.CONTRACT_USER, steps="'[' || string_agg(item::VARCHAR, ',' order by item_pos) || ']'")}) as prompt_md5
 from items group by document_id""", "items"))
 def q_contract_requests(spark, sf):
-    steps = won_items(spark, sf).select(DOC, F.posexplode("items").alias("step", "item")) \
-        .select(DOC, "step", F.to_json("item").alias("step_json"))
-    return RQ.contract_requests(steps).select(DOC, F.length("prompt").alias("prompt_len"))
+    steps = QA.item_texts(won_texts(spark, sf)).select(DOC, F.col("i").alias("step"), F.col("item_json").alias("step_json"))
+    return RQ.contract_requests(steps).select(DOC, F.md5("prompt").alias("prompt_md5"))

@@ -42,8 +42,8 @@ def semantic_requests(inputs: Tables) -> Tables:
 
 
 def _resolved(resp: DataFrame, key: str, retries: int) -> tuple[DataFrame, DataFrame]:
-    r = RS.resolve_attempts(RS.parse_list(resp), [key], "is_list",
-                            ["items", "prompt_tokens", "completion_tokens"], retries=retries)
+    carried = [c for c in ("prompt_tokens", "completion_tokens", "latency") if c in resp.columns]
+    r = RS.resolve_attempts(RS.parse_list(resp), [key], "is_list", ["items", "texts", *carried], retries=retries, error="content")
     return r.where(F.col("status") == "ok"), r.where(F.col("status") != "ok")
 
 

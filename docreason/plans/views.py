@@ -92,7 +92,7 @@ def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two model responses (attempts) per document: document_id, attempt, content,
-    prompt_tokens, completion_tokens."""
+    prompt_tokens, completion_tokens, latency (milliseconds)."""
     e = F.col("event_id")
     qid = F.when(e % 10 == 9, "unknown").otherwise(
         F.concat(F.floor(e / 10).cast("string"), F.lit("-"), F.greatest(e % 10, F.lit(1)).cast("string")))
@@ -112,7 +112,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                .otherwise(F.concat(F.lit("Here it is: ["), F.col("objs"), F.lit("] done"))))
     return with_attempts.select(
         "document_id", a.cast("int").alias("attempt"), content.alias("content"),
-        (100 + d % 50).alias("prompt_tokens"), (10 * a).cast("int").alias("completion_tokens"))
+        (100 + d % 50).alias("prompt_tokens"), (10 * a).cast("int").alias("completion_tokens"),
+        (200 + 7 * a + d % 13).cast("bigint").alias("latency"))
 
 
 def url_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,38 +4,29 @@ from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the analysed system's for equal results.
-# Experiment arms, in their fixed order, and their display labels.
+# Experiment arms, in their fixed order.
 ARMS = ["baseline", "raw_text", "raw_text_contract", "contract"]
-ARM_LABELS = {
-    "baseline": "Baseline",
-    "raw_text": "Raw text",
-    "raw_text_contract": "Raw text + Contract",
-    "contract": "Contract",
-}
 # Block types that may continue on the next block when flagged as split.
 SPLITTABLE_TYPES = ["paragraph", "caption", "equation", "reference_entry"]
 # Block types left out of the semantic-stage input.
 EXCLUDED_TYPES = ["unknown", "reference_entry"]
-# Anchors of the three-class accuracy and bucket thresholds (Low < 0.33 <= Med < 0.66 <= High).
-TRI_ANCHORS = [0.0, 0.5, 1.0]
+# Bucket thresholds (Low < 0.33 <= Med < 0.66 <= High).
 BUCKET_THRESHOLDS = (0.33, 0.66)
 BUCKETS = ["Low", "Med", "High"]
 # Absolute-error tolerance of the binary correctness proxy.
 CORRECT_TOL = 0.15
 # Candidate names of the prediction column, first present wins.
 PRED_CANDIDATES = ["pred_answer", "model_answer", "model_pred", "prediction", "answer"]
-# Bootstrap settings: replicates, seeds, confidence level.
+# Bootstrap settings: replicates, seeds.
 N_BOOT = 2000
 SEED_PER_DOMAIN = 7
 SEED_CROSS_DOMAIN = 42
-CI_LEVEL = 95
 N_CAL_BINS = 10
 N_HIST_BINS = 30
 # Context flags of the answer stage.
 FLAG_CONTRACT = "CC"
 FLAG_RAW_TEXT = "RAW_TEXT"
-# Status values of the URL state table.
-URL_STATUSES = ["pending", "processed", "download_failed", "validation_failed", "invalid_url"]
+# Field names of the question, answer, ledger, state and design tables below.
 # ---------------------------------------------------------------------------
 
 BLOCK = T.StructType([
@@ -106,5 +97,3 @@ DESIGN_CSV = T.StructType([
     T.StructField("feasibility_score", T.StringType()),
     T.StructField("contract_parts", T.StringType()),
 ])
-
-ANSWER_ITEM = "array<struct<question_id:string,answer:string,explanation:string>>"

@@ -32,10 +32,12 @@ def write_per_document(df: DataFrame, path: str, doc: str = "document_id", ok: s
 
     Documents land in hash buckets (``_bucket=k`` folders) rather than one
     folder each, so millions of documents do not mean millions of folders;
-    the manifest maps each document to its bucket folder."""
+    the manifest maps each document to its bucket folder. ``n_buckets`` is the
+    caller's choice for the table's size; rows are dealt by bucket before the
+    write, so a bucket is one file."""
     good = df.where(F.col(ok)) if ok else df
     b = good.withColumn("_bucket", F.pmod(F.xxhash64(F.col(doc)), F.lit(n_buckets)).cast("int"))
-    b.write.mode("overwrite").partitionBy("_bucket").format(fmt).save(path)
+    b.repartition(n_buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").format(fmt).save(path)
     return b.select(doc, "_bucket").distinct().select(
         doc, F.concat(F.lit(path + "/_bucket="), F.col("_bucket").cast("string")).alias("path"))
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from docreason.session import materialize
 
+# Default for small tables; forcing a document rewrites its bucket, so callers
+# choose more for larger ones (and keep to it for the table's life).
 N_BUCKETS = 16
 
 
@@ -32,7 +34,8 @@ def pending(todo: DataFrame, done: DataFrame | None, key: str, force: list | Non
 
 def write_outputs(df: DataFrame, path: str, key: str, n_buckets: int = N_BUCKETS) -> None:
     """Append rows of new keys into their key buckets."""
-    df.withColumn("_bucket", _bucket(key, n_buckets)).write.mode("append").partitionBy("_bucket").parquet(path)
+    dealt = df.withColumn("_bucket", _bucket(key, n_buckets)).repartition(n_buckets, "_bucket")
+    dealt.write.mode("append").partitionBy("_bucket").parquet(path)
 
 
 def replace_keys(spark: SparkSession, recomputed: DataFrame, path: str, key: str,

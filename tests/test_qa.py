@@ -1,5 +1,6 @@
 """Question validity, id numbering with gaps, zero answers, attempt resolution."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docreason.operators.qa import questions_from_records
@@ -43,3 +44,56 @@ def test_first_parsing_attempt_wins_within_retries(spark):
     assert r1 == {1: "failed", 2: "ok", 3: "failed"}
     r0 = resolve_attempts(p, ["document_id"], "is_list", ["items"], retries=0).where(F.col("status") == "ok").count()
     assert r0 == 1  # retries=0 still makes one attempt
+
+
+def test_failed_requests_keep_their_last_error_and_ignored_attempts(spark):
+    rows = [(1, 1, "no list"), (1, 2, "still none"), (1, 4, "[1]"), (2, 1, "[3]"), (2, 5, "late"), (3, 9, "[9]")]
+    df = spark.createDataFrame(rows, "document_id long, attempt int, content string")
+    got = {r.document_id: (r.status, r.attempt, r.last_attempt, r.last_error, r.ignored_attempts)
+           for r in resolve_attempts(parse_list(df), ["document_id"], "is_list", ["items"], retries=3, error="content").collect()}
+    assert got == {1: ("failed", None, 2, "still none", 1), 2: ("ok", 1, 1, None, 1), 3: ("failed", None, None, None, 1)}
+
+
+def test_item_texts_keep_key_order(spark):
+    df = spark.createDataFrame([(1, 1, 'x [{"b": 1, "a": [2]}, "s", 3, null] y')], "document_id long, attempt int, content string")
+    from docreason.operators.qa import contract_ids
+    won = resolve_attempts(parse_list(df), ["document_id"], "is_list", ["items", "texts"])
+    got = [(r.contract_id, r.contract_json) for r in contract_ids(won).orderBy("i").collect()]
+    assert got == [("1-0", '{"b":1,"a":[2]}'), ("1-1", '"s"'), ("1-2", "3"), ("1-3", "null")]
+
+
+def test_unknown_contract_is_an_error(spark):
+    from docreason.plans.stages import design
+    c = spark.createDataFrame([(1, 0, "1-0", '{"x":1}')], "document_id long, i int, contract_id string, contract_json string")
+    assert '{"x":1}' in design({"contracts": c}, "1-0")["request"].first().prompt
+    with pytest.raises(Exception, match="no contract has the id 9-9"):
+        design({"contracts": c}, "9-9")["request"].collect()
+    with pytest.raises(ValueError):
+        design({"contracts": c}, "")
+
+
+def test_stages_carry_latency_and_tokens(spark):
+    from docreason.plans import stages
+    q = spark.createDataFrame([(1, 1, '[{"category":"c","contract_id":"1-0","question":"q0","gold_answer":' + GOOD + '}]', 5, 6, 70),
+                               (2, 1, "nothing", 1, 1, 1)],
+                              "document_id long, attempt int, content string, prompt_tokens long, completion_tokens long, latency long")
+    out = stages.questions({"question_responses": q})
+    assert [r.question_id for r in out["questions"].collect()] == ["1-1"]
+    assert [(r.document_id, r.last_error) for r in out["quarantine"].collect()] == [(2, "nothing")]
+    a = q.sparkSession.createDataFrame([(1, 1, '[{"question_id":"1-1","answer":"0.5","explanation":"e"}]', 7, 8, 90)], q.schema)
+    ans = stages.answer({"answer_responses": a, "questions": out["questions"]}, experiment_id="x")["answers"]
+    r = ans.first()
+    assert (r.prompt_tokens, r.completion_tokens, r.latency, r.experiment_id) == (7, 8, 90, "x")
+    s = spark.createDataFrame([(1, "1-1", 0, " 0.5 "), (1, "1-1", 1, "-1")], "document_id long, question_id string, item_pos int, content string")
+    scored = stages.score({"answers": ans, "score_responses": s})
+    assert [x.eval_score for x in scored["scored"].collect()] == [0.5] and scored["quarantine"].count() == 1
+    c = stages.contracts({"contract_responses": a})["contracts"].first()
+    assert (c.contract_id, c.contract_json) == ("1-0", '{"question_id":"1-1","answer":"0.5","explanation":"e"}')
+
+
+def test_no_prediction_column_gives_null_scores(spark):
+    from docreason.operators.metrics import cross_domain
+    df = spark.createDataFrame([(0.5, 0.25, 0.75)], "gold double, trace_sim double, model_pred double")
+    assert cross_domain(df).first().abs_err == 0.25
+    r = cross_domain(df.drop("model_pred")).first()
+    assert (r.pred, r.abs_err, r.score_cont, r.correct_bin, r.eval_score) == (None, None, None, 0, 0.25)
