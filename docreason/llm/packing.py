@@ -15,9 +15,10 @@ fraction of a sequence for each group. Group and block numbers follow the number
 of pieces, so no task grows with the input.
 
 Tokenizing: the vocabulary's normalizer and splitter never join what a space or
-line feed separates, so the ids of a text are those of its pieces between spaces
-and line feeds, one after another. A worker tokenizes each distinct piece once
-and keeps the ids (``CACHE`` pieces at most; then it starts anew).
+line feed separates, so the ids of a text are those of its pieces, one after
+another. A worker tokenizes each distinct piece once and keeps the ids (``CACHE``
+pieces at most; then it starts anew). ``Pieces`` is written for vocabularies with
+the splitter of ``word_bpe_49k``.
 
 Edge cases: null and empty texts are the one id ``END``. Repeated rows are packed
 one by one. Empty tables give no rows.
@@ -25,8 +26,12 @@ one by one. Empty tables give no rows.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +41,57 @@ from pyspark.sql import functions as F
 from docreason.llm.common import documents, store, with_workers
 
 SIZE = 2048
-END = (0).to_bytes(4, "little")
+END = bytes(4)
 GROUP = 20_000
 BLOCKS = 1000
 CACHE = 500_000
 
 
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary:
+    printable ones for themselves, the others from U+0100 on in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+def _latin_words() -> re.Pattern[str]:
+    """The vocabulary's splitting pattern over lower-cased Latin-1 texts."""
+    by = {"L": "", "N": "", "S": "\t\n\x0b\x0c\r \x85\xa0"}
+    for c in map(chr, range(256)):
+        kind = unicodedata.category(c)[0]
+        if kind in "LN":
+            by[kind] += c
+    letters, numbers, spaces = (re.escape(by[k]) for k in "LNS")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Seen(dict):
+    """Ids by piece; a new piece is tokenized."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        self.ids = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = out = self.ids(piece)
+        return out
+
+
 class Pieces:
-    """A worker's tokenizer with the ids of pieces that it has seen."""
+    """A worker's tokenizer with the ids of pieces that it has seen.
+
+    Latin-1 texts are their own normal form and lower-case letter by letter, so
+    they are split here and only their distinct words go to the tokenizer's
+    model. All other texts, and texts with ``<|``, are split at spaces and line
+    feeds and the distinct parts go through the whole tokenizer."""
 
     def __init__(self, path: str):
         import os
@@ -52,22 +100,28 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {"": b""}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(self.seen)
-        if len(self.seen) + len(new) > CACHE:
-            self.seen = {"": b""}
-            new = set().union(*parts).difference(self.seen)
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            some = new[i:i + 10_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.seen[piece] = np.array(e.ids, "<u4").tobytes()
-        get = self.seen.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self.model = self.tokenizer.model
+        self.words = _latin_words()
+        self.characters = dict(enumerate(_byte_characters()))
+        self.seen = Seen(self._latin), Seen(self._other)
+
+    def _latin(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _other(self, part: str) -> bytes:
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """Unsigned 32-bit ids of a text, in the machine's byte order."""
+        if (text.isascii() or _is_latin(text)) and "<|" not in text:
+            seen, parts = self.seen[0], self.words.findall(text.lower())
+        else:
+            seen, parts = self.seen[1], text.replace("\n", " ").split(" ")
+        if len(seen) > CACHE:
+            seen.clear()
+        return b"".join(map(seen.__getitem__, parts))
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -85,8 +139,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(tok.ids(b["text"].to_pylist())):
-                    ids += END
+                for k, text in enumerate(b["text"].to_pylist()):
+                    ids = tok.ids(text) + END
                     n = len(ids) // 4
                     for j, s in enumerate(range(0, n, size)):
                         own = ids[4 * s: 4 * (s + size)]
@@ -94,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
                         piece.append(j)
                         start.append(s)
                         length.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
+                        crc.append(zlib.crc32(own if sys.byteorder == "little" else np.frombuffer(own, "u4").astype("<u4")))
                 yield pa.RecordBatch.from_arrays(
                     [b["doc_id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docreason.llm import packing
 
@@ -18,9 +20,37 @@ def encode(text):
     "", " ", "Hello, World! it's 42", "a\n\nb\tc\r\nd  e\x1cf\x85g h", "É́ x̱ H̱y ́z ΑΣ ΑΣ.",
     "x<|endoftext|>y <|startoftext|> z", "don't 'll we've 日本語 テスト 👍🏽 ok", "a" * 300, "ẞ İstanbul ﬁ"])
 def test_ids_are_those_of_the_whole_text(text):
-    got = packing.Pieces(PATH).ids([text, "other words", text])
+    pieces = packing.Pieces(PATH)
     want = np.array(encode(text), "<u4").tobytes()
-    assert got[0] == got[2] == want
+    assert pieces.ids(text) == pieces.ids(text) == want
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aBé'stmd \n1.,ß<|"), st.characters(max_codepoint=255), st.characters(codec="utf-8")),
+               max_size=30))
+def test_ids_of_any_text(tokens, text):
+    pieces, whole = tokens
+    assert pieces.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.fixture(scope="module")
+def tokens():
+    from tokenizers import Tokenizer
+    return packing.Pieces(PATH), Tokenizer.from_file(PATH)
+
+
+def test_ids_of_every_latin_character(tokens):
+    pieces, whole = tokens
+    for c in map(chr, range(256)):
+        for text in (c, "a" + c + "b", "'" + c, c + c + " " + c + "1"):
+            assert pieces.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_ids_with_a_small_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 3)
+    small, texts = packing.Pieces(PATH), ["one two three four", "two 日 本 x 語 y", "one one", "x"]
+    for _ in range(2):
+        assert [len(small.ids(t)) for t in texts] == [4 * len(encode(t)) for t in texts]
 
 
 def brute(lengths, size):
