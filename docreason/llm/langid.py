@@ -149,7 +149,7 @@ class Model:
         if self.centre is None:
             return np.zeros(len(ce), bool)
         own = ce[np.arange(len(ce)), best]
-        allow = 4 * self.spread[best] + 6 * self.noise[best] / np.sqrt(np.maximum(n, 1))
+        allow = 8 * self.spread[best] + 8 * self.noise[best] / np.sqrt(np.maximum(n, 1))
         return own > self.centre[best] + allow
 
 
