@@ -87,10 +87,17 @@ def correct_bin(err, tol: float = CORRECT_TOL) -> Column:
     return F.coalesce((col(err) <= tol).cast("int"), F.lit(0))
 
 
-def id_fallback(id_col, question_col) -> Column:
-    """The id, or the first 64 characters of the question ('' if none)."""
-    return F.coalesce(col(id_col).cast("string"),
-                      F.substring(F.coalesce(col(question_col), F.lit("")), 1, 64))
+def id_fallback(id_col, question_col, length: int | None = 64) -> Column:
+    """The id, or the first ``length`` characters of the question ('' if none).
+    64 is the analysed system's rule; questions with the same opening share
+    such an id, which ``length=None`` (the whole question) avoids."""
+    question = F.coalesce(col(question_col), F.lit(""))
+    return F.coalesce(col(id_col).cast("string"), question if length is None else F.substring(question, 1, length))
+
+
+def run_id(at: Column | None = None) -> Column:
+    """The id of a run: the time it began, now if none is given."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd-HHmmss")
 
 
 def rnd(c, digits: int = 9) -> Column:

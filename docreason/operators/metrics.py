@@ -220,6 +220,11 @@ def group_means(xd: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame
         F.count("value").alias("n_valid"))
 
 
+def known_arms(df: DataFrame) -> DataFrame:
+    """An arm outside the fixed order is missing."""
+    return df.withColumn("arm", F.when(F.col("arm").isin(ARMS), F.col("arm")))
+
+
 def arm_dimension(spark) -> DataFrame:
     """The fixed arm order as a four-row dimension."""
     return spark.createDataFrame([(a, i) for i, a in enumerate(ARMS)], "arm string, arm_ord int")
@@ -228,7 +233,7 @@ def arm_dimension(spark) -> DataFrame:
 def means_wide(xd: DataFrame, metrics: list[str], domains: list[str]) -> DataFrame:
     """Arm x metric rows, one mean and n column per domain, every arm of
     the fixed order present (right join to the arm dimension)."""
-    g = group_means(xd, ["domain", "arm"], metrics)
+    g = group_means(known_arms(xd), ["domain", "arm"], metrics)
     wide = (g.groupBy("arm", "metric").pivot("domain", domains)
             .agg(F.first("mean").alias("mean"), F.first("n").alias("n")))
     arms = arm_dimension(xd.sparkSession)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docreason.operators import bootstrap as B
 from docreason.operators.paired import COND_ARMS, _long_values
-from docreason.plans.q_metrics import _q, clean, xd
+from docreason.plans.q_metrics import DOMAINS, _q, clean, xd
 from docreason.plans.registry import register
 from docreason.schemas import ARMS, N_BOOT, SEED_CROSS_DOMAIN, SEED_PER_DOMAIN
 
@@ -90,8 +90,7 @@ def q_means_wide_ci(spark, sf):
     from docreason.operators.metrics import arm_dimension
     d = xd(spark, sf)
     ci = B.mean_ci_poisson(_long_values(d, MEAN_METRICS), KEYS, "value", N_BOOT, SEED_CROSS_DOMAIN)
-    domains = sorted(r[0] for r in d.select("domain").distinct().collect())
-    wide = ci.groupBy("arm", "metric").pivot("domain", domains).agg(
+    wide = ci.groupBy("arm", "metric").pivot("domain", DOMAINS).agg(
         F.first("mean").alias("mean"), F.first("ci_lo").alias("ci_lo"), F.first("ci_hi").alias("ci_hi"))
     dim = arm_dimension(spark).select("arm", "arm_ord", F.explode(F.array(*[F.lit(m) for m in MEAN_METRICS])).alias("metric"))
     return dim.join(wide, ["arm", "metric"], "left").orderBy("metric", "arm_ord")

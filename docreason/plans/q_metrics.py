@@ -13,6 +13,8 @@ from docreason.plans.views import qa_eval
 from docreason.schemas import PRED_CANDIDATES, ARMS
 
 K = ["domain", "arm"]
+# The domains of the derived view; a pivot's columns are part of the query.
+DOMAINS = ["F", "O"]
 XD_METRICS = ["eval_score", "score_cont", "correct_bin"]
 
 
@@ -191,11 +193,7 @@ left join (select domain, arm, metric, round(avg(value), 9) as mean, count(*) as
            from ({_xd_long()}) group by domain, arm, metric) g on g.arm = a.arm and g.metric = m.metric
 group by a.arm, a.arm_ord, m.metric"""))
 def q_means_wide(spark, sf):
-    d = xd(spark, sf)
-    # The domain list is a tiny distinct (A33); the pivot then runs with
-    # explicit values and no extra distinct job of its own.
-    domains = sorted(r[0] for r in d.select("domain").distinct().collect())
-    return M.means_wide(d, XD_METRICS, domains)
+    return M.means_wide(xd(spark, sf), XD_METRICS, DOMAINS)
 
 
 # Rows of per-arm files read in one scan, labelled by

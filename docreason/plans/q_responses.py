@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docreason.functions import jsonfn as J
 from docreason.functions import prompts
 from docreason.functions.scores import (PY_FLOAT_RE, bucketize, clip01, coerce_float, correct_bin,
-                                        id_fallback, tri_anchor)
+                                        id_fallback, run_id, tri_anchor)
 from docreason.operators import blocks as BL
 from docreason.operators import qa as QA
 from docreason.operators import requests as RQ
@@ -186,13 +186,14 @@ def q_parse_scores(spark, sf):
 select id_key, value, clipped, gold, abs(clipped - gold) as abs_err, 1 - abs(clipped - gold) as score_cont,
   coalesce(cast(abs(clipped - gold) <= 0.15::DOUBLE as integer), 0) as correct_bin, clipped - gold as residual,
   {S.tri('clipped')} as tri, {S.bucket('clipped')} as bucket
-from (select coalesce(cast(id as varchar), substr(coalesce(content, ''), 1, 64)) as id_key, nv as value,
+from (select coalesce(cast(case when id % 9 <> 0 then id end as varchar), substr(coalesce(content, ''), 1, 64)) as id_key, nv as value,
              {S.clip('nv')} as clipped, cast(id % 11 as double) / 10 as gold
       from (select *, case when isnan(v) then null else v end as nv from sb))""",
                                        "raw_scores", extra=[("sb", SCORE_BASE)]))
 def q_coerce_scores(spark, sf):
     r = raw_scores(spark, sf)
-    d = (r.select(id_fallback("id", "content").alias("id_key"), coerce_float("content").alias("value"),
+    known = F.when(F.col("id") % 9 != 0, F.col("id"))  # some records come without an id
+    d = (r.select(id_fallback(known, "content").alias("id_key"), coerce_float("content").alias("value"),
                   ((F.col("id") % 11).cast("double") / 10).alias("gold"))
          .withColumn("clipped", clip01("value")))
     err = F.abs(F.col("clipped") - F.col("gold"))
@@ -201,6 +202,12 @@ def q_coerce_scores(spark, sf):
                     tri_anchor("clipped").alias("tri"), bucketize("clipped").alias("bucket"))
 
 
+@register("run_ids", with_views("select event_id, strftime(ts, '%Y%m%d-%H%M%S') as run_id from events"))
+def q_run_ids(spark, sf):
+    """The run id format, of the events' times."""
+    return table(spark, sf, "events").select("event_id", run_id(F.col("ts")).alias("run_id"))
+
+
 @register("valid_questions", _q("select * from questions", "questions"))
 def q_valid_questions(spark, sf):
     return questions(spark, sf)
@@ -338,22 +345,18 @@ union all select 'arms', count(distinct arm) from qa_eval""", "answer_join", "re
     views=("responses", "raw_questions", "raw_scores", "qa_eval")).replace(
     "\nselect 'documents_in'", f",\nsb AS ({SCORE_BASE})\nselect 'documents_in'", 1))
 def q_stage_counts(spark, sf):
-    def one(name, df):
-        return df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("counter"), "value")
-    rq = raw_questions(spark, sf)
-    res = resolved(spark, sf)
-    qe = qa_eval(spark, sf)
+    def counts(df, **values):
+        """One pass over a table: a row for each of its counters."""
+        return df.agg(*[v.alias(k) for k, v in values.items()]).select(F.explode(F.array(*[
+            F.struct(F.lit(k).alias("counter"), F.col(k).alias("value")) for k in values])).alias("c")).select("c.counter", "c.value")
+    status = F.col("status")
     parts = [
-        rq.agg(F.count_distinct(DOC).alias("value")).select(F.lit("documents_in").alias("counter"), "value"),
-        QA.validate_question_records(rq).agg(F.count_if("valid").alias("value"))
-          .select(F.lit("valid_records").alias("counter"), "value"),
-        one("questions", questions(spark, sf)),
-        one("responses_ok", res.where(F.col("status") == "ok")),
-        one("responses_failed", res.where(F.col("status") == "failed")),
-        one("answers", answers(spark, sf)),
-        one("scores_ok", RS.parse_score(raw_scores(spark, sf)).where(F.col("status") == "ok")),
-        qe.agg(F.count_distinct("domain").alias("value")).select(F.lit("domains").alias("counter"), "value"),
-        qe.agg(F.count_distinct("arm").alias("value")).select(F.lit("arms").alias("counter"), "value"),
+        counts(QA.validate_question_records(raw_questions(spark, sf)), documents_in=F.count_distinct(DOC), valid_records=F.count_if("valid")),
+        counts(questions(spark, sf), questions=F.count(F.lit(1))),
+        counts(resolved(spark, sf), responses_ok=F.count_if(status == "ok"), responses_failed=F.count_if(status == "failed")),
+        counts(answers(spark, sf), answers=F.count(F.lit(1))),
+        counts(RS.parse_score(raw_scores(spark, sf)), scores_ok=F.count_if(status == "ok")),
+        counts(qa_eval(spark, sf), domains=F.count_distinct("domain"), arms=F.count_distinct("arm")),
     ]
     out = parts[0]
     for p in parts[1:]:
