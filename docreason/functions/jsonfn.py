@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LIST_RE = r"(?s)\[.*\]"
+# Texts that a false number, boolean, object or list has (or a true string).
+FALSY_RE = r"^(-?[0.]+([eE][+-]?[0-9]+)?|false|\{\s*\}|\[\s*\])$"
 
 
 def c_(x) -> Column:
@@ -33,11 +35,13 @@ def vstring(v) -> Column:
 
 def truthy(v) -> Column:
     """Python truthiness of a JSON value: null, '', 0, false, {} and [] are
-    false; an absent key (SQL NULL) is false too."""
+    false; an absent key (SQL NULL) is false too. The value's text decides
+    unless it looks like one of these; only then its type is asked for."""
     v = c_(v)
-    t = vtype(v)
+    text, t = vstring(v), vtype(v)
     numeric = t.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    return (F.when(v.isNull(), F.lit(False))
+    return (F.when(v.isNull() | text.isNull() | (text == ""), F.lit(False))
+            .when(~text.rlike(FALSY_RE), F.lit(True))
             .when(t == "VOID", F.lit(False))
             .when(t == "STRING", F.coalesce(vstring(v) != "", F.lit(False)))
             .when(t == "BOOLEAN", F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(False)))

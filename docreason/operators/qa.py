@@ -18,7 +18,8 @@ def validate_question_records(raw: DataFrame, doc: str = "document_id", pos: str
     df = raw.withColumn("v", v)
     has = [J.field("v", k).isNotNull() for k in ("category", "question", "contract_id", "gold_answer")]
     q, cid, ga = J.field("v", "question"), J.field("v", "contract_id"), J.field("v", "gold_answer")
-    valid = (J.vtype("v").startswith("OBJECT") & has[0] & has[1] & has[2] & has[3]
+    # Only an object has fields.
+    valid = (has[0] & has[1] & has[2] & has[3]
              & (J.vtype(q) == "STRING") & (J.vstring(q) != "")
              & (J.vtype(cid) == "STRING")
              & J.vtype(ga).startswith("OBJECT") & (J.vtype(ga) != "OBJECT<>"))
