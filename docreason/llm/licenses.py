@@ -67,26 +67,26 @@ def _cut(x: Column, first: int, size: Column) -> Column:
     return F.slice(x, F.lit(first), F.greatest(size, F.lit(0)))
 
 
-def window_hashes(words: Column) -> Column:
-    """Hashes of all windows of three words."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words)
-    two = F.zip_with(_cut(h, 1, n - 1), _cut(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))
-    return F.zip_with(_cut(two, 1, n - 2), _cut(h, 3, n - 2), lambda a, b: F.xxhash64(a, b))
-
-
 def exploded(texts: DataFrame, *keep: str) -> DataFrame:
-    """keep, words, pos (from 0) and h of every window of the column text."""
+    """keep, words, pos (from 0) and h of every window of three words of the
+    column text (one row with a null pos and h for a shorter text). Each step
+    is a column of its own, so that none is computed twice; an inner explode
+    would bring in a filter that computes them all again."""
+    n = F.size("words")
     words = texts.select(*keep, word_array(F.col("text")).alias("words"))
-    return words.select(*keep, "words", window_hashes(F.col("words")).alias("hashes")).select(
-        *keep, "words", F.posexplode("hashes").alias("pos", "h"))
+    one = words.withColumn("one", F.transform("words", lambda w: F.xxhash64(w)))
+    two = one.withColumn("two", F.zip_with(_cut(F.col("one"), 1, n - 1), _cut(F.col("one"), 2, n - 1),
+                                           lambda a, b: F.xxhash64(a, b)))
+    three = F.zip_with(_cut(F.col("two"), 1, n - 2), _cut(F.col("one"), 3, n - 2), lambda a, b: F.xxhash64(a, b))
+    return two.select(*keep, "words", three.alias("hashes")).select(
+        *keep, "words", F.posexplode_outer("hashes").alias("pos", "h"))
 
 
 def template_windows(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """template, label, at (position), n (windows of the template), window, h."""
     table = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)],
                                   "template int, label string, text string")
-    rows = exploded(table, "template", "label")
+    rows = exploded(table, "template", "label").where("h is not null")
     return rows.select("template", "label", F.col("pos").alias("at"), (F.size("words") - (K - 1)).alias("n"),
                        F.slice("words", F.col("pos") + 1, F.lit(K)).alias("window"), "h")
 
@@ -120,10 +120,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score for every row. score is 1 with a base label, else the best cover of a
     verified span, else 0."""
-    words = keyed_text(docs).select("doc_id", "text_key", "text", word_array(F.col("text")).alias("words"))
-    maybe = F.lower("text").rlike("|".join(sorted({p.split(" ")[-1] for p, _ in phrases})))
-    places = [F.when(maybe, phrase_places(F.col("words"), p)).otherwise(F.array().cast("array<int>")).alias(f"p{i}")
-              for i, (p, _) in enumerate(phrases)]
+    words = keyed_text(docs).select("doc_id", "text_key", word_array(F.col("text")).alias("words"))
+    places = [F.when(F.array_contains("words", p.split(" ")[-1]), phrase_places(F.col("words"), p))
+              .otherwise(F.array().cast("array<int>")).alias(f"p{i}") for i, (p, _) in enumerate(phrases)]
     found = words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), *places)
     all_places = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))])
     base = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))
