@@ -45,8 +45,10 @@ def qa_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``documents`` as page blocks: doc_id, pos, page, type, text, split, ref."""
+    # Outer, then without the row of a missing text: for an inner explode Spark
+    # infers a filter that splits every text a second time.
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "text")).where("pos is not null")
     slot = ((F.col("doc_id") * 31 + F.floor(F.col("pos") / 4) * 7) % 11 + 1).cast("int")
     types = F.array(*[F.lit(t) for t in BLOCK_TYPE_SLOTS])
     # Some types come with white space around them, as models write them.
