@@ -37,7 +37,7 @@ from docreason.llm.common import with_text, with_workers
 WINDOW = 10
 BLOCK = 100_000
 #: Symbols of a shard's index, and bytes of text after which a shard ends.
-SHARD_SYMBOLS, SHARD_BYTES = 1 << 19, 64 << 20
+SHARD_SYMBOLS, SHARD_BYTES = 1 << 19, 16 << 20
 SAMPLE = 16
 
 #: Bytes of words to themselves (A-Z lower-cased), all others to a space.
@@ -282,13 +282,14 @@ FOUND = "n_words long, starts array<long>, ends array<long>, items array<string>
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK,
-                  carry: bool = False) -> DataFrame:
+                  cut: bool = False) -> DataFrame:
     """doc_id, n_words, merged spans of hit words (starts, ends; words from 0)
-    and items (distinct item_ids with occurring phrases) for every row; with
-    ``carry`` the struct ``row`` of all columns in place of doc_id."""
+    and items (distinct item_ids with occurring phrases) for every row. With
+    ``cut`` instead the rows of ``docs`` without their hit words, found and
+    taken out in one pass."""
     spark = with_workers(docs.sparkSession)
-    name = "row" if carry else "doc_id"
-    rows = docs.select(F.struct(*docs.columns).alias("row") if carry else F.col("doc_id"),
+    name = "row" if cut else "doc_id"
+    rows = docs.select(F.struct(*docs.columns).alias("row") if cut else F.col("doc_id"),
                        F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     kind = rows.schema[name].dataType.simpleString()
     blocks = list(phrase_blocks(benchmark, window, block)) or [Phrases({}, {window: (np.zeros((0, window), np.int64), np.zeros(0, np.int64))}, [])]
@@ -305,6 +306,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     if not first:
                         old = zip(*(batch[c].to_pylist() for c in ("starts", "ends", "items")))
                         own = [(*merge(a[0] + b[0], a[1] + b[1]), a[2] + b[2]) for a, b in zip(own, old)]
+                    if cut and last:
+                        whole = pa.RecordBatch.from_struct_array(batch["row"])
+                        texts = whole["text"].to_pylist()
+                        yield with_text(whole, [cut_words(t, s, e) if s else t for t, (s, e, _) in zip(texts, own)])
+                        continue
                     cols = {name: batch[name]} | ({} if last else {"text": batch["text"]})
                     cols |= {"n_words": pa.array(counts, pa.int64()),
                              "starts": pa.array([x[0] for x in own], pa.list_(pa.int64())),
@@ -326,23 +332,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     for k, phrases in enumerate(blocks):
         last = k == len(blocks) - 1
-        rows = rows.mapInArrow(scan(spark.sparkContext.broadcast(phrases), k == 0, last),
-                               f"{name} {kind}, " + ("" if last else "text binary, ") + FOUND)
+        found = f"{name} {kind}, " + ("" if last else "text binary, ") + FOUND
+        rows = rows.mapInArrow(scan(spark.sparkContext.broadcast(phrases), k == 0, last), docs.schema if cut and last else found)
     return rows
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with the hit words taken out of their texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = pa.RecordBatch.from_struct_array(b["row"])
-            texts = rows["text"].to_pylist()
-            for k, (s, e) in enumerate(zip(b["starts"].to_pylist(), b["ends"].to_pylist())):
-                if s:
-                    texts[k] = cut_words(texts[k], s, e)
-            yield with_text(rows, texts)
-
-    return contamination(docs, benchmark, window, carry=True).mapInArrow(run, docs.schema)
+    return contamination(docs, benchmark, window, block, cut=True)
 
 
 def cut_words(text: str, starts: list[int], ends: list[int]) -> str:

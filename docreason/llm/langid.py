@@ -37,7 +37,7 @@ ORDER = 4
 UND = "und"
 SPACE = 32
 #: Characters scored at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -298,13 +298,19 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
     return pred, score, rejected
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row of ``docs``."""
     spark = with_workers(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             pred, score, rejected = predict(shared.value, b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)],
@@ -321,7 +327,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield b.filter(pa.array(~predict(shared.value, b["text"].to_pylist())[2]))
 
     return docs.mapInArrow(run, docs.schema)

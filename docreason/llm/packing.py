@@ -44,7 +44,7 @@ SIZE = 2048
 END = bytes(4)
 GROUP = 20_000
 BLOCKS = 1000
-CACHE = 500_000
+CACHE = 200_000
 
 
 def _byte_characters() -> list[str]:

@@ -39,7 +39,7 @@ from docreason.llm.common import keyed_text, store, with_workers
 BITS = 64
 SEED = 42
 #: Variants that a task holds at a time, and that a prefix has on average.
-VARIANTS = 1 << 21
+VARIANTS = 1 << 20
 #: Rows of a prefix beyond which it is dealt again by EXTRA more bits.
 HOT_ROWS = 60_000
 EXTRA = 6

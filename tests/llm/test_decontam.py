@@ -71,5 +71,16 @@ def test_empty_tables(spark):
     assert decontam.contamination(docs.limit(0), none).count() == 0
 
 
+def test_rows_without_their_hits(spark):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "x y")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "k A, b c! d", 11, "s"), (None, None, None, None), (2, "clean", 5, "x y"), (3, "x y a b c", 9, None)],
+                               "doc_id long, text string, n_chars long, n_words string")
+    want = [(1, "k ! d", 5, "s"), (None, None, None, None), (2, "clean", 5, "x y"), (3, "", 0, None)]
+    for block in (100, 1):  # one pass, and a pass for each phrase
+        out = decontam.decontaminated(df, bench, 3, block)
+        assert out.schema == df.schema
+        assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_cut_words():
     assert decontam.cut_words("É one, TWO three. four", [1, 4], [3, 5]) == "É  three. "
