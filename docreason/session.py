@@ -51,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc.getCheckpointDir():
         # An RDD checkpoint folder was set: use its parent (it adds a uuid).
         path = sc.getCheckpointDir().rstrip("/").rsplit("/", 1)[0]
-    if not path and not sc.master.startswith("local["):
+    if not path and not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="docreason-ckpt-")

@@ -74,3 +74,21 @@ def test_json_object_keys_rules(spark):
     df = spark.createDataFrame([('{"b": 1, "a": {"x": 2}}',), ("[1, 2]",), ("not json",), (None,), ("{}",)], "v string")
     got = [r.k for r in df.select(JS.json_object_keys("v").alias("k")).collect()]
     assert got == [["b", "a"], [], [], [], []]
+
+
+def test_shared_folder_is_required_off_a_local_master(spark, monkeypatch):
+    from docreason import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+        getConf = staticmethod(lambda: Conf())
+
+    class Session:
+        sparkContext, conf = Context, Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session)
