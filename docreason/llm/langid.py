@@ -5,8 +5,8 @@ Method: every language gets an interpolated Kneser-Ney model over characters
 order). All models live in common sorted arrays of n-gram hashes with one
 column of log-probabilities per language, so one binary search serves every
 language. A document's language is that of the lowest cross-entropy per
-character; a document whose entropy is out of the range seen on calibration
-rows is marked ``rejected``.
+character; a document whose entropy is above the calibrated bar of that language
+and the document's length is marked ``rejected``.
 
 Text is seen as letters: upper case folds to lower, every run of other
 characters is one space.
@@ -39,6 +39,12 @@ SPACE = 32
 #: Characters scored at a time.
 BLOCK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
+#: Rejection is calibrated at 1, 2, 4, ... symbols, up to 2 ** (CLASSES - 1), on
+#: at most PIECES pieces of each calibration text at each length.
+CLASSES = 18
+PIECES = 8
+#: Share of a language's calibration pieces of a length that lies below the bar.
+KEEP = 0.99
 
 
 def fold_table() -> np.ndarray:
@@ -105,9 +111,7 @@ class Model:
     contexts: list[np.ndarray]  # by order: sorted hashes of the n-1 symbols before
     logback: list[np.ndarray]   # by order: [context, language]
     floor: np.ndarray           # unseen symbol, by language
-    centre: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    noise: np.ndarray | None = None
+    bars: np.ndarray | None = None  # [language, class]: highest accepted cross-entropy
 
     def log_prob(self, gram: np.ndarray, n: int = ORDER) -> np.ndarray:
         if n == 0:
@@ -146,11 +150,53 @@ class Model:
         return -total / np.maximum(n, 1)[:, None], n
 
     def rejects(self, ce: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        if self.centre is None:
+        if self.bars is None:
             return np.zeros(len(ce), bool)
-        own = ce[np.arange(len(ce)), best]
-        allow = 8 * self.spread[best] + 8 * self.noise[best] / np.sqrt(np.maximum(n, 1))
-        return own > self.centre[best] + allow
+        at = np.minimum(np.log2(np.maximum(n, 1)), CLASSES - 1)
+        lo = at.astype(np.int64)
+        hi = np.minimum(lo + 1, CLASSES - 1)
+        bar = self.bars[best, lo] + (at - lo) * (self.bars[best, hi] - self.bars[best, lo])
+        return ce[np.arange(len(ce)), best] > bar
+
+
+def pieces(text: str) -> list[str]:
+    """The text and, for every power of two up to its length, at most PIECES
+    pieces of so many characters from places spread over it, from the start of
+    a word where one is near."""
+    out = [text]
+    for c in 2 ** np.arange(CLASSES):
+        for start in np.linspace(0, len(text) - c, min(PIECES, len(text) // c), dtype=np.int64):
+            word = text.rfind(" ", max(start - 32, 0), start) + 1
+            out.append(text[word or start:][:c])
+    return out
+
+
+def bars(lang: np.ndarray, doc: np.ndarray, n: np.ndarray, ce: np.ndarray, langs: int) -> np.ndarray | None:
+    """Highest accepted cross-entropy [language, class] from the calibration
+    pieces' language numbers, texts, symbol counts and cross-entropies; None if
+    there is too little to calibrate on.
+
+    A bar is the KEEP quantile of the language's pieces of the length, or four
+    upper spreads (more for few texts, which do not show the quantile) above
+    their median where that is higher. With under five texts of a
+    length the pieces of all languages count; with under five of these too, the
+    bar of the next shorter length holds. No bar is below that of a longer length."""
+    kind = np.minimum(np.rint(np.log2(np.maximum(n, 1))), CLASSES - 1)
+    out = np.full((langs, CLASSES), np.nan)
+    for j in range(langs):
+        for k in range(CLASSES):
+            for part in ((kind == k) & (lang == j), kind == k):
+                x, texts = ce[part], len(np.unique(doc[part]))
+                if texts >= 5:
+                    middle, upper = np.quantile(x, [0.5, 0.8413])
+                    bound = middle + (4 + 4 / np.sqrt(texts)) * (upper - middle)
+                    out[j, k] = max(np.quantile(x, KEEP, method="higher"), bound)
+                    break
+            else:
+                out[j, k] = out[j, k - 1] if k else np.nan
+    # Lengths before the first with enough texts accept everything.
+    out = np.where(np.isnan(out), np.inf, out)
+    return np.maximum.accumulate(out[:, ::-1], axis=1)[:, ::-1] if np.isfinite(out).any() else None
 
 
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -253,27 +299,19 @@ def train(docs: DataFrame, docs_per_lang: int = 1500, max_langs: int = 100,
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        place = {lang: j for j, lang in enumerate(m.langs)}
         for b in batches:
-            langs = b["lang"].to_pylist()
-            own = [i for i, x in enumerate(langs) if x in m.langs]
-            if own:
-                texts = b["text"].to_pylist()
-                ce, n = m.entropies([texts[i] for i in own])
-                mine = ce[np.arange(len(own)), [m.langs.index(langs[i]) for i in own]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[i] for i in own], pa.string()), pa.array(n), pa.array(mine)], names=["lang", "n", "ce"])
-
-    seen = sample.where("calibrate").select("lang", "text").mapInArrow(
-        judge, "lang string, n long, ce double").toPandas()
-    centre, spread, noise = (np.zeros(len(model.langs)) for _ in range(3))
-    for j, lang in enumerate(model.langs):
-        x = seen[(seen["lang"] == lang) & (seen["n"] >= 20)]
-        x = x if len(x) >= 5 else seen[seen["n"] >= 20]
-        if len(x) < 2:
-            return model  # too little to calibrate on: nothing is rejected
-        centre[j], spread[j] = x["ce"].median(), x["ce"].std()
-        noise[j] = np.sqrt((x["n"] * (x["ce"] - x["ce"].median()) ** 2).median()) + 1.0
-    model.centre, model.spread, model.noise = centre, spread, noise
+            for lang, doc, text in zip(b["lang"].to_pylist(), b["doc"].to_pylist(), b["text"].to_pylist()):
+                if lang in place:
+                    ce, n = m.entropies(pieces(text))
+                    real = n > 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x] * int(real.sum()), pa.int64()) for x in (place[lang], doc)]
+                        + [pa.array(n[real]), pa.array(ce[real, place[lang]])], names=["lang", "doc", "n", "ce"])
+
+    seen = sample.where("calibrate").select("lang", F.xxhash64("doc_id").alias("doc"), "text").mapInArrow(
+        judge, "lang long, doc long, n long, ce double").toPandas()
+    model.bars = bars(*(seen[c].to_numpy() for c in ("lang", "doc", "n", "ce")), len(model.langs))
     return model
 
 

@@ -86,6 +86,28 @@ def test_noise_is_rejected(spark):
     assert [r["rejected"] for r in langid.identify(odd, model).collect()] == [True, True]
 
 
+def test_unlearned_language_is_rejected_at_every_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs.where("lang <> 'en'"))
+    rows = [r for r in docs.collect() if r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    for size in (100, 300, 1000):
+        known, other = ([r["text"][:size] for r in rows if (r["lang"] == "en") == en and len(r["text"]) >= size] for en in (False, True))
+        assert np.mean(langid.predict(model, other)[2]) >= 0.9, size
+        assert np.mean(langid.predict(model, known)[2]) <= 0.03, size
+
+
+def test_bars_by_length():
+    rng = np.random.default_rng(1)
+    n = np.repeat([16, 64, 256], 400)
+    ce = 2 + rng.normal(0, 1, 1200) / np.sqrt(n)
+    lang, doc = np.zeros(1200, int), np.tile(np.arange(100), 12)
+    got = langid.bars(lang, doc, n, ce, 1)[0]
+    assert np.isinf(got[:4]).all()
+    assert all(2 + 2 / 2 ** (k / 2) < got[k] < 2 + 6 / 2 ** (k / 2) for k in (4, 6, 8))
+    assert (np.diff(got[4:]) <= 0).all() and got[-1] == got[8]
+    assert langid.bars(lang[:3], doc[:3], n[:3], ce[:3], 1) is None
+
+
 def test_no_labelled_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = langid.train(docs)
