@@ -23,9 +23,10 @@ poisson
     its metrics are NULL, percentiles leave it out, and ``n_usable`` counts the
     others.
 
-    Spearman needs ranks within each replicate. Values are put on a grid of at
-    most ``RANK_GRID`` quantile ranges per group and score (exact as long as a
-    score has no more distinct values; beyond that, values of one range count
+    Spearman needs ranks within each replicate. Values are put on a grid of
+    ranges per group and score, none of which holds more than 1 / ``RANK_GRID``
+    of the rows unless it is one value (exact as long as a score has no more
+    than ``RANK_GRID`` distinct values; beyond that, values of one range count
     as ties), the grid's cells are drawn as cells are, and a task computes the
     correlations of a block of replicates of one group, whose size is bounded
     by the grid.
@@ -45,12 +46,14 @@ from docreason.functions.scores import linspace, rnd
 from docreason.operators.joins import join_on
 from docreason.operators.ranks import exact_quantile, running_below
 from docreason.schemas import N_BOOT, N_CAL_BINS, SEED_PER_DOMAIN
+from docreason.session import materialize
 
 DRAW_CHUNK = 4096
-# Quantile ranges per score on which replicate ranks are taken, and replicates
-# per task of the rank grid.
+# A range of the rank grid holds at most 1 / RANK_GRID of the rows; replicates
+# per task of the rank grid, and replicates ranked at a time.
 RANK_GRID = 64
 RANK_BLOCK = 250
+RANK_STEP = 25
 
 
 # ---------------------------------------------------------------- hash mode
@@ -219,15 +222,43 @@ def replicate_sums(cells: DataFrame, keys: list[str], cell_cols: list[str], n_bo
     return dealt.mapInArrow(run, schema).groupBy(*keys, "r").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def rank_grid(cells: DataFrame, keys: list[str], col: str, size: int) -> DataFrame:
-    """The cells with ``col`` replaced by the number of its quantile range in
-    its group (its place among the distinct values while these are few)."""
+def rank_places(cells: DataFrame, keys: list[str], col: str, size: int) -> DataFrame:
+    """keys, ``col``, ``_place``: the number of each distinct value's range in
+    its group.
+
+    A value weighs its share of the rows plus its share of the distinct values,
+    and the running weight is cut at every 1/size. A value across a cut is a
+    range of its own, the values between two cuts are one: such a range holds
+    less than 1/size of the rows, and with at most ``size`` distinct values each
+    value is across a cut. There are at most 4 * size ranges. Weights are
+    integers (times rows and distinct values), so that the ranges are the same
+    at any partitioning."""
     distinct = cells.groupBy(*keys, col).agg(F.sum("m").alias("_m"))
-    stats = distinct.groupBy(*keys).agg(
-        F.percentile_approx(col, [i / size for i in range(1, size)], 100 * size).alias("_bounds"))
-    less = F.filter(F.array_distinct("_bounds"), lambda b: b < F.col(col))
-    placed = join_on(distinct, stats, keys, "left").select(*keys, col, F.size(less).alias("_place"))
-    return join_on(cells, placed, keys + [col], "left").drop(col).withColumnRenamed("_place", col)
+    sizes = distinct.groupBy(*keys).agg(F.sum("_m").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    whole = "decimal(19,0)"
+    weighed = join_on(distinct, sizes, keys).select(
+        *keys, col, (F.col("_m").cast(whole) * F.col("_d").cast(whole) + F.col("_n")).cast("decimal(28,0)").alias("_w"),
+        (F.col("_n").cast("double") * F.col("_d")).alias("_unit"))
+
+    def cut(at):
+        return F.floor(at.cast("double") / F.col("_unit") * size)
+
+    first, last = cut(F.col("below")), cut(F.col("below") + F.col("_w"))
+    placed = running_below(weighed, keys, col, "_w").select(
+        *keys, col, (2 * first + F.when(last > first, 1).otherwise(0)).alias("_range"))
+    ranges = placed.groupBy(*keys).agg(F.array_sort(F.collect_set("_range")).alias("_ranges"))
+    return join_on(placed, ranges, keys).select(
+        *keys, col, (F.array_position("_ranges", F.col("_range")) - 1).cast("int").alias("_place"))
+
+
+def rank_grid(cells: DataFrame, keys: list[str], cols: list[str], size: int) -> DataFrame:
+    """The cells with each of ``cols`` replaced by the number of its range."""
+    # Written once: the places of every score read the cells several times.
+    cells = out = materialize(cells, "rank-cells")
+    for c in cols:
+        places = materialize(rank_places(cells, keys, c, size), "rank-places")
+        out = join_on(out, places, keys + [c], "left").drop(c).withColumnRenamed("_place", c)
+    return out
 
 
 def spearman_replicates(cells: DataFrame, keys: list[str], x: str, y: str, n_boot: int, seed: int,
@@ -237,7 +268,7 @@ def spearman_replicates(cells: DataFrame, keys: list[str], x: str, y: str, n_boo
     from docreason.session import ship_package
     ship_package(cells.sparkSession)
     grid, block = grid or RANK_GRID, block or RANK_BLOCK
-    placed = rank_grid(rank_grid(cells, keys, x, grid), keys, y, grid)
+    placed = rank_grid(cells, keys, [x, y], grid)
     on_grid = placed.groupBy(*keys, x, y).agg(F.sum("m").alias("m"))
     blocks = on_grid.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // block))))
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
@@ -248,21 +279,25 @@ def spearman_replicates(cells: DataFrame, keys: list[str], x: str, y: str, n_boo
         n = min(block, n_boot - at)
         group = [table[k][0].as_py() for k in keys]
         gx, gy = table[x].to_numpy(), table[y].to_numpy()
-        w = np.stack([_draws(seed, (*group, int(a), int(b)), m, n_boot)[at: at + n]
-                      for a, b, m in zip(gx, gy, table["m"].to_pylist())]).astype(float)
+        w = np.empty((len(gx), n))
+        for i, (a, b, m) in enumerate(zip(gx, gy, table["m"].to_pylist())):
+            w[i] = _draws(seed, (*group, int(a), int(b)), m, n_boot)[at: at + n]
 
-        def ranks(g: np.ndarray) -> np.ndarray:
-            at_value = np.zeros((int(g.max()) + 1, n))
+        def ranks(g: np.ndarray, w: np.ndarray) -> np.ndarray:
+            at_value = np.zeros((int(g.max()) + 1, w.shape[1]))
             np.add.at(at_value, g, w)
             below = np.cumsum(at_value, axis=0) - at_value
             return (below + (at_value + 1) / 2)[g]
 
-        rx, ry, total = ranks(gx), ranks(gy), w.sum(axis=0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mx, my = (w * rx).sum(axis=0) / total, (w * ry).sum(axis=0) / total
-            vx, vy = (w * (rx - mx) ** 2).sum(axis=0), (w * (ry - my) ** 2).sum(axis=0)
-            rho = (w * (rx - mx) * (ry - my)).sum(axis=0) / np.sqrt(vx * vy)
-        rho = np.where((total >= 2) & (vx > 0) & (vy > 0), rho, np.nan)
+        def correlation(w: np.ndarray) -> np.ndarray:
+            rx, ry, total = ranks(gx, w), ranks(gy, w), w.sum(axis=0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mx, my = (w * rx).sum(axis=0) / total, (w * ry).sum(axis=0) / total
+                vx, vy = (w * (rx - mx) ** 2).sum(axis=0), (w * (ry - my) ** 2).sum(axis=0)
+                rho = (w * (rx - mx) * (ry - my)).sum(axis=0) / np.sqrt(vx * vy)
+            return np.where((total >= 2) & (vx > 0) & (vy > 0), rho, np.nan)
+
+        rho = np.concatenate([correlation(w[:, i:i + RANK_STEP]) for i in range(0, n, RANK_STEP)])
         cols = {k: pa.array([v] * n, table.schema.field(k).type) for k, v in zip(keys, group)}
         return pa.table(cols | {"r": np.arange(at, at + n, dtype=np.int32), "spearman": pa.array(rho, from_pandas=True)})
 

@@ -69,6 +69,48 @@ def test_spearman_replicates_match_direct_ranks(spark):
         assert abs(got[r] - rows[0].corr(rows[1])) < 1e-9
 
 
+def skewed_cells():
+    """1 % of the rows on distinct values below 0.01, the others on 20 values."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.random(300) / 100, rng.integers(1, 21, 29700) / 20])
+    y = np.clip(np.round(x * 20) + rng.integers(-3, 4, 30000), 0, 20) / 20
+    y[:300] += rng.random(300) / 100
+    return x, y
+
+
+def test_spearman_replicates_of_skewed_scores(spark):
+    import numpy as np
+    import pandas as pd
+    from docreason.operators import bootstrap as B
+    x, y = skewed_cells()
+    direct = pd.Series(x).rank().corr(pd.Series(y).rank())
+    cells = pd.DataFrame({"g": "k", "x": x, "y": y}).groupby(["g", "x", "y"]).size().rename("m").reset_index()
+    got = [r.spearman for r in B.spearman_replicates(spark.createDataFrame(cells), ["g"], "x", "y", 60, 9).collect()]
+    assert len(got) == 60 and abs(np.median(got) - direct) < 0.003
+    pairs = np.random.default_rng(4).integers(0, 30000, (60, 30000))
+    resampled = [pd.Series(x[i]).rank().corr(pd.Series(y[i]).rank()) for i in pairs]
+    assert 0.6 < np.std(got) / np.std(resampled) < 1.6
+
+
+def test_rank_grid_cuts_by_rows(spark):
+    import pandas as pd
+    from docreason.operators import bootstrap as B
+    x, _ = skewed_cells()
+    few = [float(i) for i in range(64) for _ in range(1 if i else 5000)]
+    rows = pd.concat([pd.DataFrame({"g": g, "x": v}) for g, v in (("skewed", x), ("few", few), (None, [0.5, 0.25]))])
+    cells = rows.groupby(["g", "x"], dropna=False).size().rename("m").reset_index()
+    df = spark.createDataFrame([(g if isinstance(g, str) else None, float(v), int(m)) for g, v, m in cells.itertuples(index=False)],
+                               "g string, x double, m long").selectExpr("*", "x as v")
+    out = B.rank_grid(df, ["g"], ["x"], 64).toPandas()
+    assert out["x"].notna().all() and len(out) == len(cells)
+    for g, part in out.groupby(out["g"].fillna("")):
+        by = part.sort_values("v")
+        assert by["x"].is_monotonic_increasing and by["x"].min() == 0 and by["x"].max() == by["x"].nunique() - 1 < 256
+        for _, one in by.groupby("x"):
+            assert len(one) == 1 or (g == "skewed" and one["m"].sum() <= part["m"].sum() / 64)
+
+
 def test_poisson_mean_ci_close_to_normal_theory(spark):
     import math
     from docreason.operators.bootstrap import mean_ci_poisson
