@@ -2,18 +2,20 @@
 
 Method: every language gets an interpolated Kneser-Ney model over characters
 (order 4, continuation counts below the top order, one absolute discount per
-order). All models live in common sorted arrays of n-gram hashes with one
-column of log-probabilities per language, so one binary search serves every
-language. A document's language is that of the lowest cross-entropy per
+order). A language's model is sorted arrays of its n-gram keys with their
+log-probabilities, searched once for each distinct n-gram of a block of text. A
+document's language is that of the lowest cross-entropy per
 character; a document whose entropy is above the calibrated bar of that language
 and the document's length is marked ``rejected``.
 
 Text is seen as letters: upper case folds to lower, every run of other
 characters is one space.
 
-Fitting uses a bounded sample of labelled rows (``docs_per_lang`` rows a
-language in expectation, chosen by a hash of doc_id, at most ``max_langs``
-languages and ``max_ngrams`` n-grams); prediction reads every whole text.
+Fitting uses a bounded sample of labelled rows (``docs_per_lang`` rows and
+``chars_per_lang`` characters a language in expectation, chosen by a hash of
+doc_id, and one row at least) with all its n-grams, and learns every language
+that has a labelled text with a letter among the rows that are not held out;
+prediction reads every whole text.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0 and
 rejected; without any labelled row every document is ``und``. Repeated rows are
@@ -104,31 +106,37 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Model:
-    langs: list[str]
-    keys: list[np.ndarray]      # by order: sorted n-gram hashes of all languages
-    logp: list[np.ndarray]      # by order: [key, language]
-    contexts: list[np.ndarray]  # by order: sorted hashes of the n-1 symbols before
-    logback: list[np.ndarray]   # by order: [context, language]
-    floor: np.ndarray           # unseen symbol, by language
-    bars: np.ndarray | None = None  # [language, class]: highest accepted cross-entropy
+class Table:
+    """The model of one language."""
+    keys: list[np.ndarray]      # by order: sorted n-gram keys
+    logp: list[np.ndarray]      # by order: of each key
+    contexts: list[np.ndarray]  # by order: sorted keys of the n-1 symbols before
+    logback: list[np.ndarray]   # by order: of each context
+    floor: np.float32           # unseen symbol
 
     def log_prob(self, gram: np.ndarray, n: int = ORDER) -> np.ndarray:
         if n == 0:
-            return np.broadcast_to(self.floor, (len(gram), len(self.langs)))
+            return np.full(len(gram), self.floor)
         key = _low(gram, n)
         at, hit = _find(self.keys[n - 1], key)
-        out = np.empty((len(key), len(self.langs)), np.float32)
+        out = np.empty(len(key), np.float32)
         out[hit] = self.logp[n - 1][at[hit]]
         miss = ~hit
         if miss.any():
-            rest = self.log_prob(gram[miss], n - 1).copy()
+            rest = self.log_prob(gram[miss], n - 1)
             if n > 1:
                 c, seen = _find(self.contexts[n - 1], key[miss] >> np.uint64(16))
                 rest[seen] += self.logback[n - 1][c[seen]]
             out[miss] = rest
         return out
 
+
+@dataclass
+class Model:
+    langs: list[str]
+    tables: list[Table]  # by language
+    bars: np.ndarray | None = None  # [language, class]: highest accepted cross-entropy
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol [text, language] and symbol counts."""
         s, n = symbols(texts)
@@ -140,13 +148,14 @@ class Model:
         # Gram j ends at symbol j + ORDER - 1, so text i owns [starts, ends - ORDER + 1).
         for a in range(0, len(g), BLOCK):
             b = min(a + BLOCK, len(g))
-            lp = self.log_prob(g[a:b])
-            run = np.concatenate([np.zeros((1, lp.shape[1])), np.cumsum(lp, axis=0, dtype=np.float64)])
+            kinds, kind = np.unique(g[a:b], return_inverse=True)
             lo = np.searchsorted(ends - ORDER + 1, a, side="right")
             hi = np.searchsorted(starts, b)
             f = np.clip(starts[lo:hi], a, b) - a
             t = np.clip(ends[lo:hi] - ORDER + 1, a, b) - a
-            total[lo:hi] += run[np.maximum(t, f)] - run[f]
+            for j, table in enumerate(self.tables):
+                run = np.concatenate([[0.0], np.cumsum(table.log_prob(kinds)[kind], dtype=np.float64)])
+                total[lo:hi, j] += run[np.maximum(t, f)] - run[f]
         return -total / np.maximum(n, 1)[:, None], n
 
     def rejects(self, ce: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -202,8 +211,7 @@ def bars(lang: np.ndarray, doc: np.ndarray, n: np.ndarray, ce: np.ndarray, langs
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """counts: language -> (distinct ORDER-gram keys, how often each occurs)."""
     langs = sorted(counts)
-    L = len(langs)
-    tables = []  # by language: by order (keys, counts)
+    by_lang = []  # by language: by order (keys, counts)
     for lang in langs:
         k, c = counts[lang]
         o = np.argsort(k)
@@ -212,36 +220,33 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             # Continuation count: distinct symbols seen before the n-gram.
             lk, lc = np.unique(_low(by[n + 1][0], n), return_counts=True)
             by[n] = (lk, lc.astype(np.float64))
-        tables.append(by)
-    keys = [np.unique(np.concatenate([t[n][0] for t in tables])) for n in range(1, ORDER + 1)]
-    vocab = len(keys[0]) + 1
-    logp, contexts, logback, prob = [], [], [], None
-    floor = np.zeros(L)
+        by_lang.append(by)
+    vocab = len(np.unique(np.concatenate([by[1][0] for by in by_lang]))) + 1
+    return Model(langs, [_table(by, vocab) for by in by_lang])
+
+
+def _table(by: dict[int, tuple[np.ndarray, np.ndarray]], vocab: int) -> Table:
+    keys, logp, contexts, logback, floor, prob = [], [], [], [], 0.0, None
     for n in range(1, ORDER + 1):
-        union = keys[n - 1]
-        ctx = np.unique(union >> np.uint64(16)) if n > 1 else np.zeros(1, np.uint64)
-        p, lam = np.zeros((len(union), L)), np.ones((len(ctx), L))
-        for j, t in enumerate(tables):
-            k, c = t[n]
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            own = np.searchsorted(ctx, k >> np.uint64(16)) if n > 1 else np.zeros(len(k), np.int64)
-            total = np.bincount(own, c, len(ctx))
-            kinds = np.bincount(own, minlength=len(ctx))
-            known = total > 0
-            lam[known, j] = d * kinds[known] / total[known]
-            p[np.searchsorted(union, k), j] = np.maximum(c - d, 0) / total[own]
-        before = np.searchsorted(ctx, union >> np.uint64(16)) if n > 1 else np.zeros(len(union), np.int64)
+        k, c = by[n]
+        n1, n2 = (c == 1).sum(), (c == 2).sum()
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        ctx = np.unique(k >> np.uint64(16)) if n > 1 else np.zeros(1, np.uint64)
+        own = np.searchsorted(ctx, k >> np.uint64(16)) if n > 1 else np.zeros(len(k), np.int64)
+        total = np.bincount(own, c, len(ctx))
+        lam = d * np.bincount(own, minlength=len(ctx)) / total
         if n == 1:
-            lower = np.full((len(union), L), 1 / vocab)
+            lower = np.full(len(k), 1 / vocab)
             floor = np.log(lam[0] / vocab)
         else:
-            lower = prob[np.searchsorted(keys[n - 2], _low(union, n - 1))]
-        prob = p + lam[before] * lower
+            # The end of an n-gram of the language is one of its (n-1)-grams.
+            lower = prob[np.searchsorted(keys[n - 2], _low(k, n - 1))]
+        prob = np.maximum(c - d, 0) / total[own] + lam[own] * lower
+        keys.append(k)
         logp.append(np.log(prob).astype(np.float32))
         contexts.append(ctx)
         logback.append(np.log(lam).astype(np.float32))
-    return Model(langs, keys, logp, contexts, logback, floor.astype(np.float32))
+    return Table(keys, logp, contexts, logback, np.float32(floor))
 
 
 def held_out() -> Column:
@@ -249,30 +254,33 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, docs_per_lang: int = 1500, max_langs: int = 100,
-          max_ngrams: int = 1_000_000) -> Model | None:
+def train(docs: DataFrame, docs_per_lang: int = 1500, chars_per_lang: int = 16_000_000) -> Model | None:
     """Fit on rows that are not held out and have doc_id, text and lang.
 
     A tenth of the sample is kept from the counts and calibrates rejection.
-    The n-gram counts are summed by Spark; the driver gets at most
-    ``max_ngrams`` of them (the most frequent) and one small row for each
-    calibration document."""
+    The n-gram counts are summed by Spark; the driver gets those of the sample,
+    and one small row for each calibration piece."""
     spark = with_workers(docs.sparkSession)
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     rows = docs.select("doc_id", "text", "lang").where(
-        "doc_id is not null and text is not null and lang is not null").where(~held_out())
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+        r"doc_id is not null and text rlike '\\p{L}' and lang is not null").where(~held_out()).withColumn("draw", draw)
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"),
+                                     F.min("draw").alias("least")).collect()
     if not found:
         return None
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], docs_per_lang / r["count"])])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    sample = rows.where(draw < share[F.col("lang")]).withColumn(
-        "calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(10)) == 0)
+    langs = sorted(r["lang"] for r in found)
+    part = {r["lang"]: (min(docs_per_lang / r["rows"], chars_per_lang / r["chars"]), r["least"]) for r in found}
+    parts = spark.createDataFrame([(lang, i, *part[lang]) for i, lang in enumerate(langs)],
+                                  "lang string, place long, share double, least double")
+    # The rows of the least draw are always in the sample and always counted.
+    sample = rows.join(F.broadcast(parts), "lang").where("draw < share or draw = least").withColumn(
+        "calibrate", (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(10)) == 0) & (F.col("draw") > F.col("least")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, texts = np.array(b["lang"].to_pylist(), object), b["text"].to_pylist()
-            for lang in sorted(set(langs)):
-                own = [texts[i] for i in np.flatnonzero(langs == lang)]
+            places, texts = b["place"].to_numpy(), b["text"].to_pylist()
+            for place in np.unique(places):
+                own = [texts[i] for i in np.flatnonzero(places == place)]
                 for a in range(0, len(own), 256):
                     s, n = symbols(own[a:a + 256])
                     if len(s) < ORDER:
@@ -284,17 +292,19 @@ def train(docs: DataFrame, docs_per_lang: int = 1500, max_langs: int = 100,
                     np.add.at(real, np.cumsum(width), -1)
                     k, c = np.unique(g[np.cumsum(real)[ORDER - 1:len(s)] > 0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c)],
-                        names=["lang", "gram", "n"])
-
-    train_rows = sample.where("not calibrate").select("lang", "text")
-    top = (train_rows.mapInArrow(count, "lang string, gram long, n long")
-           .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "lang", "gram").limit(max_ngrams)).toPandas()
-    if top.empty:
+                        [pa.array(np.full(len(k), place)), pa.array(k.view(np.int64)), pa.array(c)],
+                        names=["place", "gram", "n"])
+
+    train_rows = sample.where("not calibrate").select("place", "text")
+    counted = (train_rows.mapInArrow(count, "place long, gram long, n long")
+               .groupBy("place", "gram").agg(F.sum("n").alias("n"))).toArrow()
+    if not counted.num_rows:
         return None
-    model = fit({lang: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy())
-                 for lang, g in top.groupby("lang")})
+    place, gram, n = (counted[c].to_numpy() for c in ("place", "gram", "n"))
+    order = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[order], np.arange(len(langs) + 1))
+    model = fit({lang: (gram[order[a:b]].view(np.uint64), n[order[a:b]])
+                 for lang, a, b in zip(langs, ends[:-1], ends[1:]) if b > a})
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,6 +96,21 @@ def test_unlearned_language_is_rejected_at_every_length(spark):
         assert np.mean(langid.predict(model, known)[2]) <= 0.03, size
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = np.random.default_rng(3)
+    # Over a million 4-grams in one language, a few short rows in 120 others.
+    large = [(i, "".join(map(chr, rng.integers(0x4E00, 0x5A00, 4000))), "a") for i in range(450)]
+    words = [(1000 + 9 * j + i, " ".join([f"{'bcdfghjklmnp'[j % 12]}{'aeiouyäöüé'[j // 12]}s"] * 5), f"z{j:03}")
+             for j in range(120) for i in range(9)]
+    docs = spark.createDataFrame(large + words, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == sorted({d[2] for d in large + words})
+    probe = [large[0][1]] + [w[1] for w in words[::9]]
+    assert langid.predict(model, probe)[0] == ["a"] + [w[2] for w in words[::9]]
+    # A language is never dropped, however small its share of rows or characters.
+    assert langid.train(docs, docs_per_lang=1, chars_per_lang=1).langs == model.langs
+
+
 def test_bars_by_length():
     rng = np.random.default_rng(1)
     n = np.repeat([16, 64, 256], 400)
