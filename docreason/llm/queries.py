@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreason.llm import decontam, langid, licenses, packing, pii, rules, simhash, suffixes, url_filters, warc
+from docreason.llm import decontam, langid, licenses, packing, pii, rules, simhash, suffixes, trie, url_filters, warc
 from docreason.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,43 @@ from c left join m on c.page_id = m.page_id and c.host = m.host and c.fetched_at
 def temporal_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return url_filters.evaluate(page_captures(pages), dated_list(pages))
+
+
+def _crc32_sql(c: str) -> str:
+    """Unsigned CRC-32 of an integer's decimal text: its bytes, each followed by
+    eight shifts, in one fold."""
+    steps = f"flatten(list_transform(string_split({c}::varchar, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}::bigint[]), lambda x, y: "
+            "case when y >= 0 then xor(x, y) when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end), 4294967295::bigint)")
+
+
+@query("op11_prefix_trie", f"""
+with o as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null),
+c as (select conv_id, count(*) as n, ((conv_id % 5) + 5) % 5 as rest, {_crc32_sql("conv_id")} % 9 as h from o group by conv_id),
+x as (select c.conv_id, case when rest = 0 then 0 else h end as h, least(case when rest = 0 then 0 else h end, coalesce(b.n, 0)) as taken, c.n, c.conv_id - rest as base
+      from c left join (select conv_id, n from c) b on b.conv_id = c.conv_id - rest),
+m as (
+  select o.conv_id, pos - h + taken as depth, role, text from o join x using (conv_id) where pos > h
+  union all select x.conv_id, pos, role, text from x join o on o.conv_id = x.base and x.base <> x.conv_id and pos <= h),
+p as (select conv_id, depth, text, list(struct_pack(role := role, text := text)) over (partition by conv_id order by depth) as path from m
+      union all select conv_id, 0, '', [] from x),
+e as (select *, depth = x.taken + greatest(x.n - x.h, 0) as is_end from p join x using (conv_id)),
+nodes as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(text) as text,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where is_end), '')) as ends_sha256
+  from e group by path, depth),
+kids as (select path[:depth - 1] as path, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by all),
+own as (select n.*, coalesce(n_children, 0) as n_children, coalesce(n_children, 0) = 0 as leaf,
+          case when n.depth = 0 then 0 else (n_convs - 1) * strlen(text) end as saved
+        from nodes n left join kids k on n.path = k.path and n.depth = k.depth),
+up as (select path[:d] as path, d as depth, sum(case when leaf then 1 else 0 end) as n_leaves, sum(saved) as saved_tokens
+       from (select path, leaf, saved, unnest(range(0, depth + 1)) as d from own) group by all)
+select o.conv_id::bigint as conv_id, o.depth::bigint as depth, q.conv_id::bigint as parent_conv_id, o.n_convs::bigint as n_convs,
+  o.n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, o.ends_sha256
+from own o join up using (path, depth) left join own q on q.depth = o.depth - 1 and q.path = o.path[:o.depth - 1]""")
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(read_table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(*trie.rebuilt(turns, group=5, heads=9))
