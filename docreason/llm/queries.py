@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreason.llm import decontam, langid, licenses, packing, pii, rules, simhash, suffixes, trie, url_filters, warc
+from docreason.llm import alignment, decontam, langid, licenses, packing, pii, rules, simhash, suffixes, trie, url_filters, warc
 from docreason.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +258,8 @@ from own o join up using (path, depth) left join own q on q.depth = o.depth - 1
 def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = trie.ordered_turns(read_table(spark, sf_dir, "conversations"))
     return trie.prefix_trie(*trie.rebuilt(turns, group=5, heads=9))
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
