@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreason.llm import alignment, decontam, langid, licenses, packing, pii, rules, simhash, suffixes, trie, url_filters, warc
+from docreason.llm import alignment, decontam, langid, licenses, packing, pii, rules, simhash, suffixes, toxicity, trie, url_filters, warc
 from docreason.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,3 +263,10 @@ def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op12_toxicity")
+def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
