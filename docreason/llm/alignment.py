@@ -31,6 +31,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +80,15 @@ class Vocabularies:
         #: A line feed is a piece of its own, and a space only begins pieces.
         self.splits = (len(probe) == 3 and self.b.is_byte(probe[1])
                        and not any("\n" in p or re.search("[^▁]▁", p) for p in own))
+        #: Every id with the sign that follows it in a listing.
+        self.signs = [f"{i}{c}" for names, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for c in signs for i in range(len(names))]
+        self.sign_size = np.array(list(map(len, self.signs)), np.int64)
         self.clear()
 
     def clear(self) -> None:
         self.seen: dict[str, int] = {}
-        self.groups: list[bytes] = []   # of each unit
-        self.valid: list[bool] = []
+        self.groups: list[str] = []  # of each unit, with a last ";"
+        self.valid = np.zeros(0, bool)
         self.counts = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
         self.at, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.bytes = 0
@@ -101,60 +105,61 @@ class Vocabularies:
                 return units
         return [s] if OTHER_SPACE.search(text) else UNIT.findall(s)
 
+    def encode(self, units: list[str], joined: int) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and B of strings of ``joined`` units each."""
+        parts = ["".join(units[i:i + joined]) for i in range(0, len(units), joined)]
+        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        if self.splits:  # "\n" keeps the added space apart: two pieces that are dropped
+            return a, [x[2:] for x in self.b.encode(["\n" + u for u in parts], num_threads=1)]
+        return a, self.b.encode([u[1:] for u in parts], num_threads=1)
+
     def learn(self, units: list[str]) -> None:
         """Encode new units and keep their groups and links."""
         raw = [u.encode() for u in units]
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        if self.splits:  # "\n" keeps the added space apart: two pieces that are dropped
-            b = [x[2:] for x in self.b.encode(["\n" + u for u in units], num_threads=1)]
-        else:
-            b = self.b.encode([u[1:] for u in units], num_threads=1)
-        na, nb, size = (np.fromiter(map(len, x), np.int64, len(units)) for x in (a, b, raw))
-        fa = np.fromiter((i for x in a for i in x), np.int64, na.sum())
-        fb = np.fromiter((i for x in b for i in x), np.int64, nb.sum())
-        valid = [r == b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y))
-                 for r, x, y in zip(raw, a, b)]
-        # Ends of tokens on one line of all units' bytes; those of an invalid
-        # unit do not matter, but must not reach into the next.
-        base = np.cumsum(size) - size
-        ok = np.array(valid, bool)
-        ua, ub = np.repeat(np.arange(len(units)), na), np.repeat(np.arange(len(units)), nb)
-        ka, kb = ok[ua], ok[ub]
-        fa, ua, fb, ub = fa[ka], ua[ka], fb[kb], ub[kb]
-
-        def ends(ids, unit, width, n):
-            run = np.cumsum(width[ids])
-            first = np.cumsum(n) - n
-            before = np.concatenate([[0], run])[first]
-            return run - before[unit] + base[unit]
-        na, nb = np.where(ok, na, 0), np.where(ok, nb, 0)
-        ea, eb = ends(fa, ua, self.a_size, na), ends(fb, ub, self.b_size, nb)
-        cuts = np.intersect1d(ea, eb)
+        whole = b"".join(raw)
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        # Units that end in a character may be encoded together.
+        a, b = self.encode(units, 64 if self.splits and not any(u[-1].isspace() for u in units) else 1)
+        fa, fb = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ok = np.ones(len(units), bool)
+        same = all(b"".join(map(names.__getitem__, ids.tolist())) == whole for names, ids in ((self.a_bytes, fa), (self.b_bytes, fb)))
+        if not same:
+            # Each by itself; the bytes of invalid ones are left out of the line.
+            a, b = self.encode(units, 1)
+            ok = np.array([r == b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y))
+                           for r, x, y in zip(raw, a, b)])
+            fa, fb = (np.fromiter(chain.from_iterable(x for x, good in zip(y, ok) if good), np.int64) for y in (a, b))
+            ends = np.cumsum(np.where(ok, np.fromiter(map(len, raw), np.int64, len(raw)), 0))
+        # Ends of tokens on one line of all units' bytes.
+        ea, eb = np.cumsum(self.a_size[fa]), np.cumsum(self.b_size[fb])
+        at = np.searchsorted(eb, ea)
+        cuts = ea[eb[at] == ea] if len(ea) else ea
         ga, gb = np.searchsorted(cuts, ea), np.searchsorted(cuts, eb)
         ca, cb = np.bincount(ga, minlength=len(cuts)), np.bincount(gb, minlength=len(cuts))
-        first_b = np.cumsum(cb) - cb
         links = cb[ga]  # of each A token
-        pairs = np.repeat(fa, links) * len(self.b_bytes) + fb[_ragged(first_b[ga], links)]
-        per_unit = np.bincount(ua, links, len(units)).astype(np.int64)
-        group_unit = ua[np.cumsum(ca) - 1] if len(cuts) else np.zeros(0, np.int64)
-        n_groups = np.bincount(group_unit, minlength=len(units))
-        self.counts = np.concatenate([self.counts, np.stack([na, nb, n_groups, per_unit], 1)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(per_unit)])
-        self.pairs = np.concatenate([self.pairs, pairs])
-        texts_a, texts_b = list(map(str, fa.tolist())), list(map(str, fb.tolist()))
-        ia = ib = 0
-        listed = []
-        for x, y in zip(ca.tolist(), cb.tolist()):
-            listed.append(",".join(texts_a[ia:ia + x]) + "|" + ",".join(texts_b[ib:ib + y]))
-            ia += x
-            ib += y
+        pairs = np.repeat(fa, links) * len(self.b_bytes) + fb[_ragged((np.cumsum(cb) - cb)[ga], links)]
+
+        def per_unit(x, weights=None):
+            return np.bincount(np.searchsorted(ends, x), weights, len(units)).astype(np.int64)
+        per = np.stack([per_unit(ea), per_unit(eb), per_unit(cuts), per_unit(ea, links)], 1)
+        per[~ok] = 0
+        # The listing: of each group its A ids, then its B ids, each with the sign after it.
+        order = np.empty(len(fa) + len(fb), np.int64)
+        order[np.arange(len(fa)) + (np.cumsum(cb) - cb)[ga]] = np.where(np.append(ga[1:], -1) == ga, 0, len(self.a_bytes)) + fa
+        order[np.arange(len(fb)) + np.cumsum(ca)[gb]] = 2 * len(self.a_bytes) + np.where(np.append(gb[1:], -1) == gb, 0, len(self.b_bytes)) + fb
+        listing = "".join(map(self.signs.__getitem__, order.tolist()))
+        run = np.concatenate([[0], np.cumsum(self.sign_size[order])])
+        last = run[np.cumsum(per[:, 0] + per[:, 1])].tolist()
         at = 0
-        for unit, n, good in zip(units, n_groups.tolist(), valid):
+        for unit, end in zip(units, last):
             self.seen[unit] = len(self.groups)
-            self.groups.append(";".join(listed[at:at + n]).encode())
-            self.valid.append(good)
-            self.bytes += len(unit) + len(self.groups[-1])
-            at += n
+            self.groups.append(listing[at:end])
+            self.bytes += len(unit) + end - at
+            at = end
+        self.valid = np.concatenate([self.valid, ok])
+        self.counts = np.concatenate([self.counts, per])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(per[:, 3])])
+        self.pairs = np.concatenate([self.pairs, pairs])
 
     def align(self, texts: list[str]):
         """Per text: (n_a, n_b, n_groups, n_links), digest; and of all links
@@ -162,23 +167,32 @@ class Vocabularies:
         units = [self.units(t) if t else [] for t in texts]
         if len(self.seen) > CACHE or self.bytes > 1 << 26:
             self.clear()
-        new = list(dict.fromkeys(u for x in units for u in x if u not in self.seen))
+        new = list(set().union(*units) - self.seen.keys())
+        # White space at the end, and whole texts, apart from those that can be joined.
+        new.sort(key=lambda u: u[-1].isspace() or len(u) > 1000)
         for i in range(0, len(new), 20_000):
             self.learn(new[i:i + 20_000])
-        ids, digests = [], []
-        for x in units:
-            own = list(map(self.seen.__getitem__, x))
-            if not all(map(self.valid.__getitem__, own)):
-                own = []
-            digests.append(hashlib.sha256(b";".join(map(self.groups.__getitem__, own))).hexdigest() if own else "")
-            ids.append(own)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int64, n.sum())
+        n = np.fromiter(map(len, units), np.int64, len(units))
+        flat = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(units)), np.int64, n.sum())
+        owner = np.repeat(np.arange(len(texts)), n)
+        bad = np.bincount(owner, ~self.valid[flat], len(texts)) > 0
+        flat, owner = flat[~bad[owner]], owner[~bad[owner]]
+        n[bad] = 0
         run = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.counts[flat], axis=0)])
         ends = np.cumsum(n)
+        digests, listed = [], flat.tolist()
+        for a, b in zip((ends - n).tolist(), ends.tolist()):
+            text = "".join(map(self.groups.__getitem__, listed[a:b]))
+            digests.append(hashlib.sha256(text[:-1].encode()).hexdigest() if text else "")
         sizes = self.at[flat + 1] - self.at[flat]
-        doc = np.repeat(np.repeat(np.arange(len(texts)), n), sizes)
-        return run[ends] - run[ends - n], digests, doc, self.pairs[_ragged(self.at[flat], sizes)]
+        return run[ends] - run[ends - n], digests, np.repeat(owner, sizes), self.pairs[_ragged(self.at[flat], sizes)]
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    key = np.sort(key)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[starts], np.diff(np.append(starts, len(key)))
 
 
 _LOADED: dict[tuple[str, str], Vocabularies] = {}
@@ -278,7 +292,7 @@ def index(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                         yield from flush()
                     block, used, held, keys, ns = block + 1, 0, 0, [], []
                 totals, digests, doc, pair = voc.align(texts)
-                key, n = np.unique(pair << 16 | (doc + used), return_counts=True)
+                key, n = _counted(pair << 16 | (doc + used))
                 if len(key):
                     keys.append(key)
                     ns.append(n)
