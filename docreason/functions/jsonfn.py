@@ -60,13 +60,30 @@ def list_text(content) -> Column:
     return F.when(m == "", c).otherwise(m)
 
 
+def one_value(raw) -> Column:
+    """The VARIANT of a text that is exactly one JSON value, else NULL.
+
+    Spark's parsers stop after the first value. The text is therefore parsed as
+    the first element of a list that ends with the text's own hash: the hash is
+    the second and last element only if the text neither ends the list nor
+    holds anything but one value."""
+    raw = c_(raw)
+    mark = F.xxhash64(raw).cast("string")
+    wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), mark, F.lit('"]')))
+    items = F.try_variant_get(wrapped, "$", "array<variant>")
+    sound = (F.size(items) == 2) & (F.try_variant_get(wrapped, "$[1]", "string") == mark)
+    return F.when(F.coalesce(sound, F.lit(False)), F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
+def is_object(v) -> Column:
+    """True where a VARIANT is a JSON object."""
+    return F.coalesce(vtype(v).startswith("OBJECT"), F.lit(False))
+
+
 def is_json_list(raw) -> Column:
     """True when ``raw`` is exactly one JSON value and that value is a list
     (text after the value, a lone object or two lists fail, as in Python)."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), c_(raw), F.lit("]")))
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    n = F.array_size(F.try_variant_get(wrapped, "$", "array<variant>"))
-    return F.coalesce(wrapped.isNotNull() & (n == 1) & vtype(first).startswith("ARRAY"), F.lit(False))
+    return F.coalesce(vtype(one_value(raw)).startswith("ARRAY"), F.lit(False))
 
 
 def list_items(raw) -> Column:

@@ -21,25 +21,17 @@ def parse_list(resp: DataFrame, content: str = "content") -> DataFrame:
     """Adds raw (the list text), is_list, items (ARRAY<VARIANT>) and texts
     (each item's JSON as the model wrote it, keys in their order; a VARIANT
     sorts them)."""
-    raw = J.list_text(content)
-    # Parse once: "[" + raw + "]" is valid JSON with exactly one element that
-    # is a list exactly when raw is one JSON list (Python's rule); its first
-    # element is then the item list itself.
-    wrapped = F.col("_wrapped")
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    n = F.array_size(F.try_variant_get(wrapped, "$", "array<variant>"))
-    ok = F.coalesce(wrapped.isNotNull() & (n == 1) & J.vtype(first).startswith("ARRAY"), F.lit(False))
-    return (resp.withColumn("raw", raw)
-            .withColumn("_wrapped", F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]"))))
-            .withColumn("is_list", ok)
-            .withColumn("items", F.when(F.col("is_list"), F.try_variant_get(wrapped, "$[0]", "array<variant>")))
+    return (resp.withColumn("raw", J.list_text(content)).withColumn("_v", J.one_value("raw"))
+            .withColumn("is_list", F.coalesce(J.vtype("_v").startswith("ARRAY"), F.lit(False)))
+            .withColumn("items", F.when(F.col("is_list"), F.try_variant_get("_v", "$", "array<variant>")))
             .withColumn("texts", F.when(F.col("is_list"), F.from_json("raw", "array<string>")))
-            .drop("_wrapped"))
+            .drop("_v"))
 
 
 def parse_object(resp: DataFrame, content: str = "content") -> DataFrame:
-    """The content as one JSON value (NULL when it does not parse)."""
-    return resp.withColumn("value", F.try_parse_json(F.col(content)))
+    """The content as one JSON value (NULL when it does not parse, or is
+    followed by anything but white space)."""
+    return resp.withColumn("value", J.one_value(content))
 
 
 def parse_text(resp: DataFrame, content: str = "content", strip: bool = True) -> DataFrame:

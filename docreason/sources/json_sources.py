@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docreason.functions import jsonfn as J
 from docreason.functions.scores import py_strip
+from docreason.session import materialize
+from docreason.sources import json_arrays
 
 
 class SourceError(ValueError):
@@ -22,82 +25,81 @@ def _as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def _lines(spark: SparkSession, paths) -> DataFrame:
-    """value, path, place (order within the file) of every line."""
-    return spark.read.text(_as_list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"))
-
-
 def file_kinds(spark: SparkSession, paths) -> DataFrame:
-    """One row per file with any text: path and whether it holds a JSON array.
+    """One row per file with any text: path and whether it holds a JSON array
+    (the first character that is not white space decides)."""
+    return json_arrays.block_states(spark, _as_list(paths)).groupBy("path").agg(F.first("is_array").alias("is_array"))
 
-    The first character that is not white space decides: the first non-blank
-    line of each file, by a splittable line scan aggregated per file."""
-    lines = _lines(spark, paths).withColumn("text", py_strip("value")).where("text <> ''")
-    return lines.groupBy("path").agg(F.min_by(F.col("text").startswith("["), "place").alias("is_array"))
+
+def _object(text, value, schema: T.StructType) -> Column:
+    """A JSON object's text as a struct; NULL for anything else."""
+    return F.when(J.is_object(value), F.from_json(text, schema))
 
 
 def read_json_arrays(spark: SparkSession, paths, schema: T.StructType,
                      strict: bool = True) -> DataFrame:
     """Files holding one top-level JSON array each; every element a row.
 
-    With ``strict`` a file whose text is not an array is an error (raised
-    here, naming a few), and a broken array is an error when it is read;
-    without, broken records have all-NULL columns."""
+    With ``strict`` a file whose text is not an array is an error (raised here,
+    naming a few); an element that is no JSON object, text after the array and an
+    array that is not closed are errors when they are read. Without, such
+    elements have all-NULL columns and other files no rows."""
     paths = _as_list(paths)
+    states = materialize(json_arrays.block_states(spark, paths), "json-blocks")
     if strict:
-        bad = [r.path for r in file_kinds(spark, paths).where(~F.col("is_array")).limit(5).collect()]
+        bad = [r.path for r in states.where(~F.col("is_array")).select("path").distinct().limit(5).collect()]
         if bad:
             raise SourceError(f"not a JSON array at the top level, among others: {bad}")
-    return (spark.read.schema(schema).option("multiLine", True)
-            .option("mode", "FAILFAST" if strict else "PERMISSIVE").json(paths))
+    found = json_arrays.elements(spark, paths, states)
+    obj = F.when(F.col("ok"), _object("text", "value", schema))
+    if strict:
+        broken = F.raise_error(F.concat(F.lit("malformed JSON array in "), "path", F.lit(", element "), F.col("no").cast("string")))
+        obj = F.when(F.col("ok") & J.is_object("value"), obj).otherwise(broken.cast(schema))
+    return found.select(obj.alias("_obj")).select(*[F.col("_obj")[f.name].alias(f.name) for f in schema.fields])
 
 
 def read_json_lines(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
-    """One object per line; unparsable lines land in ``_corrupt_record``."""
-    s = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    return (spark.read.schema(s).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(_as_list(paths)))
+    """One object per line; a line that is anything else (also a blank one,
+    or a second object after the first) lands in ``_corrupt_record``."""
+    lines = spark.read.text(_as_list(paths)).withColumn("_obj", _object("value", J.one_value("value"), schema))
+    return lines.select(*[F.col("_obj")[f.name].alias(f.name) for f in schema.fields],
+                        F.when(F.col("_obj").isNull(), F.col("value")).alias("_corrupt_record"))
 
 
 def read_any_json(spark: SparkSession, paths, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """S3: tolerant scan. A file whose first character is '[' is one array;
     any other is read line by line: blank lines skipped, one trailing comma
-    stripped. Returns (rows, quarantine): quarantine holds lines that do not
-    parse even after the comma is stripped, and the texts of array files that
-    do not parse.
-
-    No path comes to the driver: lines meet their file's kind in a join, and
-    the lines of an array file are put together again (one document, which a
-    parser needs whole)."""
-    cols = [f.name for f in schema.fields]
-    kinds = file_kinds(spark, paths).withColumnRenamed("path", "kind_path")
-    lines = _lines(spark, paths).join(kinds, F.col("path") == F.col("kind_path"))
-    whole = (lines.where("is_array").groupBy("path")
-             .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("all"))
-             .select(F.col("path").alias("source_file"),
-                     py_strip(F.array_join(F.transform("all", lambda x: x["value"]), "\n")).alias("line")))
-    single = (lines.where(~F.col("is_array")).select(F.col("path").alias("source_file"), py_strip("value").alias("line"))
-              .where("line <> ''"))
-    single = single.withColumn("_text", F.when(F.col("line").endswith(","), F.expr("substring(line, 1, length(line) - 1)"))
-                               .otherwise(F.col("line")))
-    parses = F.expr("try_parse_json(_text) IS NOT NULL")
-    whole = whole.withColumn("_text", F.col("line")).withColumn("_ok", parses)
-    single = single.withColumn("_ok", parses)
-    from_arrays = whole.where("_ok").select(
-        "source_file", F.explode(F.from_json("_text", T.ArrayType(schema))).alias("_obj"))
-    from_lines = single.where("_ok").select("source_file", F.from_json("_text", schema).alias("_obj"))
-    rows = from_arrays.unionByName(from_lines).select(*[F.col("_obj")[c].alias(c) for c in cols], "source_file")
-    bad = whole.where(~F.col("_ok")).select("source_file", "line").unionByName(
-        single.where(~F.col("_ok")).select("source_file", "line"))
-    return rows, bad
+    stripped where the line does not parse without. Returns (rows, quarantine):
+    quarantine (source_file, line) holds the lines that are not one JSON object,
+    all elements of an array file that does not parse (such a file gives no
+    rows), and elements of other array files that are no objects. Every line or
+    element that is not blank is in one of the two.
+
+    No path comes to the driver, and no row holds more than a line or an element."""
+    paths, fields = _as_list(paths), [f.name for f in schema.fields]
+    states = materialize(json_arrays.block_states(spark, paths), "json-blocks")
+    found = materialize(json_arrays.elements(spark, paths, states).select(
+        "path", "text", "ok", F.when(F.col("ok"), _object("text", "value", schema)).alias("_obj")), "json-elements")
+    sound = found.groupBy("path").agg(F.bool_and("ok").alias("_sound"))
+    arrays = found.join(sound, "path").select(
+        F.col("path").alias("source_file"), py_strip("text").alias("line"), F.when(F.col("_sound"), F.col("_obj")).alias("_obj"))
+
+    others = states.where(~F.col("is_array")).select(F.col("path").alias("kind_path")).distinct()
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    lines = lines.join(others, F.col("path") == F.col("kind_path")).select(F.col("path").alias("source_file"), py_strip("value").alias("line"))
+    cut = F.when(F.col("line").endswith(","), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
+    lines = (lines.where("line <> ''").withColumn("_text", cut).withColumn("_obj", _object("_text", J.one_value("_text"), schema))
+             .select("source_file", "line", "_obj"))
+    every = arrays.unionByName(lines)
+    rows = every.where("_obj is not null").select(*[F.col("_obj")[c].alias(c) for c in fields], "source_file")
+    return rows, every.where("_obj is null").select("source_file", "line")
 
 
 def json_object_keys(c) -> Column:
-    """Keys of a JSON object in order; a non-object or broken text gives []."""
+    """Keys of a JSON object in order; a non-object, broken text or text
+    after the object gives []."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    return F.coalesce(F.when(J.is_object(J.one_value(c)), F.json_object_keys(c)), F.array().cast("array<string>"))
 
 
 def union_tagged(frames: list[tuple[DataFrame, dict]]) -> DataFrame:

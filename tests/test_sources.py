@@ -1,9 +1,11 @@
 """Tolerant JSON loader, strict array loader, manifest and CSV sources."""
 
+import json
 import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from docreason.sources import files as FS
 from docreason.sources import json_sources as JS
@@ -45,7 +47,7 @@ def test_first_character_decides(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
         JS.read_json_arrays(spark, str(tmp_path / "cut.json"), schema).collect()
     rows, bad = JS.read_any_json(spark, str(tmp_path / "cut.json"), schema)
-    assert rows.count() == 0 and [r.line[:2] for r in bad.collect()] == ["[{"]
+    assert rows.count() == 0 and sorted(r.line for r in bad.collect()) == ['{"question_id": "d"}', '{"question_id": "e"']
 
 
 def test_label_files(spark):
@@ -71,9 +73,77 @@ def test_manifest_last_row_wins_and_quoted_csv(spark):
 
 
 def test_json_object_keys_rules(spark):
-    df = spark.createDataFrame([('{"b": 1, "a": {"x": 2}}',), ("[1, 2]",), ("not json",), (None,), ("{}",)], "v string")
+    df = spark.createDataFrame([('{"b": 1, "a": {"x": 2}}',), ("[1, 2]",), ("not json",), (None,), ("{}",),
+                                ('{"a": 1} junk',), ('{"a": 1} {"b": 2}',)], "v string")
     got = [r.k for r in df.select(JS.json_object_keys("v").alias("k")).collect()]
-    assert got == [["b", "a"], [], [], [], []]
+    assert got == [["b", "a"], [], [], [], [], [], []]
+
+
+def test_one_value(spark):
+    """A text after the first value, however it is made, is no single value."""
+    from docreason.functions import jsonfn as J
+    good = ['{"a": 1}', ' [1, "]"] ', "3", '"x"', "null", "[]", '"a\\"b"']
+    bad = ['{"a": 1} junk', "[1] [2]", "1], [2", "1, 2", "", " ", "1]", "[1", "1,", ',1', '1,"x"],["y"', "not json", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i int, t string")
+    got = dict(df.select("i", F.to_json(J.one_value("t"))).collect())
+    assert [json.loads(got[i]) for i in range(len(good))] == [json.loads(t) for t in good]
+    assert [got[len(good) + i] for i in range(len(bad))] == [None] * len(bad)
+
+
+PROBES = {
+    "two_arrays.json": ('[{"question_id": "a"}]\n[{"question_id": "b"}]', [], 1),
+    "junk_after.json": ('[{"question_id": "a"},{"question_id": "b"}] and more', [], 2),
+    "two_objects.jsonl": ('{"question_id": "b"}{"question_id": "c"}\n{"question_id": "d"}', ["d"], 1),
+    "broken_element.json": ("[1, 2, {z}]", [], 3),
+    "numbers.json": ('[1, {"question_id": "e"}]', ["e"], 1),
+    "comma_at_end.json": ('[{"question_id": "f"},]', [], 2),
+    "comma_after.json": ('[{"question_id": "g"}],', [], 1),
+    "empty.json": (" [ ]\n", [], 0),
+    "blank.json": ("\n \n", [], 0),
+    "nested.json": ('[{"question_id": "h,]\\"[", "x": [1, [2, {"y": 3}]]},\n {"question_id": "i"}]\n', ['h,]"[', "i"], 0),
+    "unclosed.json": ('[{"question_id": "j"}', [], 1),
+    "extra_bracket.json": ('[{"question_id": "k"}]]', [], 1),
+}
+
+
+def test_nothing_is_lost_without_a_quarantine_row(spark, tmp_path):
+    from pyspark.sql import types as T
+    schema = T._parse_datatype_string(SCHEMA)
+    for name, (text, _, _) in PROBES.items():
+        (tmp_path / name).write_text(text)
+    rows, bad = JS.read_any_json(spark, str(tmp_path), schema)
+    by, lost = {}, {}
+    for r in rows.collect():
+        by.setdefault(os.path.basename(r.source_file), []).append(r.question_id)
+    for r in bad.collect():
+        lost[os.path.basename(r.source_file)] = lost.get(os.path.basename(r.source_file), 0) + 1
+    assert {n: (sorted(by.get(n, [])), lost.get(n, 0)) for n in PROBES} == {n: (ids, k) for n, (_, ids, k) in PROBES.items()}
+    for name, (_, ids, k) in PROBES.items():
+        if name.endswith(".json") and name != "blank.json":
+            read = lambda: sorted(r.question_id for r in JS.read_json_arrays(spark, str(tmp_path / name), schema).collect())  # noqa: B023, E731
+            if k:
+                with pytest.raises(Exception, match="malformed JSON array"):
+                    read()
+            else:
+                assert read() == ids
+    lines = JS.read_json_lines(spark, str(tmp_path / "two_objects.jsonl"), schema).collect()
+    assert sorted((r.question_id or "", r._corrupt_record is None) for r in lines) == [("", False), ("d", True)]
+
+
+def test_array_file_is_split_at_any_byte(spark, tmp_path):
+    from pyspark.sql import types as T
+    schema = T._parse_datatype_string(SCHEMA)
+    rows = [{"question_id": f'q{i}, "é" \\ [{{', "gold_answer": "]},[" * (i % 3)} for i in range(9)]
+    (tmp_path / "a.json").write_text("\n [" + " ,\n".join(json.dumps(r, ensure_ascii=bool(i % 2)) for i, r in enumerate(rows)) + "\n] ")
+    (tmp_path / "b.json").write_text(json.dumps([{"question_id": "x" * 200}]))
+    want = sorted([(r["question_id"], r["gold_answer"]) for r in rows] + [("x" * 200, None)])
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (7, 64, 333):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert sorted(tuple(r) for r in JS.read_json_arrays(spark, str(tmp_path), schema).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
 
 
 def test_shared_folder_is_required_off_a_local_master(spark, monkeypatch):
