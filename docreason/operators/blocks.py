@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docreason.functions.scores import bool_flag, norm_type
+from docreason.operators.joins import join_on
 from docreason.schemas import EXCLUDED_TYPES, SPLITTABLE_TYPES
 
 _UNB = Window.unboundedPreceding
@@ -75,7 +76,7 @@ def merge_split_blocks(blocks: DataFrame, doc: str = "doc_id", page: str = "page
           .withColumn("_prev_taken", F.coalesce(F.lag("_ltaken").over(w_pg), F.lit(False)))
           .select(doc, page, "_eoff", "_carry", "_ledge", "_prev_taken",
                   F.col("_nh.text").alias("_htext"), F.col("_nh.flag").alias("_hflag")))
-    b = b.join(pg, [doc, page], "left")
+    b = join_on(b, pg, [doc, page], "left")
     last = F.col("_last")
     edge = F.when(last, F.col("_ledge")).otherwise(F.col("_ein") == 1)
     b = (b.withColumn("_edge", edge)
@@ -112,7 +113,7 @@ def dense_index(df: DataFrame, doc: str = "doc_id", page: str = "page", pos: str
     pages = (b.groupBy(doc, page).agg(F.count(F.lit(1)).alias("_pc"))
              .withColumn("_poff", F.coalesce(F.sum("_pc").over(w_pg.rowsBetween(_UNB, -1)), F.lit(0)))
              .select(doc, page, "_poff"))
-    return b.join(pages, [doc, page]).withColumn(out, (F.col("_poff") + F.col("_rn")).cast("int")) \
+    return join_on(b, pages, [doc, page]).withColumn(out, (F.col("_poff") + F.col("_rn")).cast("int")) \
         .drop("_rn", "_poff")
 
 

@@ -230,10 +230,17 @@ def arm_dimension(spark) -> DataFrame:
     return spark.createDataFrame([(a, i) for i, a in enumerate(ARMS)], "arm string, arm_ord int")
 
 
+def known_domains(df: DataFrame, domains: list[str]) -> DataFrame:
+    """``df``; a domain outside ``domains`` is an error when the row is read."""
+    unknown = F.raise_error(F.concat(F.lit("no column for the domain "), F.coalesce(F.col("domain"), F.lit("null")))).cast("string")
+    return df.withColumn("domain", F.when(F.col("domain").isin(domains), F.col("domain")).otherwise(unknown))
+
+
 def means_wide(xd: DataFrame, metrics: list[str], domains: list[str]) -> DataFrame:
     """Arm x metric rows, one mean and n column per domain, every arm of
-    the fixed order present (right join to the arm dimension)."""
-    g = group_means(known_arms(xd), ["domain", "arm"], metrics)
+    the fixed order present (right join to the arm dimension). A row of
+    another domain, or of none, has no column and is an error when it is read."""
+    g = known_domains(group_means(known_arms(xd), ["domain", "arm"], metrics), domains)
     wide = (g.groupBy("arm", "metric").pivot("domain", domains)
             .agg(F.first("mean").alias("mean"), F.first("n").alias("n")))
     arms = arm_dimension(xd.sparkSession)

@@ -126,7 +126,7 @@ def paired_pvalues(t_tab: DataFrame, w_tab: DataFrame, group: list[str]) -> Data
     from docreason.session import ship_package
     ship_package(t_tab.sparkSession)
     keys = group + ["metric", "arm_a", "arm_b"]
-    j = t_tab.join(w_tab, keys, "left")
+    j = join_on(t_tab, w_tab, keys, "left")
     return j.select(*keys, "n_matched", "t_stat",
                     t_sf_udf(F.col("t_stat"), (F.col("n_matched") - 1).cast("double")).alias("p_t"),
                     "w_stat", "z", norm_sf_udf(F.col("z")).alias("p_w"))
@@ -155,7 +155,7 @@ def effects_vs_baseline(xd: DataFrame, metrics: list[str], cond_arms=COND_ARMS,
         "metric", "domain", F.col("n").alias("nb"), F.col("mean").alias("mb"), F.col("var").alias("vb"))
     cur = stats.select("metric", "domain", "arm", F.col("n").alias("na"), F.col("mean").alias("ma"),
                        F.col("var").alias("va"))
-    j = grid.join(base, ["metric", "domain"], "left").join(cur, ["metric", "domain", "arm"], "left")
+    j = join_on(join_on(grid, base, ["metric", "domain"], "left"), cur, ["metric", "domain", "arm"], "left")
     na, nb = F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0))
     pooled = F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb"))
                     / (F.col("na") + F.col("nb") - 2))
@@ -175,7 +175,7 @@ def effects_vs_baseline(xd: DataFrame, metrics: list[str], cond_arms=COND_ARMS,
     cd = cliffs_delta(counts, ["metric", "domain", "arm"], "value").select(
         "metric", "domain", "arm", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("cliffs_delta"))
         .alias("cliffs_delta"))
-    return eff.join(cd, ["metric", "domain", "arm"], "left").select(
+    return join_on(eff, cd, ["metric", "domain", "arm"], "left").select(
         "metric", "domain", "arm", rnd("diff_mean").alias("diff_mean"), rnd("cohens_d").alias("cohens_d"),
         rnd("cliffs_delta").alias("cliffs_delta"), "n_base", "n_cond")
 

@@ -3,17 +3,19 @@ A6, A18, A21, A22).
 
 Ranks are computed on value counts, never on raw rows: a group first
 collapses to one row per distinct value (map-side combined), then the running
-total of the counts is built in two levels so that no task holds a whole
-group, even when one group carries a large share of all rows:
-
-1. per group, approximate quantiles of the distinct values cut the value axis
-   into ranges of about ``ROWS_PER_BUCKET`` distinct values (``GRID`` at most);
-2. inside each (group, bucket) a window sums the counts of smaller values;
-3. the totals of the earlier buckets of the group (at most ``GRID`` rows
-   per group) are added as an offset.
-
-The number of buckets follows the group's distinct count; nothing else depends
-on size. Keys may be NULL: every join is null-safe.
+total of the counts is built in three levels so that no task holds a whole
+group, even when one group carries a large share of all rows. A level's ranges
+follow from the value alone (equal steps of its logarithm, with its sign), so
+they need no look at the data and no pass over it:
+
+1. inside each (group, fine range) a window sums the counts of smaller values;
+2. the totals of the earlier fine ranges of the same coarse range, and
+3. the totals of the earlier coarse ranges of the group are added.
+
+A fine range spans a factor of 1 + 1/``SCALE``, so it has fewer than five million
+doubles; a coarse range has 2 ** ``RADIX`` fine ones, and there are fewer than
+three million coarse ones: no window holds more rows, whatever the data. Keys may
+be NULL: a group is joined as a struct, in which NULL equals NULL.
 """
 
 from __future__ import annotations
@@ -23,46 +25,41 @@ from pyspark.sql import functions as F
 
 from docreason.operators.joins import join_on
 
-GRID = 1024
-ROWS_PER_BUCKET = 200_000
-# Bounds searched at a time: a value looks at every STRIDE-th bound, then at
-# one stretch of STRIDE.
-STRIDE = 32
+SCALE, RADIX = 1e9, 20
+# Above -ln of the least positive double, in steps.
+_LOWEST = 746
+
+
+def _range(value: str, scale: float) -> Column:
+    """The number of a value's fine range: monotone in the value, NULL first."""
+    v = F.col(value).cast("double")
+    size = F.floor(F.ln(F.least(F.abs(v), F.lit(1.7976931348623157e308))) * scale) + F.lit(int(_LOWEST * scale) + 2)
+    return F.when(v.isNull(), F.lit(-(1 << 62))).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
 
 
 def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  scale: float = SCALE, radix: int = RADIX) -> DataFrame:
     """Add ``below``: total ``weight`` of strictly smaller ``value`` in the same
     ``keys`` group. ``counts`` must hold one row per (keys, value)."""
-    quantiles = F.percentile_approx(value, [i / GRID for i in range(1, GRID)], 10000)
-    grid = counts.groupBy(*keys).agg(quantiles.alias("_grid"), F.count(F.lit(1)).alias("_d"))
-    k = F.least(F.lit(GRID), F.ceil(F.col("_d") / rows_per_bucket)).cast("int")
-    bounds = F.when((k > 1) & F.col("_grid").isNotNull(), F.transform(
-        F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))),
-        lambda i: F.element_at("_grid", (i * GRID / k).cast("int")))).otherwise(F.slice("_grid", 1, 0))
-    grid = grid.select(*keys, bounds.alias("_bounds")).withColumn(
-        "_coarse", F.filter("_bounds", lambda b, i: i % STRIDE == 0))
-    less = lambda b: b < F.col(value)
-    first = F.greatest(F.size(F.filter("_coarse", less)) - 1, F.lit(0)) * STRIDE
-    bucket = first + F.size(F.filter(F.slice("_bounds", first + 1, F.lit(STRIDE)), less))
-    with_bucket = join_on(counts, grid, keys, "left").withColumn("_bucket", bucket).drop("_bounds", "_coarse")
-    w_local = (Window.partitionBy(*keys, "_bucket").orderBy(value)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    local = with_bucket.withColumn("_local", F.coalesce(F.sum(weight).over(w_local), F.lit(0)))
-    totals = with_bucket.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_btotal"))
-    w_off = (Window.partitionBy(*keys).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, "_bucket",
-                            F.coalesce(F.sum("_btotal").over(w_off), F.lit(0)).alias("_offset"))
-    return (join_on(local, offsets, keys + ["_bucket"], "left")
-            .withColumn("below", F.col("_offset") + F.col("_local"))
-            .drop("_bucket", "_local", "_offset"))
-
-
-def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "cnt",
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    def before(c: str, group: list[str], order: str) -> Column:
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    rows = counts.withColumn("_g", F.struct(F.lit(0), *keys)).withColumn("_fine", _range(value, scale))
+    local = rows.withColumn("_local", before(weight, ["_g", "_fine"], value))
+    # The window has dealt the rows by (_g, _fine): neither this total nor the
+    # join below shuffles them again.
+    fine = local.groupBy("_g", "_fine").agg(F.sum(weight).alias("_sum")).withColumn("_coarse", F.shiftright("_fine", radix))
+    fine = fine.withColumn("_offset", before("_sum", ["_g", "_coarse"], "_fine"))
+    coarse = fine.groupBy("_g", "_coarse").agg(F.sum("_sum").alias("_total")).withColumn("_earlier", before("_total", ["_g"], "_coarse"))
+    offsets = fine.join(coarse, ["_g", "_coarse"]).select("_g", "_fine", (F.col("_offset") + F.col("_earlier")).alias("_offset"))
+    return (local.join(offsets, ["_g", "_fine"]).withColumn("below", F.col("_offset") + F.col("_local"))
+            .drop("_g", "_fine", "_local", "_offset"))
+
+
+def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str = "cnt", **limits) -> DataFrame:
     """Average (mid) ranks of each distinct value: ties share below + (w + 1) / 2."""
-    return (running_below(counts, keys, value, weight, rows_per_bucket)
+    return (running_below(counts, keys, value, weight, **limits)
             .withColumn("avg_rank", F.col("below") + (F.col(weight) + 1) / 2.0))
 
 

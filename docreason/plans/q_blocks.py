@@ -132,18 +132,21 @@ def q_semantic_requests(spark, sf):
 
 
 @register("label_keys", _q("""
-select doc_id, kind, cast(count(*) as integer) as n_keys, arg_min(label, first_seen) as first_key,
-  arg_max(label, first_seen) as last_key
+select doc_id, kind, cast(case when doc_id % 5 = 0 then 0 else count(*) end as integer) as n_keys,
+  case when doc_id % 5 <> 0 then arg_min(label, first_seen) end as first_key,
+  case when doc_id % 5 <> 0 then arg_max(label, first_seen) end as last_key
 from labels group by doc_id, kind"""))
 def q_label_keys(spark, sf):
     """Each document's label map (label -> page, first-appearance order)
-    as JSON object text, read back as its ordered keys."""
+    as JSON object text, read back as its ordered keys; every fifth document's
+    text is followed by more text, and has no keys."""
     from docreason.sources.json_sources import json_object_keys
     lab = BL.label_pages(blocks(spark, sf))
     entries = F.transform(F.array_sort(F.collect_list(F.struct(
         F.col("first_seen").alias("o"), F.struct(F.col("label").alias("key"), F.col("page").alias("value")).alias("e")))),
         lambda x: x["e"])
     maps = lab.groupBy("doc_id", "kind").agg(F.to_json(F.map_from_entries(entries)).alias("obj"))
-    keys = maps.select("doc_id", "kind", json_object_keys("obj").alias("keys"))
-    return keys.select("doc_id", "kind", F.size("keys").alias("n_keys"), F.element_at("keys", 1).alias("first_key"),
-                       F.element_at("keys", -1).alias("last_key"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("obj", F.lit(" junk"))).otherwise(F.col("obj"))
+    keys = maps.select("doc_id", "kind", json_object_keys(text).alias("keys"))
+    return keys.select("doc_id", "kind", F.size("keys").alias("n_keys"), F.try_element_at("keys", F.lit(1)).alias("first_key"),
+                       F.try_element_at("keys", F.lit(-1)).alias("last_key"))

@@ -87,10 +87,10 @@ def q_boot_metrics(spark, sf):
 # column set per domain, every arm of the fixed order present.
 @register("means_wide_ci")
 def q_means_wide_ci(spark, sf):
-    from docreason.operators.metrics import arm_dimension
+    from docreason.operators.metrics import arm_dimension, known_domains
     d = xd(spark, sf)
     ci = B.mean_ci_poisson(_long_values(d, MEAN_METRICS), KEYS, "value", N_BOOT, SEED_CROSS_DOMAIN)
-    wide = ci.groupBy("arm", "metric").pivot("domain", DOMAINS).agg(
+    wide = known_domains(ci, DOMAINS).groupBy("arm", "metric").pivot("domain", DOMAINS).agg(
         F.first("mean").alias("mean"), F.first("ci_lo").alias("ci_lo"), F.first("ci_hi").alias("ci_hi"))
     dim = arm_dimension(spark).select("arm", "arm_ord", F.explode(F.array(*[F.lit(m) for m in MEAN_METRICS])).alias("metric"))
     return dim.join(wide, ["arm", "metric"], "left").orderBy("metric", "arm_ord")

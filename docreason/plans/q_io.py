@@ -56,14 +56,25 @@ def q_csv_design(spark, sf):
 def _json_sources_sql() -> str:
     one = ("select cast(question_id as varchar) as question_id, cast(gold as varchar) as gold_answer, "
            "cast(pred as varchar) as pred_answer, cast(trace_sim as varchar) as eval_score, '{src}' as src from qa_eval")
-    return with_views(" union all ".join(one.format(src=x) for x in ("lines", "arrays", "loose")), "qa_eval")
+    every = " union all ".join(one.format(src=x) for x in ("lines", "arrays", "loose"))
+    # Every seventh question's loose line is followed by a second object or by text.
+    return with_views(f"""
+select question_id, case when lost then null else gold_answer end as gold_answer, case when lost then null else pred_answer end as pred_answer,
+  case when lost then null else eval_score end as eval_score, case when lost then 'quarantine' else src end as src
+from (select *, src = 'loose' and cast(question_id as bigint) % 7 = 0 as lost from ({every}))""", "qa_eval")
+
+
+def loose_line(q):
+    """A row's JSON text, some with a comma after it."""
+    return F.concat(F.to_json(F.struct(*q.columns)),
+                    F.when(F.xxhash64("question_id", "arm", "domain") % 2 == 0, F.lit(",")).otherwise(F.lit("")))
 
 
 @register("json_sources", _json_sources_sql())
 def q_json_sources(spark, sf):
-    """S1/S2/S3/S6 + K1/K2: scored answers written as JSON lines, as one
-    array per question, and as loose lines (trailing commas, blanks), then
-    read back by the matching loader; label maps' keys read as S6."""
+    """S1/S2/S3 + K1/K2: scored answers written as JSON lines, as arrays, and
+    as loose lines (trailing commas; some followed by a second object or by
+    text, which belong in quarantine), then read back by the matching loader."""
     q = qa_eval(spark, sf).select(
         F.col("question_id").cast("string").alias("question_id"), "arm", "domain",
         F.col("gold").cast("string").alias("gold_answer"), F.col("pred").cast("string").alias("pred_answer"),
@@ -74,16 +85,19 @@ def q_json_sources(spark, sf):
     # the data grows, and files stay few.
     qb = q.withColumn("qblock", F.floor(F.col("question_id").cast("bigint") / 64))
     K.write_json_arrays(qb, f"{base}/arrays", by=["arm", "qblock"], order=["question_id", "domain", "gold_answer"])
-    loose = q.select(F.concat(F.to_json(F.struct(*q.columns)),
-                              F.when(F.xxhash64("question_id", "arm", "domain") % 2 == 0, F.lit(",")).otherwise(F.lit(""))).alias("value"))
+    junk = F.when(F.col("question_id").cast("bigint") % 14 == 0, F.lit('{"question_id":"none"}')).otherwise(F.lit(" and more"))
+    loose = q.select(F.concat(loose_line(q), F.when(F.col("question_id").cast("bigint") % 7 == 0, junk).otherwise(F.lit(""))).alias("value"))
     loose.write.text(f"{base}/loose")
     schema = SCORED_ANSWER_JSON
     s2 = JS.read_json_lines(spark, f"{base}/lines", schema).drop("_corrupt_record").withColumn("src", F.lit("lines"))
     s1 = JS.read_json_arrays(spark, f"{base}/arrays", schema).withColumn("src", F.lit("arrays"))
-    s3, _bad = JS.read_any_json(spark, f"{base}/loose", schema)
+    s3, bad = JS.read_any_json(spark, f"{base}/loose", schema)
+    none = F.lit(None).cast("string")
+    bad = bad.select(F.regexp_extract("line", r'"question_id":"([0-9]+)"', 1).alias("question_id"), none.alias("gold_answer"),
+                     none.alias("pred_answer"), none.alias("eval_score"), F.lit("quarantine").alias("src"))
     s3 = s3.drop("source_file").withColumn("src", F.lit("loose"))
     cols = ["question_id", "gold_answer", "pred_answer", "eval_score", "src"]
-    return s2.select(*cols).unionByName(s1.select(*cols)).unionByName(s3.select(*cols))
+    return s2.select(*cols).unionByName(s1.select(*cols)).unionByName(s3.select(*cols)).unionByName(bad)
 
 
 @register("resume", with_views(

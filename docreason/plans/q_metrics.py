@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docreason.operators import metrics as M
+from docreason.operators.joins import join_on
 from docreason.plans import sqlfrag as S
 from docreason.plans.oracle_views import with_views
 from docreason.plans.registry import register
@@ -244,4 +245,4 @@ def q_spearman_grid(spark, sf):
     n = d.groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
     both = d.where(F.col("eval_score").isNotNull() & F.col("score_cont").isNotNull())
     rho = spearman(both, K, "eval_score", "score_cont").select(*K, "spearman")
-    return n.join(rho, K, "left").select(*K, M.rnd("spearman").alias("spearman_eval_vs_perf"), "n")
+    return join_on(n, rho, K, "left").select(*K, M.rnd("spearman").alias("spearman_eval_vs_perf"), "n")

@@ -315,11 +315,15 @@ def q_page_requests(spark, sf):
 
 
 @register("object_responses", with_views("""
-select event_id, json_valid(props) and json_type(props) = 'OBJECT' as is_object,
-  case when json_valid(props) then json_extract(props, '$.k')::BIGINT end as k, cast(length(trim(props)) as integer) as text_len
+select event_id, event_id % 5 > 1 and json_valid(props) and json_type(props) = 'OBJECT' as is_object,
+  case when event_id % 5 > 1 and json_valid(props) then json_extract(props, '$.k')::BIGINT end as k,
+  cast(length(trim(props)) + case event_id % 5 when 0 then 5 when 1 then 3 else 0 end as integer) as text_len
 from events"""))
 def q_object_responses(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.col("props").alias("content"))
+    """T2 + T4: events' properties as responses; some are followed by text, some
+    by a second value, and neither is an object."""
+    after = F.when(F.col("event_id") % 5 == 0, F.lit(" junk")).when(F.col("event_id") % 5 == 1, F.lit(" {}")).otherwise(F.lit(""))
+    e = table(spark, sf, "events").select("event_id", F.concat("props", after).alias("content"))
     o = QA.pick_keys(RS.parse_text(RS.parse_object(e)), ["event_id", "value", "text", "missing_key"])
     return o.select("event_id", F.coalesce(J.vtype("value").startswith("OBJECT"), F.lit(False)).alias("is_object"),
                     F.try_variant_get("value", "$.k", "bigint").alias("k"), F.length("text").alias("text_len"))

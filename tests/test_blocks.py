@@ -116,3 +116,12 @@ def test_string_flags_and_type_trimming(spark):
     kept = [r.text for r in filter_types(merge_split_blocks(df)).orderBy("pos").collect()]
     # P1 lower-cases but does not trim: ' Unknown' stays, 'UNKNOWN' goes, a missing type stays.
     assert kept == ["a b", "c", "e"]
+
+
+def test_rows_without_document_or_page_keep_their_index(spark):
+    from docreason.operators.blocks import dense_index
+    rows = [("a", 1, 0), ("a", 1, 1), ("a", None, 0), (None, 1, 0), (None, 1, 1), (None, None, 0), (None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, pos int")
+    got = {(r.doc_id, r.page, r.pos): r.idx for r in dense_index(df).collect()}
+    assert got == {("a", None, 0): 0, ("a", 1, 0): 1, ("a", 1, 1): 2,
+                   (None, None, 0): 0, (None, None, 1): 1, (None, 1, 0): 2, (None, 1, 1): 3}

@@ -36,3 +36,22 @@ def test_paired_statistics(spark):
         wplus = sum(rank[abs(x)] for x in nz if x > 0)
         assert w[(a, b)].w_stat == pytest.approx(wplus, abs=1e-6)
         assert w[(a, b)].n_nonzero == len(nz)
+
+
+def test_rows_without_a_domain_have_their_own_baseline(spark):
+    from docreason.operators.paired import effects_vs_baseline
+    from docreason.schemas import ARMS
+    rows = [(d, a, x + k) for d in (None, "F") for k, a in enumerate(ARMS[:2]) for x in (1.0, 3.0)]
+    df = spark.createDataFrame(rows, "domain string, arm string, v double")
+    got = {(r.domain, r.arm): (r.n_base, r.n_cond, r.diff_mean, r.cliffs_delta) for r in effects_vs_baseline(df, ["v"]).collect()}
+    assert got[None, ARMS[1]] == got["F", ARMS[1]] == (2, 2, 1.0, 0.5) and got[None, ARMS[2]][:2] == (2, 0)
+
+
+def test_wide_means_refuse_an_unknown_domain(spark):
+    import pytest
+    from docreason.operators.metrics import means_wide
+    from docreason.schemas import ARMS
+    df = spark.createDataFrame([("F", ARMS[0], 1.0), (None, ARMS[0], 2.0)], "domain string, arm string, v double")
+    with pytest.raises(Exception, match="no column for the domain null"):
+        means_wide(df, ["v"], ["F"]).collect()
+    assert means_wide(df.where("domain = 'F'"), ["v"], ["F"]).where("arm_ord = 0").first().mean_F == 1.0

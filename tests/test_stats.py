@@ -27,7 +27,7 @@ def test_average_ranks_match_brute_force(spark):
     xs = [rng.choice(range(40)) / 4 for _ in range(500)]
     df = spark.createDataFrame([(1, x) for x in xs], "g int, x double")
     counts = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    got = {r.x: r.avg_rank for r in average_ranks(counts, ["g"], "x", rows_per_bucket=6).collect()}
+    got = {r.x: r.avg_rank for r in average_ranks(counts, ["g"], "x", scale=3.0, radix=1).collect()}
     assert got == pytest.approx(brute_avg_ranks(xs))
 
 
@@ -96,22 +96,23 @@ def test_truthiness(spark):
 def test_two_level_ranks_equal_plain_window(spark):
     from docreason.operators.ranks import running_below
     rng = random.Random(11)
-    rows = [(g, rng.randint(0, 300) / 7.0) for g in range(3) for _ in range(2000)]
+    rows = [(g, rng.randint(-100, 300) / 7.0) for g in range(3) for _ in range(2000)] + [(1, x) for x in (
+        None, 0.0, 5e-324, -5e-324, 1e-310, 1e300, -1e300, float("inf"), float("-inf"), 1.0, 1.0 + 2 ** -52, 2.0, 2.0 - 2 ** -52)]
     df = spark.createDataFrame(rows, "g int, x double")
     counts = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("cnt"))
     plain = {(r.g, r.x): r.below for r in running_below(counts, ["g"], "x", "cnt").collect()}
-    for size in (1, 3, 100):  # down to more buckets than one stretch of bounds
-        split = {(r.g, r.x): r.below for r in running_below(counts, ["g"], "x", "cnt", size).collect()}
+    for limits in ((0.001, 0), (2.0, 1), (50.0, 3)):  # from one range to many at all three levels
+        split = {(r.g, r.x): r.below for r in running_below(counts, ["g"], "x", "cnt", *limits).collect()}
         assert plain == split
-    own = sorted(x for g, x in rows if g == 1)
-    assert all(below == sum(v < x for v in own) for (g, x), below in plain.items() if g == 1)
+    own = [x for g, x in rows if g == 1]
+    assert all(below == (0 if x is None else sum(v is None or v < x for v in own)) for (g, x), below in plain.items() if g == 1)
 
 
 def test_ranks_with_null_keys(spark):
     from docreason.operators.ranks import running_below
     df = spark.createDataFrame([(None, float(x), 1) for x in range(5)] + [("a", 2.0, 3)], "g string, x double, cnt long")
-    for size in (1, 1000):
-        got = sorted(((r.g, r.x), r.below) for r in running_below(df, ["g"], "x", "cnt", size).where("g is null").collect())
+    for limits in ((0.5, 1), (1e9, 20)):
+        got = sorted(((r.g, r.x), r.below) for r in running_below(df, ["g"], "x", "cnt", *limits).where("g is null").collect())
         assert got == [((None, float(x)), x) for x in range(5)]
 
 
