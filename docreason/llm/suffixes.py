@@ -11,6 +11,8 @@ meet in one task, and there a suffix array decides:
 2. Runs with such a hash are cut out of the texts as pieces (at most
    2 * length - GRAM bytes each). Equal pieces of a task are sent once, with how
    often they occur, and the pieces are shuffled by their hash.
+   Windows are named at the shorter length ``SHORT``, and pieces reach ``length``
+   bytes beyond, so that the same suffix arrays decide both lengths.
 3. A task builds the suffix array of its pieces by two-stage sorting: only the
    suffixes smaller than their successors are sorted directly (to ``length``
    bytes), the others are induced by a scan of the buckets. Suffixes that begin
@@ -23,6 +25,10 @@ meet in one task, and there a suffix array decides:
    windows meet, and equal ones are counted before they are sent.
 5. Marks go back to the places where their pieces occur.
 
+Bytes under a repeated string of ``SHORT`` bytes are counted beside (passages of
+some fifty words, most of which are shorter than ``length``); only strings of
+``length`` bytes are removed.
+
 Hashes only bring candidates together; equality is always decided on bytes.
 
 Edge cases: null text is empty; texts shorter than ``length`` keep all bytes;
@@ -42,7 +48,7 @@ from pyspark.sql import functions as F
 
 from docreason.llm.common import keyed_text, store, with_workers
 
-LENGTH = 400
+LENGTH, SHORT = 400, 240
 GRAM = 32
 #: Windows scanned at a time; bytes of pieces that share a suffix array at least.
 BLOCK, SORTED = 1 << 18, 1 << 18
@@ -171,27 +177,33 @@ def two_stage(text: bytes, depth: int, wanted: np.ndarray | None = None) -> np.n
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def equal_windows(pieces: list[bytes], many: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece (each at least ``length`` bytes): which of its windows
-    occur twice or more, a piece standing for ``many`` of its kind."""
+def equal_windows(pieces: list[bytes], runs: np.ndarray, many: np.ndarray, length: int, short: int) -> list[list[np.ndarray]]:
+    """For each piece (each at least ``short`` bytes): which of its first ``runs``
+    windows of ``length`` and of ``short`` bytes occur twice or more, a piece
+    standing for ``many`` of its kind. (What follows is in other pieces.)"""
     text = b"".join(pieces)
     size = np.array([len(p) for p in pieces])
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(pieces)), size)
-    inside = np.arange(len(text)) + length <= (begin + size)[owner]  # windows within a piece
-    order = two_stage(text, length, inside)
-    order = order[inside[order]]
-    a, b = order[:-1], order[1:]
-    # Common prefixes of neighbours: by their outer bytes first, then in full.
+    left = (begin + size)[owner] - np.arange(len(text))
     t = np.frombuffer(text, np.uint8)
-    reach = (t[a] == t[b]) & (t[a + length - 1] == t[b + length - 1]) & (t[a + length // 2] == t[b + length // 2])
-    some = np.flatnonzero(reach)
-    reach[some] = [text[i:i + length] == text[j:j + length] for i, j in zip(a[some].tolist(), b[some].tolist())]
-    group = np.concatenate([[0], np.cumsum(~reach)])
-    total = np.bincount(group, many[owner[order]])
-    marked = np.zeros(len(text), bool)
-    marked[order[total[group] >= 2]] = True
-    return [marked[s: s + n - length + 1] for s, n in zip(begin.tolist(), size.tolist())]
+    own = np.arange(len(text)) - begin[owner] < runs[owner]
+    every = two_stage(text, length, own & (left >= short))
+    every = every[own[every]]
+    out = []
+    for width in dict.fromkeys((length, short)):
+        order = every[left[every] >= width]  # windows within a piece
+        a, b = order[:-1], order[1:]
+        # Common prefixes of neighbours: by their outer bytes first, then in full.
+        reach = (t[a] == t[b]) & (t[a + width - 1] == t[b + width - 1]) & (t[a + width // 2] == t[b + width // 2])
+        some = np.flatnonzero(reach)
+        reach[some] = [text[i:i + width] == text[j:j + width] for i, j in zip(a[some].tolist(), b[some].tolist())]
+        group = np.concatenate([[0], np.cumsum(~reach)])[:len(order)]
+        total = np.bincount(group, many[owner[order]])
+        marked = np.zeros(len(text), bool)
+        marked[order[total[group] >= 2]] = True
+        out.append([marked[s: s + k] for s, k in zip(begin.tolist(), np.clip(size - width + 1, 0, runs).tolist())])
+    return [out[0], out[-1]]
 
 
 def ranges(mask: np.ndarray) -> tuple[list[int], list[int]]:
@@ -201,23 +213,28 @@ def ranges(mask: np.ndarray) -> tuple[list[int], list[int]]:
 
 # ---------------------------------------------------------------- Spark jobs
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.binary())  # 32-bit offsets, whatever Spark's Arrow settings
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def repeats(texts: DataFrame, length: int, m: int) -> DataFrame:
-    """Windows that repeat: id1, id2, starts, sizes (runs of marked windows).
+MARKS = ["starts", "sizes", "short_starts", "short_sizes"]
+
+
+def repeats(texts: DataFrame, length: int, m: int, short: int) -> DataFrame:
+    """Windows that repeat: id1, id2, starts, sizes (runs of marked windows), and
+    short_starts, short_sizes of those of ``short`` bytes.
 
     texts: id1, id2, text (binary), many (how often the text occurs)."""
     kind = texts.schema["id1"].dataType.simpleString()
-    scale = m < length  # with grams as long as windows nothing is left to deal again
+    scale = m < short  # with grams as long as windows nothing is left to deal again
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = _binary(b["text"])
             many = b["many"].to_numpy()
-            for text, start, n, h in runs(data, offsets, length, m):
+            for text, start, n, h in runs(data, offsets, short, m):
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [b["id1"].take(at), b["id2"].take(at), pa.array(start), pa.array(n), pa.array(h.view(np.int64)),
@@ -240,13 +257,13 @@ def repeats(texts: DataFrame, length: int, m: int) -> DataFrame:
         seen: dict[bytes, list[int]] = {}
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [[]] * 9
-            kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+            cols = list(zip(*rows)) or [[]] * 10
+            kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                              names=["id1", "id2", "start", "h", "s1", "s2", "piece", "many", "placed"])
+                                              names=["id1", "id2", "start", "n", "h", "s1", "s2", "piece", "many", "placed"])
 
         def counts() -> Iterator[pa.RecordBatch]:
-            more = [(None, None, None, h, *np.frombuffer(k, np.int64).tolist(), None, n, False) for k, (h, n) in seen.items() if n]
+            more = [(None, None, None, None, h, *np.frombuffer(k, np.int64).tolist(), None, n, False) for k, (h, n) in seen.items() if n]
             seen.clear()
             for i in range(0, len(more), 10_000):
                 yield batch(more[i:i + 10_000])
@@ -260,14 +277,14 @@ def repeats(texts: DataFrame, length: int, m: int) -> DataFrame:
                 id1, id2 = whole["id1"][k].as_py(), whole["id2"][k].as_py()
                 for start, n, h in zip(*(whole[c][k].values.to_pylist() for c in ("start", "n", "h"))):
                     piece = text[start: start + n - 1 + length]
-                    key = xxh3_128_digest(piece)
+                    key = xxh3_128_digest(n.to_bytes(8, "little") + piece)
                     s1, s2 = np.frombuffer(key, np.int64).tolist()
-                    rows.append((id1, id2, start, h, s1, s2, None, many, True))
+                    rows.append((id1, id2, start, None, h, s1, s2, None, many, True))
                     if key in seen:
                         seen[key][1] += many
                     else:
                         seen[key] = [h, 0]
-                        rows.append((None, None, None, h, s1, s2, piece, many, False))
+                        rows.append((None, None, None, n, h, s1, s2, piece, many, False))
                         size += len(piece)
                 if size > 8 << 20 or len(rows) > 20_000:
                     yield batch(rows)
@@ -278,8 +295,8 @@ def repeats(texts: DataFrame, length: int, m: int) -> DataFrame:
         yield from counts()
 
     pieces = store(held.mapInArrow(
-        cut, f"id1 {kind}, id2 long, start long, h long, s1 long, s2 long, piece binary, many long, placed boolean"), "suffix-pieces")
-    kinds = pieces.where("not placed").select("h", "s1", "s2", "piece", "many")
+        cut, f"id1 {kind}, id2 long, start long, n long, h long, s1 long, s2 long, piece binary, many long, placed boolean"), "suffix-pieces")
+    kinds = pieces.where("not placed").select("h", "n", "s1", "s2", "piece", "many")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -287,23 +304,23 @@ def repeats(texts: DataFrame, length: int, m: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             text = [(k, v) for k, v in held.items()]
-            marks = equal_windows([v[0] for _, v in text], np.array([v[1] for _, v in text]), length) if text else []
-            rows = [(*k, *ranges(mask)) for (k, _), mask in zip(text, marks) if mask.any()]
-            s1, s2, starts, sizes = zip(*rows) if rows else ([], [], [], [])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(starts, pa.list_(pa.int64())),
-                 pa.array(sizes, pa.list_(pa.int64()))], names=["s1", "s2", "starts", "sizes"])
+            n, many = (np.array([v[i] for _, v in text], np.int64) for i in (2, 1))
+            marks = equal_windows([v[0] for _, v in text], n, many, length, short) if text else [[], []]
+            rows = [(*k, *ranges(mask), *ranges(other)) for (k, _), mask, other in zip(text, *marks) if other.any()]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if i > 1 else pa.int64()) for i, c in enumerate(cols)],
+                                              names=["s1", "s2", *MARKS])
 
         for b in batches:
-            for h, s1, s2, piece, many in zip(*(b[c].to_pylist() for c in ("h", "s1", "s2", "piece", "many"))):
+            for h, n, s1, s2, piece, many in zip(*(b[c].to_pylist() for c in ("h", "n", "s1", "s2", "piece", "many"))):
                 if h != now and size >= SORTED:
                     yield done()
                     held, size = {}, 0
                 now = h
-                own = held.setdefault((s1, s2), [None, 0])
+                own = held.setdefault((s1, s2), [None, 0, 0])
                 own[1] += many
                 if own[0] is None and piece is not None:
-                    own[0] = piece
+                    own[0], own[2] = piece, n
                     size += len(piece)
         yield done()
 
@@ -311,20 +328,25 @@ def repeats(texts: DataFrame, length: int, m: int) -> DataFrame:
     hot = store(crowded, "suffix-crowded") if scale else None
     again = hot is not None and not hot.isEmpty()
     calm = kinds.join(hot, "h", "left_anti") if again else kinds
-    marked = (calm.repartition("h").sortWithinPartitions("h").select("h", "s1", "s2", "piece", "many")
-              .mapInArrow(decide, "s1 long, s2 long, starts array<long>, sizes array<long>"))
+    marked = (calm.repartition("h").sortWithinPartitions("h").select("h", "n", "s1", "s2", "piece", "many")
+              .mapInArrow(decide, "s1 long, s2 long, " + ", ".join(f"{c} array<long>" for c in MARKS)))
     if again:
         whole = (kinds.join(hot, "h", "left_semi").groupBy("s1", "s2")
-                 .agg(F.max("piece").alias("text"), F.sum("many").alias("many")))
-        whole = store(whole.select(F.col("s1").alias("id1"), F.col("s2").alias("id2"), "text", "many"), "suffix-hot")
-        marked = marked.unionAll(repeats(whole, length, length).select(
-            F.col("id1").alias("s1"), F.col("id2").alias("s2"), "starts", "sizes"))
+                 .agg(F.max("piece").alias("text"), F.max("n").alias("n"), F.sum("many").alias("many")))
+        whole = store(whole.select(F.col("s1").alias("id1"), F.col("s2").alias("id2"), "text", "n", "many"), "suffix-hot")
+        none = F.array().cast("array<long>")
+        for width in dict.fromkeys((length, short)):
+            # Marks of one length: the other's columns stay empty.
+            own = [F.col(c) if width == (length if i < 2 else short) else none.alias(c) for i, c in enumerate(MARKS)]
+            texts = whole.withColumn("text", F.substring("text", F.lit(1), (F.col("n") - 1 + width).cast("int")))
+            marked = marked.unionAll(repeats(texts, width, width, width).select(
+                F.col("id1").alias("s1"), F.col("id2").alias("s2"), *own))
     marked = store(marked, "suffix-marked")
     places = pieces.where("placed").select("id1", "id2", "start", "s1", "s2")
     return (places.join(marked, ["s1", "s2"])
-            .select("id1", "id2", F.transform("starts", lambda x: x + F.col("start")).alias("starts"), "sizes")
-            .groupBy("id1", "id2").agg(F.collect_set(F.struct("starts", "sizes")).alias("marks"))
-            .select("id1", "id2", F.flatten("marks.starts").alias("starts"), F.flatten("marks.sizes").alias("sizes")))
+            .select("id1", "id2", *[F.transform(c, lambda x: x + F.col("start")).alias(c) if "starts" in c else c for c in MARKS])
+            .groupBy("id1", "id2").agg(F.collect_set(F.struct(*MARKS)).alias("marks"))
+            .select("id1", "id2", *[F.flatten(f"marks.{c}").alias(c) for c in MARKS]))
 
 
 def covered(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -337,23 +359,27 @@ def covered(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tuple[in
     return list(zip(s[new].tolist(), e[np.append(new[1:] - 1, len(e) - 1)].tolist()))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with
-    ``with_bytes`` also span_starts, span_ends (bytes removed) and kept."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False, short: int = SHORT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and
+    n_repeated: bytes under strings of ``short`` bytes (``length`` at most) that
+    also start anywhere else; with ``with_bytes`` also span_starts, span_ends
+    (bytes removed) and kept."""
     with_workers(docs.sparkSession)
+    short = min(short, length)
     rows = keyed_text(docs).select(F.col("doc_id").alias("id1"), F.col("text_key").alias("id2"), F.col("text").cast("binary").alias("text"))
-    marks = repeats(rows.withColumn("many", F.lit(1).cast("long")), length, min(GRAM, length)).withColumnsRenamed({"id1": "m1", "id2": "m2"})
+    marks = repeats(rows.withColumn("many", F.lit(1).cast("long")), length, min(GRAM, short), short).withColumnsRenamed({"id1": "m1", "id2": "m2"})
     joined = rows.join(marks, F.col("id1").eqNullSafe(F.col("m1")) & (F.col("id2") == F.col("m2")), "left").select(
-        "id1", "text", "starts", "sizes")
+        "id1", "text", *MARKS)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends", "kept")}
+                out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "span_starts", "span_ends", "kept")}
                 for k in range(b.num_rows):
                     text = b["text"][k].as_buffer().to_pybytes()
-                    spans = covered(*(b[c][k].values.to_numpy() for c in ("starts", "sizes")), length) if b["starts"][k].is_valid else []
+                    spans, others = ([covered(*(b[c][k].values.to_numpy() for c in pair), width) for pair, width in
+                                      ((MARKS[:2], length), (MARKS[2:], short))] if b["starts"][k].is_valid else [[], []])
                     kept, at = [], 0
                     for s, e in spans:
                         kept.append(text[at:s])
@@ -363,14 +389,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
                     out["n_removed"].append(len(text) - len(left))
                     out["n_spans"].append(len(spans))
                     out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+                    out["n_repeated"].append(sum(e - s for s, e in others))
                     if with_bytes:
                         out["span_starts"].append([s for s, _ in spans])
                         out["span_ends"].append([e for _, e in spans])
                         out["kept"].append(left)
-                kinds = [pa.int64()] * 3 + [pa.string()] + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.int64()] + [pa.list_(pa.int64())] * 2 + [pa.binary()]
                 cols = {c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds) if with_bytes or c[:4] != "span" and c != "kept"}
                 yield pa.RecordBatch.from_pydict({"doc_id": b["id1"], **cols})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", span_starts array<long>, span_ends array<long>, kept binary" if with_bytes else ""
-    return joined.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
+    return joined.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long{more}")

@@ -86,16 +86,21 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-@pytest.mark.parametrize("length", [40, 20])
-def test_matches_brute_force(spark, monkeypatch, hot, length):
+@pytest.mark.parametrize(("hot", "length", "short", "large"), [(2000, 40, 27, True), (3, 40, 27, False), (2000, 20, 20, False), (3, 20, 12, True)])
+def test_matches_brute_force(spark, monkeypatch, hot, length, short, large):
+    """Also with 64-bit Arrow offsets."""
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", str(large).lower())
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "GRAM", 8)
     texts = corpus(random.Random(length))
     ids = [*range(len(texts) - 2), 3, None]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in zip(ids, texts)], "doc_id long, text string, h string, many int")
-    got = [tuple(r) for r in suffixes.remove_repeats(df, length).collect()]
-    assert sorted(got, key=repr) == sorted(((i, *x) for i, x in zip(ids, brute(texts, length))), key=repr)
+    try:
+        got = [tuple(r) for r in suffixes.remove_repeats(df, length, short=short).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+    want = [(i, *x, y[1]) for i, x, y in zip(ids, brute(texts, length), brute(texts, short))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_repeated_rows_and_empty_table(spark):
