@@ -47,9 +47,7 @@ def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
 
     rows = counts.withColumn("_g", F.struct(F.lit(0), *keys)).withColumn("_fine", _range(value, scale))
     local = rows.withColumn("_local", before(weight, ["_g", "_fine"], value))
-    # The window has dealt the rows by (_g, _fine): neither this total nor the
-    # join below shuffles them again.
-    fine = local.groupBy("_g", "_fine").agg(F.sum(weight).alias("_sum")).withColumn("_coarse", F.shiftright("_fine", radix))
+    fine = rows.groupBy("_g", "_fine").agg(F.sum(weight).alias("_sum")).withColumn("_coarse", F.shiftright("_fine", radix))
     fine = fine.withColumn("_offset", before("_sum", ["_g", "_coarse"], "_fine"))
     coarse = fine.groupBy("_g", "_coarse").agg(F.sum("_sum").alias("_total")).withColumn("_earlier", before("_total", ["_g"], "_coarse"))
     offsets = fine.join(coarse, ["_g", "_coarse"]).select("_g", "_fine", (F.col("_offset") + F.col("_earlier")).alias("_offset"))
