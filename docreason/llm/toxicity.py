@@ -49,7 +49,7 @@ from docreason.llm.langid import held_out
 
 PART, KNOWN, SLICE = 4096, 400_000, 1 << 21
 STEMS, TIMES = (3, 4, 5, 6), (1, 2, 3)
-MIN_SHARE, MIN_Z, FEATURES, CANDIDATES, SAMPLE, RIDGE = 0.01, 4.0, 300, 50_000, 20_000, 0.1
+MIN_SHARE, MIN_Z, FEATURES, CANDIDATES, SAMPLE, RIDGE = 0.02, 4.0, 300, 50_000, 20_000, 0.1
 THRESHOLD = 0.7
 #: Boundary is symbol 0, a to z are 1 to 26.
 N = 27
@@ -66,16 +66,31 @@ DROP_DIGIT, DROP_INNER, DROP_EDGE, BREAK = -9.0, -8.0, -2.5, -4.0
 SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 PLAIN = re.compile(r"[a-z]+")
 DOUBLED = re.compile(r"([a-z])\1")
+RUN = re.compile(r"(.)\1+", re.S)
 STRIP = ".,;:!?\"'()[]{}<>«»“”‘’…-_*#%&$|/\\"
 _CODE = {chr(96 + i): i for i in range(1, N)}
 
 
+def _fold(text: str) -> str:
+    text = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return text.replace("ß", "ss").lower()
+
+
+#: Lower-case letters of the Latin blocks without their accents.
+_LATIN = {i: _fold(chr(i)) for i in range(0xC0, 0x250) if chr(i).isalpha()}
+
+
 def fold(text: str) -> str:
     """Lower case without accents."""
     text = text.lower()
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).replace("ß", "ss").lower()
+    if not text.isascii() and not (text := text.translate(_LATIN)).isascii():
+        text = _fold(text)
+    return text
+
+
+def squeeze(word: str) -> str:
+    """The word with every run of a letter as one."""
+    return RUN.sub(r"\1", word)
 
 
 @dataclass
@@ -168,12 +183,28 @@ class Restorer:
         self.model, self.bases = model, bases
         self.other: set[str] = set()
         self.words: dict[str, tuple[str, ...]] = {}
+        # What a word must begin with to have one of the bases, as it stands and
+        # with runs of letters as one.
+        known = [x.rstrip("$") for x in bases or ()]
+        self.begins = {x[:3] for x in known}
+        self.squeezed = {squeeze(x) for x in known}
+        self.widths = sorted({len(x) for x in self.squeezed})
 
     def restore(self, token: str) -> list[str]:
+        """The words of a lower-case token."""
+        core = token.strip(STRIP)
+        if not core.isascii():
+            core = fold(core)
+        if PLAIN.fullmatch(core) and not (token[0] in "$@+!|" or token[-1] in "$@+"):
+            if not DOUBLED.search(core):
+                return [core] if self.bases is None or core[:3] in self.begins else []
+            if self.bases is not None:
+                # Shortening runs does not change the squeezed word.
+                least = squeeze(core)
+                if not any(least[:n] in self.squeezed for n in self.widths):
+                    return []
+            return decode(self.model, lattice(core))
         folded = fold(token)
-        core = folded.strip(STRIP)
-        if PLAIN.fullmatch(core) and not DOUBLED.search(core) and not (folded[0] in "$@+!|" or folded[-1] in "$@+"):
-            return [core]
         if not any(c in _CODE for c in folded):
             return []
         return decode(self.model, lattice(folded))
@@ -183,8 +214,10 @@ class Restorer:
         own = []
         for t in texts:
             low = t.lower()
-            tokens = set(low.split())
-            tokens.update(" ".join(m.group().split()) for m in SINGLES.finditer(low))
+            words = low.split()
+            tokens = set(words)
+            if b"\1\1\1" in bytes(map((1).__eq__, map(len, words))):  # three single characters in a row
+                tokens.update(" ".join(m.group().split()) for m in SINGLES.finditer(low))
             own.append(tokens)
         if len(self.other) + len(self.words) > KNOWN:
             self.other.clear()
@@ -229,29 +262,38 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 def character_counts(docs: DataFrame) -> np.ndarray:
     """Trigram counts over the words of all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(N ** 3, np.int64)
+        total, seen = np.zeros(N ** 3, np.int64), Counter()
         code = np.zeros(128, np.int64)
         code[97:123] = np.arange(1, N)
+
+        def add() -> None:
+            folded: Counter[str] = Counter()
+            for token, n in seen.items():
+                core = token.strip(STRIP)
+                folded[core if core.isascii() else fold(core)] += n
+            seen.clear()
+            words = [(w, n) for w, n in folded.items() if PLAIN.fullmatch(w)]
+            if not words:
+                return
+            s = code[np.frombuffer(("@@" + "@@".join(w for w, _ in words) + "@").encode(), np.uint8)]
+            width = np.fromiter((len(w) + 2 for w, _ in words), np.int64, len(words))
+            weight = np.repeat(np.fromiter((n for _, n in words), np.int64, len(words)), width)
+            gram = (s[:-2] * N + s[1:-1]) * N + s[2:]
+            # The trigram that starts at a word's second boundary has its first
+            # two letters; the one at its last letter, the boundary after it;
+            # that over two boundaries belongs to no word.
+            first = np.cumsum(width) - width
+            weight, real = weight[:len(gram)], np.ones(len(gram), bool)
+            real[first[1:] - 1] = False
+            total[:] += np.bincount(gram[real], weight[real], N ** 3).astype(np.int64)
+
         for b in batches:
             for _, part in _slices(b["text"].to_pylist()):
-                folded: Counter[str] = Counter()
-                for token, n in Counter(w for t in part for w in t.lower().split()).items():
-                    folded[fold(token).strip(STRIP)] += n
-                words = [(w, n) for w, n in folded.items() if PLAIN.fullmatch(w)]
-                if not words:
-                    continue
-                s = code[np.frombuffer(("@@" + "@@".join(w for w, _ in words) + "@").encode(), np.uint8)]
-                width = np.fromiter((len(w) + 2 for w, _ in words), np.int64, len(words))
-                weight = np.repeat(np.fromiter((n for _, n in words), np.int64, len(words)), width)
-                gram = (s[:-2] * N + s[1:-1]) * N + s[2:]
-                # The trigram that starts at a word's second boundary has its
-                # first two letters; the one at its last letter, the boundary
-                # after it; that over two boundaries belongs to no word.
-                first = np.cumsum(width) - width
-                weight = weight[:len(gram)]
-                real = np.ones(len(gram), bool)
-                real[first[1:] - 1] = False
-                total += np.bincount(gram[real], weight[real], N ** 3).astype(np.int64)
+                for t in part:
+                    seen.update(t.lower().split())
+                if len(seen) > KNOWN:
+                    add()
+        add()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["gram", "n"])
 
