@@ -37,6 +37,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -267,12 +268,12 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         code[97:123] = np.arange(1, N)
 
         def add() -> None:
-            folded: Counter[str] = Counter()
+            words = []
             for token, n in seen.items():
                 core = token.strip(STRIP)
-                folded[core if core.isascii() else fold(core)] += n
+                if PLAIN.fullmatch(core := core if core.isascii() else fold(core)):
+                    words.append((core, n))
             seen.clear()
-            words = [(w, n) for w, n in folded.items() if PLAIN.fullmatch(w)]
             if not words:
                 return
             s = code[np.frombuffer(("@@" + "@@".join(w for w, _ in words) + "@").encode(), np.uint8)]
@@ -365,13 +366,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def clean_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, base = kept.value
-        restorer, n = Restorer(shared.value, base), Counter()
+        restorer, place, rows = Restorer(shared.value, base), {x: i for i, x in enumerate(sorted(base))}, 0
+        at, total = {}, np.zeros((len(TIMES), len(base)), np.int64)
         for b in batches:
             for _, part in _slices(b["text"].to_pylist()):
-                n[""] += len(part)
+                rows += len(part)
                 for words in restorer.texts(part)[0]:
-                    n.update(features(words) & names)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["feature", "n"])
+                    for w in words - at.keys():
+                        at[w] = [place[x] for x in bases(w) if x in place]
+                    n = np.bincount(np.fromiter(chain.from_iterable(map(at.__getitem__, words)), np.int64), minlength=len(base))
+                    for i, k in enumerate(TIMES):
+                        total[i] += n >= k
+                if len(at) > KNOWN:
+                    at.clear()
+        found = [("", rows)] + [(f, int(total[TIMES.index(int(f[-1])), place[_base(f)]])) for f in names]
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
+                                         names=["feature", "n"])
 
     clean = {r["feature"]: r["n"] for r in rows.where("label = 0").select("text").mapInArrow(clean_features, "feature string, n long")
              .groupBy("feature").agg(F.sum("n").alias("n")).collect()}
