@@ -372,8 +372,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             for _, part in _slices(b["text"].to_pylist()):
                 rows += len(part)
                 for words in restorer.texts(part)[0]:
-                    for w in words - at.keys():
-                        at[w] = [place[x] for x in bases(w) if x in place]
+                    for w in words:
+                        if w not in at:
+                            at[w] = [place[x] for x in bases(w) if x in place]
                     n = np.bincount(np.fromiter(chain.from_iterable(map(at.__getitem__, words)), np.int64), minlength=len(base))
                     for i, k in enumerate(TIMES):
                         total[i] += n >= k
