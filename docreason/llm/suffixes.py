@@ -21,8 +21,10 @@ meet in one task, and there a suffix array decides:
    counted with their pieces' occurrences, are two or more is marked.
 4. A hash with more than ``HOT`` distinct pieces (a passage common to very many
    texts, with other words around it) is dealt again: its pieces go through
-   steps 1-3 as texts with grams as long as the window, so that only equal
-   windows meet, and equal ones are counted before they are sent.
+   steps 1-3 as texts, a length at a time, with grams that close three quarters
+   of the way to the window, so that a window meets those that share more of it
+   and a piece falls into a few runs. What is still crowded goes on with longer
+   grams; with grams as long as the window only equal windows meet.
 5. Marks go back to the places where their pieces occur.
 
 Bytes under a repeated string of ``SHORT`` bytes are counted beside (passages of
@@ -339,7 +341,7 @@ def repeats(texts: DataFrame, length: int, m: int, short: int) -> DataFrame:
             # Marks of one length: the other's columns stay empty.
             own = [F.col(c) if width == (length if i < 2 else short) else none.alias(c) for i, c in enumerate(MARKS)]
             texts = whole.withColumn("text", F.substring("text", F.lit(1), (F.col("n") - 1 + width).cast("int")))
-            marked = marked.unionAll(repeats(texts, width, width, width).select(
+            marked = marked.unionAll(repeats(texts, width, width - (width - m) // 4, width).select(
                 F.col("id1").alias("s1"), F.col("id2").alias("s2"), *own))
     marked = store(marked, "suffix-marked")
     places = pieces.where("placed").select("id1", "id2", "start", "s1", "s2")

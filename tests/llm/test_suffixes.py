@@ -103,6 +103,31 @@ def test_matches_brute_force(spark, monkeypatch, hot, length, short, large):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_crowded_passage_falls_into_few_runs(spark, monkeypatch):
+    """One passage in 60 texts with other words around it: dealt again by longer
+    grams, equal to brute force, and no step makes a row for each window."""
+    monkeypatch.setattr(suffixes, "HOT", 5)
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(90)
+    texts = [say(60) + passage + say(60) for _ in range(60)] + [say(10) + passage[:50] + say(90)]
+    made = {}
+
+    def kept(df, name):
+        df = store(df, name)
+        made.setdefault(name, []).append(df.count())
+        return df
+
+    store = suffixes.store
+    monkeypatch.setattr(suffixes, "store", kept)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in suffixes.remove_repeats(df, 80, short=60).collect()]
+    want = [(i, *x, y[1]) for i, (x, y) in enumerate(zip(brute(texts, 80), brute(texts, 60)))]
+    assert sorted(got) == sorted(want)
+    dealt_again = made["suffix-runs"][1:]
+    assert dealt_again and max(dealt_again) <= 12 * sum(made["suffix-hot"][:1])
+
+
 def test_repeated_rows_and_empty_table(spark):
     text = "".join(map(str, range(300)))
     df = spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")
