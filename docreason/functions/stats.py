@@ -9,6 +9,7 @@ beta function by its continued fraction.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,35 @@ def norm_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
+#: Largest sample whose signed-rank tail is taken from the exact distribution;
+#: the counts of its subsets (at most 2**50) are exact in DOUBLE.
+EXACT_RANKS = 50
+
+
+@lru_cache(maxsize=EXACT_RANKS)
+def _rank_sums(n: int) -> np.ndarray:
+    """How many subsets of the ranks 1..n have each sum 0..n(n+1)/2."""
+    counts = np.ones(1)
+    for rank in range(1, n + 1):
+        with_rank = np.concatenate([np.zeros(rank), counts])
+        counts = with_rank + np.concatenate([counts, np.zeros(rank)])
+    return counts
+
+
+def signed_rank_sf(w: float, n: int) -> float:
+    """P(W >= w) of the signed-rank statistic of n untied non-zero differences
+    under the null hypothesis (each rank is positive with probability 1/2);
+    NaN for no difference or more than ``EXACT_RANKS``."""
+    if not 0 < n <= EXACT_RANKS:
+        return float("nan")
+    return float(_rank_sums(n)[max(math.ceil(w), 0):].sum() / 2.0 ** n)
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank_sf_udf(w: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_sf(a, int(b)) if pd.notna(a) and pd.notna(b) else np.nan for a, b in zip(w, n)])
+
+
 @F.pandas_udf(DoubleType())
 def t_sf_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_sf(a, b) if pd.notna(a) and pd.notna(b) else np.nan for a, b in zip(t, df)])

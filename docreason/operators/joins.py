@@ -14,4 +14,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     to Spark, which knows the sides' sizes at run time."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    if how in ("left_semi", "left_anti"):
+        return left.join(renamed, same, how)
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docreason.functions.scores import rnd
-from docreason.functions.stats import norm_sf_udf, t_sf_udf
+from docreason.functions.stats import EXACT_RANKS, norm_sf_udf, signed_rank_sf_udf, t_sf_udf
 from docreason.operators.joins import join_on
 from docreason.operators.ranks import cliffs_delta, running_below
 from docreason.schemas import ARMS
@@ -102,7 +102,8 @@ def paired_t(diffs: DataFrame, group: list[str]) -> DataFrame:
 
 def wilcoxon(diffs: DataFrame, group: list[str]) -> DataFrame:
     """Signed-rank statistic W+ (zeros dropped, tied |d| share the mean
-    rank) and its normal z with the tie-corrected variance."""
+    rank), its normal z with the tie-corrected variance, and how many non-zero
+    differences share their |d| with another."""
     keys = group + ["metric", "arm_a", "arm_b"]
     nz = diffs.where(F.col("d") != 0).withColumn("absd", F.abs("d"))
     counts = nz.groupBy(*keys, "absd").agg(F.count(F.lit(1)).alias("cnt"),
@@ -111,25 +112,32 @@ def wilcoxon(diffs: DataFrame, group: list[str]) -> DataFrame:
         "avg_rank", F.col("below") + (F.col("cnt") + 1) / 2.0)
     agg = ranked.groupBy(*keys).agg(
         F.sum("cnt").alias("n_nonzero"),
+        F.sum(F.when(F.col("cnt") > 1, F.col("cnt")).otherwise(0)).alias("n_tied"),
         F.sum(F.col("cnt_pos") * F.col("avg_rank")).alias("w"),
         # In DOUBLE: the cube of a tie of a few million rows exceeds BIGINT.
         F.sum(F.pow(F.col("cnt").cast("double"), F.lit(3.0)) - F.col("cnt")).alias("_ties"))
     n = F.col("n_nonzero").cast("double")
     mean = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
-    return agg.select(*keys, "n_nonzero", rnd("w").alias("w_stat"),
+    return agg.select(*keys, "n_nonzero", "n_tied", rnd("w").alias("w_stat"),
                       rnd(F.try_divide(F.col("w") - mean, F.sqrt(var))).alias("z"))
 
 
 def paired_pvalues(t_tab: DataFrame, w_tab: DataFrame, group: list[str]) -> DataFrame:
-    """p values of both one-sided tests, computed on the few comparison rows."""
+    """p values of both one-sided tests, computed on the few comparison rows.
+    The signed-rank p is exact (``exact``) for up to ``EXACT_RANKS`` matched
+    items without ties or zero differences, else the normal form."""
     from docreason.session import ship_package
     ship_package(t_tab.sparkSession)
     keys = group + ["metric", "arm_a", "arm_b"]
     j = join_on(t_tab, w_tab, keys, "left")
+    exact = F.coalesce((F.col("n_nonzero") <= EXACT_RANKS) & (F.col("n_nonzero") == F.col("n_matched"))
+                       & (F.col("n_tied") == 0), F.lit(False))
     return j.select(*keys, "n_matched", "t_stat",
                     t_sf_udf(F.col("t_stat"), (F.col("n_matched") - 1).cast("double")).alias("p_t"),
-                    "w_stat", "z", norm_sf_udf(F.col("z")).alias("p_w"))
+                    "w_stat", "z", exact.alias("exact"),
+                    F.when(exact, signed_rank_sf_udf(F.col("w_stat"), F.col("n_nonzero")))
+                    .otherwise(norm_sf_udf(F.col("z"))).alias("p_w"))
 
 
 def _long_values(xd: DataFrame, metrics: list[str]) -> DataFrame:

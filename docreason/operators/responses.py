@@ -8,13 +8,15 @@ never parses goes to a quarantine table instead of failing the job.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docreason.functions import jsonfn as J
 from docreason.functions.scores import coerce_float, py_strip
+from docreason.operators.joins import join_on
 
 
 def parse_list(resp: DataFrame, content: str = "content") -> DataFrame:
@@ -83,6 +85,48 @@ def batch_infer(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
     return requests.mapInPandas(run, schema)
 
 
+def request_rounds(requests: DataFrame, key: list[str], infer: Callable[[DataFrame], DataFrame], ok: str,
+                   path: str, retries: int = 3) -> DataFrame:
+    """T5 + F2 as a job: all requests are asked in round 1, and round k asks
+    again those that no earlier round answered well, until ``retries`` rounds
+    (at least one) are done or nothing is left. Returns the rows of all rounds.
+
+    ``infer`` takes requests with an ``attempt`` column and returns parsed rows
+    with ``key``, ``attempt`` and the BOOLEAN ``ok``; a request that it returns no
+    row for is asked again (NULL keys are keys). Every round is written to
+    ``path``/round=k before the next begins: a job that is run again after a crash
+    reads the complete rounds and asks none of their requests anew. What is left
+    is an anti join with the stored rounds, so nothing passes the driver."""
+    spark = requests.sparkSession
+    rounds: list[DataFrame] = []
+    left = requests
+    for k in range(1, max(1, retries) + 1):
+        folder = f"{path}/round={k}"
+        if not _complete(spark, folder):
+            if k > 1 and left.isEmpty():
+                break
+            infer(left.withColumn("attempt", F.lit(k))).write.mode("overwrite").parquet(folder)
+        stored = spark.read.parquet(folder)
+        rounds.append(stored)
+        left = join_on(left, stored.where(F.col(ok)).select(*key).distinct(), key, "left_anti")
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to the folder was committed."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def resolve_rounds(requests: DataFrame, rounds: DataFrame, key: list[str], ok: str, payload: list[str],
+                   retries: int = 3, error: str | None = None) -> DataFrame:
+    """The outcome of every request of :func:`request_rounds`, as
+    :func:`resolve_attempts` gives it; a request that never had a row is failed."""
+    found = resolve_attempts(rounds, key, ok, payload, retries=retries, error=error).drop("ignored_attempts")
+    return join_on(requests.select(*key).distinct(), found, key, "left").withColumn(
+        "status", F.coalesce("status", F.lit("failed")))
+
+
 def transform(resp: DataFrame, fn, out: str = "value", content: str = "content") -> DataFrame:
     """a transformer on each response: a Column function, or a
     ``pandas_udf``-wrapped function."""

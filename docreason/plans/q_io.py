@@ -127,7 +127,7 @@ select '2025-01-01T00:00:00Z' as timestamp_utc, e.experiment_id, cast(r.document
 from responses r, (values ('exp-a'), ('exp-b')) e(experiment_id)""", "responses"))
 def q_ledger_append(spark, sf):
     """K5: one ledger row per model call (response attempt), appended for two
-    experiments, read back."""
+    experiments (the second batch is run again and leaves one copy), read back."""
     out = scratch_dir(spark, "ledger")
     r = responses(spark, sf)
     rows = r.select(
@@ -138,8 +138,8 @@ def q_ledger_append(spark, sf):
         F.col("completion_tokens").cast("bigint").alias("completion_tokens"),
         (F.col("prompt_tokens") + F.col("completion_tokens")).cast("bigint").alias("total_tokens"),
         F.col("latency").cast("double").alias("latency_ms"), F.lit("stub").alias("model_name"))
-    for exp in ("exp-a", "exp-b"):
-        K.ledger_append(rows.withColumn("experiment_id", F.lit(exp)), out)
+    for batch, exp in (("1", "exp-a"), ("2", "exp-b"), ("2", "exp-b")):
+        K.ledger_append(rows.withColumn("experiment_id", F.lit(exp)), out, batch)
     return spark.read.schema(LEDGER).parquet(out).select(*[f.name for f in LEDGER.fields])
 
 

@@ -62,9 +62,10 @@ def q_paired_t(spark, sf):
 
 
 WILCOXON_SQL = """
-select domain, metric, arm_a, arm_b, n_nonzero, round(w, 9) as w_stat,
+select domain, metric, arm_a, arm_b, n_nonzero, n_tied, round(w, 9) as w_stat,
   round((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 9) as z
-from (select domain, metric, arm_a, arm_b, cast(sum(cnt) as bigint) as n_nonzero, cast(sum(cnt) as double) as n,
+from (select domain, metric, arm_a, arm_b, cast(sum(cnt) as bigint) as n_nonzero,
+             cast(coalesce(sum(cnt) filter (where cnt > 1), 0) as bigint) as n_tied, cast(sum(cnt) as double) as n,
              sum(cnt_pos * avg_rank) as w, cast(sum(cnt * cnt * cnt - cnt) as double) as ties
       from (select *, coalesce(sum(cnt) over (partition by domain, metric, arm_a, arm_b order by absd
                         rows between unbounded preceding and 1 preceding), 0) + (cnt + 1) / 2.0::DOUBLE as avg_rank

@@ -20,6 +20,7 @@ from docreason.plans.oracle_views import with_views
 from docreason.plans.q_blocks import INDEXED, MERGED
 from docreason.plans.q_blocks import blocks as blocks_table
 from docreason.plans.registry import register
+from docreason.session import scratch_dir
 from docreason.plans.views import qa_eval, raw_questions, raw_scores, responses, table, url_state
 
 RETRIES = 3
@@ -402,6 +403,25 @@ def q_batch_infer(spark, sf):
     return RS.transform(out, lambda c: F.try_variant_get(F.try_parse_json(c), "$.n_chars", "bigint"), "n_chars")
 
 
+@register("attempt_rounds", _q("""
+select r.document_id, r.status, r.attempt, cast(json_array_length(l.raw) as integer) as n_items, l.prompt_tokens, l.completion_tokens, r.last_error,
+  (select count(*) from rl a where a.document_id = r.document_id and a.attempt <= coalesce(r.attempt, """ + str(RETRIES) + """)) as n_rows
+from res r left join rl l on l.document_id = r.document_id and l.attempt = r.attempt""", "res", "rl"))
+def q_attempt_rounds(spark, sf):
+    """T5 + F2: every document is asked in rounds; the given table of attempts
+    stands for the model. Equal to the outcome on all attempts, and no row of
+    an attempt after the winning one was asked for."""
+    given = parsed_responses(spark, sf)
+    todo = given.select(DOC).distinct()
+    rounds = RS.request_rounds(todo, [DOC], lambda left: left.join(given, [DOC, "attempt"]), "is_list",
+                               scratch_dir(spark, "rounds"), retries=RETRIES)
+    asked = rounds.groupBy(DOC).agg(F.count(F.lit(1)).alias("n_rows"))
+    out = RS.resolve_rounds(todo, rounds, [DOC], "is_list", ["items", "prompt_tokens", "completion_tokens"], retries=RETRIES, error="content")
+    return out.join(asked, DOC, "left").select(
+        DOC, "status", "attempt", F.size("items").alias("n_items"), "prompt_tokens", "completion_tokens", "last_error",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 # The winning response items stand for a document's reasoning steps.
 @register("contract_requests", _q(f"""
 select document_id, md5({prompts.sql_render(prompts.CONTRACT_USER, steps="'[' || string_agg(item::VARCHAR, ',' order by item_pos) || ']'")}) as prompt_md5

@@ -42,7 +42,11 @@ def write_per_document(df: DataFrame, path: str, doc: str = "document_id", ok: s
         doc, F.concat(F.lit(path + "/_bucket="), F.col("_bucket").cast("string")).alias("path"))
 
 
-def ledger_append(df: DataFrame, path: str) -> None:
-    """K5: append call metrics, success as 0/1, partitioned by experiment."""
+def ledger_append(df: DataFrame, path: str, batch: str) -> None:
+    """K5: append call metrics, success as 0/1, partitioned by experiment and
+    batch. ``batch`` names this append: running it again (a retried job)
+    replaces the rows that the batch wrote for the same experiments, other
+    batches stay. Nothing to append writes nothing."""
     out = df.withColumn("success", F.col("success").cast("int")) if "success" in df.columns else df
-    out.write.mode("append").partitionBy("experiment_id").parquet(path)
+    (out.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("experiment_id", "batch_id").parquet(path))

@@ -97,3 +97,39 @@ def test_no_prediction_column_gives_null_scores(spark):
     assert cross_domain(df).first().abs_err == 0.25
     r = cross_domain(df.drop("model_pred")).first()
     assert (r.pred, r.abs_err, r.score_cont, r.correct_bin, r.eval_score) == (None, None, None, 0, 0.25)
+
+
+def test_attempt_rounds_ask_only_what_is_left(spark, tmp_path):
+    """A stub that succeeds at a given attempt; null keys, requests without any
+    row, and a second run after a round was lost."""
+    from docreason.operators.responses import request_rounds, resolve_rounds
+    rows = [(1, 1, "[1]"), (2, 1, "no"), (2, 2, "[2, 3]"), (3, 1, "no"), (3, 2, "no"), (3, 3, "still no"), (3, 4, "[4]"),
+            (None, 1, "no"), (None, 3, "[5]"), (4, 3, "[6]"), (2, 3, "[never asked]")]
+    given = parse_list(spark.createDataFrame(rows, "document_id long, attempt int, content string"))
+    todo = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (None,)], "document_id long")
+    asked = []
+
+    def infer(left):
+        asked.append(sorted((r.document_id or 0, r.attempt) for r in left.collect()))
+        left = left.withColumnsRenamed({"document_id": "d", "attempt": "a"})
+        return given.join(left, F.col("document_id").eqNullSafe(F.col("d")) & (F.col("attempt") == F.col("a"))).drop("d", "a")
+
+    def job(path, retries=3):
+        rounds = request_rounds(todo, ["document_id"], infer, "is_list", path, retries)
+        out = resolve_rounds(todo, rounds, ["document_id"], "is_list", ["items"], retries=retries, error="content")
+        return {r.document_id: (r.status, r.attempt, r.last_error) for r in out.collect()}
+
+    want = {1: ("ok", 1, None), 2: ("ok", 2, None), 3: ("failed", None, "still no"), 4: ("ok", 3, None),
+            5: ("failed", None, None), None: ("ok", 3, None)}
+    path = tmp_path / "rounds"
+    assert job(str(path)) == want
+    assert asked == [[(i, 1) for i in range(6)], [(0, 2), (2, 2), (3, 2), (4, 2), (5, 2)], [(0, 3), (3, 3), (4, 3), (5, 3)]]
+    (path / "round=3" / "_SUCCESS").unlink()  # as if the job had been lost in round 3
+    asked.clear()
+    assert job(str(path)) == want and asked == [[(0, 3), (3, 3), (4, 3), (5, 3)]]
+    asked.clear()
+    assert job(str(path)) == want and asked == []
+    full = {r.document_id: (r.status, r.attempt) for r in resolve_attempts(given, ["document_id"], "is_list", ["items"]).collect()}
+    assert full == {k: v[:2] for k, v in want.items() if k != 5}
+    asked.clear()
+    assert job(str(tmp_path / "one"), retries=0)[2] == ("failed", None, "no") and len(asked) == 1

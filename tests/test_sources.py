@@ -162,3 +162,15 @@ def test_shared_folder_is_required_off_a_local_master(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session)
+
+
+def test_a_repeated_append_leaves_one_copy(spark, tmp_path):
+    from docreason.sources.sinks import ledger_append
+    path = str(tmp_path / "ledger")
+    rows = lambda *r: spark.createDataFrame(r, "experiment_id string, document_id string, success boolean")
+    ledger_append(rows(("a", "1", True), ("b", "1", False)), path, "first")
+    ledger_append(rows(("a", "2", True), ("a", "2", True)), path, "second")
+    ledger_append(rows(("a", "3", None)), path, "second")
+    ledger_append(rows().limit(0), path, "third")
+    got = sorted((r.experiment_id, r.batch_id, r.document_id, r.success) for r in spark.read.parquet(path).collect())
+    assert got == [("a", "first", "1", 1), ("a", "second", "3", None), ("b", "first", "1", 0)]
