@@ -194,8 +194,10 @@ def dated_list(pages: DataFrame) -> DataFrame:
 
 @query("op4_url_filters", rf"""
 with c as (
-  select page_id, nullif(rtrim(lower(regexp_extract(url, '{url_filters.HOST}', 1)), '.'), '') as host,
-    {START} + (((page_id * 48271) % {YEAR}) + {YEAR}) % {YEAR} as fetched_at from pages),
+  select page_id, nullif(rtrim(lower(case when starts_with(place, '[') then regexp_extract(place, '^\[[^\]]*\]') else split_part(place, ':', 1) end), '.'), '') as host,
+    {START} + (((page_id * 48271) % {YEAR}) + {YEAR}) % {YEAR} as fetched_at
+  from (select page_id, string_split(case when regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')
+          then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') else '' end, '@')[-1] as place from pages)),
 h as (select distinct host from c where host is not null),
 p as (select host as pattern from h union select array_to_string(string_split(host, '.')[-2:], '.') from h),
 v as (select pattern, ('0x' || substr(md5(pattern), 1, 6))::bigint as v from p),

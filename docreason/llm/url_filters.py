@@ -3,8 +3,8 @@
 A list is a log of dated entries (list, pattern, action ``add`` or ``remove``,
 dated in epoch seconds). Entries become validity intervals: a pattern is on the
 list from an ``add`` until the next ``remove``; repeated adds change nothing, and
-of entries with one date a remove wins. A pattern is a host or a domain; it
-matches the host and all hosts below it. Every capture is judged by the entries
+of entries with one date a remove wins. A pattern is a host or a domain (a last
+label alone too); it matches the host and all hosts below it. Every capture is judged by the entries
 active when it was fetched.
 
 The as-of join never pairs captures with intervals one by one. Captures are
@@ -28,21 +28,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86400
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host of an absolute URL, without a trailing dot; or null."""
-    host = F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
+    """The lower-cased host of an absolute URL: what follows the last @ of the
+    authority, up to the port, without trailing dots, or an address with its
+    brackets; null if there is none."""
+    place = F.substring_index(F.regexp_extract(url, AUTHORITY, 1), "@", -1)
+    host = F.rtrim(F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:\[][^:]*)", 1)), F.lit("."))
     return F.when(host != "", host)
 
 
 def suffixes(host: Column) -> Column:
-    """The host and the domains above it, but not the last label alone."""
-    labels = F.split(host, r"\.")
+    """The host and the domains above it, the last label included; of an address
+    in brackets itself alone."""
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
-    return F.when(n < 2, F.array(host)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), ".")))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
