@@ -1,5 +1,5 @@
 """Queries over files the query itself writes under the shared checkpoint
-folder (S1-S3, S5-S7, S9, P18, K1-K5, I2). Checked on row counts."""
+folder (S1-S3, S5-S7, S9, P18, K1-K5, I2) and reads back."""
 
 from __future__ import annotations
 
@@ -118,6 +118,22 @@ def q_resume(spark, sf):
     return spark.read.parquet(out).select("doc_id", "lang", "n_chars")
 
 
+@register("resume_versions", with_views(
+    "select doc_id, lang, cast(length(text) as integer) as n_chars from documents"))
+def q_resume_versions(spark, sf):
+    """I2, merge on read: version 1 wrote the English documents with wrong sizes,
+    version 2 the rest, version 3 the English ones anew; the versions are folded
+    into a base after the second. The result is the newest of each document."""
+    out = scratch_dir(spark, "versions")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.length("text").alias("n_chars"))
+    english = docs.where(F.col("lang") == "en")
+    RES.write_version(english.withColumn("n_chars", F.lit(-1)), out, 1)
+    RES.write_version(RES.pending(docs, RES.read_newest(spark, out, "doc_id"), "doc_id"), out, 2)
+    RES.compact(spark, out, "doc_id")
+    RES.write_version(english, out, 3)
+    return RES.read_newest(spark, out, "doc_id").select("doc_id", "lang", "n_chars")
+
+
 @register("ledger_append", with_views("""
 select '2025-01-01T00:00:00Z' as timestamp_utc, e.experiment_id, cast(r.document_id as varchar) as document_id,
   'answer' as agent_name, 'call' as event_name, cast(not starts_with(r.content, 'sorry') as integer) as success,

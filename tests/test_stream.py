@@ -64,3 +64,34 @@ def test_lost_state_is_an_error(spark, tmp_path):
     (tmp_path / "state" / "snapshot=0-0").mkdir(parents=True)
     with pytest.raises(RuntimeError):
         apply_batch(spark, _lines(spark, "http://a"), 1, str(tmp_path / "state"))
+
+
+def test_a_forced_document_writes_one_document(spark, tmp_path):
+    """Newest version wins, null keys too; a version without its commit marker is
+    not read and can be written again; compaction changes nothing that is read."""
+    from docreason.streaming import resume as R
+    path = str(tmp_path / "table")
+    rows = lambda *r: spark.createDataFrame(r, "doc long, step int, v string")
+    read = lambda: sorted(((r.doc, r.step, r.v) for r in R.read_newest(spark, path, "doc").collect()), key=repr)
+    R.write_version(rows(*[(i, s, "a") for i in range(50) for s in (1, 2)], (None, 1, "a")), path, 1)
+    R.write_version(rows((7, 1, "b")), path, 2)
+    assert spark.read.parquet(f"{path}/_version=2").count() == 1
+    want = sorted([(i, s, "a") for i in range(50) if i != 7 for s in (1, 2)] + [(7, 1, "b"), (None, 1, "a")], key=repr)
+    assert read() == want
+    R.write_version(rows((7, 1, "lost"), (8, 1, "lost")), path, 3)
+    (tmp_path / "table" / "_version=3" / "_SUCCESS").unlink()
+    assert read() == want
+    R.compact(spark, path, "doc")
+    assert read() == want and not (tmp_path / "table" / "_version=1").exists()
+    R.write_version(rows((None, 1, "c"), (7, 1, "c"), (7, 1, "c")), path, 3)
+    want = [x for x in want if x[0] not in (7, None)] + [(7, 1, "c")] * 2 + [(None, 1, "c")]
+    assert read() == sorted(want, key=repr)
+    R.compact(spark, path, "doc")
+    R.compact(spark, path, "doc")
+    assert read() == sorted(want, key=repr)
+
+
+def test_a_table_without_versions_is_an_error(spark, tmp_path):
+    from docreason.streaming import resume as R
+    with pytest.raises(FileNotFoundError):
+        R.read_newest(spark, str(tmp_path), "doc")
