@@ -77,6 +77,42 @@ def test_field_learns_its_table_and_finds_more(field):
     assert found == [[(3, 13, 21, False)], [(3, 8, 22, False)], [], []]
 
 
+@pytest.mark.parametrize("text, spans", [
+    ("call 020 7946 0961 please", [("phone", "020 7946 0961")]),
+    ("ring 415 555 2698 tomorrow", [("phone", "415 555 2698")]),
+    ("pay BE68 5390 0754 7034 now", [("account", "BE68 5390 0754 7034")]),
+    ("pay BE68 5390 0754 7035 now", []),  # wrong check digits
+    ("IBAN GB82 WEST 1234 5698 7654 32 ok", [("account", "GB82 WEST 1234 5698 7654 32")]),
+    ("ssn 212-34-5678 ok", [("identity", "212-34-5678")]),
+    ("ssn 000-34-5678 ok", []),
+    ("password=qwerty123", [("secret", "qwerty123")]),
+    ("password = hunter22 ok", [("secret", "hunter22")]),
+    ("my password: letmein99", [("secret", "letmein99")]),
+    ('x token = "0f8cab8ca1b325bc4f85aa6a79e73fc4cbfc2098"### y', [("secret", "0f8cab8ca1b325bc4f85aa6a79e73fc4cbfc2098")]),
+    ("the token was lost", []), ("title: Introduction to tokens", []), ("x = 20 and rate=0.05", []),
+    ("1914 to 1918; 300 400 5000 items", []), ("see https://a.example/x=1234abc", []),
+    ("git commit 1234567890abcdef1234567890abcdef12345678", []),
+    ("mail a@b.co, password = hunter22", [("email", "a@b.co"), ("secret", "hunter22")])])
+def test_kinds_of_the_field(field, text, spans):
+    assert [(pii.EVERY[k], text[s:e]) for k, s, e, _ in pii.all_spans([text], field)[0]] == spans
+
+
+def test_neighbours_are_whole_words_at_any_distance(field):
+    gap = " " * 5000
+    assert pii._neighbour("password" + gap + "=" + gap + "x" * 3000, 5008, 5009) == ("password", "x" * 3000)
+    text = "password" + gap + "=" + gap + "hunter22"
+    assert [(k, text[s:e]) for k, s, e, _ in pii.all_spans([text], field)[0]] == [(pii.SECRET, "hunter22")]
+    long = "password=" + "a1" * 20_000
+    assert [(s, e) for _, s, e, _ in pii.all_spans([long], field)[0]] == [(9, len(long))]
+
+
+def test_every_secret_of_the_corpus_is_found(spark, field):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    secret = re.compile(r'(?i)\b(?:password|token|secret|key)\s*=\s*"?([0-9a-z]{16,})')
+    for text, spans in zip(texts, pii.all_spans(texts, field)):
+        assert {m.span(1) for m in secret.finditer(text)} == {(s, e) for k, s, e, _ in spans if k == pii.SECRET}
+
+
 def test_rows_nulls_and_whole_texts(spark, field):
     long = "word " * 200_000 + "tom@example.com"
     rows = [(1, None), (2, ""), (3, "é a@b.co, call +1 (499) 555-6503%%%"), (3, "é a@b.co, call +1 (499) 555-6503%%%"),
@@ -92,4 +128,5 @@ def test_rows_nulls_and_whole_texts(spark, field):
 def test_redact(field):
     redact = lambda t: pii.replaced(t, pii.all_spans([t], field)[0])
     assert redact("to a@b.co, call +1 (499) 555-6503%%%") == "to [EMAIL], call [PHONE]%%%"
+    assert redact('api_key = "9f86d081884c7d659a2feaa0c55ad015"') == 'api_key = "[SECRET]"'
     assert redact("nothing") == "nothing"
