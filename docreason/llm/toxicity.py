@@ -190,6 +190,8 @@ class Restorer:
         self.begins = {x[:3] for x in known}
         self.squeezed = {squeeze(x) for x in known}
         self.widths = sorted({len(x) for x in self.squeezed})
+        self.firsts = {x[:2] for x in self.squeezed}
+        self.one = any(len(x) == 1 for x in self.squeezed)
 
     def restore(self, token: str) -> list[str]:
         """The words of a lower-case token."""
@@ -202,7 +204,7 @@ class Restorer:
             if self.bases is not None:
                 # Shortening runs does not change the squeezed word.
                 least = squeeze(core)
-                if not any(least[:n] in self.squeezed for n in self.widths):
+                if not (self.one or least[:2] in self.firsts) or not any(least[:n] in self.squeezed for n in self.widths):
                     return []
             return decode(self.model, lattice(core))
         folded = fold(token)
@@ -223,9 +225,12 @@ class Restorer:
         if len(self.other) + len(self.words) > KNOWN:
             self.other.clear()
             self.words.clear()
-        for token in set().union(*own):
-            if token in self.words or token in self.other:
+        fast = self.bases is not None
+        for token in set().union(*own).difference(self.other):
+            if token in self.words:
                 continue
+            if fast and token[:3] not in self.begins and token.isascii() and token.isalpha() and not DOUBLED.search(token):
+                continue  # a plain word with none of the bases: cheaper to see than to remember
             words = self.restore(token)
             if self.bases is not None:
                 words = [w for w in words if not self.bases.isdisjoint(bases(w))]
@@ -345,8 +350,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     characters = CharacterModel.fit(character_counts(docs))
     shared = spark.sparkContext.broadcast(characters)
     labels = labels.select("doc_id", F.col("toxic").alias("label")).where("label is not null and doc_id is not null")
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").where(~held_out())
-            .join(labels, "doc_id"))
+    # Joined once, by a shuffle at every size; the passes below read the labelled texts back.
+    rows = store(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").where(~held_out())
+                 .join(labels.where(~held_out()).hint("merge"), "doc_id"), "toxicity-labelled")
 
     def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
