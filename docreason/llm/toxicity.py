@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from docreason.llm.common import store, with_workers
 from docreason.llm.langid import held_out
 
-PART, KNOWN, SLICE = 4096, 400_000, 1 << 21
+PART, KNOWN, SLICE = 4096, 600_000, 1 << 20
 STEMS, TIMES = (3, 4, 5, 6), (1, 2, 3)
 MIN_SHARE, MIN_Z, FEATURES, CANDIDATES, SAMPLE, RIDGE = 0.02, 4.0, 300, 50_000, 20_000, 0.1
 THRESHOLD = 0.7
@@ -190,8 +190,10 @@ class Restorer:
         self.begins = {x[:3] for x in known}
         self.squeezed = {squeeze(x) for x in known}
         self.widths = sorted({len(x) for x in self.squeezed})
+        # Of plain words that begin with two different letters, only those with
+        # one of these pairs can have a base, runs shortened or not.
         self.firsts = {x[:2] for x in self.squeezed}
-        self.one = any(len(x) == 1 for x in self.squeezed)
+        self.by_pair = bases is not None and all(len(x) > 1 for x in self.squeezed)
 
     def restore(self, token: str) -> list[str]:
         """The words of a lower-case token."""
@@ -199,12 +201,14 @@ class Restorer:
         if not core.isascii():
             core = fold(core)
         if PLAIN.fullmatch(core) and not (token[0] in "$@+!|" or token[-1] in "$@+"):
+            if self.by_pair and core[:2] not in self.firsts and len(core) > 1 and core[0] != core[1]:
+                return []
             if not DOUBLED.search(core):
                 return [core] if self.bases is None or core[:3] in self.begins else []
             if self.bases is not None:
                 # Shortening runs does not change the squeezed word.
                 least = squeeze(core)
-                if not (self.one or least[:2] in self.firsts) or not any(least[:n] in self.squeezed for n in self.widths):
+                if not any(least[:n] in self.squeezed for n in self.widths):
                     return []
             return decode(self.model, lattice(core))
         folded = fold(token)
@@ -225,12 +229,15 @@ class Restorer:
         if len(self.other) + len(self.words) > KNOWN:
             self.other.clear()
             self.words.clear()
-        fast = self.bases is not None
         for token in set().union(*own).difference(self.other):
             if token in self.words:
                 continue
-            if fast and token[:3] not in self.begins and token.isascii() and token.isalpha() and not DOUBLED.search(token):
-                continue  # a plain word with none of the bases: cheaper to see than to remember
+            # Cheaper to see than to remember: words of which none can have a base.
+            if self.by_pair and token.isascii():
+                pair = token[:2]
+                if pair.isalpha() and pair not in self.firsts and pair[0] != pair[-1] and token[-1] not in "$@+" and (
+                        token.isalpha() or token.rstrip(STRIP).isalpha()):
+                    continue
             words = self.restore(token)
             if self.bases is not None:
                 words = [w for w in words if not self.bases.isdisjoint(bases(w))]
