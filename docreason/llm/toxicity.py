@@ -388,9 +388,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     for w in words:
                         if w not in at:
                             at[w] = [place[x] for x in bases(w) if x in place]
-                    n = np.bincount(np.fromiter(chain.from_iterable(map(at.__getitem__, words)), np.int64), minlength=len(base))
+                    own, n = np.unique(np.fromiter(chain.from_iterable(map(at.__getitem__, words)), np.int64), return_counts=True)
                     for i, k in enumerate(TIMES):
-                        total[i] += n >= k
+                        total[i, own[n >= k]] += 1
                 if len(at) > KNOWN:
                     at.clear()
         found = [("", rows)] + [(f, int(total[TIMES.index(int(f[-1])), place[_base(f)]])) for f in names]
