@@ -5,10 +5,11 @@ hash
     ``md5(seed-group-r-j) mod n``. Any engine that sorts by value and hashes
     alike draws the same samples, so results are checked against SQL. Draws
     are generated per (group, replicate, chunk) so that no task creates a
-    whole group's draws; positions are resolved against value intervals of
-    the sorted value counts with a bucketed range join (equi-join on bucket,
-    then a range filter) -- no window over a group's rows. Cost: n * B draws;
-    meant for small B.
+    whole group's draws; a chunk's draws of one value are counted together
+    where its group has at most ``FEW_VALUES`` of them. Positions are resolved
+    against value intervals of the sorted value counts with a bucketed range
+    join (equi-join on bucket and range) -- no window over a group's rows.
+    Cost: n * B draws; meant for small B.
 
 poisson
     Independent Poisson(1) weights per row (the Poisson bootstrap). Rows are
@@ -48,7 +49,9 @@ from docreason.operators.ranks import exact_quantile, running_below
 from docreason.schemas import N_BOOT, N_CAL_BINS, SEED_PER_DOMAIN
 from docreason.session import materialize
 
-DRAW_CHUNK = 4096
+DRAW_CHUNK = 65536
+# Groups with at most so many distinct values have their draws counted by value.
+FEW_VALUES = 512
 # A range of the rank grid holds at most 1 / RANK_GRID of the rows; replicates
 # per task of the rank grid, and replicates ranked at a time.
 RANK_GRID = 64
@@ -57,46 +60,87 @@ RANK_STEP = 25
 
 
 # ---------------------------------------------------------------- hash mode
-def _hash_pos(seed: int, keys: list[str]):
-    s = F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys],
-                    F.col("r").cast("string"), F.col("j").cast("string"))
-    # 15 hexadecimal digits: 60 bits, so positions of any group size are reached evenly.
-    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
+def _hash_draws(work: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """The draws of every row (group, replicate r, chunk c) of ``work``: keys, r,
+    n, _w, k, m. Position k is drawn m times, where the draws of one value of a
+    group with known ``_edges`` all count at its first position."""
+    from docreason.session import ship_package
+    ship_package(work.sparkSession)
+    from docreason.functions.draws import md5_draws
+    kept = [*keys, "r", "n", "_w"]
+    kinds = {f.name: f.dataType.simpleString() for f in work.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in kept) + ", k long, m long"
+
+    def drawn(prefix: str, n: int, c: int, edges: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        k = (md5_draws(prefix.encode(), c * chunk, min(n, (c + 1) * chunk)) % np.uint64(n)).astype(np.int64)
+        if edges is None:
+            return k, np.ones(len(k), np.int64)
+        many = np.bincount(np.searchsorted(edges, k, side="right") - 1, minlength=len(edges))
+        return edges[many > 0], many[many > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ready = [], 0
+
+            def done() -> pa.RecordBatch:
+                of = batch.select(kept).take(np.repeat([i for i, _, _ in rows], [len(k) for _, k, _ in rows]))
+                return pa.RecordBatch.from_arrays([*of.columns, pa.array(np.concatenate([k for _, k, _ in rows])),
+                                                   pa.array(np.concatenate([m for _, _, m in rows]))], names=[*kept, "k", "m"])
+
+            for i in range(batch.num_rows):
+                prefix, n, c, edges = (batch[x][i] for x in ("_prefix", "n", "c", "_edges"))
+                rows.append((i, *drawn(prefix.as_py(), n.as_py(), c.as_py(), edges.values.to_numpy() if edges.is_valid else None)))
+                ready += len(rows[-1][1])
+                if ready >= chunk:
+                    yield done()
+                    rows, ready = [], 0
+            if rows:
+                yield done()
+
+    return work.select(*kept, "c", "_prefix", "_edges").mapInArrow(run, schema)
 
 
 def replicate_means_hash(values: DataFrame, keys: list[str], value: str, n_boot: int,
-                         seed: int, chunk: int = DRAW_CHUNK) -> DataFrame:
+                         seed: int, chunk: int = DRAW_CHUNK, few: int = FEW_VALUES) -> DataFrame:
     """Per group and replicate r in [0, n_boot): the mean of a resample of n
     out of the group's n values. Returns keys, r, rep_mean."""
     v = values.where(F.col(value).isNotNull())
-    counts = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    # Written once: sizes and running totals read the counts several times.
+    counts = materialize(v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")), "value-counts")
     # Position buckets as wide as a group's mean value interval (n / distinct
     # values): a draw meets about two candidate intervals and the intervals
     # spread over about twice as many bucket rows as there are values,
     # whether values are heavily tied or all distinct.
     sizes = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("_d")) \
-        .withColumn("_w", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("_d")))).drop("_d")
+        .withColumn("_w", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("_d"))))
     # Value intervals [below, below + cnt) of sorted positions, spread over
     # the position buckets they touch.
     iv = running_below(counts, keys, value, "cnt").select(
         *keys, value, F.col("below").alias("lo"), (F.col("below") + F.col("cnt")).alias("hi"))
-    iv = join_on(iv, sizes.select(*keys, "_w"), keys).withColumn(
+    iv = join_on(iv, sizes.select(*keys, "_w", "_d"), keys).withColumn(
         "bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_w")),
                                        F.floor((F.col("hi") - 1) / F.col("_w"))))).drop("_w")
+    # Written, so that Spark knows its size before it plans the join with the draws.
+    iv = materialize(iv, "value-intervals")
+    edges = iv.where(F.col("_d") <= few).groupBy(*keys).agg(F.array_sort(F.collect_set("lo")).alias("_edges"))
     # Draws: (group, r, chunk) rows are spread over tasks before the
     # positions inside a chunk are generated.
     n_chunks = F.floor((F.col("n") - 1) / chunk)
     n_parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = (sizes.select(*keys, "n", "_w", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("r"))
-            .select(*keys, "n", "_w", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks)).alias("c"))
+    prefix = F.concat(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("r").cast("string")), F.lit("-"))
+    work = (join_on(sizes, edges, keys, "left").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+            .withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks))).withColumn("_prefix", prefix)
             .repartition(n_parts, *keys, "r", "c"))
-    draws = (work.select(*keys, "n", "_w", "r", F.explode(F.sequence(
-                 F.col("c") * chunk, F.least(F.col("n"), (F.col("c") + 1) * chunk) - 1)).alias("j"))
-             .withColumn("k", F.pmod(_hash_pos(seed, keys), F.col("n")))
-             .withColumn("bucket", F.floor(F.col("k") / F.col("_w"))))
-    picked = (join_on(draws, iv, keys + ["bucket"])
-              .where((F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi"))))
-    return picked.groupBy(*keys, "r").agg((F.sum(value) / F.max("n")).alias("rep_mean"))
+    draws = _hash_draws(work, keys, chunk).withColumn("bucket", F.floor(F.col("k") / F.col("_w")))
+    # A left join, as Spark takes the draws for no more than the rows they are
+    # generated from: of the two sides only the intervals may be broadcast.
+    at = iv.select(*[F.col(k).alias(f"_r_{k}") for k in keys], value, "lo", "hi", F.col("bucket").alias("_r_bucket"))
+    same = (F.col("bucket") == F.col("_r_bucket")) & (F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    means = draws.join(at, same, "left").groupBy(*keys, "r").agg((F.sum(F.col(value) * F.col("m")) / F.max("n")).alias("rep_mean"))
+    # Groups x replicates rows, written once: intervals of differences read them several times.
+    return materialize(means, "replicate-means")
 
 
 def mean_ci_hash(values: DataFrame, keys: list[str], value: str, n_boot: int, seed: int) -> DataFrame:

@@ -124,3 +124,47 @@ def test_poisson_mean_ci_close_to_normal_theory(spark):
         assert abs(g.mean - r.m) < 1e-9
         assert abs((g.ci_hi - g.ci_lo) / 2 - half) < 0.15 * half
         assert g.ci_lo < r.m < g.ci_hi
+
+
+def test_md5_draws():
+    import hashlib
+    from docreason.functions.draws import md5_draws
+    for prefix in (b"", b"42-m-F-baseline-3-", "é".encode() * 20, b"x" * 55, b"x" * 200):
+        for a, b in ((0, 1100), (99_990, 100_020), (10 ** 11 - 3, 10 ** 11 + 3), (5, 5)):
+            assert md5_draws(prefix, a, b).tolist() == [int(hashlib.md5(prefix + b"%d" % j).hexdigest()[:15], 16) for j in range(a, b)]
+
+
+def test_hash_replicates_match_direct_draws(spark):
+    import hashlib
+    from docreason.operators import bootstrap as B
+    groups = {"tied": [0.1] * 500 + [0.2] * 3 + [0.7] * 400, "spread": [i * i / 7 for i in range(800)], None: [0.25, 0.5], "one": [3.0]}
+    df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in [*v, None]], "g string, x double")
+    want = {}
+    for g, v in groups.items():
+        for r in range(3):
+            names = [str(x) for x in (42, g, r) if x is not None]
+            at = [int(hashlib.md5("-".join([*names, str(j)]).encode()).hexdigest()[:15], 16) % len(v) for j in range(len(v))]
+            want[g, r] = sum(v[k] for k in at) / len(v)
+    for chunk, few in ((64, 512), (10_000, 512), (64, 0), (300, 3)):
+        got = {(x.g, x.r): x.rep_mean for x in B.replicate_means_hash(df, ["g"], "x", 3, 42, chunk=chunk, few=few).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_hash_draws_are_never_broadcast(spark, monkeypatch):
+    """Spark takes the draws for as small as the rows they are generated from."""
+    import re
+    from docreason.operators import bootstrap as B
+    plans, write = [], B.materialize
+
+    def run(df):
+        assert len(df.collect()) == 20
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(B, "materialize", lambda df, name: run(df) if name == "replicate-means" else write(df, name))
+    df = spark.createDataFrame([("a", i % 1000 / 8) for i in range(20_000)], "g string, x double")
+    got = B.replicate_means_hash(df, ["g"], "x", 20, 42)
+    if not plans:
+        run(got)
+    built = [x for p in plans for x in re.findall(r"BroadcastHashJoin .*", p) if "bucket" in x]
+    assert built and all("LeftOuter, BuildRight" in x for x in built)
