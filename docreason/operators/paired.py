@@ -20,6 +20,7 @@ from docreason.functions.stats import EXACT_RANKS, norm_sf_udf, signed_rank_sf_u
 from docreason.operators.joins import join_on
 from docreason.operators.ranks import cliffs_delta, running_below
 from docreason.schemas import ARMS
+from docreason.session import materialize
 
 COND_ARMS = ARMS[1:]
 
@@ -108,7 +109,7 @@ def wilcoxon(diffs: DataFrame, group: list[str]) -> DataFrame:
     nz = diffs.where(F.col("d") != 0).withColumn("absd", F.abs("d"))
     counts = nz.groupBy(*keys, "absd").agg(F.count(F.lit(1)).alias("cnt"),
                                             F.count_if(F.col("d") > 0).alias("cnt_pos"))
-    ranked = running_below(counts, keys, "absd", "cnt").withColumn(
+    ranked = running_below(materialize(counts, "value-counts"), keys, "absd", "cnt").withColumn(
         "avg_rank", F.col("below") + (F.col("cnt") + 1) / 2.0)
     agg = ranked.groupBy(*keys).agg(
         F.sum("cnt").alias("n_nonzero"),

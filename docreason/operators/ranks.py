@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docreason.operators.joins import join_on
+from docreason.session import materialize
 
 SCALE, RADIX = 1e9, 20
 # Above -ln of the least positive double, in steps.
@@ -40,7 +41,8 @@ def _range(value: str, scale: float) -> Column:
 def running_below(counts: DataFrame, keys: list[str], value: str, weight: str,
                   scale: float = SCALE, radix: int = RADIX) -> DataFrame:
     """Add ``below``: total ``weight`` of strictly smaller ``value`` in the same
-    ``keys`` group. ``counts`` must hold one row per (keys, value)."""
+    ``keys`` group. ``counts`` must hold one row per (keys, value). It is read
+    three times, so counts of many rows should be a written table."""
     def before(c: str, group: list[str], order: str) -> Column:
         w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(c).over(w), F.lit(0))
@@ -86,15 +88,18 @@ def pearson(x, y) -> Column:
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Spearman correlation of x and y per group: Pearson of average ranks.
 
-    Rows first compress to cells (keys, x, y) with multiplicity; ranks come
-    from value counts; the correlation is a weighted aggregate over cells.
+    Rows first compress to cells (keys, x, y) with multiplicity, which are
+    written once, so that the rows are scanned once; ranks come from value
+    counts; the correlation is a weighted aggregate over cells.
     Returns keys, n, spearman.
     """
-    cells = df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_m"))
-    rx = average_ranks(cells.groupBy(*keys, x).agg(F.sum("_m").alias("cnt")), keys, x) \
-        .select(*keys, x, F.col("avg_rank").alias("_rx"))
-    ry = average_ranks(cells.groupBy(*keys, y).agg(F.sum("_m").alias("cnt")), keys, y) \
-        .select(*keys, y, F.col("avg_rank").alias("_ry"))
+    cells = materialize(df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_m")), "rank-cells")
+
+    def counted(c: str) -> DataFrame:
+        return materialize(cells.groupBy(*keys, c).agg(F.sum("_m").alias("cnt")), "value-counts")
+
+    rx = average_ranks(counted(x), keys, x).select(*keys, x, F.col("avg_rank").alias("_rx"))
+    ry = average_ranks(counted(y), keys, y).select(*keys, y, F.col("avg_rank").alias("_ry"))
     joined = join_on(join_on(cells, rx, keys + [x]), ry, keys + [y])
     return joined.groupBy(*keys).agg(
         F.sum("_m").alias("n"), weighted_pearson("_rx", "_ry", "_m").alias("spearman"))
@@ -111,6 +116,7 @@ def cliffs_delta(counts: DataFrame, keys: list[str], value: str,
     counts are taken in DOUBLE, which billions of rows a side do not overflow.
     Returns keys, n_a, n_b, cliffs_delta (NULL when a side is empty).
     """
+    counts = materialize(counts, "value-counts")
     ranked = running_below(counts, keys, value, nb)
     totals = counts.groupBy(*keys).agg(F.sum(na).alias("n_a"), F.sum(nb).alias("n_b"))
     per_value = join_on(ranked, totals, keys).withColumn(
@@ -126,7 +132,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
     from value counts: the order statistics at floor/ceil of q * (n - 1) are
     found by the running totals of the counts, so no group's values are ever
     buffered in one place (``percentile``/``median`` buffer them all)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "value-counts")
     ranked = running_below(counts, keys, value, "_c")
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     pos = (F.col("_n") - 1) * q

@@ -185,3 +185,25 @@ def test_join_on_null_keys(spark):
     assert join_on(big, small, ["g"]).columns == ["g", "v", "w"]
     assert join_on(big, small, ["g"]).count() == 60
     assert join_on(big, small, ["g"], "left").where("w is null").count() == 40
+
+
+def test_ranks_scan_their_rows_once(spark):
+    """A rank statistic's plan reads written cells and counts, not the rows again."""
+    from docreason.operators.ranks import cliffs_delta, exact_quantile, spearman
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    def read(schema, data):
+        df = spark.createDataFrame(data, schema)
+        return df.mapInArrow(seen, df.schema)
+
+    pairs = read("g string, x double, y double", [("a", float(i % 7), float(i % 5)) for i in range(35)] + [(None, 1.0, 2.0), (None, 2.0, 3.0)])
+    got = {r.g: (r.n, r.spearman) for r in spearman(pairs, ["g"], "x", "y").collect()}
+    assert rows.value == 37 and got[None][0] == 2 and abs(got[None][1] - 1) < 1e-9 and abs(got["a"][1]) < 1e-9
+    assert exact_quantile(pairs.where("g = 'a'"), ["g"], "x", 0.5).first().quantile == 3.0 and rows.value == 2 * 37
+    counts = read("g string, v double, na long, nb long", [("a", 1.0, 0, 2), ("a", 2.0, 3, 0)])
+    assert cliffs_delta(counts, ["g"], "v").first().cliffs_delta == 1.0 and rows.value == 2 * 37 + 2
