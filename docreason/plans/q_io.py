@@ -81,9 +81,9 @@ def q_json_sources(spark, sf):
         F.col("trace_sim").cast("string").alias("eval_score"))
     base = scratch_dir(spark, "json")
     K.write_jsonl(q, f"{base}/lines")
-    # One array per arm and block of 64 question ids: groups stay bounded as
-    # the data grows, and files stay few.
-    qb = q.withColumn("qblock", F.floor(F.col("question_id").cast("bigint") / 64))
+    # One array per arm and 64th of the question ids: files stay few as the data
+    # grows, and are written and read by pieces whatever their size.
+    qb = q.withColumn("qblock", F.pmod(F.col("question_id").cast("bigint"), F.lit(64)))
     K.write_json_arrays(qb, f"{base}/arrays", by=["arm", "qblock"], order=["question_id", "domain", "gold_answer"])
     junk = F.when(F.col("question_id").cast("bigint") % 14 == 0, F.lit('{"question_id":"none"}')).otherwise(F.lit(" and more"))
     loose = q.select(F.concat(loose_line(q), F.when(F.col("question_id").cast("bigint") % 7 == 0, junk).otherwise(F.lit(""))).alias("value"))

@@ -5,6 +5,7 @@ it is split like any text and no row holds more than an element's part. Which
 commas separate elements depends on strings and brackets before them, and that
 state is carried over as a prefix:
 
+0. the first character of every file tells the array files, the only ones walked;
 1. every block (split of a file) is summed up in one row: for a start inside and
    outside a string, how its brackets balance and whether it ends in a string;
 2. a fold over a file's blocks (as many as the file has splits) gives the state
@@ -22,15 +23,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docreason.functions import jsonfn as J
 from docreason.session import materialize, ship_package
 
-ESCAPE = re.compile(r"\\.", re.S)
-SPACE = " \t\n\r"
+ESCAPE = re.compile(rb"\\.", re.S)
+# 1 a quote, 2 an opening and 3 a closing bracket, 4 a backslash.
+CODES = np.zeros(256, np.uint8)
+for _code, _chars in enumerate((b'"', b"[{", b"]}", b"\\"), 1):
+    CODES[list(_chars)] = _code
 
 
 def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -40,61 +46,83 @@ def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
 
 
-def walk(text: str, in_string: bool) -> tuple[bool, int]:
-    """Whether a string is open after ``text`` and how its brackets balance."""
-    if "\\" in text:
-        text = ESCAPE.sub("", text)
-    parts = text.split('"')
-    depth = 0
-    for part in parts[1 if in_string else 0::2]:
-        if part:
-            depth += part.count("[") + part.count("{") - part.count("]") - part.count("}")
-    return in_string ^ (len(parts) % 2 == 0), depth
-
-
-def _by_block(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list]]:
-    """((path, block), rows) of each batch's stretches of one block."""
+def kinds(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per file with any text: path, size, is_array (the first character
+    that is not white space decides)."""
+    text = F.regexp_extract("value", r"\A[ \t\n\r]*([^ \t\n\r])", 1)
+    # Of a block the first piece with any text, its number doubled and one more if it begins otherwise.
+    first = _pieces(spark, paths).withColumn("_c", text).where("_c <> ''").groupBy("path", "block").agg(
+        F.min(F.col("line") * 2 + F.when(F.col("_c") == "[", 0).otherwise(1)).alias("_first"), F.max("size").alias("size"))
+    return first.groupBy("path").agg(
+        F.max("size").alias("size"), (F.min_by("_first", "block") % 2 == 0).alias("is_array"))
+
+
+def _marks(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over the pieces one after the other, from 0: how many quotes there are
+    before each piece's end, and how brackets balance there for a start outside
+    and inside a string."""
+    values = values.cast(pa.large_binary())
+    _, at, data = values.buffers()
+    ends = np.frombuffer(at, np.int64)[values.offset:values.offset + len(values) + 1]
+    text = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data else np.zeros(0, np.uint8)
+    ends = ends[1:] - ends[0]
+    codes = CODES[text]
+    if (codes == 4).any():
+        codes = codes.copy()
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(codes == 4), side="right")):
+            start = int(ends[i - 1]) if i else 0
+            for found in ESCAPE.finditer(text[start:ends[i]].tobytes()):
+                codes[start + found.start():start + found.end()] = 0
+    where = np.flatnonzero(codes)
+    code = codes[where]
+    quotes = np.concatenate([[0], np.cumsum(code == 1)])
+    turn = (code == 2).astype(np.int64) - (code == 3)
+    inside = quotes[1:] % 2 == 1
+    upto = np.searchsorted(where, ends)
+    outer, inner = (np.concatenate([[0], np.cumsum(np.where(x, turn, 0))])[upto] for x in (~inside, inside))
+    return quotes[upto], outer, inner
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """((id, block), rows) of each batch's stretches of one block."""
     for b in batches:
-        key, rows = None, []
-        for path, block, *rest in zip(*(b[c].to_pylist() for c in ["path", "block", *names])):
-            if (path, block) != key:
-                if rows:
-                    yield key, rows
-                key, rows = (path, block), []
-            rows.append(rest)
-        if rows:
-            yield key, rows
+        if b.num_rows:
+            ids, blocks = b["id"].to_numpy(), b["block"].to_numpy()
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+                yield (int(ids[i]), int(blocks[i])), b.slice(i, j - i)
 
 
 def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = pa.schema([("path", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("n_bytes", pa.int64()), ("first", pa.string()),
+    fields = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("n_bytes", pa.int64()),
                         ("out_string", pa.bool_()), ("out_depth", pa.int64()), ("in_string", pa.bool_()), ("in_depth", pa.int64())])
     row = None
-    for (path, block), rows in _by_block(batches, ["size", "value", "n"]):
-        if row is None or (row[0], row[1]) != (path, block):
+    for key, rows in _by_block(batches):
+        if row is None or tuple(row[:2]) != key:
             if row is not None:
                 yield pa.RecordBatch.from_pylist([dict(zip(fields.names, row))], fields)
-            row = [path, block, rows[0][0], 0, None, False, 0, True, 0]
-        for _, text, n in rows:
-            row[3] += n + 1
-            if row[4] is None and (t := text.lstrip(SPACE)):
-                row[4] = t[0]
-            for i in (5, 7):
-                row[i], d = walk(text, row[i])
-                row[i + 1] += d
+            row = [*key, 0, False, 0, True, 0]
+        quotes, outer, inner = _marks(rows["value"])
+        row[2] += (pc.sum(pc.binary_length(rows["value"])).as_py() or 0) + rows.num_rows
+        for i in (3, 5):
+            row[i + 1] += int((inner if row[i] else outer)[-1])
+            row[i] ^= bool(quotes[-1] % 2)
     if row is not None:
         yield pa.RecordBatch.from_pylist([dict(zip(fields.names, row))], fields)
 
 
 def block_states(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per block: path, block, is_array (of the file), in_string and
+    """One row per block of an array file: path, block, is_array, in_string and
     depth at its start, ``last`` (the file's last block) and whether the file ends
-    with a comma."""
+    with a comma. Any other file with text has one row, without a block; only
+    array files are walked."""
     ship_package(spark)
-    sums = _pieces(spark, paths).withColumn("n", F.octet_length("value").cast("long")).mapInArrow(
-        _summarize, "path string, block long, size long, n_bytes long, first string, out_string boolean, out_depth long, "
-        "in_string boolean, in_depth long")
-    blocks = F.array_sort(F.collect_list(F.struct("block", "first", "out_string", "out_depth", "in_string", "in_depth")))
+    files = materialize(kinds(spark, paths).withColumn("id", F.monotonically_increasing_id()), "json-files")
+    # One row per file, which the listing of the files brings to the driver as well.
+    wanted = F.broadcast(files.where("is_array").select("path", "id"))
+    sums = _pieces(spark, paths).join(wanted, "path").select("id", "block", "value").mapInArrow(
+        _summarize, "id long, block long, n_bytes long, out_string boolean, out_depth long, in_string boolean, in_depth long")
+    blocks = F.array_sort(F.collect_list(F.struct("block", "out_string", "out_depth", "in_string", "in_depth")))
     start = F.struct(F.lit(False).alias("s"), F.lit(0).cast("long").alias("d"),
                      F.array().cast("array<struct<block:bigint,in_string:boolean,depth:bigint>>").alias("all"))
 
@@ -104,71 +132,87 @@ def block_states(spark: SparkSession, paths: list[str]) -> DataFrame:
             (acc["d"] + F.when(acc["s"], x["in_depth"]).otherwise(x["out_depth"])).alias("d"),
             F.concat(acc["all"], F.array(F.struct(x["block"].alias("block"), acc["s"].alias("in_string"), acc["d"].alias("depth")))).alias("all"))
 
-    firsts = F.filter(F.col("blocks"), lambda x: x["first"].isNotNull())
-    files = sums.groupBy("path").agg(blocks.alias("blocks"), F.max("size").alias("size"), F.sum("n_bytes").alias("n_bytes"), F.max("block").alias("end"))
-    return files.select(
-        "path", F.coalesce(F.try_element_at(firsts, F.lit(1))["first"] == "[", F.lit(False)).alias("is_array"),
+    walked = sums.groupBy("id").agg(blocks.alias("blocks"), F.sum("n_bytes").alias("n_bytes"), F.max("block").alias("end"))
+    arrays = files.join(walked, "id").select(
         # Every piece counts its comma; the last one has none unless the file ends with it.
-        (F.col("n_bytes") == F.col("size")).alias("comma_ends"), "end",
+        "path", "is_array", (F.col("n_bytes") == F.col("size")).alias("comma_ends"), "end",
         F.explode(F.aggregate("blocks", start, step)["all"]).alias("b")).select(
         "path", "is_array", "comma_ends", F.col("b.block").alias("block"), (F.col("b.block") == F.col("end")).alias("last"),
         F.col("b.in_string").alias("in_string"), F.col("b.depth").alias("depth"))
+    return arrays.unionByName(files.where("not is_array").select("path", "is_array"), allowMissingColumns=True)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's elements: number within the block, text, and whether more of it
-    lies before (``head``) or after (``tail``) the block."""
-    fields = pa.schema([("path", pa.string()), ("block", pa.int64()), ("no", pa.int64()), ("text", pa.string()), ("tail", pa.bool_())])
+    lies after the block (``tail``)."""
+    names = ["id", "no", "text", "tail"]
     key, no, parts, in_string, depth, ends = None, 0, [], False, 0, False
 
-    def left():
-        """What follows the block's last separator; it goes on in the next block."""
-        return [(*key, no, ",".join(parts) + ("" if ends else ","), True)] if parts else []
+    def batch(texts: pa.Array, tail: bool) -> pa.RecordBatch:
+        n = len(texts)
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key[0], pa.int64()), n), pa.array(np.arange(no, no + n)),
+                                           texts, pa.repeat(tail, n)], names=names)
 
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), fields)], schema=fields)
+    def joined(pieces: pa.Array, stops: np.ndarray) -> pa.Array:
+        of = pa.array(np.concatenate([[0], stops]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(of, pieces), ",")
+
+    def left() -> Iterator[pa.RecordBatch]:
+        """What follows the block's last separator; it goes on in the next block."""
+        if parts:
+            pieces = pa.concat_arrays(parts)
+            text = joined(pieces, np.array([len(pieces)]))
+            yield batch(text if ends else pc.binary_join_element_wise(text, "", ","), True)
 
-    for k, rows in _by_block(batches, ["value", "in_string", "depth", "last", "comma_ends"]):
-        out = []
+    for k, rows in _by_block(batches):
         if k != key:
-            out += left()
-            key, no, parts, (_, in_string, depth, last, comma_ends) = k, 0, [], rows[0]
+            if key is not None:
+                yield from left()
+            in_string, depth, last, comma_ends = (rows[c][0].as_py() for c in ("in_string", "depth", "last", "comma_ends"))
             # The file's last piece is followed by no comma.
-            ends = last and not comma_ends
-        for text, *_ in rows:
-            in_string, d = walk(text, in_string)
-            depth += d
-            parts.append(text)
-            if not in_string and depth == 1:
-                out.append((*key, no, ",".join(parts), False))
-                no, parts = no + 1, []
-        if out:
-            yield batch(out)
-    if key is not None and (out := left()):
-        yield batch(out)
+            key, no, parts, ends = k, 0, [], last and not comma_ends
+        quotes, outer, inner = _marks(rows["value"])
+        depths = depth + (inner if in_string else outer)
+        open_ = (quotes % 2 == 1) ^ in_string
+        stops = np.flatnonzero(~open_ & (depths == 1)) + 1
+        in_string, depth = bool(open_[-1]), int(depths[-1])
+        value, done = rows["value"], 0
+        if len(stops):
+            before = pa.concat_arrays(parts) if parts else value.slice(0, 0)
+            done = int(stops[-1])
+            texts = joined(pa.concat_arrays([before, value.slice(0, done)]), stops + len(before))
+            yield batch(texts, False)
+            no, parts = no + len(texts), []
+        if done < len(value):
+            parts.append(value.slice(done))
+    if key is not None:
+        yield from left()
 
 
 def elements(spark: SparkSession, paths: list[str], states: DataFrame) -> DataFrame:
     """path, no (from 0 in file order), text, ok, value (VARIANT) of every element
-    of the array files. A file without elements has no row; ``ok`` is false where
-    the text is not one JSON value or the array is not closed as it must be."""
-    arrays = states.where("is_array").drop("is_array")
-    cut = materialize(_pieces(spark, paths).join(arrays, ["path", "block"]).sortWithinPartitions("path", "block", "line")
-           .mapInArrow(_cut, "path string, block long, no long, text string, tail boolean"), "json-cut")
+    of the array files; ``states`` is the written table of their blocks. A file
+    without elements has no row; ``ok`` is false where the text is not one JSON
+    value or the array is not closed as it must be."""
+    blocks = materialize(states.where("is_array").drop("is_array").withColumn("id", F.monotonically_increasing_id()), "json-block-ids")
+    # A broadcast join (one row per block) keeps the pieces in the order of the scan.
+    pieces = _pieces(spark, paths).join(F.broadcast(blocks), ["path", "block"]).select(
+        "id", "block", "value", "in_string", "depth", "last", "comma_ends")
+    cut = materialize(pieces.mapInArrow(_cut, "id long, no long, text string, tail boolean"), "json-cut")
     # A block that ends within an element hands that on: its number counts with
     # the elements that end before, so all parts of one element agree.
-    ended = cut.groupBy("path", "block").agg(F.count_if(~F.col("tail")).alias("n"))
+    ended = cut.groupBy("id").agg(F.count_if(~F.col("tail")).alias("n"), F.max("no").alias("m")).join(blocks.select("id", "path", "block"), "id")
     past = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offset = ended.select("path", "block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("offset"))
-    numbered = cut.join(offset, ["path", "block"]).select("path", "block", (F.col("no") + F.col("offset")).alias("no"), "no", "text", "tail")
-    numbered = numbered.toDF("path", "block", "no", "local", "text", "tail")
+    offset = ended.select("id", "path", "block", "m", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("offset"))
+    places = materialize(offset.select("id", "path", "block", "offset", F.max(F.col("offset") + F.col("m")).over(Window.partitionBy("path")).alias("last_no")), "json-places")
+    numbered = cut.join(F.broadcast(places), "id").select(
+        "path", "block", (F.col("no") + F.col("offset")).alias("no"), F.col("no").alias("local"), "text", "tail", "last_no")
     # Only a block's first element can have begun before, only its last goes on.
-    whole = numbered.where("local > 0 and not tail").select("path", "no", "text")
+    whole = numbered.where("local > 0 and not tail").select("path", "no", "text", "last_no")
     parts = numbered.where("local = 0 or tail").groupBy("path", "no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "").alias("text"))
-    every = whole.unionByName(parts)
-    n = numbered.groupBy("path").agg(F.max("no").alias("last_no"))
-    return _checked(every.join(n, "path"))
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "").alias("text"),
+        F.max("last_no").alias("last_no"))
+    return _checked(whole.unionByName(parts))
 
 
 def _checked(every: DataFrame) -> DataFrame:

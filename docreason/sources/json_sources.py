@@ -28,7 +28,7 @@ def _as_list(paths) -> list[str]:
 def file_kinds(spark: SparkSession, paths) -> DataFrame:
     """One row per file with any text: path and whether it holds a JSON array
     (the first character that is not white space decides)."""
-    return json_arrays.block_states(spark, _as_list(paths)).groupBy("path").agg(F.first("is_array").alias("is_array"))
+    return json_arrays.kinds(spark, _as_list(paths)).select("path", "is_array")
 
 
 def _object(text, value, schema: T.StructType) -> Column:

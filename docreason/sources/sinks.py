@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def write_json_arrays(df: DataFrame, path: str, by: list[str], order: list[str]) -> None:
     """K1: one JSON array per group (a document's records), ordered, one file
-    per group under partition folders of ``by``."""
+    per group under partition folders of ``by``. Every record is a line of its
+    file, so a group is sorted and streamed and never in one row."""
     payload = [c for c in df.columns if c not in by]
-    arr = F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
-                                               F.struct(*payload).alias("_r"))))
-    g = df.groupBy(*by).agg(F.to_json(F.transform(arr, lambda x: x["_r"])).alias("value"))
-    g.repartition(*by).write.mode("overwrite").partitionBy(*by).text(path)
+    rows = df.select(*by, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*payload).alias("_r"))
+    sort = [*[f"_o{i}" for i in range(len(order))], "_r"]
+    group = Window.partitionBy(*by).orderBy(*sort)
+    first, last = F.row_number().over(group) == 1, F.lead(F.lit(True)).over(group).isNull()
+    line = F.concat(F.when(first, "[").otherwise(","), F.to_json("_r"), F.when(last, "]").otherwise(""))
+    lines = rows.repartition(*by).select(*by, *sort, line.alias("value"))
+    (lines.sortWithinPartitions(*by, *sort).select(*by, "value")
+     .write.mode("overwrite").partitionBy(*by).text(path))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

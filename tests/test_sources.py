@@ -174,3 +174,76 @@ def test_a_repeated_append_leaves_one_copy(spark, tmp_path):
     ledger_append(rows().limit(0), path, "third")
     got = sorted((r.experiment_id, r.batch_id, r.document_id, r.success) for r in spark.read.parquet(path).collect())
     assert got == [("a", "first", "1", 1), ("a", "second", "3", None), ("b", "first", "1", 0)]
+
+
+def test_arrays_are_streamed_and_come_back(spark, tmp_path):
+    """Every record of an array file is a line of its own, in order, so that no
+    row holds a group; NULL keys are a group."""
+    import glob
+    from docreason.sources import sinks as K
+    rows = [(None if i % 3 == 0 else i % 3, f"{i % 50:03d}", f'x,"]{i} \\') for i in range(300)] + [(1, None, None)] * 2
+    df = spark.createDataFrame(rows, "g int, question_id string, gold_answer string")
+    K.write_json_arrays(df, str(tmp_path / "a"), by=["g"], order=["question_id"])
+    files = glob.glob(str(tmp_path / "a" / "g=*" / "*.txt"))
+    assert len(files) == 3
+    got = []
+    for f in files:
+        text = open(f, encoding="utf-8").read()
+        items = json.loads(text)
+        assert len(text.splitlines()) == len(items)
+        ids = [x.get("question_id") for x in items]
+        assert ids == sorted(ids, key=lambda x: (x is not None, x or ""))
+        got += [(x.get("question_id"), x.get("gold_answer")) for x in items]
+    assert sorted(got, key=str) == sorted([r[1:] for r in rows], key=str)
+    from pyspark.sql import types as T
+    back = JS.read_json_arrays(spark, str(tmp_path / "a"), T._parse_datatype_string(SCHEMA)).collect()
+    assert sorted((tuple(r) for r in back), key=str) == sorted(got, key=str)
+
+
+def test_marks_of_pieces():
+    """Quotes and brackets up to each piece's end, as told piece by piece."""
+    import random
+    import pyarrow as pa
+    from docreason.sources.json_arrays import _marks
+    rnd = random.Random(3)
+    pieces = ["".join(rnd.choice('ab"[]{}\\é ') for _ in range(rnd.randrange(9))) for _ in range(500)] + ["", "\\"]
+    for part in (pa.array(pieces), pa.array(pieces).slice(100, 300), pa.array([""])):
+        quotes, outer, inner = (x.tolist() for x in _marks(part))
+        n, depth = 0, [0, 0]
+        for i, text in enumerate(part.to_pylist()):
+            skip = False
+            for c, after in zip(text, text[1:] + "\0"):
+                if skip:
+                    skip = False
+                elif c == "\\" and after != "\0":
+                    skip = True
+                elif c == '"':
+                    n += 1
+                else:
+                    depth[n % 2] += (c in "[{") - (c in "]}")
+            assert (quotes[i], outer[i], inner[i]) == (n, *depth)
+
+
+def test_files_of_arrays_do_not_grow_with_the_ids(spark, tmp_path):
+    """json_sources writes no more array files for more question ids."""
+    from docreason.plans import q_io
+    seen = []
+
+    class Sinks:
+        def __getattr__(self, name):
+            return getattr(K, name)
+
+        def write_json_arrays(self, df, path, by, order):
+            seen.append(df.select(*by).distinct().count())
+            K.write_json_arrays(df, path, by, order)
+
+    K, q_io.K = q_io.K, Sinks()
+    try:
+        os.makedirs(tmp_path / "sf")
+        spark.range(3000).selectExpr(
+            "id as l_orderkey", "id * 64 as l_partkey", "cast(1 as int) as l_linenumber", "'F' as l_linestatus",
+            "cast(id % 50 as double) as l_quantity", "0.04d as l_discount").write.parquet(str(tmp_path / "sf" / "lineitem.parquet"))
+        out = q_io.q_json_sources(spark, str(tmp_path / "sf"))
+        assert out.groupBy("src").count().collect() and out.count() == 9000 and seen[0] <= 4 * 64
+    finally:
+        q_io.K = K
