@@ -27,7 +27,7 @@ def q_pdf_check(spark, sf):
     out = scratch_dir(spark, "pdf")
     p = table(spark, sf, "pages")
     body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF-1.4\n"), F.col("html"))).otherwise(F.col("html"))
-    p.select("page_id", body.alias("value")).repartition("page_id").write.partitionBy("page_id").text(out)
+    K.write_files(p.select("page_id", body.alias("value")), out, "page_id")
     b = FS.read_binary(spark, out)
     pid = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint")
     return b.select(pid.alias("page_id"), FS.is_pdf().alias("is_pdf"), F.col("length").alias("n_bytes"))

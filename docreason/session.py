@@ -68,6 +68,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def mounted_path(spark: SparkSession, path: str) -> str | None:
+    """The path by which every machine's own file system knows a shared folder;
+    None where the folder is in another store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: cuts lineage (a lost executor recomputes from this table, not from

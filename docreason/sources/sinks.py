@@ -1,10 +1,24 @@
-"""Sinks (K1-K5). Every write goes through Spark's committed file writer."""
+"""Sinks (K1-K5). Every write goes through Spark's committed file writer, but for
+files of one key each in a mounted folder (``write_files``)."""
 
 from __future__ import annotations
 
+import os
+import uuid
+import zlib
+from collections.abc import Iterator
+from functools import partial
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docreason.session import mounted_path, ship_package
+
+# Folders that the files of write_files are dealt over (none holds them all).
+FILE_FOLDERS = 256
+
 
 def write_json_arrays(df: DataFrame, path: str, by: list[str], order: list[str]) -> None:
     """K1: one JSON array per group (a document's records), ordered, one file
@@ -31,6 +45,52 @@ def write_text(df: DataFrame, path: str, col: str = "value") -> None:
     df.select(F.col(col).alias("value")).write.mode("overwrite").text(path)
 
 
+def _put_files(batches: Iterator[pa.RecordBatch], root: str, key: str) -> Iterator[pa.RecordBatch]:
+    """Rows (key, value) in order of the key: a key's values as lines of its file.
+    A file gets its name when it is whole, so that an attempt that is cut short or
+    runs beside another leaves none in part. Yields the number of files."""
+    now, out, hidden, n = None, None, "", 0
+
+    def close() -> None:
+        out.close()
+        name = quote("__HIVE_DEFAULT_PARTITION__" if now[0] is None else now[0], safe="")
+        folder = f"{root}/{zlib.crc32(name.encode()) % FILE_FOLDERS:03d}"
+        os.makedirs(folder, exist_ok=True)
+        os.replace(hidden, f"{folder}/{key}={name}.txt")
+
+    for b in batches:
+        for k, value in zip(b[0].to_pylist(), b[1].to_pylist()):
+            if now != (k,):
+                if out is not None:
+                    close()
+                now, n, hidden = (k,), n + 1, f"{root}/.{uuid.uuid4().hex}"
+                out = open(hidden, "wb")
+            out.write((value or b"") + b"\n")
+    if out is not None:
+        close()
+    yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+
+def write_files(df: DataFrame, path: str, key: str, col: str = "value") -> None:
+    """K3, a file per key: its rows' texts as lines, found by ``key=<its text>`` in
+    the file's path. ``path`` is a new folder.
+
+    In a folder that all machines have mounted the tasks write the files
+    themselves: Spark's writer needs a folder for each and, without Hadoop's native
+    library, starts two processes a file to set its mode. In any other store it is
+    Spark's writer."""
+    spark = df.sparkSession
+    root = mounted_path(spark, path)
+    if root is None:
+        df.select(key, F.col(col).alias("value")).repartition(key).write.partitionBy(key).text(path)
+        return
+    ship_package(spark)
+    os.makedirs(root)
+    rows = df.select(F.col(key).cast("string").alias(key), F.col(col).cast("binary").alias("value"))
+    put = partial(_put_files, root=root, key=key)
+    rows.repartition(key).sortWithinPartitions(key).mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
+
+
 def write_per_document(df: DataFrame, path: str, doc: str = "document_id", ok: str | None = None,
                        n_buckets: int = 64, fmt: str = "json") -> DataFrame:
     """K4: per-document output plus the manifest of documents that succeeded.

@@ -247,3 +247,54 @@ def test_files_of_arrays_do_not_grow_with_the_ids(spark, tmp_path):
         assert out.groupBy("src").count().collect() and out.count() == 9000 and seen[0] <= 4 * 64
     finally:
         q_io.K = K
+
+
+def test_files_of_keys_without_a_folder_each(spark, tmp_path, monkeypatch):
+    """A key's rows are one file, whoever writes it; a mounted folder has no folder
+    per key and no part of a file left."""
+    from docreason.sources import sinks as K
+    rows = [(i % 900, None if i % 50 == 3 else f"é{i}" * (i % 4)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(7)
+
+    def files(name):
+        b = FS.read_binary(spark, str(tmp_path / name))
+        key = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
+        return {r[0]: sorted(bytes(r[1]).decode().split("\n")) for r in b.select(key, "content").collect()}, b.count()
+
+    K.write_files(df, str(tmp_path / "own"), "page_id", "html")
+    monkeypatch.setattr(K, "mounted_path", lambda *_: None)
+    K.write_files(df, str(tmp_path / "spark"), "page_id", "html")
+    want = {k: sorted([v or "" for i, v in rows if i == k] + [""]) for k in {k for k, _ in rows}}
+    assert files("own") == (want, 900) == files("spark")
+    below = [(d, n) for d, _, names in os.walk(tmp_path / "own") for n in names]
+    assert len(below) == 900 and len({d for d, _ in below}) <= K.FILE_FOLDERS
+
+
+def test_a_file_cut_short_is_not_there(tmp_path):
+    import pyarrow as pa
+    from docreason.sources.sinks import _put_files
+
+    def batches(broken):
+        yield pa.RecordBatch.from_pydict({"k": ["a", "a", "b"], "v": [b"1", b"2", b"3"]})
+        if broken:
+            raise RuntimeError("lost")
+        yield pa.RecordBatch.from_pydict({"k": ["b", "c/d", None], "v": [b"4", None, b"5"]})
+
+    seen = lambda: {n: open(os.path.join(d, n), "rb").read() for d, _, names in os.walk(tmp_path) for n in names if n[0] != "."}
+    with pytest.raises(RuntimeError, match="lost"):
+        list(_put_files(batches(True), str(tmp_path), "k"))
+    assert seen() == {"k=a.txt": b"1\n2\n"}
+    [done] = _put_files(batches(False), str(tmp_path), "k")
+    assert done["n"].to_pylist() == [4]
+    assert seen() == {"k=a.txt": b"1\n2\n", "k=b.txt": b"3\n4\n", "k=c%2Fd.txt": b"\n", "k=__HIVE_DEFAULT_PARTITION__.txt": b"5\n"}
+
+
+def test_pdf_check_needs_no_folder_per_page(spark, tmp_path, monkeypatch):
+    from docreason.plans import q_io
+    monkeypatch.setattr(q_io, "scratch_dir", lambda _, name: str(tmp_path / name))
+    os.makedirs(tmp_path / "sf")
+    spark.range(700).selectExpr("id as page_id", "if(id = 4, null, repeat('é', cast(id % 5 as int))) as html").write.parquet(str(tmp_path / "sf" / "pages.parquet"))
+    got = {tuple(r) for r in q_io.q_pdf_check(spark, str(tmp_path / "sf")).collect()}
+    body = lambda i: ("%PDF-1.4\n" if i % 3 == 0 else "") + "é" * (i % 5 if i != 4 else 0)
+    assert got == {(i, i % 3 == 0, len(body(i).encode()) + 1) for i in range(700)}
+    assert sum(len(folders) for _, folders, _ in os.walk(tmp_path / "pdf")) <= 256
