@@ -8,6 +8,8 @@ look at ``schema_of_variant``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,21 @@ def one_value(raw) -> Column:
     return F.when(F.coalesce(sound, F.lit(False)), F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
+def is_one_value(raw) -> Column:
+    """True where :func:`one_value` finds a value, by one parse: the list ends with
+    a mark made for this expression, which no text can hold, so that it is the
+    second element only if the text is one value."""
+    mark = uuid.uuid4().hex
+    wrapped = F.try_parse_json(F.concat(F.lit("["), c_(raw), F.lit(f',"{mark}"]')))
+    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == mark, F.lit(False))
+
+
+def begins_object(raw) -> Column:
+    """True where a text that is one JSON value is an object."""
+    raw = c_(raw)
+    return F.coalesce(raw.startswith("{") | (F.substring(F.ltrim(raw, F.lit(" \t\n\r")), 1, 1) == "{"), F.lit(False))
+
+
 def is_object(v) -> Column:
     """True where a VARIANT is a JSON object."""
     return F.coalesce(vtype(v).startswith("OBJECT"), F.lit(False))

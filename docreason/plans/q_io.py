@@ -80,18 +80,19 @@ def q_json_sources(spark, sf):
         F.col("gold").cast("string").alias("gold_answer"), F.col("pred").cast("string").alias("pred_answer"),
         F.col("trace_sim").cast("string").alias("eval_score"))
     base = scratch_dir(spark, "json")
-    K.write_jsonl(q, f"{base}/lines")
+    # Compressed: the three forms as plain text are many times the table they come from.
+    K.write_jsonl(q, f"{base}/lines.gz")
     # One array per arm and 64th of the question ids: files stay few as the data
-    # grows, and are written and read by pieces whatever their size.
+    # grows, and are written and read as streams whatever their size.
     qb = q.withColumn("qblock", F.pmod(F.col("question_id").cast("bigint"), F.lit(64)))
-    K.write_json_arrays(qb, f"{base}/arrays", by=["arm", "qblock"], order=["question_id", "domain", "gold_answer"])
+    K.write_json_arrays(qb, f"{base}/arrays.gz", by=["arm", "qblock"], order=["question_id", "domain", "gold_answer"])
     junk = F.when(F.col("question_id").cast("bigint") % 14 == 0, F.lit('{"question_id":"none"}')).otherwise(F.lit(" and more"))
     loose = q.select(F.concat(loose_line(q), F.when(F.col("question_id").cast("bigint") % 7 == 0, junk).otherwise(F.lit(""))).alias("value"))
-    loose.write.text(f"{base}/loose")
+    K.write_text(loose, f"{base}/loose.gz")
     schema = SCORED_ANSWER_JSON
-    s2 = JS.read_json_lines(spark, f"{base}/lines", schema).drop("_corrupt_record").withColumn("src", F.lit("lines"))
-    s1 = JS.read_json_arrays(spark, f"{base}/arrays", schema).withColumn("src", F.lit("arrays"))
-    s3, bad = JS.read_any_json(spark, f"{base}/loose", schema)
+    s2 = JS.read_json_lines(spark, f"{base}/lines.gz", schema).drop("_corrupt_record").withColumn("src", F.lit("lines"))
+    s1 = JS.read_json_arrays(spark, f"{base}/arrays.gz", schema).withColumn("src", F.lit("arrays"))
+    s3, bad = JS.read_any_json(spark, f"{base}/loose.gz", schema)
     none = F.lit(None).cast("string")
     bad = bad.select(F.regexp_extract("line", r'"question_id":"([0-9]+)"', 1).alias("question_id"), none.alias("gold_answer"),
                      none.alias("pred_answer"), none.alias("eval_score"), F.lit("quarantine").alias("src"))

@@ -31,11 +31,6 @@ def file_kinds(spark: SparkSession, paths) -> DataFrame:
     return json_arrays.kinds(spark, _as_list(paths)).select("path", "is_array")
 
 
-def _object(text, value, schema: T.StructType) -> Column:
-    """A JSON object's text as a struct; NULL for anything else."""
-    return F.when(J.is_object(value), F.from_json(text, schema))
-
-
 def read_json_arrays(spark: SparkSession, paths, schema: T.StructType,
                      strict: bool = True) -> DataFrame:
     """Files holding one top-level JSON array each; every element a row.
@@ -51,17 +46,18 @@ def read_json_arrays(spark: SparkSession, paths, schema: T.StructType,
         if bad:
             raise SourceError(f"not a JSON array at the top level, among others: {bad}")
     found = json_arrays.elements(spark, paths, states)
-    obj = F.when(F.col("ok"), _object("text", "value", schema))
+    obj = F.when(F.col("ok") & F.col("is_object"), F.from_json("text", schema))
     if strict:
         broken = F.raise_error(F.concat(F.lit("malformed JSON array in "), "path", F.lit(", element "), F.col("no").cast("string")))
-        obj = F.when(F.col("ok") & J.is_object("value"), obj).otherwise(broken.cast(schema))
+        obj = obj.otherwise(broken.cast(schema))
     return found.select(obj.alias("_obj")).select(*[F.col("_obj")[f.name].alias(f.name) for f in schema.fields])
 
 
 def read_json_lines(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
     """One object per line; a line that is anything else (also a blank one,
     or a second object after the first) lands in ``_corrupt_record``."""
-    lines = spark.read.text(_as_list(paths)).withColumn("_obj", _object("value", J.one_value("value"), schema))
+    found = F.when(J.begins_object("value") & J.is_one_value("value"), F.from_json("value", schema))
+    lines = spark.read.text(_as_list(paths)).withColumn("_obj", found)
     return lines.select(*[F.col("_obj")[f.name].alias(f.name) for f in schema.fields],
                         F.when(F.col("_obj").isNull(), F.col("value")).alias("_corrupt_record"))
 
@@ -78,21 +74,24 @@ def read_any_json(spark: SparkSession, paths, schema: T.StructType) -> tuple[Dat
     No path comes to the driver, and no row holds more than a line or an element."""
     paths, fields = _as_list(paths), [f.name for f in schema.fields]
     states = materialize(json_arrays.block_states(spark, paths), "json-blocks")
-    found = materialize(json_arrays.elements(spark, paths, states).select(
-        "path", "text", "ok", F.when(F.col("ok"), _object("text", "value", schema)).alias("_obj")), "json-elements")
+    found = materialize(json_arrays.elements(spark, paths, states).select("path", "text", "ok", "is_object"), "json-elements")
     sound = found.groupBy("path").agg(F.bool_and("ok").alias("_sound"))
     arrays = found.join(sound, "path").select(
-        F.col("path").alias("source_file"), py_strip("text").alias("line"), F.when(F.col("_sound"), F.col("_obj")).alias("_obj"))
+        F.col("path").alias("source_file"), py_strip("text").alias("line"), F.col("text").alias("_text"),
+        (F.col("_sound") & F.col("is_object")).alias("_ok"))
 
     others = states.where(~F.col("is_array")).select(F.col("path").alias("kind_path")).distinct()
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = lines.join(others, F.col("path") == F.col("kind_path")).select(F.col("path").alias("source_file"), py_strip("value").alias("line"))
+    lines = lines.join(others, F.col("path") == F.col("kind_path"))
+    # Exploded, so that the filters after it do not strip every line again for each use.
+    lines = lines.select(F.col("path").alias("source_file"), F.explode_outer(F.array(py_strip("value"))).alias("line"))
     cut = F.when(F.col("line").endswith(","), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
-    lines = (lines.where("line <> ''").withColumn("_text", cut).withColumn("_obj", _object("_text", J.one_value("_text"), schema))
-             .select("source_file", "line", "_obj"))
+    lines = (lines.where("line <> ''").withColumn("_text", cut)
+             .withColumn("_ok", J.begins_object("_text") & J.is_one_value("_text")))
+    # Only the rows kept are parsed into columns: a filter on the parsed object would parse it twice.
     every = arrays.unionByName(lines)
-    rows = every.where("_obj is not null").select(*[F.col("_obj")[c].alias(c) for c in fields], "source_file")
-    return rows, every.where("_obj is null").select("source_file", "line")
+    rows = every.where("_ok").select(F.from_json("_text", schema).alias("_obj"), "source_file")
+    return rows.select(*[F.col("_obj")[c].alias(c) for c in fields], "source_file"), every.where("not _ok").select("source_file", "line")
 
 
 def json_object_keys(c) -> Column:

@@ -20,29 +20,33 @@ from docreason.session import mounted_path, ship_package
 FILE_FOLDERS = 256
 
 
+def _codec(path: str) -> str:
+    return "gzip" if path.endswith(".gz") else "none"
+
+
 def write_json_arrays(df: DataFrame, path: str, by: list[str], order: list[str]) -> None:
     """K1: one JSON array per group (a document's records), ordered, one file
     per group under partition folders of ``by``. Every record is a line of its
-    file, so a group is sorted and streamed and never in one row."""
+    file, so a group is sorted and streamed and never in one row. A ``path`` that
+    ends with .gz has compressed files."""
     payload = [c for c in df.columns if c not in by]
-    rows = df.select(*by, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*payload).alias("_r"))
-    sort = [*[f"_o{i}" for i in range(len(order))], "_r"]
+    sort = [*[c for c in order if c not in by], *[c for c in payload if c not in order]]
     group = Window.partitionBy(*by).orderBy(*sort)
     first, last = F.row_number().over(group) == 1, F.lead(F.lit(True)).over(group).isNull()
-    line = F.concat(F.when(first, "[").otherwise(","), F.to_json("_r"), F.when(last, "]").otherwise(""))
-    lines = rows.repartition(*by).select(*by, *sort, line.alias("value"))
-    (lines.sortWithinPartitions(*by, *sort).select(*by, "value")
-     .write.mode("overwrite").partitionBy(*by).text(path))
+    line = F.concat(F.when(first, "[").otherwise(","), F.to_json(F.struct(*payload)), F.when(last, "]").otherwise(""))
+    lines = df.repartition(*by).select(*by, *sort, line.alias("_line"))
+    (lines.sortWithinPartitions(*by, *sort).select(*by, F.col("_line").alias("value"))
+     .write.mode("overwrite").option("compression", _codec(path)).partitionBy(*by).text(path))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: one object per line."""
-    df.write.mode(mode).json(path)
+    """K2: one object per line, compressed where ``path`` ends with .gz."""
+    df.write.mode(mode).option("compression", _codec(path)).json(path)
 
 
 def write_text(df: DataFrame, path: str, col: str = "value") -> None:
-    """K3: raw text as is."""
-    df.select(F.col(col).alias("value")).write.mode("overwrite").text(path)
+    """K3: raw text as is, compressed where ``path`` ends with .gz."""
+    df.select(F.col(col).alias("value")).write.mode("overwrite").option("compression", _codec(path)).text(path)
 
 
 def _put_files(batches: Iterator[pa.RecordBatch], root: str, key: str) -> Iterator[pa.RecordBatch]:

@@ -298,3 +298,82 @@ def test_pdf_check_needs_no_folder_per_page(spark, tmp_path, monkeypatch):
     body = lambda i: ("%PDF-1.4\n" if i % 3 == 0 else "") + "é" * (i % 5 if i != 4 else 0)
     assert got == {(i, i % 3 == 0, len(body(i).encode()) + 1) for i in range(700)}
     assert sum(len(folders) for _, folders, _ in os.walk(tmp_path / "pdf")) <= 256
+
+
+def test_is_one_value_agrees(spark):
+    from docreason.functions import jsonfn as J
+    texts = ['{"a": 1}', ' [1, "]"] ', "3", '"x"', "null", "[]", '\n{"a": {}}', "{}", '{"a": 1, "a": 2}', "{'a': 1}", '{"a": NaN}',
+             '{"a": 1} junk', "[1] [2]", "1], [2", "1, 2", "", " ", "1]", "[1", "1,", ",1", '1,"x"],["y"', '{"a": 1}, {"b": 2}', '{"a": 1}]', " {}", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    v = J.one_value("t")
+    for i, whole, same, obj, also in df.select("i", v.isNotNull(), J.is_one_value("t"), J.is_object(v), J.is_one_value("t") & J.begins_object("t")).collect():
+        assert (whole, obj) == (same, also), texts[i]
+
+
+def test_compressed_files_are_read_alike(spark, tmp_path):
+    """Every probe, plain and compressed, gives the same rows and quarantine."""
+    import gzip
+    from pyspark.sql import types as T
+    schema = T._parse_datatype_string(SCHEMA)
+    probes = {n: x[0] for n, x in PROBES.items()} | {"no_objects.json": "[1, 2],", "brace_at_end.json": '[{"question_id": "l"}', "space.json": '[{"question_id": "m"}] \n'}
+    os.makedirs(tmp_path / "plain")
+    os.makedirs(tmp_path / "packed")
+    for name, text in probes.items():
+        (tmp_path / "plain" / name).write_text(text)
+        (tmp_path / "packed" / f"{name}.gz").write_bytes(gzip.compress(text.encode()))
+
+    def read(folder):
+        rows, bad = JS.read_any_json(spark, str(tmp_path / folder), schema)
+        name = lambda r: os.path.basename(r.source_file).removesuffix(".gz")
+        return sorted((name(r), r.question_id) for r in rows.collect()), sorted((name(r), r.line) for r in bad.collect())
+
+    assert read("packed") == read("plain")
+    for name in ("comma_after.json", "unclosed.json"):
+        with pytest.raises(Exception, match="malformed JSON array"):
+            JS.read_json_arrays(spark, str(tmp_path / "packed" / f"{name}.gz"), schema).collect()
+
+
+def test_array_elements_over_batches(spark, tmp_path):
+    """Files of one block and of many, cut in small batches, end alike."""
+    from pyspark.sql import types as T
+    schema = T._parse_datatype_string(SCHEMA)
+    for k, n in enumerate((1, 2, 3, 4, 11)):
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"question_id": f"{k}-{i}", "gold_answer": "a,b" * (i % 3)} for i in range(n)]))
+    (tmp_path / "open.json").write_text('[{"question_id": "x"},{"question_id": "y"}')
+    want = sorted(f"{k}-{i}" for k, n in enumerate((1, 2, 3, 4, 11)) for i in range(n))
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes")
+    kept = [spark.conf.get(x) for x in names]
+    try:
+        for batch, size in ((1, "128m"), (2, "128m"), (3, "50"), (1, "9")):
+            spark.conf.set(names[0], str(batch))
+            spark.conf.set(names[1], size)
+            rows, bad = JS.read_any_json(spark, str(tmp_path), schema)
+            assert sorted(r.question_id for r in rows.collect()) == want
+            assert sorted(r.line for r in bad.collect()) == ['{"question_id": "x"}', '{"question_id": "y"}']
+    finally:
+        for x, v in zip(names, kept):
+            spark.conf.set(x, v)
+
+
+def test_json_sources_takes_little_disk(spark, tmp_path, monkeypatch):
+    """What the query writes is a small part of its records' plain text, and no
+    table holds the texts of the arrays' elements."""
+    from docreason import session
+    from docreason.plans import q_io
+    made = []
+
+    def scratch(_, name):
+        made.append(f"{tmp_path}/{name}-{len(made)}")
+        return made[-1]
+
+    monkeypatch.setattr(q_io, "scratch_dir", scratch)
+    monkeypatch.setattr(session, "scratch_dir", scratch)
+    os.makedirs(tmp_path / "sf")
+    spark.range(40000).selectExpr(
+        "id as l_orderkey", "hash(id) % 5000 + 10000 as l_partkey", "cast(id % 7 as int) as l_linenumber", "if(id % 2 = 0, 'F', 'O') as l_linestatus",
+        "cast(id % 50 as double) as l_quantity", "id % 11 / 100 as l_discount").write.parquet(str(tmp_path / "sf" / "lineitem.parquet"))
+    out = q_io.q_json_sources(spark, str(tmp_path / "sf"))
+    assert out.count() == 120000
+    size = lambda top: sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(top) for n in names if not n.endswith(".crc"))
+    assert size(made[0]) < 120000 * 90 / 3
+    assert sum(size(x) for x in made[1:]) < 300000
